@@ -1,3 +1,4 @@
 """Import every query module so that the registry is complete."""
 
 from quire.plans import corpus_queries  # noqa: F401
+from quire.plans import sft_queries  # noqa: F401
