@@ -43,33 +43,43 @@ def softmax(z, keep=None) -> Column:
     return F.transform(w, lambda x: x / tot)
 
 
-def sample_token(logits, row_key, seed: int = 1234, step=0, temperature: float = 1.0,
-                 top_k: int | None = None) -> Column:
+def with_sampled_token(df, logits_col: str, key_col: str, out_col: str = "token",
+                       seed: int = 1234, step=0, temperature: float = 1.0,
+                       top_k: int | None = None):
     """Temperature, top-k (ties kept), softmax, inverse-CDF multinomial draw.
 
     The uniform is ``md5(seed:row:step)``, so any partitioning gives the same id.
+    Intermediate arrays are staged as columns: Spark does not share common
+    sub-expressions inside lambdas, so one nested expression would recompute the
+    weights once per element.
     """
-    z = scale(logits, temperature)
-    m = F.array_max(z)
+    tmp = ["_z", "_m", "_thr", "_w", "_tot", "_u"]
+    out = df.withColumn("_z", scale(F.col(logits_col), temperature))
+    out = out.withColumn("_m", F.array_max("_z"))
     if top_k is not None:
-        thr = top_k_threshold(z, top_k)
-        w = F.transform(z, lambda x: F.when(x >= thr, F.exp(x - m)).otherwise(F.lit(0.0)))
+        out = out.withColumn("_thr", top_k_threshold("_z", top_k))
+        out = out.withColumn("_w", F.transform(
+            "_z", lambda x: F.when(x >= F.col("_thr"), F.exp(x - F.col("_m"))).otherwise(F.lit(0.0))))
     else:
-        w = F.transform(z, lambda x: F.exp(x - m))
-    total = _dsum(w)
-    u = md5_uniform(seed, row_key, step if isinstance(step, Column) else F.lit(step))
-    target = u * total
-    init = F.struct(F.lit(0.0).alias("cum"), F.lit(None).cast("int").alias("pick"))
-    zipped = F.arrays_zip(w.alias("w"), F.sequence(F.lit(0), F.size(w) - 1).alias("i"))
+        out = out.withColumn("_thr", F.lit(None).cast("double"))
+        out = out.withColumn("_w", F.transform("_z", lambda x: F.exp(x - F.col("_m"))))
+    out = out.withColumn("_tot", _dsum(F.col("_w")))
+    step_col = step if isinstance(step, Column) else F.lit(step)
+    out = out.withColumn("_u", md5_uniform(seed, F.col(key_col), step_col))
+    target = F.col("_u") * F.col("_tot")
+    init = F.struct(F.lit(0.0).alias("cum"), F.lit(-1).alias("pick"), F.lit(-1).alias("last"),
+                    F.lit(0).alias("i"))
     res = F.aggregate(
-        zipped, init,
-        lambda acc, e: F.struct(
-            (acc["cum"] + e["w"]).alias("cum"),
-            F.when(acc["pick"].isNull() & (acc["cum"] + e["w"] > target), e["i"])
-            .otherwise(acc["pick"]).alias("pick")))
-    # u < 1 so the pick exists unless rounding leaves target == total: take the last kept id
-    last_kept = F.array_max(F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, i) > 0))
-    return F.coalesce(res["pick"], last_kept)
+        "_w", init,
+        lambda acc, w: F.struct(
+            (acc["cum"] + w).alias("cum"),
+            F.when((acc["pick"] < 0) & (acc["cum"] + w > target), acc["i"])
+            .otherwise(acc["pick"]).alias("pick"),
+            F.when(w > 0, acc["i"]).otherwise(acc["last"]).alias("last"),
+            (acc["i"] + 1).alias("i")))
+    # u < 1, so a pick exists unless rounding leaves target == total: then the last kept id
+    pick = F.when(res["pick"] >= 0, res["pick"]).otherwise(res["last"])
+    return out.withColumn(out_col, pick).drop(*tmp)
 
 
 def masked_nll(logits, target) -> Column:

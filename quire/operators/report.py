@@ -84,3 +84,36 @@ def param_summary(params: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("decay"), 0).otherwise(1)).cast("bigint").alias("n_nodecay_tensors"),
         F.sum(F.when(F.col("decay"), 0).otherwise(F.col("numel"))).alias("n_nodecay_params"),
     )
+
+
+def gpt_manifest(spark, run_id: int, vocab_size, block_size: int, n_layer: int, n_embd: int,
+                 bias: bool = False) -> DataFrame:
+    """Parameter manifest ``(run_id, name, shape, is_position)`` of the reference transformer.
+
+    The head is tied to the token table, so it is listed once.  ``vocab_size``
+    may be a Column (e.g. a scalar subquery over the tokenized corpus).
+    """
+    c = n_embd
+    v = vocab_size if isinstance(vocab_size, Column) else F.lit(vocab_size)
+    per_layer = [("ln_1.weight", [c]), ("attn.c_attn.weight", [3 * c, c]),
+                 ("attn.c_proj.weight", [c, c]), ("ln_2.weight", [c]),
+                 ("mlp.c_fc.weight", [4 * c, c]), ("mlp.c_proj.weight", [c, 4 * c])]
+    if bias:
+        per_layer += [("ln_1.bias", [c]), ("attn.c_attn.bias", [3 * c]), ("attn.c_proj.bias", [c]),
+                      ("ln_2.bias", [c]), ("mlp.c_fc.bias", [4 * c]), ("mlp.c_proj.bias", [c])]
+    tensors = F.array(*[F.struct(F.lit(n).alias("name"), F.array(*[F.lit(x) for x in s]).alias("shape"))
+                        for n, s in per_layer])
+    layers = spark.range(n_layer).select(F.col("id").alias("layer"), F.explode(tensors).alias("t"))
+    layers = layers.select(F.concat(F.lit("h."), F.col("layer").cast("string"), F.lit("."),
+                                    F.col("t.name")).alias("name"), F.col("t.shape").alias("shape"))
+    glob = [("wte.weight", F.array(v.cast("int"), F.lit(c))),
+            ("wpe.weight", F.array(F.lit(block_size), F.lit(c))),
+            ("ln_f.weight", F.array(F.lit(c)))]
+    if bias:
+        glob.append(("ln_f.bias", F.array(F.lit(c))))
+    g = spark.range(1).select(F.explode(F.array(*[
+        F.struct(F.lit(n).alias("name"), s.alias("shape")) for n, s in glob])).alias("t"))
+    g = g.select("t.name", "t.shape")
+    allp = layers.unionByName(g)
+    return allp.select(F.lit(run_id).cast("bigint").alias("run_id"), "name", "shape",
+                       (F.col("name") == "wpe.weight").alias("is_position"))

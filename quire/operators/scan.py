@@ -40,9 +40,13 @@ def add_order_bucket(df: DataFrame, order_col: str, n_buckets: int | None = None
     nb = n_buckets or default_buckets(spark)
     dtype = dict(df.dtypes)[order_col]
     key = F.col(order_col)
-    if dtype.startswith("timestamp") or dtype == "date":
-        key = F.unix_micros(key.cast("timestamp")) if dtype.startswith("timestamp") else \
-            F.unix_date(key)
+    if dtype == "timestamp_ntz":
+        # wall-clock values: no time-zone conversion (it is not monotone across DST)
+        key = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), key)
+    elif dtype == "timestamp":
+        key = F.unix_micros(key)
+    elif dtype == "date":
+        key = F.unix_date(key)
     key = key.cast("double")
     tmp = "_order_key_d"
     keyed = df.withColumn(tmp, key)

@@ -3,3 +3,4 @@
 from quire.plans import corpus_queries  # noqa: F401
 from quire.plans import sft_queries  # noqa: F401
 from quire.plans import model_queries  # noqa: F401
+from quire.plans import runlog_queries  # noqa: F401

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions.arrays import positional_checksum
-from quire.functions.sampling import masked_nll, sample_token
+from quire.functions.sampling import masked_nll, with_sampled_token
 from quire.functions.text import extract_response, inference_prompt
 from quire.operators.generate import bigram_model, generate
 from quire.operators.ngram import eval_loss, fit_ngram, ngram_eval_loss, score_windows
@@ -116,8 +116,9 @@ FROM c""")
 def q_sample_token(spark, sf_dir):
     """Temperature 0.7, top-10 (ties kept), softmax, hash-uniform multinomial draw."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", sample_token(F.col("embedding"), F.col("vec_id"), seed=GEN_SEED,
-                                           step=0, temperature=TEMPERATURE, top_k=10).alias("token"))
+    return with_sampled_token(e.select("vec_id", "embedding"), "embedding", "vec_id", "token",
+                              seed=GEN_SEED, step=0, temperature=TEMPERATURE, top_k=10) \
+        .select("vec_id", "token")
 
 
 def _prompts(spark, sf_dir):
