@@ -33,11 +33,8 @@ def default_buckets(spark) -> int:
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
 
 
-def add_order_bucket(df: DataFrame, order_col: str, n_buckets: int | None = None,
-                     out_col: str = BUCKET) -> DataFrame:
-    """Add a quantile bucket id of ``order_col`` (numeric or timestamp)."""
-    spark = df.sparkSession
-    nb = n_buckets or default_buckets(spark)
+def order_key_double(df: DataFrame, order_col: str) -> Column:
+    """A double that is monotone in ``order_col`` (numbers, dates, timestamps)."""
     dtype = dict(df.dtypes)[order_col]
     key = F.col(order_col)
     if dtype == "timestamp_ntz":
@@ -47,7 +44,15 @@ def add_order_bucket(df: DataFrame, order_col: str, n_buckets: int | None = None
         key = F.unix_micros(key)
     elif dtype == "date":
         key = F.unix_date(key)
-    key = key.cast("double")
+    return key.cast("double")
+
+
+def add_order_bucket(df: DataFrame, order_col: str, n_buckets: int | None = None,
+                     out_col: str = BUCKET) -> DataFrame:
+    """Add a quantile bucket id of ``order_col`` (numeric or timestamp)."""
+    spark = df.sparkSession
+    nb = n_buckets or default_buckets(spark)
+    key = order_key_double(df, order_col)
     tmp = "_order_key_d"
     keyed = df.withColumn(tmp, key)
     splits = []

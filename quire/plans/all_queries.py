@@ -5,3 +5,4 @@ from quire.plans import sft_queries  # noqa: F401
 from quire.plans import model_queries  # noqa: F401
 from quire.plans import runlog_queries  # noqa: F401
 from quire.plans import io_queries  # noqa: F401
+from quire.plans import stream_queries  # noqa: F401
