@@ -12,20 +12,22 @@ LABEL_BYTES = 4   # int32
 
 
 def corpus_report(df: DataFrame, split_col: str = "split", len_col: str = "n_tokens",
-                  max_tokens: int | None = None) -> DataFrame:
+                  max_tokens: int | None = None, extra: dict[str, Column] | None = None) -> DataFrame:
     """K4/A1/A2: per split documents, tokens, GiB as uint16, and the run total.
 
     ``stopped_early`` is true when a budget was given and the total reached it.
-    Partial aggregation makes this one tiny shuffle.
+    ``extra`` adds more aggregates to the same single pass (one partial +
+    final aggregate, a tiny shuffle of one row per split and task).
     """
-    per = df.groupBy(split_col).agg(
-        F.count(F.lit(1)).alias("n_docs"),
-        F.sum(F.col(len_col).cast("bigint")).alias("n_tokens"))
+    aggs = [F.count(F.lit(1)).alias("n_docs"),
+            F.sum(F.col(len_col).cast("bigint")).alias("n_tokens")]
+    aggs += [c.alias(n) for n, c in (extra or {}).items()]
+    per = df.groupBy(split_col).agg(*aggs)
     total = F.sum("n_tokens").over(_all())
     out = per.select(
         split_col, "n_docs", "n_tokens",
         F.round(F.col("n_tokens") * TOKEN_BYTES / GIB, 6).alias("gib"),
-        total.alias("total_tokens"))
+        total.alias("total_tokens"), *list(extra or {}))
     if max_tokens is not None:
         out = out.withColumn("stopped_early",
                              F.lit(max_tokens > 0) & (F.col("total_tokens") >= max_tokens))

@@ -62,9 +62,8 @@ FROM d GROUP BY split""")
 def q_corpus_report(spark, sf_dir):
     """Tokenize every document, route, report per split."""
     docs = assign_split(tokenize(_docs(spark, sf_dir).select("doc_id", "text"), "text"))
-    rep = corpus_report(docs)
-    sums = docs.groupBy("split").agg(F.sum(array_sum("tokens")).alias("token_sum"))
-    return rep.join(sums, "split").select(
+    rep = corpus_report(docs, extra={"token_sum": F.sum(array_sum("tokens"))})
+    return rep.select(
         "split", F.col("n_docs").cast("bigint").alias("n_docs"),
         F.col("n_tokens").cast("bigint").alias("n_tokens"),
         F.col("token_sum").cast("bigint").alias("token_sum"), "gib",

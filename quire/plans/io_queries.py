@@ -38,11 +38,10 @@ def q_tokenbin_roundtrip(spark, sf_dir):
     """Write each split as uint16 part files, read back, fingerprint."""
     toks = tokenized_corpus(table(spark, sf_dir, "documents"))
     root = scratch_path(spark, "tokenbin")
+    write_token_stream(toks, root, route_col="split", vocab_size=257, eot_id=256)
     out = None
     for split in SPLITS:
-        path = f"{root}/{split}"
-        write_token_stream(toks.where(F.col("split") == split), path, vocab_size=257, eot_id=256)
-        s = _stream_stats(read_token_stream(spark, path), split)
+        s = _stream_stats(read_token_stream(spark, f"{root}/{split}"), split)
         out = s if out is None else out.unionByName(s)
     return out
 
@@ -68,12 +67,11 @@ def q_sft_bins_roundtrip(spark, sf_dir):
     sft = build_sft(_examples(spark, sf_dir), key_cols=KEYS)
     seqs = stream_offsets(sft.select(*KEYS, "split", "n_tokens", "tokens", "labels"), KEYS)
     root = scratch_path(spark, "sftbin")
+    write_sft_bins(seqs, root, route_col="split")
     out = None
     for split in SPLITS:
-        path = f"{root}/{split}"
-        write_sft_bins(seqs.where(F.col("split") == split), path)
-        t = _stream_stats(read_token_stream(spark, f"{path}/tokens", "uint16"), split)
-        lab = _stream_stats(read_token_stream(spark, f"{path}/labels", "int32"), split,
+        t = _stream_stats(read_token_stream(spark, f"{root}/tokens/{split}", "uint16"), split)
+        lab = _stream_stats(read_token_stream(spark, f"{root}/labels/{split}", "int32"), split,
                             value_shift=1, prefix="lab_")
         s = t.join(lab, "split")
         out = s if out is None else out.unionByName(s)

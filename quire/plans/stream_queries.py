@@ -28,9 +28,8 @@ def q_stream_tokenize(spark, sf_dir):
     q = stream_tokenize(src, f"{root}/out", f"{root}/_checkpoint")
     q.awaitTermination()
     toks = spark.read.parquet(f"{root}/out")
-    rep = corpus_report(toks)
-    sums = toks.groupBy("split").agg(F.sum(array_sum("tokens")).alias("token_sum"))
-    return rep.join(sums, "split").select(
+    rep = corpus_report(toks, extra={"token_sum": F.sum(array_sum("tokens"))})
+    return rep.select(
         "split", F.col("n_docs").cast("bigint").alias("n_docs"),
         F.col("n_tokens").cast("bigint").alias("n_tokens"),
         F.col("token_sum").cast("bigint").alias("token_sum"), "gib",

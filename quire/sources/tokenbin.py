@@ -7,12 +7,12 @@ in name order they are exactly the reference's ``train.bin`` / ``*_labels.bin``.
 the token metadata sidecar (vocab size, end-of-text id, dtype, token count).
 A single raw file (as written by the reference) can be read too.
 
-Write: rows must arrive in stream order - ``repartitionByRange`` on the stream
-offset plus ``sortWithinPartitions`` (``write_token_stream`` does it), so task
-``p`` writes part ``p``.  Each task attempt writes its own file under
-``_attempts/``; the driver's ``commit`` publishes exactly one attempt per part
-and the manifest, ``abort`` removes attempts.  Speculative or retried tasks
-therefore never leave duplicate data.  The path must be shared storage on a
+Write: rows carry their stream offset; each task writes one segment file per
+run of contiguous offsets under ``_attempts/`` (names include the attempt), and
+the driver's ``commit`` orders the committed segments by offset, checks that
+they tile the stream, and publishes them with the manifest; ``abort`` removes
+attempts.  Speculative or retried tasks therefore never leave duplicate data,
+and no range-partitioning sample pass is needed.  The path must be shared storage on a
 cluster (any ``pyarrow.fs`` URI).
 
 Read: one input partition per byte range of ``chunk_tokens`` tokens, rows of
@@ -36,6 +36,8 @@ from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourc
 # On-disk dtypes (little-endian) and their id ranges.
 DTYPES = {"uint16": ("<u2", 0, 65535), "int32": ("<i4", -(2 ** 31), 2 ** 31 - 1)}
 READ_SCHEMA = "file string, part int, offset bigint, tokens array<int>"
+# Tokens per hash span of the writer (64 Mi tokens = 128 MiB as uint16).
+SEGMENT_TOKENS = 1 << 26
 
 
 def _fs(path: str):
@@ -123,68 +125,131 @@ class TokenBinReader(DataSourceReader):
 
 @dataclass
 class _Written(WriterCommitMessage):
-    part: int
-    attempt_file: str
-    n_tokens: int
-    n_bytes: int
+    files: list          # [(route, first_offset, attempt_file, n_tokens, n_bytes)]
 
 
 class TokenBinWriter(DataSourceArrowWriter):
+    """K1/K2 sink.
+
+    Rows carry their stream offset (option ``offset_col``, default ``start``) and
+    arrive sorted by ``(route, offset)`` inside each task; any partitioning is
+    fine.  A task writes one segment file per run of contiguous offsets, and the
+    driver's ``commit`` orders all segments by offset, checks that they tile the
+    stream without gap or overlap, and publishes them as ``part-00000.bin, ...``.
+    With option ``route_col`` (e.g. ``split``) every value gets its own stream
+    under ``path/<value>/`` - one job writes train and val, as the reference
+    routes each document to one of two files.
+    """
+
     def __init__(self, options, schema, overwrite):
         self.path = options["path"].rstrip("/")
         self.dtype = options.get("dtype", "uint16")
         self.column = options.get("column", "tokens")
+        self.offset_col = options.get("offset_col", "start")
+        self.route_col = options.get("route_col")
         self.vocab_size = options.get("vocab_size")
         self.eot_id = options.get("eot_id")
         self.overwrite = overwrite
 
+    def _dir(self, root: str, route) -> str:
+        return root if route is None else f"{root}/{route}"
+
     def write(self, iterator):
         from pyspark import TaskContext
 
         ctx = TaskContext.get()
-        part = ctx.partitionId() if ctx else 0
-        attempt = f"{ctx.attemptNumber() if ctx else 0}-{uuid.uuid4().hex[:8]}"
+        tag = f"{ctx.partitionId() if ctx else 0}-{ctx.attemptNumber() if ctx else 0}-" \
+              f"{uuid.uuid4().hex[:8]}"
         dt, lo, hi = DTYPES[self.dtype]
+        width = np.dtype(dt).itemsize
         filesystem, root = _fs(self.path)
-        tmp_dir = f"{root}/_attempts"
-        filesystem.create_dir(tmp_dir, recursive=True)
-        name = f"{tmp_dir}/part-{part:05d}-{attempt}.bin"
-        n = 0
-        with filesystem.open_output_stream(name) as out:
+        done, cur = [], None   # cur = [route, first, next_expected, stream, name, n]
+
+        def close():
+            if cur is not None:
+                cur[3].close()
+                done.append((cur[0], cur[1], cur[4], cur[5], cur[5] * width))
+
+        try:
             for batch in iterator:
                 col = batch.column(batch.schema.get_field_index(self.column))
+                starts = batch.column(batch.schema.get_field_index(self.offset_col)) \
+                    .to_numpy(zero_copy_only=False)
+                routes = (batch.column(batch.schema.get_field_index(self.route_col)).to_pylist()
+                          if self.route_col else [None] * batch.num_rows)
+                offs = col.offsets.to_numpy()
                 vals = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 if len(vals) and (vals.min() < lo or vals.max() > hi):
-                    raise ValueError(f"token id outside [{lo}, {hi}] cannot be stored as {self.dtype}")
-                out.write(vals.astype(dt).tobytes())
-                n += len(vals)
-        return _Written(part, name, n, n * np.dtype(dt).itemsize)
+                    raise ValueError(
+                        f"token id outside [{lo}, {hi}] cannot be stored as {self.dtype}")
+                rel = offs - offs[0]
+                for r in range(batch.num_rows):
+                    n = int(rel[r + 1] - rel[r])
+                    if n == 0:
+                        continue
+                    s0 = int(starts[r])
+                    if cur is None or cur[0] != routes[r] or cur[2] != s0:
+                        close()
+                        d = f"{self._dir(root, routes[r])}/_attempts"
+                        filesystem.create_dir(d, recursive=True)
+                        name = f"{d}/seg-{s0:020d}-{tag}.bin"
+                        cur = [routes[r], s0, s0, filesystem.open_output_stream(name), name, 0]
+                    cur[3].write(vals[rel[r]: rel[r + 1]].astype(dt).tobytes())
+                    cur[2] += n
+                    cur[5] += n
+            close()
+            cur = None
+        finally:
+            if cur is not None:
+                cur[3].close()
+        return _Written(done)
 
     def commit(self, messages):
         filesystem, root = _fs(self.path)
-        msgs = sorted((m for m in messages if m is not None), key=lambda m: m.part)
-        parts = []
-        for m in msgs:
-            final = f"{root}/part-{m.part:05d}.bin"
-            filesystem.move(m.attempt_file, final)
-            parts.append({"file": final.rsplit("/", 1)[1], "tokens": m.n_tokens, "bytes": m.n_bytes})
-        total = sum(p["tokens"] for p in parts)
-        manifest = {"dtype": self.dtype, "column": self.column, "n_tokens": total, "parts": parts}
-        with filesystem.open_output_stream(f"{root}/_manifest.json") as fh:
-            fh.write(json.dumps(manifest).encode())
-        meta = {"dtype": self.dtype, "n_tokens": total,
-                "vocab_size": int(self.vocab_size) if self.vocab_size else None,
-                "eot_id": int(self.eot_id) if self.eot_id else None}
-        with filesystem.open_output_stream(f"{root}/_meta.json") as fh:
-            fh.write(json.dumps(meta).encode())
-        filesystem.delete_dir(f"{root}/_attempts")
+        by_route: dict = {}
+        for m in messages:
+            for route, first, f, n, nb in (m.files if m is not None else []):
+                by_route.setdefault(route, []).append((first, f, n, nb))
+        if not by_route and self.route_col is None:
+            by_route[None] = []
+        for route, segs in by_route.items():
+            segs.sort()
+            expect = segs[0][0] if segs else 0
+            for first, _f, n, _nb in segs:
+                if first != expect:
+                    raise ValueError(f"stream {route!r}: segment at {first}, expected {expect}")
+                expect = first + n
+            d = self._dir(root, route)
+            filesystem.create_dir(d, recursive=True)
+            parts = []
+            for i, (first, f, n, nb) in enumerate(segs):
+                final = f"{d}/part-{i:05d}.bin"
+                filesystem.move(f, final)
+                parts.append({"file": final.rsplit("/", 1)[1], "offset": first, "tokens": n,
+                              "bytes": nb})
+            total = sum(p["tokens"] for p in parts)
+            manifest = {"dtype": self.dtype, "column": self.column, "n_tokens": total,
+                        "parts": parts}
+            with filesystem.open_output_stream(f"{d}/_manifest.json") as fh:
+                fh.write(json.dumps(manifest).encode())
+            meta = {"dtype": self.dtype, "n_tokens": total,
+                    "vocab_size": int(self.vocab_size) if self.vocab_size else None,
+                    "eot_id": int(self.eot_id) if self.eot_id else None}
+            with filesystem.open_output_stream(f"{d}/_meta.json") as fh:
+                fh.write(json.dumps(meta).encode())
+            try:
+                filesystem.delete_dir(f"{d}/_attempts")
+            except (FileNotFoundError, OSError):
+                pass
 
     def abort(self, messages):
-        filesystem, root = _fs(self.path)
-        try:
-            filesystem.delete_dir(f"{root}/_attempts")
-        except (FileNotFoundError, OSError):
-            pass
+        filesystem, _root = _fs(self.path)
+        for m in messages or []:
+            for _route, _first, f, _n, _nb in (m.files if m is not None else []):
+                try:
+                    filesystem.delete_file(f)
+                except (FileNotFoundError, OSError):
+                    pass
 
 
 class TokenBinDataSource(DataSource):
@@ -216,16 +281,27 @@ def register(spark: SparkSession) -> None:
 
 
 def write_token_stream(seqs: DataFrame, path: str, column: str = "tokens", dtype: str = "uint16",
-                       order_col: str = "start", n_parts: int | None = None,
-                       vocab_size: int | None = None, eot_id: int | None = None) -> None:
-    """K1/K3: write ONE split's sequences, in ``order_col`` order, as a token stream."""
+                       order_col: str = "start", route_col: str | None = None,
+                       n_parts: int | None = None, vocab_size: int | None = None,
+                       eot_id: int | None = None) -> None:
+    """K1/K3: write sequences as token streams in ``order_col`` order.
+
+    With ``route_col`` (``split``) one job writes every stream, each under
+    ``path/<value>``; otherwise ``seqs`` must hold one stream.
+    """
     spark = seqs.sparkSession
     register(spark)
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
-    ordered = seqs.select(order_col, column).repartitionByRange(n, order_col) \
-        .sortWithinPartitions(order_col).select(column)
+    route = [route_col] if route_col else []
+    # hash on (route, offset span): every span lands whole in one task, spans are
+    # token-balanced by construction, and no sampling pass is needed
+    span = F.floor(F.col(order_col) / F.lit(SEGMENT_TOKENS))
+    ordered = (seqs.select(*route, order_col, column).repartition(n, *route, span)
+               .sortWithinPartitions(*route, order_col))
     w = ordered.write.format("tokenbin").mode("overwrite").option("dtype", dtype) \
-        .option("column", column)
+        .option("column", column).option("offset_col", order_col)
+    if route_col:
+        w = w.option("route_col", route_col)
     if vocab_size is not None:
         w = w.option("vocab_size", str(vocab_size))
     if eot_id is not None:
@@ -234,10 +310,16 @@ def write_token_stream(seqs: DataFrame, path: str, column: str = "tokens", dtype
 
 
 def write_sft_bins(seqs: DataFrame, path: str, order_col: str = "start",
-                   n_parts: int | None = None) -> None:
-    """K2: aligned ``tokens`` (uint16) and ``labels`` (int32) streams of one split."""
-    write_token_stream(seqs, f"{path.rstrip('/')}/tokens", "tokens", "uint16", order_col, n_parts)
-    write_token_stream(seqs, f"{path.rstrip('/')}/labels", "labels", "int32", order_col, n_parts)
+                   route_col: str | None = "split", n_parts: int | None = None) -> None:
+    """K2: aligned ``tokens`` (uint16) and ``labels`` (int32) streams, per split.
+
+    Both writes use the same range partitioning of the same ordered rows, so
+    token ``i`` and label ``i`` of a stream always describe the same position.
+    """
+    write_token_stream(seqs, f"{path.rstrip('/')}/tokens", "tokens", "uint16", order_col,
+                       route_col, n_parts)
+    write_token_stream(seqs, f"{path.rstrip('/')}/labels", "labels", "int32", order_col,
+                       route_col, n_parts)
 
 
 def read_token_stream(spark: SparkSession, path: str, dtype: str = "uint16",
