@@ -16,10 +16,16 @@ from quire.operators.scan import prefix_aggregate
 
 
 def row_index(df: DataFrame, partition_by: list[str], order_by: list[str],
-              out_col: str = "idx", n_buckets: int | None = None) -> DataFrame:
-    """0-based position of every row inside its group in ``order_by`` order."""
+              out_col: str = "idx", n_buckets: int | None = None,
+              keep_bucket: bool = False) -> DataFrame:
+    """0-based position of every row inside its group in ``order_by`` order.
+
+    ``keep_bucket`` keeps the order bucket so that later scans in the same
+    order can reuse it (``prefix_aggregate(reuse_bucket=True)``).
+    """
     return prefix_aggregate(df, order_by, {out_col: ("count", F.lit(1))},
-                            partition_by=partition_by, inclusive=False, n_buckets=n_buckets)
+                            partition_by=partition_by, inclusive=False, n_buckets=n_buckets,
+                            keep_bucket=keep_bucket)
 
 
 def with_following(indexed: DataFrame, partition_by: list[str], cols: list[str],

@@ -44,7 +44,8 @@ def mark_improvements(df: DataFrame, run_col: str = "run_id", iter_col: str = "i
                       val_col: str = "val_loss", n_buckets: int | None = None) -> DataFrame:
     """``best_before`` (strictly earlier minimum, 1e9 at first) and ``improved``."""
     out = prefix_aggregate(df, [iter_col], {"best_before": ("min", F.col(val_col))},
-                           partition_by=[run_col], inclusive=False, n_buckets=n_buckets)
+                           partition_by=[run_col], inclusive=False, n_buckets=n_buckets,
+                           reuse_bucket=True, keep_bucket=True)
     out = out.withColumn("best_before", F.coalesce("best_before", F.lit(INITIAL_BEST)))
     return out.withColumn("improved", F.col(val_col) < F.col("best_before"))
 
@@ -58,11 +59,12 @@ def with_patience(marked: DataFrame, run_col: str = "run_id", iter_col: str = "i
     """
     df = marked
     if pos_col is None:
-        df = row_index(df, [run_col], [iter_col], "_pos", n_buckets)
+        df = row_index(df, [run_col], [iter_col], "_pos", n_buckets, keep_bucket=True)
         pos_col = "_pos"
     df = prefix_aggregate(df, [iter_col],
                           {"_last_imp": ("max", F.when(F.col("improved"), F.col(pos_col)))},
-                          partition_by=[run_col], inclusive=True, n_buckets=n_buckets)
+                          partition_by=[run_col], inclusive=True, n_buckets=n_buckets,
+                          reuse_bucket=True, keep_bucket=True)
     pat = F.when(F.col("_last_imp").isNull(), F.col(pos_col) + 1).otherwise(
         F.col(pos_col) - F.col("_last_imp"))
     out = df.withColumn("patience", pat.cast("bigint")).drop("_last_imp")
@@ -111,11 +113,11 @@ def step_time(df: DataFrame, run_col: str = "run_id", order_cols: list[str] | No
     """Seconds since the previous step of the run ended (NULL for the first)."""
     order = order_cols or ["iter"]
     if idx_col is None:
-        df = row_index(df, [run_col], order, "_idx")
+        df = row_index(df, [run_col], order, "_idx", keep_bucket=True)
         idx_col = "_idx"
     prev = with_previous(df, [run_col], [ts_col], idx_col)
     dt = F.timestamp_diff("MICROSECOND", F.col(f"{ts_col}_prev"), F.col(ts_col)) / 1e6
-    out = prev.withColumn("dt", dt).drop(f"{ts_col}_prev")
+    out = prev.withColumn("dt", dt).drop(f"{ts_col}_prev", "_bucket")
     return out.drop("_idx") if idx_col == "_idx" else out
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quire.functions.arrays import window_x, window_y
 from quire.functions.hashing import md5_bigint
 from quire.operators.pack import _pieces
+from quire.operators.tokenize import tokenize
 
 MAX_BROADCAST_WINDOW_ROWS = 4_000_000
 
@@ -39,11 +40,13 @@ def sample_windows(seqs: DataFrame, n: int, block_size: int = 512, seed: int = 1
                    world_size: int = 1, batch_size: int | None = None,
                    split_col: str = "split", start_col: str = "start",
                    tokens_col: str = "tokens", len_col: str = "n_tokens",
-                   chunk: int | None = None) -> DataFrame:
+                   chunk: int | None = None, tokenizer=None, text_col: str = "text") -> DataFrame:
     """``(rank, sample_id, batch_id, start, window, x, y)`` drawn from one split's stream.
 
     ``seqs`` holds the sequences of ONE split with their stream offsets.  The
-    last token is never a target (start < N-B-1, as in the reference).
+    last token is never a target (start < N-B-1, as in the reference).  When
+    ``seqs`` has no ``tokens`` column yet, only the sequences that overlap a
+    drawn window are tokenized (from ``text_col`` with ``tokenizer``).
     """
     spark = seqs.sparkSession
     width = block_size + 1
@@ -53,12 +56,22 @@ def sample_windows(seqs: DataFrame, n: int, block_size: int = 512, seed: int = 1
     c_lo = F.floor(F.col("start") / c).cast("bigint")
     c_hi = F.floor((F.col("start") + width - 1) / c).cast("bigint")
     wins_x = wins.select("*", F.explode(F.sequence(c_lo, c_hi)).alias("chunk"))
-    if n * world_size * (width // c + 2) <= MAX_BROADCAST_WINDOW_ROWS:
-        wins_x = F.broadcast(wins_x)
+    small = n * world_size * (width // c + 2) <= MAX_BROADCAST_WINDOW_ROWS
 
-    pieces = _pieces(seqs, block_size, c, c, split_col, start_col, [tokens_col], len_col) \
+    # only sequences that overlap a drawn window are needed: find them on the
+    # narrow (start, n_tokens) columns first, so the token column (often a
+    # tokenizer UDF or a wide parquet column) is produced for those rows only
+    s, ln = F.col(start_col), F.col(len_col)
+    spans = seqs.select(start_col, F.explode(F.sequence(
+        F.floor(s / c).cast("bigint"), F.floor((s + ln - 1) / c).cast("bigint"))).alias("chunk"))
+    touched = spans.join(F.broadcast(wins_x.select("chunk").distinct()), "chunk", "left_semi") \
+        .select(start_col).distinct()
+    needed = seqs.join(touched, start_col, "left_semi")
+    if tokens_col not in seqs.columns:
+        needed = tokenize(needed, text_col, tokenizer, out_col=tokens_col, len_col=None)
+    pieces = _pieces(needed, block_size, c, c, split_col, start_col, [tokens_col], len_col) \
         .withColumnRenamed("block_id", "chunk")
-    j = pieces.join(wins_x, "chunk")
+    j = pieces.join(F.broadcast(wins_x) if small else wins_x, "chunk")
     p_start = F.col("piece_start")
     lo = F.greatest(F.col("start"), p_start)
     hi = F.least(F.col("start") + width, p_start + F.size(tokens_col))

@@ -99,7 +99,8 @@ def _combine(kind: str, base: Column, local: Column) -> Column:
 def prefix_aggregate(df: DataFrame, order_by: list[str], aggs: dict[str, tuple[str, Column]],
                      partition_by: list[str] | None = None, inclusive: bool = False,
                      n_buckets: int | None = None, partition_cardinality: int | None = None,
-                     bucketed: DataFrame | None = None) -> DataFrame:
+                     bucketed: DataFrame | None = None, reuse_bucket: bool = False,
+                     keep_bucket: bool = False) -> DataFrame:
     """Add running aggregates in ``order_by`` order (per ``partition_by``).
 
     ``aggs`` maps output name -> (kind, column) with kind in sum/count/min/max.
@@ -109,9 +110,17 @@ def prefix_aggregate(df: DataFrame, order_by: list[str], aggs: dict[str, tuple[s
     ``n_buckets * partition_cardinality`` rows and is broadcast when that is
     small.  Without a bound the join is left to AQE, which only broadcasts it
     when its measured runtime size is small.
+
+    ``reuse_bucket`` takes the ``_bucket`` column already on ``df`` (from an
+    earlier scan with ``keep_bucket``); valid when that bucket is monotone in the
+    new order within each partition - chained scans over one ordering then share
+    one quantile pass and one shuffle.
     """
     pb = list(partition_by or [])
-    b = bucketed if bucketed is not None else add_order_bucket(df, order_by[0], n_buckets)
+    if reuse_bucket and BUCKET in df.columns:
+        b = df
+    else:
+        b = bucketed if bucketed is not None else add_order_bucket(df, order_by[0], n_buckets)
     inputs = {name: (kind, (F.lit(1) if kind == "count" else col))
               for name, (kind, col) in aggs.items()}
     for name, (kind, col) in inputs.items():
@@ -133,8 +142,9 @@ def prefix_aggregate(df: DataFrame, order_by: list[str], aggs: dict[str, tuple[s
     local = b.select("*", *[_window_agg(k, F.col(f"_in_{n}"), w).alias(f"_loc_{n}")
                             for n, (k, _) in inputs.items()])
     joined = local.join(base, on=grp, how="left")
+    keep = [c for c in df.columns if c != BUCKET] + ([BUCKET] if keep_bucket else [])
     out = joined.select(
-        *[c for c in df.columns],
+        *keep,
         *[_combine(k, F.col(f"_base_{n}"), F.col(f"_loc_{n}")).alias(n)
           for n, (k, _) in inputs.items()],
     )

@@ -25,8 +25,13 @@ from quire.session import materialize
 def tokenized_corpus(docs: DataFrame, tokenizer: Tokenizer | None = None,
                      id_col: str = "doc_id", text_col: str = "text",
                      fraction: float = VAL_FRACTION, seed: int = SPLIT_SEED,
-                     max_tokens: int | None = None, n_buckets: int | None = None) -> DataFrame:
-    """``(doc_id, split, n_tokens, start, tokens)`` for every kept document."""
+                     max_tokens: int | None = None, n_buckets: int | None = None,
+                     with_tokens: bool = True) -> DataFrame:
+    """``(doc_id, split, n_tokens, start, tokens)`` for every kept document.
+
+    ``with_tokens=False`` (byte codec) returns ``text`` instead of ``tokens`` so a
+    consumer that needs only some documents tokenizes just those.
+    """
     tok = tokenizer or ByteTokenizer()
     base = assign_split(docs.select(id_col, text_col), id_col, fraction, seed)
     if tok.length_expr(F.col(text_col), True) is not None:
@@ -35,6 +40,8 @@ def tokenized_corpus(docs: DataFrame, tokenizer: Tokenizer | None = None,
         if max_tokens is not None:
             counted = token_budget(counted, max_tokens, id_col).drop("budget_start")
         with_start = stream_offsets(counted, id_col, n_buckets=n_buckets)
+        if not with_tokens:
+            return with_start
         return tokenize(with_start, text_col, tok, len_col=None).drop(text_col)
     toks = materialize(tokenize(base, text_col, tok).drop(text_col), "tokens")
     if max_tokens is not None:

@@ -71,11 +71,11 @@ def q_ngram_eval_loss(spark, sf_dir):
 def q_window_eval_loss(spark, sf_dir):
     """Eval loss as a mean over sampled batches of per-batch mean NLL."""
     docs = table(spark, sf_dir, "documents")
-    toks = tokenized_corpus(docs)
-    counts = fit_ngram(toks.where(F.col("split") == "train"))
+    offs = tokenized_corpus(docs, with_tokens=False)
+    counts = fit_ngram(_train_tokens(spark, sf_dir))
     scored = []
     for split in ("train", "val"):
-        w = sample_windows(toks.where(F.col("split") == split), EVAL_BATCHES * BATCH, BLOCK,
+        w = sample_windows(offs.where(F.col("split") == split), EVAL_BATCHES * BATCH, BLOCK,
                            seed=1337, batch_size=BATCH).withColumn("split", F.lit(split))
         scored.append(score_windows(counts, w, V, ["split", "batch_id", "sample_id"]))
     return eval_loss(scored[0].unionByName(scored[1]))

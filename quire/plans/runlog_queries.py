@@ -45,7 +45,7 @@ i AS (
 def _runs(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("run_id"), "ts", "event_id", F.col("value").alias("val_loss"))
-    return row_index(ev, ["run_id"], ["ts", "event_id"], "iter").drop("event_id")
+    return row_index(ev, ["run_id"], ["ts", "event_id"], "iter", keep_bucket=True).drop("event_id")
 
 
 def _lr_sql(cfg):
