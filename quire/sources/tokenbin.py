@@ -3,7 +3,7 @@
 Format: a directory of part files ``part-00000.bin, part-00001.bin, ...``, each a
 headerless little-endian array (``<u2`` tokens or ``<i4`` labels).  Concatenated
 in name order they are exactly the reference's ``train.bin`` / ``*_labels.bin``.
-``_manifest.json`` lists the parts with their token counts, ``_meta.json`` is
+``_manifest.json`` lists the parts with their token counts, ``token_meta.json`` is
 the token metadata sidecar (vocab size, end-of-text id, dtype, token count).
 A single raw file (as written by the reference) can be read too.
 
@@ -147,6 +147,7 @@ class TokenBinWriter(DataSourceArrowWriter):
         self.column = options.get("column", "tokens")
         self.offset_col = options.get("offset_col", "start")
         self.route_col = options.get("route_col")
+        self.routes = [r for r in options.get("routes", "").split(",") if r]
         self.vocab_size = options.get("vocab_size")
         self.eot_id = options.get("eot_id")
         self.overwrite = overwrite
@@ -210,8 +211,10 @@ class TokenBinWriter(DataSourceArrowWriter):
         for m in messages:
             for route, first, f, n, nb in (m.files if m is not None else []):
                 by_route.setdefault(route, []).append((first, f, n, nb))
-        if not by_route and self.route_col is None:
-            by_route[None] = []
+        if self.route_col is None:
+            by_route.setdefault(None, [])
+        for r in self.routes:             # expected streams exist even when empty
+            by_route.setdefault(r, [])
         for route, segs in by_route.items():
             segs.sort()
             expect = segs[0][0] if segs else 0
@@ -235,7 +238,7 @@ class TokenBinWriter(DataSourceArrowWriter):
             meta = {"dtype": self.dtype, "n_tokens": total,
                     "vocab_size": int(self.vocab_size) if self.vocab_size else None,
                     "eot_id": int(self.eot_id) if self.eot_id else None}
-            with filesystem.open_output_stream(f"{d}/_meta.json") as fh:
+            with filesystem.open_output_stream(f"{d}/token_meta.json") as fh:
                 fh.write(json.dumps(meta).encode())
             try:
                 filesystem.delete_dir(f"{d}/_attempts")
@@ -283,11 +286,14 @@ def register(spark: SparkSession) -> None:
 def write_token_stream(seqs: DataFrame, path: str, column: str = "tokens", dtype: str = "uint16",
                        order_col: str = "start", route_col: str | None = None,
                        n_parts: int | None = None, vocab_size: int | None = None,
-                       eot_id: int | None = None) -> None:
+                       eot_id: int | None = None,
+                       routes: tuple[str, ...] | None = ("train", "val")) -> None:
     """K1/K3: write sequences as token streams in ``order_col`` order.
 
     With ``route_col`` (``split``) one job writes every stream, each under
-    ``path/<value>``; otherwise ``seqs`` must hold one stream.
+    ``path/<value>``, and every value in ``routes`` gets a stream even when it
+    has no rows (like the reference's always-created val file); otherwise
+    ``seqs`` must hold one stream.
     """
     spark = seqs.sparkSession
     register(spark)
@@ -302,6 +308,8 @@ def write_token_stream(seqs: DataFrame, path: str, column: str = "tokens", dtype
         .option("column", column).option("offset_col", order_col)
     if route_col:
         w = w.option("route_col", route_col)
+        if routes:
+            w = w.option("routes", ",".join(routes))
     if vocab_size is not None:
         w = w.option("vocab_size", str(vocab_size))
     if eot_id is not None:
@@ -340,5 +348,5 @@ def read_token_meta(spark: SparkSession, path: str) -> DataFrame:
 
     meta = spark.read.option("multiLine", "true").schema(
         "dtype string, n_tokens bigint, vocab_size int, eot_id int").json(
-        f"{path.rstrip('/')}/_meta.json")
+        f"{path.rstrip('/')}/token_meta.json")
     return meta.withColumn("vocab_size", F.coalesce("vocab_size", F.lit(DEFAULT_VOCAB)))
