@@ -24,16 +24,25 @@ MAX_DENSE_VOCAB = 4096
 
 
 class BigramModel:
-    """Dense add-one-smoothed bigram log-probabilities (V x V), V <= MAX_DENSE_VOCAB."""
+    """Dense add-one-smoothed bigram log-probabilities (V x V), V <= MAX_DENSE_VOCAB.
+
+    ``context_size = 1``: the generator hands it only the last id of each row
+    (``logits_for_last``), so a step is one NumPy gather for the whole batch.
+    """
+
+    context_size = 1
 
     def __init__(self, logp: np.ndarray, block_size: int | None = None):
         self.logp = logp
         self.vocab_size = logp.shape[0]
         self.block_size = block_size
 
+    def logits_for_last(self, last: np.ndarray) -> np.ndarray:
+        return self.logp[np.clip(last, 0, self.vocab_size - 1)]
+
     def next_logits(self, contexts: list[np.ndarray]) -> np.ndarray:
         last = np.array([c[-1] if len(c) else 0 for c in contexts], dtype=np.int64)
-        return self.logp[last]
+        return self.logits_for_last(last)
 
 
 def bigram_model(counts: DataFrame, vocab_size: int) -> BigramModel:
@@ -85,28 +94,39 @@ def generate(df: DataFrame, model, key_col: str, tokens_col: str = "prompt_token
 
     def run(batches):
         mdl = bc.value
+        last_only = getattr(mdl, "context_size", None) == 1 and hasattr(mdl, "logits_for_last")
         for pdf in batches:
-            ctx = [np.asarray(t if t is not None else [], dtype=np.int64) for t in pdf[tokens_col]]
+            n = len(pdf)
+            prompts = [np.asarray(t if t is not None else [], dtype=np.int64)
+                       for t in pdf[tokens_col]]
+            prompt_last = np.array([p[-1] if len(p) else 0 for p in prompts], dtype=np.int64)
             keys = pdf[key_col].tolist()
-            new = [[] for _ in ctx]
-            active = np.ones(len(ctx), dtype=bool)
+            gen = np.zeros((n, max_new_tokens), dtype=np.int64)
+            lens = np.zeros(n, dtype=np.int64)
+            active = np.ones(n, dtype=bool)
             for step in range(max_new_tokens):
                 idx = np.flatnonzero(active)
                 if not len(idx):
                     break
-                cur = []
-                for i in idx:
-                    full = np.concatenate([ctx[i], np.asarray(new[i], dtype=np.int64)])
-                    cur.append(full[-block_size:] if block_size else full)
-                logits = mdl.next_logits(cur)
+                if last_only:
+                    li = lens[idx]
+                    last = np.where(li > 0, gen[idx, np.maximum(li - 1, 0)], prompt_last[idx])
+                    logits = mdl.logits_for_last(last)
+                else:
+                    cur = []
+                    for i in idx:
+                        full = np.concatenate([prompts[i], gen[i, :lens[i]]])
+                        cur.append(full[-block_size:] if block_size else full)
+                    logits = mdl.next_logits(cur)
                 picks = _step_tokens(logits, [keys[i] for i in idx], step, seed, temperature,
                                      top_k, greedy)
-                for i, p in zip(idx, picks):
-                    new[i].append(int(p))
-                    if stop_id is not None and int(p) == stop_id:
-                        active[i] = False
+                gen[idx, step] = picks
+                lens[idx] += 1
+                if stop_id is not None:
+                    active[idx[picks == stop_id]] = False
             out = pdf.copy()
-            out[out_col] = pd.Series([np.asarray(x, dtype=np.int32) for x in new], index=pdf.index)
+            out[out_col] = pd.Series([gen[i, :lens[i]].astype(np.int32) for i in range(n)],
+                                     index=pdf.index)
             yield out
 
     return df.mapInPandas(run, schema)

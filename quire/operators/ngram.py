@@ -3,9 +3,10 @@
 M2 stands in for the reference's GPU training loop so that scoring and
 generation have a distributable model; it is NOT equivalent to the GPT.
 
-* fit: ``explode(arrays_zip(t[:-1], t[1:]))`` -> ``groupBy(prev, next).count()``;
-  partial aggregation pre-aggregates per task, so the shuffle is bounded by
-  ``tasks * distinct pairs`` instead of tokens.
+* fit: adjacent pairs are counted per Arrow batch with NumPy (``np.unique`` on
+  ``prev * V + next``), then summed with ``groupBy(prev, next)``: the shuffle is
+  bounded by ``batches * distinct pairs`` instead of tokens.  ``token_pairs``
+  (``explode(arrays_zip(t[:-1], t[1:]))``) is the pure-SQL form.
 * logit / log-probability with add-one smoothing: ``log((c + 1) / (t_prev + V))``.
 * scoring pre-aggregates the scored pairs too, then joins the two count
   tables; both have at most V^2 rows, which bounds the broadcast.
@@ -13,8 +14,11 @@ generation have a distributable model; it is NOT equivalent to the GPT.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_BROADCAST_PAIRS = 4_000_000
 
@@ -29,10 +33,85 @@ def token_pairs(df: DataFrame, tokens_col: str = "tokens", keep: list[str] | Non
             .select(*keep, F.col("_pair.prev").alias("prev"), F.col("_pair.next").alias("next")))
 
 
-def fit_ngram(df: DataFrame, tokens_col: str = "tokens") -> DataFrame:
+def _batch_pair_counts(tokens: pa.Array, groups: list[pa.Array]):
+    """Distinct (group..., prev, next) with counts inside one Arrow batch (NumPy)."""
+    offs = tokens.offsets.to_numpy()
+    rel = (offs - offs[0]).astype(np.int64)
+    vals = tokens.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    n = len(vals)
+    if n < 2:
+        return None
+    valid = np.ones(n - 1, dtype=bool)
+    starts = rel[1:-1]
+    starts = starts[(starts >= 1) & (starts <= n - 1)]
+    valid[starts - 1] = False                 # no pair across two sequences
+    prev, nxt = vals[:-1][valid], vals[1:][valid]
+    v = int(vals.max()) + 1
+    code = prev * v + nxt
+    gidx, gvals = None, []
+    if groups:
+        keys = list(zip(*[g.to_pylist() for g in groups]))
+        uniq = sorted(set(keys), key=repr)
+        pos = {k: i for i, k in enumerate(uniq)}
+        row_g = np.array([pos[k] for k in keys], dtype=np.int64)
+        tok_g = np.repeat(row_g, np.diff(rel))[:-1][valid]
+        code = tok_g * (v * v) + code
+        gvals = uniq
+    u, cnt = np.unique(code, return_counts=True)
+    if groups:
+        gidx = u // (v * v)
+        u = u % (v * v)
+    return u // v, u % v, cnt, gidx, gvals
+
+
+def token_pair_counts(df: DataFrame, tokens_col: str = "tokens", group_cols: list[str] | None = None,
+                      text_col: str | None = None, tokenizer=None) -> DataFrame:
+    """``(group..., prev, next, cnt)`` pre-aggregated per Arrow batch, then summed.
+
+    The map side reduces each batch to its distinct pairs with NumPy (the
+    map-side combine), so the shuffle carries at most ``batches x distinct
+    pairs`` rows instead of one row per token.  With ``text_col`` the text is
+    tokenized in the same pass and no token array is ever materialised.
+    """
+    from quire.operators.tokenize import ByteTokenizer
+    from quire.session import ship_package
+
+    g = list(group_cols or [])
+    ship_package(df.sparkSession)
+    tok = tokenizer or ByteTokenizer()
+    src = text_col or tokens_col
+    in_df = df.select(*g, src)
+    fields = [f for f in in_df.schema.fields if f.name in g]
+    out_schema = T.StructType(fields + [T.StructField("prev", T.IntegerType(), False),
+                                        T.StructField("next", T.IntegerType(), False),
+                                        T.StructField("cnt", T.LongType(), False)])
+
+    def run(batches):
+        for b in batches:
+            col = b.column(b.schema.get_field_index(src))
+            toks = tok.encode_arrow(col, True, "ordinary") if text_col else col
+            res = _batch_pair_counts(toks, [b.column(b.schema.get_field_index(c)) for c in g])
+            if res is None:
+                continue
+            prev, nxt, cnt, gidx, gvals = res
+            cols = []
+            for j, f in enumerate(fields):
+                cols.append(pa.array([gvals[i][j] for i in gidx], type=b.schema.field(f.name).type))
+            cols += [pa.array(prev.astype(np.int32)), pa.array(nxt.astype(np.int32)),
+                     pa.array(cnt.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(
+                [b.schema.field(f.name) for f in fields] +
+                [pa.field("prev", pa.int32(), False), pa.field("next", pa.int32(), False),
+                 pa.field("cnt", pa.int64(), False)]))
+
+    partial = in_df.mapInArrow(run, out_schema)
+    return partial.groupBy(*g, "prev", "next").agg(F.sum("cnt").cast("bigint").alias("cnt"))
+
+
+def fit_ngram(df: DataFrame, tokens_col: str = "tokens", text_col: str | None = None,
+              tokenizer=None) -> DataFrame:
     """M2: ``(prev, next, cnt)`` bigram counts over the sequences of ``df``."""
-    return token_pairs(df, tokens_col).groupBy("prev", "next").agg(
-        F.count(F.lit(1)).cast("bigint").alias("cnt"))
+    return token_pair_counts(df, tokens_col, None, text_col, tokenizer)
 
 
 def _maybe_broadcast(df: DataFrame, vocab_size: int) -> DataFrame:
@@ -50,11 +129,12 @@ def pair_logprob(counts: DataFrame, pairs: DataFrame, vocab_size: int) -> DataFr
 
 
 def ngram_eval_loss(counts: DataFrame, seqs: DataFrame, vocab_size: int,
-                    group_cols: list[str] | None = None, tokens_col: str = "tokens") -> DataFrame:
+                    group_cols: list[str] | None = None, tokens_col: str = "tokens",
+                    text_col: str | None = None, tokenizer=None) -> DataFrame:
     """Token-level mean NLL of ``seqs`` under the bigram model, per ``group_cols``."""
     g = group_cols or []
-    scored_pairs = token_pairs(seqs, tokens_col, g).groupBy(*g, "prev", "next").agg(
-        F.count(F.lit(1)).alias("m"))
+    scored_pairs = token_pair_counts(seqs, tokens_col, g, text_col, tokenizer) \
+        .withColumnRenamed("cnt", "m")
     lp = pair_logprob(counts, scored_pairs, vocab_size)
     return lp.groupBy(*g).agg(
         F.sum("m").cast("bigint").alias("n_pairs"),

@@ -14,6 +14,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +28,7 @@ TOKENS_TYPE = T.ArrayType(T.IntegerType(), containsNull=False)
 def _string_buffers(text: pa.Array):
     """(offsets int64 relative to 0, uint8 data) of a (large_)string array; nulls -> ''."""
     if text.null_count:
-        text = pa.compute.fill_null(text, "")
+        text = pc.fill_null(text, "")
     if not (pa.types.is_string(text.type) or pa.types.is_large_string(text.type)):
         text = text.cast(pa.string())
     off_dtype = np.int64 if pa.types.is_large_string(text.type) else np.int32
@@ -80,7 +81,7 @@ class ByteTokenizer(Tokenizer):
 
     def encode_arrow(self, text, add_eot, on_special):
         if on_special == "raise":
-            hit = pa.compute.any(pa.compute.match_substring(text, EOT_TEXT)).as_py()
+            hit = pc.any(pc.match_substring(text, EOT_TEXT)).as_py()
             if hit:
                 raise ValueError(f"special token text {EOT_TEXT!r} found in input")
         rel, data = _string_buffers(text)

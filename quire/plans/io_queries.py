@@ -38,7 +38,9 @@ def q_tokenbin_roundtrip(spark, sf_dir):
     """Write each split as uint16 part files, read back, fingerprint."""
     toks = tokenized_corpus(table(spark, sf_dir, "documents"))
     root = scratch_path(spark, "tokenbin")
-    write_token_stream(toks, root, route_col="split", vocab_size=257, eot_id=256)
+    # offsets come partitioned by (split, order bucket): write without a shuffle
+    write_token_stream(toks, root, route_col="split", vocab_size=257, eot_id=256,
+                       repartition=False)
     out = None
     for split in SPLITS:
         s = _stream_stats(read_token_stream(spark, f"{root}/{split}"), split)
@@ -67,7 +69,7 @@ def q_sft_bins_roundtrip(spark, sf_dir):
     sft = build_sft(_examples(spark, sf_dir), key_cols=KEYS)
     seqs = stream_offsets(sft.select(*KEYS, "split", "n_tokens", "tokens", "labels"), KEYS)
     root = scratch_path(spark, "sftbin")
-    write_sft_bins(seqs, root, route_col="split")
+    write_sft_bins(seqs, root, route_col="split", repartition=False)
     out = None
     for split in SPLITS:
         t = _stream_stats(read_token_stream(spark, f"{root}/tokens/{split}", "uint16"), split)

@@ -39,9 +39,14 @@ tr AS (SELECT prev, nxt, m AS c FROM pc WHERE split = 'train'),
 tt AS (SELECT prev, sum(c) AS t FROM tr GROUP BY prev)"""
 
 
-def _train_tokens(spark, sf_dir):
+def _train_docs(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return assign_split(tokenize(docs)).where(F.col("split") == "train")
+    return assign_split(docs).where(F.col("split") == "train")
+
+
+def _train_counts(spark, sf_dir):
+    """Bigram counts of the train split, tokenized inside the counting pass."""
+    return fit_ngram(_train_docs(spark, sf_dir), text_col="text")
 
 
 @query("ngram_counts", oracle=f"""
@@ -49,7 +54,7 @@ WITH {PAIRS_SQL.strip()}
 SELECT prev, nxt AS next, c::BIGINT AS cnt FROM tr""")
 def q_ngram_counts(spark, sf_dir):
     """M2: bigram counts over the train split's byte tokens."""
-    return fit_ngram(_train_tokens(spark, sf_dir))
+    return _train_counts(spark, sf_dir)
 
 
 @query("ngram_eval_loss", oracle=f"""
@@ -61,9 +66,9 @@ FROM pc LEFT JOIN tr ON pc.prev = tr.prev AND pc.nxt = tr.nxt
 GROUP BY pc.split""")
 def q_ngram_eval_loss(spark, sf_dir):
     """M1 A5: token-level NLL of each split under the train bigram model."""
-    docs = assign_split(tokenize(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    counts = fit_ngram(docs.where(F.col("split") == "train"))
-    out = ngram_eval_loss(counts, docs, V, ["split"])
+    docs = assign_split(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = fit_ngram(docs.where(F.col("split") == "train"), text_col="text")
+    out = ngram_eval_loss(counts, docs, V, ["split"], text_col="text")
     return out.select("split", "n_pairs", F.round("loss", 9).alias("loss"))
 
 
@@ -72,7 +77,7 @@ def q_window_eval_loss(spark, sf_dir):
     """Eval loss as a mean over sampled batches of per-batch mean NLL."""
     docs = table(spark, sf_dir, "documents")
     offs = tokenized_corpus(docs, with_tokens=False)
-    counts = fit_ngram(_train_tokens(spark, sf_dir))
+    counts = _train_counts(spark, sf_dir)
     scored = []
     for split in ("train", "val"):
         w = sample_windows(offs.where(F.col("split") == split), EVAL_BATCHES * BATCH, BLOCK,
@@ -132,7 +137,7 @@ def _prompts(spark, sf_dir):
 @query("generate")
 def q_generate(spark, sf_dir):
     """Sample 200 tokens (T=0.7, top-200) from the bigram model per prompt."""
-    model = bigram_model(fit_ngram(_train_tokens(spark, sf_dir)), V)
+    model = bigram_model(_train_counts(spark, sf_dir), V)
     g = generate(_prompts(spark, sf_dir), model, "row_key", max_new_tokens=MAX_NEW,
                  temperature=TEMPERATURE, top_k=TOP_K, stop_id=EOT, seed=GEN_SEED)
     full = detokenize_col(F.concat("prompt_tokens", "generated"))
@@ -162,7 +167,7 @@ SELECT conv_id, turn, count(*) FILTER (WHERE step > 0)::BIGINT AS n_new,
 FROM g GROUP BY conv_id, turn""")
 def q_generate_greedy(spark, sf_dir):
     """G5 G6 (greedy): arg-max continuation (lowest id on ties) until end-of-text or 200."""
-    model = bigram_model(fit_ngram(_train_tokens(spark, sf_dir)), V)
+    model = bigram_model(_train_counts(spark, sf_dir), V)
     g = generate(_prompts(spark, sf_dir), model, "row_key", max_new_tokens=MAX_NEW,
                  stop_id=EOT, greedy=True)
     return g.select("conv_id", "turn", F.size("generated").cast("bigint").alias("n_new"),

@@ -287,23 +287,30 @@ def write_token_stream(seqs: DataFrame, path: str, column: str = "tokens", dtype
                        order_col: str = "start", route_col: str | None = None,
                        n_parts: int | None = None, vocab_size: int | None = None,
                        eot_id: int | None = None,
-                       routes: tuple[str, ...] | None = ("train", "val")) -> None:
+                       routes: tuple[str, ...] | None = ("train", "val"),
+                       repartition: bool = True) -> None:
     """K1/K3: write sequences as token streams in ``order_col`` order.
 
     With ``route_col`` (``split``) one job writes every stream, each under
     ``path/<value>``, and every value in ``routes`` gets a stream even when it
     has no rows (like the reference's always-created val file); otherwise
-    ``seqs`` must hold one stream.
+    ``seqs`` must hold one stream.  ``repartition=False`` keeps the input
+    partitioning - right when it already groups contiguous offsets, as the
+    output of ``stream_offsets`` does (whole order buckets per task), and then
+    the write needs no shuffle at all.
     """
     spark = seqs.sparkSession
     register(spark)
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
     route = [route_col] if route_col else []
-    # hash on (route, offset span): every span lands whole in one task, spans are
-    # token-balanced by construction, and no sampling pass is needed
-    span = F.floor(F.col(order_col) / F.lit(SEGMENT_TOKENS))
-    ordered = (seqs.select(*route, order_col, column).repartition(n, *route, span)
-               .sortWithinPartitions(*route, order_col))
+    cols = seqs.select(*route, order_col, column)
+    if repartition:
+        # hash on (route, offset span): every span lands whole in one task, spans
+        # are token-balanced by construction, and no sampling pass is needed
+        span = F.floor(F.col(order_col) / F.lit(SEGMENT_TOKENS))
+        cols = cols.repartition(n, *route, span)
+    # a local sort makes each task's rows one contiguous run per span / bucket
+    ordered = cols.sortWithinPartitions(*route, order_col)
     w = ordered.write.format("tokenbin").mode("overwrite").option("dtype", dtype) \
         .option("column", column).option("offset_col", order_col)
     if route_col:
@@ -318,16 +325,17 @@ def write_token_stream(seqs: DataFrame, path: str, column: str = "tokens", dtype
 
 
 def write_sft_bins(seqs: DataFrame, path: str, order_col: str = "start",
-                   route_col: str | None = "split", n_parts: int | None = None) -> None:
+                   route_col: str | None = "split", n_parts: int | None = None,
+                   repartition: bool = True) -> None:
     """K2: aligned ``tokens`` (uint16) and ``labels`` (int32) streams, per split.
 
     Both writes use the same range partitioning of the same ordered rows, so
     token ``i`` and label ``i`` of a stream always describe the same position.
     """
     write_token_stream(seqs, f"{path.rstrip('/')}/tokens", "tokens", "uint16", order_col,
-                       route_col, n_parts)
+                       route_col, n_parts, repartition=repartition)
     write_token_stream(seqs, f"{path.rstrip('/')}/labels", "labels", "int32", order_col,
-                       route_col, n_parts)
+                       route_col, n_parts, repartition=repartition)
 
 
 def read_token_stream(spark: SparkSession, path: str, dtype: str = "uint16",
