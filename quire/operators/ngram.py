@@ -155,3 +155,30 @@ def eval_loss(scored: DataFrame, split_col: str = "split", batch_col: str = "bat
     per_batch = scored.groupBy(split_col, batch_col).agg(F.avg(nll_col).alias("batch_loss"))
     return per_batch.groupBy(split_col).agg(
         F.count(F.lit(1)).cast("bigint").alias("n_batches"), F.avg("batch_loss").alias("loss"))
+
+
+def score_with_model(windows: DataFrame, model_fn, key_cols: list[str], block_size: int,
+                     x_col: str = "x", y_col: str = "y", batch_size: int = 64) -> DataFrame:
+    """M1 with a user model: per-window mean NLL via ``predict_batch_udf``.
+
+    ``model_fn`` is a zero-argument factory, called once per Python worker, that
+    returns ``predict(x: ndarray[rows, B], y: ndarray[rows, B]) -> ndarray[rows]``
+    (the mean masked NLL of each window; targets ``-1`` are ignored by the model).
+    """
+    from pyspark.ml.functions import predict_batch_udf
+
+    from quire.session import ship_package
+
+    ship_package(windows.sparkSession)
+
+    def make_predict():
+        predict = model_fn()
+
+        def run(x, y):
+            return np.asarray(predict(np.asarray(x, dtype=np.int64), np.asarray(y, dtype=np.int64)),
+                              dtype=np.float64)
+        return run
+
+    udf = predict_batch_udf(make_predict, return_type=T.DoubleType(), batch_size=batch_size,
+                            input_tensor_shapes=[[block_size], [block_size]])
+    return windows.select(*key_cols, udf(F.col(x_col), F.col(y_col)).alias("nll"))

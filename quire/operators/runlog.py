@@ -151,3 +151,19 @@ def step_loss(df: DataFrame, run_cols: list[str], loss_col: str = "loss") -> Dat
         F.count(F.lit(1)).cast("bigint").alias("n_micro"),
         F.avg(loss_col).alias("mean_loss"),
         F.sum(loss_col).alias("logged_loss"))
+
+
+def write_run_log(df: DataFrame, path: str, kind: str = "eval") -> None:
+    """K6: schema-checked append of eval or step records to a run-log table."""
+    schema = RUN_EVAL_SCHEMA if kind == "eval" else RUN_STEP_SCHEMA
+    missing = [f.name for f in schema.fields if f.name not in df.columns]
+    if missing:
+        raise ValueError(f"run log ({kind}) lacks columns {missing}")
+    cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
+    df.select(*cols).write.mode("append").partitionBy("run_id").parquet(path)
+
+
+def read_run_log(spark, path: str, kind: str = "eval") -> DataFrame:
+    """Batch read of a run-log table (``spark.readStream`` with the same schema streams it)."""
+    schema = RUN_EVAL_SCHEMA if kind == "eval" else RUN_STEP_SCHEMA
+    return spark.read.schema(schema).parquet(path)
