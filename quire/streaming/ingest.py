@@ -7,19 +7,19 @@ stops.  ST2 keeps one global running total in a *ledger* table: for micro-batch
 prefix sum is added, rows with ``base + start < max`` are kept, and both the
 output and the ledger row are written to the ``batch_id=b`` partition with
 dynamic overwrite, so replaying a batch after a failure is idempotent.  Once the
-ledger total reaches the budget, later batches are skipped without work and the
-query is stopped.
+ledger total reaches the budget, later batches return without running a job.
 """
 
 from __future__ import annotations
 
 import os
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators.offsets import stream_offsets
-from quire.operators.scan import order_key_double, prefix_aggregate
+from quire.operators.scan import prefix_aggregate
 from quire.operators.split import assign_split
 from quire.operators.tokenize import Tokenizer, token_count, tokenize
 from quire.session import scratch_path, ship_package
@@ -100,30 +100,35 @@ def stream_budget(stream: DataFrame, max_tokens: int, out_path: str, ledger_path
     ledger = BudgetLedger(out_path, ledger_path, max_tokens, order_by, tokenizer)
     q = (stream.writeStream.foreachBatch(ledger).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
-    while q.isActive:
-        q.awaitTermination(1)
-        if ledger.reached:
-            q.stop()
+    # once the ledger reaches the budget every later batch returns at once without
+    # running a job, so the query drains cheaply instead of being interrupted
+    q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
     return ledger
 
 
 def stage_in_order(df: DataFrame, order_col: str, n_files: int, path: str) -> str:
-    """Write ``df`` as ``n_files`` parquet files appended one range at a time, so the file
-    source sees them arrive in ``order_col`` order (its arrival order is file time)."""
-    key = order_key_double(df, order_col)
-    probs = [i / n_files for i in range(1, n_files)]
-    cuts = (df.select(key.alias("_k")).approxQuantile("_k", probs, 1.0 / (8 * n_files))
-            if n_files > 1 else [])
-    edges = [None] + sorted(set(cuts)) + [None]
-    for lo, hi in zip(edges[:-1], edges[1:]):
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (key >= lo)
-        if hi is not None:
-            cond = cond & (key < hi)
-        df.where(cond).coalesce(1).write.mode("append").parquet(path)
+    """Write ``df`` as ``n_files`` parquet files that arrive in ``order_col`` order.
+
+    One parallel job range-partitions the rows (``repartitionByRange``), so part
+    ``i`` holds the ``i``-th key range; then the parts' modification times are
+    set in part order through the Hadoop FileSystem API (metadata only).  The
+    file source takes files oldest first, so any ``maxFilesPerTrigger`` turns
+    into micro-batches that are contiguous key ranges, in key order.
+    """
+    spark = df.sparkSession
+    (df.repartitionByRange(n_files, order_col).sortWithinPartitions(order_col)
+     .write.mode("overwrite").parquet(path))
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = sorted((st.getPath() for st in fs.listStatus(root)
+                    if st.getPath().getName().startswith("part-")),
+                   key=lambda p: p.getName())
+    t0 = int(time.time() * 1000) - 1000 * (len(parts) + 1)
+    for i, part in enumerate(parts):
+        fs.setTimes(part, t0 + 1000 * i, -1)
     return path
 
 
