@@ -49,7 +49,7 @@ def pack_blocks(df: DataFrame, block_size: int = 512, stride: int | None = None,
                 tokens_col: str = "tokens", labels_col: str | None = None,
                 split_col: str = "split", start_col: str = "start",
                 keep_partial: bool = False, len_col: str | None = "n_tokens",
-                method: str = "local") -> DataFrame:
+                method: str = "shuffle") -> DataFrame:
     """Blocks of ``block_size + 1`` tokens (x = first B, y = last B) every ``stride``.
 
     Input: one row per sequence with its stream offset ``start`` (see
@@ -59,9 +59,13 @@ def pack_blocks(df: DataFrame, block_size: int = 512, stride: int | None = None,
     W7: with ``labels_col`` the block carries the aligned label slice of width
     ``block_size`` (labels are already shifted, so ``y = labels[s:s+B]``).
 
-    ``method="local"`` (default) cuts blocks inside each task and shuffles only
-    the pieces that straddle a contiguous range (``pack_blocks_local``);
-    ``"shuffle"`` explodes every sequence into per-block pieces and groups them.
+    ``method="shuffle"`` (default) explodes every sequence into per-block pieces
+    and groups them: one pass over the tokens, one shuffle of them.
+    ``"local"`` cuts blocks inside each task and shuffles only the pieces that
+    straddle a contiguous range (``pack_blocks_local``); its output feeds two
+    branches, so the input is computed twice - worth it when the tokens are
+    already materialised (re-reading them is cheaper than a network shuffle),
+    not when the tokenizer runs upstream (measured: 6.6 s vs 3.9 s at sf0.1).
     """
     if method == "local":
         return pack_blocks_local(df, block_size, stride, tokens_col, labels_col, split_col,

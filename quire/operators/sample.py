@@ -51,7 +51,9 @@ def sample_windows(seqs: DataFrame, n: int, block_size: int = 512, seed: int = 1
     spark = seqs.sparkSession
     width = block_size + 1
     c = chunk or width
-    total = seqs.select(F.max(F.col(start_col) + F.col(len_col)).cast("bigint")).scalar()
+    # stream length = sum of lengths (offsets are contiguous from 0): a narrow
+    # aggregate, evaluated once as a scalar subquery
+    total = seqs.select(F.sum(F.col(len_col)).cast("bigint")).scalar()
     wins = window_starts(spark, n, block_size, total, seed, world_size, batch_size)
     c_lo = F.floor(F.col("start") / c).cast("bigint")
     c_hi = F.floor((F.col("start") + width - 1) / c).cast("bigint")

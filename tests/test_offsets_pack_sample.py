@@ -117,3 +117,17 @@ def test_sample_windows_needs_block_plus_two(spark):
     df2 = stream_offsets(df2.withColumn("n_tokens", F.size("tokens")), "doc_id")
     starts = {r["start"] for r in sample_windows(df2, 5, 8).collect()}
     assert starts == {0}                              # N = B+2: exactly one start
+
+
+@pytest.mark.parametrize("block,parts", [(8, None), (30, 3)])
+def test_local_and_shuffle_packing_agree(spark, block, parts):
+    seqs = _seqs(11, 80, 700)
+    offs = stream_offsets(_df(spark, seqs), "doc_id", n_buckets=5)
+    if parts:
+        offs = offs.repartition(parts)
+    for partial in (False, True):
+        a = sorted((r["split"], r["block_id"], tuple(r["tokens"])) for r in
+                   pack_blocks(offs, block, keep_partial=partial, method="shuffle").collect())
+        b = sorted((r["split"], r["block_id"], tuple(r["tokens"])) for r in
+                   pack_blocks(offs, block, keep_partial=partial, method="local").collect())
+        assert a == b
