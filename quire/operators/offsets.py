@@ -10,7 +10,8 @@ from quire.operators.scan import prefix_aggregate
 
 def stream_offsets(df: DataFrame, order_by: list[str] | str = "doc_id", len_col: str = "n_tokens",
                    split_col: str | None = "split", out_col: str = "start",
-                   n_buckets: int | None = None, split_cardinality: int = 2) -> DataFrame:
+                   n_buckets: int | None = None, split_cardinality: int = 2,
+                   quantile_source: DataFrame | None = None) -> DataFrame:
     """Position of each sequence in its split's flat stream (exclusive prefix sum).
 
     Documents are concatenated end to end in ``order_by`` order; ``start`` is the
@@ -20,12 +21,14 @@ def stream_offsets(df: DataFrame, order_by: list[str] | str = "doc_id", len_col:
     return prefix_aggregate(
         df, order, {out_col: ("sum", F.col(len_col).cast("bigint"))},
         partition_by=[split_col] if split_col else None, inclusive=False,
-        n_buckets=n_buckets, partition_cardinality=split_cardinality)
+        n_buckets=n_buckets, partition_cardinality=split_cardinality,
+        quantile_source=quantile_source)
 
 
 def token_budget(df: DataFrame, max_tokens: int, order_by: list[str] | str = "doc_id",
                  len_col: str = "n_tokens", zero_is_unlimited: bool = False,
-                 n_buckets: int | None = None) -> DataFrame:
+                 n_buckets: int | None = None,
+                 quantile_source: DataFrame | None = None) -> DataFrame:
     """Keep sequences until the running total (all splits) reaches ``max_tokens``.
 
     A sequence is kept iff the tokens before it are fewer than ``max_tokens``, so
@@ -38,6 +41,7 @@ def token_budget(df: DataFrame, max_tokens: int, order_by: list[str] | str = "do
     order = [order_by] if isinstance(order_by, str) else list(order_by)
     with_start = prefix_aggregate(
         df, order, {"budget_start": ("sum", F.col(len_col).cast("bigint"))},
-        partition_by=None, inclusive=False, n_buckets=n_buckets)
+        partition_by=None, inclusive=False, n_buckets=n_buckets,
+        quantile_source=quantile_source)
     return with_start.where((F.col("budget_start") < F.lit(max_tokens))
                             | (F.col("budget_start") == 0))

@@ -48,17 +48,25 @@ def order_key_double(df: DataFrame, order_col: str) -> Column:
 
 
 def add_order_bucket(df: DataFrame, order_col: str, n_buckets: int | None = None,
-                     out_col: str = BUCKET) -> DataFrame:
-    """Add a quantile bucket id of ``order_col`` (numeric or timestamp)."""
+                     out_col: str = BUCKET, quantile_source: DataFrame | None = None) -> DataFrame:
+    """Add a quantile bucket id of ``order_col`` (numeric or timestamp).
+
+    ``quantile_source`` (a cheap DataFrame with the same key column, e.g. the raw
+    table ``df`` was derived from) supplies the boundaries instead of ``df``:
+    any boundaries give correct buckets, only their balance depends on them, and
+    an expensive ``df`` is then not recomputed for the quantile pass.
+    """
     spark = df.sparkSession
     nb = n_buckets or default_buckets(spark)
     key = order_key_double(df, order_col)
     tmp = "_order_key_d"
     keyed = df.withColumn(tmp, key)
+    src = keyed if quantile_source is None else quantile_source.select(
+        order_key_double(quantile_source, order_col).alias(tmp))
     splits = []
     if nb > 1:
         probs = [i / nb for i in range(1, nb)]
-        qs = keyed.select(tmp).approxQuantile(tmp, probs, 1.0 / (4 * nb))
+        qs = src.select(tmp).approxQuantile(tmp, probs, 1.0 / (4 * nb))
         splits = sorted({q for q in qs if q is not None and not math.isnan(q)})
     bounds = [-math.inf] + splits + [math.inf]
     if len(bounds) < 3:
@@ -100,7 +108,8 @@ def prefix_aggregate(df: DataFrame, order_by: list[str], aggs: dict[str, tuple[s
                      partition_by: list[str] | None = None, inclusive: bool = False,
                      n_buckets: int | None = None, partition_cardinality: int | None = None,
                      bucketed: DataFrame | None = None, reuse_bucket: bool = False,
-                     keep_bucket: bool = False) -> DataFrame:
+                     keep_bucket: bool = False,
+                     quantile_source: DataFrame | None = None) -> DataFrame:
     """Add running aggregates in ``order_by`` order (per ``partition_by``).
 
     ``aggs`` maps output name -> (kind, column) with kind in sum/count/min/max.
@@ -120,7 +129,8 @@ def prefix_aggregate(df: DataFrame, order_by: list[str], aggs: dict[str, tuple[s
     if reuse_bucket and BUCKET in df.columns:
         b = df
     else:
-        b = bucketed if bucketed is not None else add_order_bucket(df, order_by[0], n_buckets)
+        b = bucketed if bucketed is not None else add_order_bucket(
+            df, order_by[0], n_buckets, quantile_source=quantile_source)
     inputs = {name: (kind, (F.lit(1) if kind == "count" else col))
               for name, (kind, col) in aggs.items()}
     for name, (kind, col) in inputs.items():

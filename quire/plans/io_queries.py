@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.operators.offsets import stream_offsets
-from quire.operators.sft import build_sft
+from quire.operators.sft import sft_sequences
 from quire.plans.corpus import tokenized_corpus
 from quire.plans.corpus_queries import TOKENS_CTE
 from quire.plans.registry import query, table
@@ -66,8 +66,8 @@ SELECT split, count(*)::BIGINT AS n_tokens, sum(tok)::BIGINT AS token_sum,
 FROM t GROUP BY split""")
 def q_sft_bins_roundtrip(spark, sf_dir):
     """K2 S3: aligned uint16 tokens and int32 labels per split, written and read back."""
-    sft = build_sft(_examples(spark, sf_dir), key_cols=KEYS)
-    seqs = stream_offsets(sft.select(*KEYS, "split", "n_tokens", "tokens", "labels"), KEYS)
+    seqs = sft_sequences(_examples(spark, sf_dir), key_cols=KEYS,
+                         quantile_source=table(spark, sf_dir, "conversations"))
     root = scratch_path(spark, "sftbin")
     write_sft_bins(seqs, root, route_col="split", repartition=False)
     out = None

@@ -13,9 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.arrays import count_where
-from quire.operators.offsets import stream_offsets, token_budget
 from quire.operators.report import GIB, LABEL_BYTES, TOKEN_BYTES, corpus_report
-from quire.operators.sft import build_sft
+from quire.operators.sft import sft_sequences
 from quire.operators.split import SPLIT_SEED, VAL_FRACTION
 from quire.operators.tokenize import ByteTokenizer, Tokenizer
 from quire.plans.corpus import tokenized_corpus
@@ -45,11 +44,7 @@ def prepare_sft(instructions: DataFrame, out_path: str, tokenizer: Tokenizer | N
                 key_cols: list[str] | None = None) -> DataFrame:
     """Write aligned ``tokens`` (uint16) / ``labels`` (int32) streams per split; report."""
     keys = key_cols or ["ex_id"]
-    sft = build_sft(instructions, tokenizer, keys, fraction, seed)
-    kept = token_budget(sft.select(*keys, "split", "n_tokens", "tokens", "labels"), max_tokens,
-                        keys, zero_is_unlimited=True)
-    seqs = stream_offsets(kept.drop("budget_start") if "budget_start" in kept.columns else kept,
-                          keys)
+    seqs = sft_sequences(instructions, tokenizer, keys, fraction, seed, max_tokens)
     write_sft_bins(seqs, out_path, repartition=False)
     return seqs.groupBy("split").agg(
         F.count(F.lit(1)).cast("bigint").alias("n_examples"),

@@ -10,7 +10,7 @@ from quire.functions.text import EOT_TEXT, PY_WHITESPACE_CLASS, extract_response
 from quire.operators.offsets import stream_offsets, token_budget
 from quire.operators.pack import pack_blocks
 from quire.operators.report import GIB, LABEL_BYTES, TOKEN_BYTES
-from quire.operators.sft import build_sft
+from quire.operators.sft import build_sft, sft_sequences
 from quire.plans.registry import query, table
 from quire.sources.corpus import conversations_to_instructions
 
@@ -110,9 +110,8 @@ FROM b WHERE budget_start < {SFT_BUDGET} OR budget_start = 0
 GROUP BY split""")
 def q_sft_report(spark, sf_dir):
     """SFT examples under a 200,000-token budget, per split sizes."""
-    sft = build_sft(_examples(spark, sf_dir), key_cols=KEYS)
-    kept = token_budget(sft.select("conv_id", "turn", "split", "n_tokens", "labels"),
-                        SFT_BUDGET, KEYS, zero_is_unlimited=True)
+    kept = sft_sequences(_examples(spark, sf_dir), key_cols=KEYS, max_tokens=SFT_BUDGET,
+                         quantile_source=table(spark, sf_dir, "conversations"))
     return kept.groupBy("split").agg(
         F.count(F.lit(1)).cast("bigint").alias("n_examples"),
         F.sum("n_tokens").cast("bigint").alias("n_tokens"),
@@ -164,8 +163,8 @@ FROM t WHERE (pos // {BLOCK}) * {BLOCK} + {BLOCK} <= total
 GROUP BY split, pos // {BLOCK}""")
 def q_pack_sft_blocks(spark, sf_dir):
     """512-blocks of the SFT stream with aligned (already shifted) labels."""
-    sft = build_sft(_examples(spark, sf_dir), key_cols=KEYS)
-    seqs = stream_offsets(sft.select("conv_id", "turn", "split", "n_tokens", "tokens", "labels"), KEYS)
+    seqs = sft_sequences(_examples(spark, sf_dir), key_cols=KEYS,
+                         quantile_source=table(spark, sf_dir, "conversations"))
     blocks = pack_blocks(seqs, BLOCK, labels_col="labels")
     return blocks.select(
         "split", F.col("block_id").cast("bigint").alias("block_id"),
