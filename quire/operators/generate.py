@@ -20,7 +20,8 @@ from pyspark.sql import types as T
 
 from quire.session import ship_package
 
-MAX_DENSE_VOCAB = 4096
+# 2048^2 doubles = 32 MiB: the largest model broadcast to executors
+MAX_DENSE_VOCAB = 2048
 
 
 class BigramModel:

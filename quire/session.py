@@ -17,12 +17,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 def get_spark(app: str = "quire", master: str | None = None,
               shuffle_partitions: int | None = None) -> SparkSession:
-    """Local session with the settings the library is tuned for."""
+    """Session with the settings the library is tuned for.
+
+    The master comes from ``master``, else from ``spark-submit`` / the Spark
+    config, else ``local[$BENCH_CPUS]`` (tests and benchmarks).
+    """
+    from pyspark import SparkConf
+
     cpus = os.environ.get("BENCH_CPUS", "8")
-    master = master or f"local[{cpus}]"
-    parts = shuffle_partitions or int(cpus)
+    configured = SparkConf().get("spark.master", None)
+    builder = SparkSession.builder.appName(app)
+    if master or not configured:
+        builder = builder.master(master or f"local[{cpus}]")
+    parts = shuffle_partitions or (int(cpus) if not configured else 200)
     spark = (
-        SparkSession.builder.appName(app).master(master)
+        builder
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
