@@ -50,10 +50,10 @@ def bigram_model(counts: DataFrame, vocab_size: int) -> BigramModel:
     """Collect the ``(prev, next, cnt)`` table - at most V^2 rows, checked first."""
     if vocab_size > MAX_DENSE_VOCAB:
         raise ValueError(f"dense bigram model limited to {MAX_DENSE_VOCAB} ids, got {vocab_size}")
-    n = counts.count()
-    if n > vocab_size * vocab_size:
+    # one bounded collect: at most V^2 + 1 rows ever reach the driver
+    pdf = counts.limit(vocab_size * vocab_size + 1).toPandas()
+    if len(pdf) > vocab_size * vocab_size:
         raise ValueError("count table larger than V^2: ids outside the vocabulary")
-    pdf = counts.toPandas()
     c = np.zeros((vocab_size, vocab_size), dtype=np.float64)
     c[pdf["prev"].to_numpy(), pdf["next"].to_numpy()] = pdf["cnt"].to_numpy()
     tot = c.sum(axis=1, keepdims=True)

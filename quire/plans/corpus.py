@@ -53,8 +53,15 @@ def corpus_blocks_report(docs: DataFrame, block_size: int = 512,
                          tokenizer: Tokenizer | None = None,
                          n_buckets: int | None = None) -> DataFrame:
     """Flagship: per split documents, tokens and full blocks of ``block_size``."""
-    toks = tokenized_corpus(docs, tokenizer, n_buckets=n_buckets)
-    rep = corpus_report(toks)
+    tok = tokenizer or ByteTokenizer()
+    toks = tokenized_corpus(docs, tok, n_buckets=n_buckets)
+    if tok.length_expr(F.col("text"), True) is not None:
+        # counts need no offsets: aggregate the narrow (split, length) columns
+        narrow = assign_split(docs.select("doc_id", "text")).select(
+            "split", token_count(F.col("text"), tok).alias("n_tokens"))
+        rep = corpus_report(narrow)
+    else:
+        rep = corpus_report(toks)
     blocks = pack_blocks(toks, block_size).groupBy("split").agg(
         F.count(F.lit(1)).alias("n_blocks"))
     return rep.join(blocks, "split", "left").select(
