@@ -270,14 +270,14 @@ class TokenBinDataSource(DataSource):
         return TokenBinWriter(self.options, schema, overwrite)
 
 
-_REGISTERED: set[int] = set()
+_REGISTERED: set[tuple] = set()
 
 
 def register(spark: SparkSession) -> None:
     from quire.session import ship_package
 
     ship_package(spark)
-    key = id(spark._jsparkSession)
+    key = (spark.sparkContext.applicationId, id(spark))
     if key not in _REGISTERED:
         spark.dataSource.register(TokenBinDataSource)
         _REGISTERED.add(key)

@@ -112,20 +112,28 @@ def stage_in_order(df: DataFrame, order_col: str, n_files: int, path: str) -> st
 
     One parallel job range-partitions the rows (``repartitionByRange``), so part
     ``i`` holds the ``i``-th key range; then the parts' modification times are
-    set in part order through the Hadoop FileSystem API (metadata only).  The
+    set in part order (``os.utime`` locally, the Hadoop FileSystem API on shared
+    storage; metadata only).  The
     file source takes files oldest first, so any ``maxFilesPerTrigger`` turns
     into micro-batches that are contiguous key ranges, in key order.
     """
     spark = df.sparkSession
     (df.repartitionByRange(n_files, order_col).sortWithinPartitions(order_col)
      .write.mode("overwrite").parquet(path))
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    parts = sorted((st.getPath() for st in fs.listStatus(root)
-                    if st.getPath().getName().startswith("part-")),
-                   key=lambda p: p.getName())
-    t0 = int(time.time() * 1000) - 1000 * (len(parts) + 1)
-    for i, part in enumerate(parts):
-        fs.setTimes(part, t0 + 1000 * i, -1)
+    t0 = time.time() - (n_files + 1)
+    if path.startswith("file:") or "://" not in path:
+        from urllib.parse import urlparse
+
+        root = urlparse(path).path if path.startswith("file:") else path
+        parts = sorted(f for f in os.listdir(root) if f.startswith("part-"))
+        for i, name in enumerate(parts):
+            os.utime(os.path.join(root, name), (t0 + i, t0 + i))
+    else:  # shared storage: the Hadoop FileSystem API of the session
+        jvm = spark.sparkContext._jvm
+        hroot = jvm.org.apache.hadoop.fs.Path(path)
+        fs = hroot.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        parts = sorted((st.getPath() for st in fs.listStatus(hroot)
+                        if st.getPath().getName().startswith("part-")), key=lambda q: q.getName())
+        for i, part in enumerate(parts):
+            fs.setTimes(part, int((t0 + i) * 1000), -1)
     return path
