@@ -13,7 +13,7 @@ from quire.operators.sample import sample_windows
 from quire.operators.split import assign_split
 from quire.operators.tokenize import ByteTokenizer, detokenize_col, tokenize
 from quire.plans.corpus import tokenized_corpus
-from quire.plans.corpus_queries import DOCS_CTE
+from quire.plans.corpus_queries import DOCS_CTE, TOKENS_CTE
 from quire.plans.registry import query, table
 from quire.sources.corpus import conversations_to_instructions
 
@@ -72,7 +72,32 @@ def q_ngram_eval_loss(spark, sf_dir):
     return out.select("split", "n_pairs", F.round("loss", 9).alias("loss"))
 
 
-@query("window_eval_loss")
+@query("window_eval_loss", oracle=f"""
+WITH {TOKENS_CTE.strip()},
+pr AS (
+  SELECT split, toks[i] AS prev, toks[i + 1] AS nxt
+  FROM (SELECT split, toks, unnest(range(1, len(toks))) AS i FROM o)),
+tr AS (SELECT prev, nxt, count(*) AS c FROM pr WHERE split = 'train' GROUP BY prev, nxt),
+tt AS (SELECT prev, sum(c) AS t FROM tr GROUP BY prev),
+n AS (SELECT split, max(total) AS total FROM o GROUP BY split),
+w AS (
+  SELECT n.split, s.sample_id, s.sample_id // {BATCH} AS batch_id,
+         ('0x' || substr(md5('1337:' || CAST(s.sample_id AS VARCHAR)), 1, 15))::BIGINT
+           % (n.total - {BLOCK} - 1) AS start
+  FROM n, range({EVAL_BATCHES * BATCH}) s(sample_id)),
+x AS (
+  SELECT w.split, w.batch_id, w.sample_id, t.pos - w.start AS i, t.tok
+  FROM w JOIN t ON t.split = w.split AND t.pos BETWEEN w.start AND w.start + {BLOCK}),
+xy AS (
+  SELECT a.split, a.batch_id, a.tok AS prev, b.tok AS nxt
+  FROM x a JOIN x b ON a.split = b.split AND a.sample_id = b.sample_id AND b.i = a.i + 1),
+bl AS (
+  SELECT split, batch_id, avg(-ln((coalesce(c, 0) + 1) / (coalesce(t, 0) + {V}.0))) AS batch_loss
+  FROM xy LEFT JOIN tr ON xy.prev = tr.prev AND xy.nxt = tr.nxt
+          LEFT JOIN tt ON xy.prev = tt.prev
+  GROUP BY split, batch_id)
+SELECT split, count(*)::BIGINT AS n_batches, round(avg(batch_loss), 9) AS loss
+FROM bl GROUP BY split""")
 def q_window_eval_loss(spark, sf_dir):
     """Eval loss as a mean over sampled batches of per-batch mean NLL."""
     docs = table(spark, sf_dir, "documents")
@@ -83,7 +108,8 @@ def q_window_eval_loss(spark, sf_dir):
         w = sample_windows(offs.where(F.col("split") == split), EVAL_BATCHES * BATCH, BLOCK,
                            seed=1337, batch_size=BATCH).withColumn("split", F.lit(split))
         scored.append(score_windows(counts, w, V, ["split", "batch_id", "sample_id"]))
-    return eval_loss(scored[0].unionByName(scored[1]))
+    out = eval_loss(scored[0].unionByName(scored[1]))
+    return out.select("split", "n_batches", F.round("loss", 9).alias("loss"))
 
 
 @query("masked_nll", oracle="""
@@ -172,3 +198,45 @@ def q_generate_greedy(spark, sf_dir):
                  stop_id=EOT, greedy=True)
     return g.select("conv_id", "turn", F.size("generated").cast("bigint").alias("n_new"),
                     positional_checksum("generated").alias("checksum"))
+
+
+@query("generate_sampled", oracle=f"""
+WITH RECURSIVE {PAIRS_SQL.strip()},
+ids AS (SELECT range AS id FROM range({V})),
+lp AS (
+  SELECT p.id AS prev, q.id AS nxt,
+         ln((coalesce(tr.c, 0) + 1.0) / (coalesce(tt.t, 0) + {V})) / {TEMPERATURE} AS z
+  FROM ids p CROSS JOIN ids q
+       LEFT JOIN tr ON tr.prev = p.id AND tr.nxt = q.id
+       LEFT JOIN tt ON tt.prev = p.id),
+zl AS (SELECT prev, list(z ORDER BY nxt) AS zs FROM lp GROUP BY prev),
+wl AS (SELECT prev, zs, list_max(zs) AS mx, list_sort(zs, 'DESC')[least({TOP_K}, {V})] AS thr FROM zl),
+cw AS (SELECT prev, list_transform(zs, lambda x: CASE WHEN x >= thr THEN exp(x - mx) ELSE 0.0 END) AS w
+       FROM wl),
+cc AS (SELECT prev, list_transform(range(1, {V} + 1), lambda i: list_sum(w[1:i])) AS cum FROM cw),
+pp AS (
+  SELECT conv_id, turn FROM (
+    SELECT conv_id, turn, role,
+           lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt_role FROM conversations)
+  WHERE role = 'user' AND nxt_role = 'assistant'),
+g(conv_id, turn, step, tok) AS (
+  SELECT conv_id, turn, 0, 10 FROM pp
+  UNION ALL
+  SELECT g.conv_id, g.turn, g.step + 1,
+         list_position(list_transform(cc.cum, lambda x: x > u * cc.cum[{V}]), true) - 1
+  FROM (SELECT *, ('0x' || substr(md5('{GEN_SEED}:' || CAST(conv_id AS VARCHAR) || '-'
+                                      || CAST(turn AS VARCHAR) || ':' || CAST(step AS VARCHAR)),
+                                  1, 8))::BIGINT / 4294967296.0 AS u
+        FROM g) g
+       JOIN cc ON cc.prev = g.tok
+  WHERE g.step < {MAX_NEW} AND (g.step = 0 OR g.tok <> {EOT}))
+SELECT conv_id, turn, count(*) FILTER (WHERE step > 0)::BIGINT AS n_new,
+       coalesce(sum(tok * step) FILTER (WHERE step > 0), 0)::BIGINT AS checksum
+FROM g GROUP BY conv_id, turn""")
+def q_generate_sampled(spark, sf_dir):
+    """Sampled continuation (T=0.7, top-200, hash uniforms) until end-of-text or 200."""
+    model = bigram_model(_train_counts(spark, sf_dir), V)
+    g = generate(_prompts(spark, sf_dir), model, "row_key", max_new_tokens=MAX_NEW,
+                 temperature=TEMPERATURE, top_k=TOP_K, stop_id=EOT, seed=GEN_SEED)
+    return g.select("conv_id", "turn", F.size("generated").cast("bigint").alias("n_new"),
+                    positional_checksum("generated").alias("checksum"))
