@@ -15,7 +15,6 @@ import hashlib
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.session import ship_package

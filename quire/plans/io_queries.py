@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.operators.offsets import stream_offsets
 from quire.operators.sft import sft_sequences
 from quire.plans.corpus import tokenized_corpus
 from quire.plans.corpus_queries import TOKENS_CTE

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from quire.functions.arrays import count_where, positional_checksum
 from quire.functions.text import EOT_TEXT, PY_WHITESPACE_CLASS, extract_response, inference_prompt, \
     py_strip
-from quire.operators.offsets import stream_offsets, token_budget
 from quire.operators.pack import pack_blocks
 from quire.operators.report import GIB, LABEL_BYTES, TOKEN_BYTES
 from quire.operators.sft import build_sft, sft_sequences
