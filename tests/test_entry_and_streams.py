@@ -51,3 +51,22 @@ def test_stream_replay_is_idempotent(spark):
     out = spark.read.parquet(f"{root}/out")
     assert out.count() == out.select("doc_id").distinct().count()
     assert out.agg(F.max("budget_start")).first()[0] < 50_000
+
+
+def test_ledger_replay_same_batch_id(spark):
+    """ST2: replaying batch 0 (as after a failure) leaves one copy and the same ledger."""
+    from quire.session import scratch_path
+    from quire.streaming.ingest import BudgetLedger
+
+    root = scratch_path(spark, "t-ledger")
+    b0 = spark.createDataFrame([(1, "aaaa"), (2, "bb")], "doc_id long, text string")
+    b1 = spark.createDataFrame([(3, "cccccc"), (4, "d")], "doc_id long, text string")
+    led = BudgetLedger(f"{root}/out", f"{root}/ledger", max_tokens=12)
+    led(b0, 0)
+    led(b0, 0)                                   # replay
+    led(b1, 1)
+    out = sorted((r["doc_id"], r["budget_start"]) for r in spark.read.parquet(f"{root}/out").collect())
+    assert out == [(1, 0), (2, 5), (3, 8)]       # doc 3 crosses the budget and is kept
+    assert led.reached
+    led(spark.createDataFrame([(5, "e")], "doc_id long, text string"), 2)
+    assert spark.read.parquet(f"{root}/out").count() == 3   # nothing after the budget
