@@ -131,3 +131,18 @@ def test_local_and_shuffle_packing_agree(spark, block, parts):
         b = sorted((r["split"], r["block_id"], tuple(r["tokens"])) for r in
                    pack_blocks(offs, block, keep_partial=partial, method="local").collect())
         assert a == b
+
+
+def test_split_is_partition_invariant_and_matches_md5(spark):
+    import hashlib
+
+    from quire.operators.split import assign_split
+
+    df = spark.range(2000).withColumnRenamed("id", "doc_id")
+    a = dict(assign_split(df, fraction=0.1).collect())
+    b = dict(assign_split(df.repartition(13), fraction=0.1).collect())
+    assert a == b
+    for i in range(0, 2000, 97):
+        u = int(hashlib.md5(f"1337:{i}".encode()).hexdigest()[:8], 16) / 2 ** 32
+        assert a[i] == ("val" if u < 0.1 else "train")
+    assert 120 < sum(v == "val" for v in a.values()) < 280
