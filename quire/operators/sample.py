@@ -40,13 +40,16 @@ def sample_windows(seqs: DataFrame, n: int, block_size: int = 512, seed: int = 1
                    world_size: int = 1, batch_size: int | None = None,
                    split_col: str = "split", start_col: str = "start",
                    tokens_col: str = "tokens", len_col: str = "n_tokens",
-                   chunk: int | None = None, tokenizer=None, text_col: str = "text") -> DataFrame:
+                   chunk: int | None = None, tokenizer=None, text_col: str = "text",
+                   text_source: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
     """``(rank, sample_id, batch_id, start, window, x, y)`` drawn from one split's stream.
 
     ``seqs`` holds the sequences of ONE split with their stream offsets.  The
     last token is never a target (start < N-B-1, as in the reference).  When
     ``seqs`` has no ``tokens`` column yet, only the sequences that overlap a
-    drawn window are tokenized (from ``text_col`` with ``tokenizer``).
+    drawn window are tokenized (from ``text_col`` with ``tokenizer``); with
+    ``text_source`` (``id_col``, ``text_col``) ``seqs`` can be narrow offsets and
+    the text of the touched sequences is fetched by a broadcast join.
     """
     spark = seqs.sparkSession
     width = block_size + 1
@@ -69,7 +72,15 @@ def sample_windows(seqs: DataFrame, n: int, block_size: int = 512, seed: int = 1
     touched = spans.join(F.broadcast(wins_x.select("chunk").distinct()), "chunk", "left_semi") \
         .select(start_col).distinct()
     needed = seqs.join(touched, start_col, "left_semi")
-    if tokens_col not in seqs.columns:
+    if text_source is not None:
+        # narrow offsets: fetch the text of the touched sequences only.  They are
+        # at most n * world * (B + 1) rows (every token of a window can start a
+        # new sequence), so that side is broadcast and the text is never shuffled.
+        bound = n * world_size * (width + 1)
+        keys = needed.select(id_col, split_col, start_col, len_col)
+        keys = F.broadcast(keys) if bound <= MAX_BROADCAST_WINDOW_ROWS else keys
+        needed = text_source.select(id_col, text_col).join(keys, id_col)
+    if tokens_col not in needed.columns:
         needed = tokenize(needed, text_col, tokenizer, out_col=tokens_col, len_col=None)
     pieces = _pieces(needed, block_size, c, c, split_col, start_col, [tokens_col], len_col) \
         .withColumnRenamed("block_id", "chunk")

@@ -26,17 +26,19 @@ def tokenized_corpus(docs: DataFrame, tokenizer: Tokenizer | None = None,
                      id_col: str = "doc_id", text_col: str = "text",
                      fraction: float = VAL_FRACTION, seed: int = SPLIT_SEED,
                      max_tokens: int | None = None, n_buckets: int | None = None,
-                     with_tokens: bool = True) -> DataFrame:
+                     with_tokens: bool = True, keep_text: bool = True) -> DataFrame:
     """``(doc_id, split, n_tokens, start, tokens)`` for every kept document.
 
     ``with_tokens=False`` (byte codec) returns ``text`` instead of ``tokens`` so a
-    consumer that needs only some documents tokenizes just those.
+    consumer that needs only some documents tokenizes just those;
+    ``keep_text=False`` returns narrow offsets (no text through the shuffle).
     """
     tok = tokenizer or ByteTokenizer()
     base = assign_split(docs.select(id_col, text_col), id_col, fraction, seed)
     if tok.length_expr(F.col(text_col), True) is not None:
         counted = base.withColumn("n_tokens", token_count(F.col(text_col), tok))
-        counted = counted.select(id_col, "split", "n_tokens", text_col)
+        counted = counted.select(id_col, "split", "n_tokens",
+                                 *([text_col] if (with_tokens or keep_text) else []))
         if max_tokens is not None:
             counted = token_budget(counted, max_tokens, id_col).drop("budget_start")
         with_start = stream_offsets(counted, id_col, n_buckets=n_buckets)

@@ -152,9 +152,10 @@ FROM w JOIN t ON t.split = 'train' AND t.pos BETWEEN w.start AND w.start + {BLOC
 GROUP BY w.rank, w.sample_id, w.batch_id, w.start""")
 def q_sample_windows(spark, sf_dir):
     """64 random 512-windows per rank (2 ranks) from the train stream."""
-    toks = tokenized_corpus(_docs(spark, sf_dir), with_tokens=False)
-    win = sample_windows(toks.where(F.col("split") == "train"), N_WINDOWS, BLOCK, seed=SEED,
-                         world_size=WORLD, batch_size=BATCH)
+    docs = _docs(spark, sf_dir)
+    offs = tokenized_corpus(docs, with_tokens=False, keep_text=False)
+    win = sample_windows(offs.where(F.col("split") == "train"), N_WINDOWS, BLOCK, seed=SEED,
+                         world_size=WORLD, batch_size=BATCH, text_source=docs)
     return win.select(
         F.col("rank").cast("bigint").alias("rank"), "sample_id", "batch_id", "start",
         positional_checksum("x").alias("x_checksum"),

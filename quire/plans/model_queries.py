@@ -101,12 +101,13 @@ FROM bl GROUP BY split""")
 def q_window_eval_loss(spark, sf_dir):
     """Eval loss as a mean over sampled batches of per-batch mean NLL."""
     docs = table(spark, sf_dir, "documents")
-    offs = tokenized_corpus(docs, with_tokens=False)
+    offs = tokenized_corpus(docs, with_tokens=False, keep_text=False)
     counts = _train_counts(spark, sf_dir)
     scored = []
     for split in ("train", "val"):
         w = sample_windows(offs.where(F.col("split") == split), EVAL_BATCHES * BATCH, BLOCK,
-                           seed=1337, batch_size=BATCH).withColumn("split", F.lit(split))
+                           seed=1337, batch_size=BATCH, text_source=docs) \
+            .withColumn("split", F.lit(split))
         scored.append(score_windows(counts, w, V, ["split", "batch_id", "sample_id"]))
     out = eval_loss(scored[0].unionByName(scored[1]))
     return out.select("split", "n_batches", F.round("loss", 9).alias("loss"))
