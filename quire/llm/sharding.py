@@ -134,7 +134,7 @@ def minimax_cuts(groups: DataFrame, n_shards: int, total: int, largest: int) ->
         latest = _exact(ends, "below", at + low)
         under, over = _exact(ends, "below", share), _exact(ends, "above", share)
         best = under if share - under <= over - share else over
-        at = max(earliest[k], min(best, latest), at)
+        at = max(earliest[k - 1], min(best, latest), at)
         cuts.append(at)
     return cuts
 
