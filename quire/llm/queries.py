@@ -22,6 +22,14 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+@query("op1_embedding_near_dedup")
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings of equal label."""
+    from quire.llm.embedding_dedup import embedding_near_duplicates
+
+    return embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op10_minhash_near_dedup")
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents by chosen-path joins."""
@@ -117,3 +125,19 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.session import scratch_path
 
     return secret_report(table(spark, sf_dir, "documents"), scratch_path(spark, "secret-ledger"))
+
+
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    from quire.llm.langid import identify_languages
+
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+@query("op8_quality_rules")
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and cascade verdict of every document."""
+    from quire.llm.quality_rules import apply_rules
+
+    return apply_rules(table(spark, sf_dir, "documents"))
