@@ -9,9 +9,9 @@ level by level, until its nodes are small.  Documents that merely share a
 frequent passage part at the next coordinate, so no hot node is ever paired.
 
 Recall: a pair of similarity s meets in one root with probability s and in one
-child with 1 - (1 - s)^branching.  With 20 roots and 2 branches a pair at 0.75
-is missed with probability 0.25^20 in small root nodes, and about
-(1 - 0.75 * 0.94^d)^20 (5e-8 at depth d = 5) below hot ones.
+child with 1 - (1 - s)^branching.  With 12 roots and 2 branches a pair at 0.75 is
+missed with probability 0.25^12 = 6e-8 in small root nodes, and about
+(1 - 0.75 * 0.94^d)^12 (6e-6 at depth d = 3) below hot ones.
 
 Links are confirmed on the full sets, 100 * intersection >= 75 * union.  Copies
 (equal shingle sets) are one vertex; inside a node only a spanning set of
@@ -31,7 +31,7 @@ from quire.llm.shingles import (jaccard_counts, mix64, permutation_constants, sh
 from quire.session import materialize
 
 N_COORDS = 64
-N_ROOTS = 20
+N_ROOTS = 12
 BRANCHING = 2
 LEAF = 256
 MAX_DEPTH = 40
@@ -104,97 +104,130 @@ def _least_agreement(threshold: float, miss: float = 1e-6) -> int:
     return N_COORDS
 
 
-def _candidates(sig: np.ndarray, mask: np.ndarray, block: np.ndarray, coord: int,
-                least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index pairs of one node that agree often enough and have no earlier small root in common.
+def _likely(sig: np.ndarray, mask: np.ndarray, block: np.ndarray, coord: int,
+            least: int) -> np.ndarray:
+    """Indexes of a node's documents that have a partner in it worth confirming there.
 
     ``mask`` has bit c set where the document's root node c is small.  A root node
-    (``coord`` >= 0) handles the pairs whose first common small root it is; a node
-    below a large root (``coord`` < 0) those with no common small root at all.
+    (``coord`` >= 0) takes the pairs whose first common small root it is; a node below a
+    large root (``coord`` < 0) those with no common small root at all.
     """
-    n = len(sig)
-    agree = np.zeros((n, n), dtype=np.uint8)
-    earlier = np.zeros((n, n), dtype=bool)
-    for c in range(N_COORDS):
-        same = sig[:, c][:, None] == sig[:, c][None, :]
-        agree += same
-        if c < (coord if coord >= 0 else N_ROOTS):
-            small = (mask >> c) & 1 == 1
-            if small.any():
-                earlier |= same & small[:, None]
-    ok = np.triu((agree >= least) & ~earlier, 1)
+    n, first = len(sig), coord if coord >= 0 else N_ROOTS
+    small = ((mask[:, None] >> np.arange(first)) & 1).astype(bool)
+    if n <= 16:
+        same = sig[:, None, :] == sig[None, :, :]
+        agree = same.sum(axis=2)
+        earlier = (same[:, :, :first] & small[:, None, :]).any(axis=2)
+    else:
+        agree = np.zeros((n, n), dtype=np.uint8)
+        earlier = np.zeros((n, n), dtype=bool)
+        for c in range(N_COORDS):
+            same = sig[:, c][:, None] == sig[:, c][None, :]
+            agree += same
+            if c < first:
+                earlier |= same & small[:, c][:, None]
+    ok = (agree >= least) & ~earlier
+    ok[np.arange(n), np.arange(n)] = False
     if block.min() != block.max():
         ok &= block[:, None] != block[None, :]
-    i, j = np.nonzero(ok)
-    order = np.argsort(-agree[i, j].astype(np.int64), kind="stable")
-    return i[order], j[order], agree
+    return np.flatnonzero(ok.any(axis=1))
+
+
+def _lists(batch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and flat values of a list column of integers."""
+    column = batch.column(name)
+    return column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
 
 
 def _flag(least: int):
-    """Rows of the documents of a node that have a partner there worth confirming."""
+    """(group, v) of the documents of a node that have a partner there worth confirming."""
     def run(batches):
         for batch in batches:
-            cols = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
-            out = {"group": [], "v": [], "coord": [], "mask": [], "block": [], "sig": []}
+            at, v = _lists(batch, "v")
+            _, mask = _lists(batch, "mask")
+            _, block = _lists(batch, "block")
+            groups = batch.column("group").to_numpy(zero_copy_only=False)
+            coords = batch.column("coord").to_numpy(zero_copy_only=False)
+            sig = _signatures(batch.column("sig").values)
+            out_group, out_v = [], []
             for r in range(batch.num_rows):
-                sig = _signatures(cols["sig"][r].values)
-                v = cols["v"][r].values
-                mask = cols["mask"][r].values.to_numpy()
-                block = cols["block"][r].values.to_numpy()
-                coord = cols["coord"][r].as_py()
-                i, j, _ = _candidates(sig, mask, block, coord, least)
-                if not len(i):
-                    continue
-                for k in np.unique(np.concatenate([i, j])).tolist():
-                    out["group"].append(cols["group"][r].as_py())
-                    out["v"].append(v[k].as_py())
-                    out["coord"].append(coord)
-                    out["mask"].append(int(mask[k]))
-                    out["block"].append(int(block[k]))
-                    out["sig"].append(sig[k].tobytes())
+                lo, hi = at[r], at[r + 1]
+                k = _likely(sig[lo:hi], mask[lo:hi], block[lo:hi],
+                            int(coords[r]), least)
+                if len(k):
+                    out_v.append(v[lo:hi][k])
+                    out_group.append(np.full(len(k), groups[r]))
+            none = [np.empty(0, dtype=np.int64)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out["group"], pa.int64()), pa.array(out["v"], pa.int64()),
-                 pa.array(out["coord"], pa.int32()), pa.array(out["mask"], pa.int64()),
-                 pa.array(out["block"], pa.int32()), pa.array(out["sig"], pa.binary())],
-                names=list(out))
+                [pa.array(np.concatenate(out_group or none), pa.int64()),
+                 pa.array(np.concatenate(out_v or none), pa.int64())], names=["group", "v"])
     return run
 
 
-def _confirm(least: int, percent: int):
-    """Spanning confirmed links of a node: likeliest pairs first, joined ones skipped."""
+def _similar(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """All index pairs with 100 * intersection >= percent * union (sets not empty).
+
+    Shingles that only one set holds cannot count in an intersection; the others
+    form an incidence matrix whose products, taken in column blocks, are the exact
+    intersection sizes (float32 is exact up to 2^24 a block).
+    """
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    if n <= 4:
+        hit = [(i, j) for i in range(n) for j in range(i + 1, n)
+               if (c := jaccard_counts(sets[i], sets[j]))[1] and 100 * c[0] >= percent * c[1]]
+        return (np.array([i for i, _ in hit], dtype=np.int64),
+                np.array([j for _, j in hit], dtype=np.int64))
+    values, at, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), sizes)
+    shared = held > 1
+    column = np.cumsum(shared) - 1
+    use = shared[at]
+    owner, at = owner[use], column[at[use]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    inter = np.zeros((n, n), dtype=np.int64)
+    for lo in range(0, int(shared.sum()), 4096):
+        a, b = np.searchsorted(at, [lo, lo + 4096])
+        grid = np.zeros((n, 4096), dtype=np.float32)
+        grid[owner[a:b], at[a:b] - lo] = 1
+        inter += (grid @ grid.T).astype(np.int64)
+    union = sizes[:, None] + sizes[None, :] - inter
+    return np.nonzero(np.triu((100 * inter >= percent * union) & (union > 0), 1))
+
+
+def _spanning(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """A subset of the pairs that joins the same vertices."""
+    root, kept = list(range(n)), []
+    for x, y in zip(i.tolist(), j.tolist()):
+        fx, fy = x, y
+        while root[fx] != fx:
+            root[fx] = root[root[fx]]
+            fx = root[fx]
+        while root[fy] != fy:
+            root[fy] = root[root[fy]]
+            fy = root[fy]
+        if fx != fy:
+            root[fx] = fy
+            kept.append((x, y))
+    return kept
+
+
+def _confirm(percent: int):
+    """Spanning links of a node's flagged documents, from their full sets."""
     def run(batches):
         for batch in batches:
-            cols = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
-            links = []
+            at, v = _lists(batch, "v")
+            texts = batch.column("text").values
+            a, b = [], []
             for r in range(batch.num_rows):
-                sig = _signatures(cols["sig"][r].values)
-                v = cols["v"][r].values.to_pylist()
-                mask = cols["mask"][r].values.to_numpy()
-                block = cols["block"][r].values.to_numpy()
-                i, j, _ = _candidates(sig, mask, block, cols["coord"][r].as_py(), least)
-                texts, sets = cols["text"][r].values, {}
-                root = list(range(len(v)))
-
-                def find(x):
-                    while root[x] != x:
-                        root[x] = root[root[x]]
-                        x = root[x]
-                    return x
-
-                for x, y in zip(i.tolist(), j.tolist()):
-                    fx, fy = find(x), find(y)
-                    if fx == fy:
-                        continue
-                    for k in (x, y):
-                        if k not in sets:
-                            sets[k] = shingle_set(texts[k].as_py())
-                    inter, union = jaccard_counts(sets[x], sets[y])
-                    if 100 * inter >= percent * union and union:
-                        root[fx] = fy
-                        links.append((v[x], v[y]))
+                lo, hi = int(at[r]), int(at[r + 1])
+                sets = [shingle_set(texts[k].as_py()) for k in range(lo, hi)]
+                for x, y in _spanning(hi - lo, *_similar(sets, percent)):
+                    a.append(v[lo + x])
+                    b.append(v[lo + y])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x for x, _ in links], pa.int64()),
-                 pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+                [pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
     return run
 
 
@@ -211,7 +244,7 @@ def near_duplicate_links(signed: DataFrame, texts: DataFrame, *, percent: int =
     """Spanning links ``(a, b)`` between the documents of ``signed`` (distinct sets).
 
     ``signed``: ``doc_id, sig, roots``; ``texts``: ``doc_id, text`` of the same ids.
-    An id may stand on several rows; its links are those of all of them.
+    An id may stand on several rows of either; its links are those of all its texts.
     """
     least = _least_agreement(percent / 100)
     vectors = signed.select(F.col("doc_id").alias("v"), "sig")
@@ -251,18 +284,13 @@ def near_duplicate_links(signed: DataFrame, texts: DataFrame, *, percent: int =
         F.first("coord").alias("coord"), F.collect_list("v").alias("v"),
         F.collect_list("mask").alias("mask"), F.collect_list("block").alias("block"),
         F.collect_list("sig").alias("sig"))
-    flagged = materialize(
-        gathered.mapInArrow(_flag(least), "group long, v long, coord int, mask long, "
-                                          "block int, sig binary"), "flagged")
+    flagged = materialize(gathered.mapInArrow(_flag(least), "group long, v long"), "flagged")
     wanted = flagged.select(F.col("v").alias("doc_id")).distinct()
-    kept = (texts.join(wanted, "doc_id").withColumn("content", F.xxhash64("text"))
-            .dropDuplicates(["doc_id", "content"]))
+    kept = texts.join(wanted, "doc_id")
     full = (flagged.join(kept.select(F.col("doc_id").alias("v"), "text"), "v")
-            .groupBy("group").agg(
-                F.first("coord").alias("coord"), F.collect_list("v").alias("v"),
-                F.collect_list("mask").alias("mask"), F.collect_list("block").alias("block"),
-                F.collect_list("sig").alias("sig"), F.collect_list("text").alias("text")))
-    return materialize(full.mapInArrow(_confirm(least, percent), "a long, b long"), "links")
+            .groupBy("group").agg(F.collect_list("v").alias("v"),
+                                  F.collect_list("text").alias("text")))
+    return materialize(full.mapInArrow(_confirm(percent), "a long, b long"), "links")
 
 
 def minhash_near_duplicates(docs: DataFrame, *, percent: int = 75, leaf: int = LEAF) -> DataFrame:
@@ -288,7 +316,9 @@ def minhash_near_duplicates(docs: DataFrame, *, percent: int = 75, leaf: int = L
     leaders = materialize(
         linked.join(classes.withColumnRenamed("class_id", "doc_id"), ["doc_id", *same_set])
         .dropDuplicates(["doc_id", *same_set]).select("doc_id", "sig", "roots"), "leaders")
-    links = near_duplicate_links(leaders, texts, percent=percent, leaf=leaf)
+    repeated = linked.groupBy("doc_id").count().where("count > 1")
+    contents = texts if repeated.isEmpty() else texts.dropDuplicates(["doc_id", "text"])
+    links = near_duplicate_links(leaders, contents, percent=percent, leaf=leaf)
     several = (named.groupBy("doc_id").agg(F.min("class_id").alias("lo"),
                                            F.max("class_id").alias("hi"))
                .where("lo <> hi").select("doc_id"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,6 +27,13 @@ BLANKS = " \t\n\r\x0b\x0c"
 SAMPLE = 1000
 
 
+@lru_cache(maxsize=1)
+def _cases() -> np.ndarray:
+    """Per code point: 1 for lower case, 2 for upper case, 0 for neither."""
+    return np.fromiter(((1 if c.islower() else 2 if c.isupper() else 0)
+                        for c in map(chr, range(0x110000))), dtype=np.uint8, count=0x110000)
+
+
 class Text:
     """One text; each measure is taken when first asked for."""
 
@@ -81,8 +88,9 @@ class Text:
     @cached_property
     def cased(self) -> tuple[int, int]:
         """Upper-case letters and letters that have case."""
-        upper = sum(map(str.isupper, self.text))
-        return upper, upper + sum(map(str.islower, self.text))
+        codes = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        _, lower, upper = np.bincount(_cases()[codes], minlength=3).tolist()
+        return upper, upper + lower
 
 
 @dataclass(frozen=True)

@@ -141,3 +141,27 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.quality_rules import apply_rules
 
     return apply_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op6_quality_classifier")
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from positives and unlabelled text."""
+    from quire.llm.quality_pu import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: Token shares that the mixing query aims at.
+MIXTURE = {"clean": 0.93, "junk": 0.05, "toxic": 0.02}
+
+
+@query("op5_mixing")
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document rates that bring the domains of the labels to their target shares."""
+    from quire.llm.mixing import label_domains, mix
+
+    mixed = mix(table(spark, sf_dir, "documents"),
+                label_domains(table(spark, sf_dir, "labels")), MIXTURE)
+    return mixed.select("doc_id", "tokens",
+                        *[mixed["posteriors"][d].alias(f"p_{d}") for d in sorted(MIXTURE)],
+                        "rate", "copies")
