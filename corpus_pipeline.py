@@ -1,13 +1,82 @@
-"""Corpus pipeline: the stages a training corpus passes, in order."""
+"""Corpus pipeline: from raw documents to sampled token sequences, stage by stage.
+
+Each stage is one operator applied to all that the stage before kept; the rows are
+written as Parquet and reread between stages, so a lost executor never costs more
+than its stage.  All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.llm.langid import UNKNOWN, fit_profiles, fold, predict_language
+from quire.llm.minhash_paths import minhash_near_duplicates
+from quire.llm.mixing import label_domains, mix
+from quire.llm.queries import VOCABULARY_FILE
+from quire.llm.secrets import redact
+from quire.llm.segment_sampling import load_vocabulary, sample_segmentations
+from quire.plans.registry import table
+from quire.session import scratch_path
+
+#: Token shares aimed at; the clean domain is wanted just as it is, the others thinned.
+MIXTURE = {"clean": 0.97, "junk": 0.02, "toxic": 0.01}
+#: A rate this near 1 keeps a document whatever its draw.
+NEARLY_ONE = 0.8
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a language (null text, no letter); fill a missing ``lang``."""
+    profiles = fit_profiles(docs.where(fold("doc_id", 4) != 2))
+    found = predict_language(F.col("text").cast("string"), profiles)
+    kept = docs.withColumn("_found", found).where(F.col("_found.lang_pred") != UNKNOWN)
+    return kept.withColumn("lang", F.coalesce("lang", "_found.lang_pred")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of smallest doc_id of each near-duplicate group; all without words.
+
+    Rows that repeat a kept doc_id stay with it.
+    """
+    dropped = minhash_near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mask every secret in the texts; no document is dropped."""
+    return redact(docs, scratch_path(spark, "secret-ledger"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Thin out junk and toxic domains to their target shares by each document's rate.
+
+    A rate of ``NEARLY_ONE`` or more keeps the document, a lower one by the hash draw that
+    the operator made; nothing is repeated.
+    """
+    mixed = mix(docs, label_domains(table(spark, sf_dir, "labels")), MIXTURE, keep="clean")
+    dropped = mixed.where((F.col("rate") < NEARLY_ONE) & (F.col("copies") == 0)) \
+        .select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def segmentation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Two distinct sampled segmentations of every document, with inclusion scores."""
+    found = sample_segmentations(docs, load_vocabulary(VOCABULARY_FILE), k=2)
+    return found.select(F.col("key").alias("doc_id"), "rank", "log_prob", "log_inclusion",
+                        "exact", F.size("ids").alias("n_pieces"), "ids")
+
 
-STAGES: list = []
+STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates),
+          ("secrets", secrets), ("mixing", mixing), ("segmentation", segmentation)]
+#: Learned profiles, sampled posteriors and segmentations are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply every stage to the documents of ``sf_dir``, each reread from Parquet."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quire.plans.registry import table
 
@@ -165,3 +166,19 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "tokens",
                         *[mixed["posteriors"][d].alias(f"p_{d}") for d in sorted(MIXTURE)],
                         "rate", "copies")
+
+
+#: A SentencePiece model file with byte fallback; any other path can be given.
+VOCABULARY_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query("op4_sentencepiece_sampling")
+def op4_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two distinct sampled segmentations of every document, with inclusion scores."""
+    from quire.llm.segment_sampling import load_vocabulary, sample_segmentations
+
+    found = sample_segmentations(table(spark, sf_dir, "documents"),
+                                 load_vocabulary(VOCABULARY_FILE), k=2)
+    return found.select(F.col("key").alias("doc_id"), "rank", "perturbed", "log_prob",
+                        "log_inclusion", "exact", F.size("ids").cast("long").alias("n_pieces"),
+                        F.xxhash64("ids").alias("ids_hash"))

@@ -32,7 +32,9 @@ from quire.llm.shingles import mix64
 
 BLANK = "▁"
 CHUNK = 200_000
-LEXICON = 150_000
+LEXICON = 250_000
+_SHORT = 48
+_SCALE = 3.0
 #: -log(-log(u)) of a 53-bit uniform is below this.
 _TOP_GUMBEL = 36.75
 _NEAR = -46.0
@@ -93,8 +95,8 @@ class Lattice:
         for _, p in pieces:
             if BLANK in p.lstrip(BLANK):
                 raise ValueError("a piece has a blank after another character")
-        solo = not any("\n" in p and len(p) > 1 for _, p in pieces)
-        self.units = re.compile(r" *[^ \n]+|\n| +" if solo else r" *[^ ]+| +").findall
+        self._solo = not any("\n" in p and len(p) > 1 for _, p in pieces)
+        self._units = re.compile(r" *[^ \n]+|\n| +" if self._solo else r" *[^ ]+| +").findall
         weight = -theta * np.log(np.arange(1, len(vocabulary.pieces) + 1) + 9.0)
         self.logp = weight - np.logaddexp.reduce(weight)
         self.byte_logp = float(self.logp[-1])
@@ -122,11 +124,19 @@ class Lattice:
         self.raw_at = np.cumsum(self.raw_size) - self.raw_size
         self.forget()
 
+    def units(self, text: str) -> list[str]:
+        """A run of blanks with the word after it, or a line end if no longer piece has one."""
+        if not self._solo or "  " in text or " \n" in text or "\0" in text:
+            return self._units(text)
+        marked = text.replace(" ", "\0 ").replace("\n", "\0\n\0")
+        return [u for u in marked.split("\0") if u]
+
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.unit = _Growing(first=np.int64, last=np.int64)
         self.node = _Growing(edge=np.int64, count=np.int32)
-        self.edge = _Growing(back=np.int32, piece=np.int32, p=np.float64, cdf=np.float64)
+        self.edge = _Growing(back=np.int32, piece=np.int32, p=np.float64, log=np.float64,
+                             cdf=np.float64)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Index in ``keys`` or -1."""
@@ -143,6 +153,14 @@ class Lattice:
 
     def learn(self, units: list[str]) -> None:
         """Add the tables of new distinct units."""
+        short = [u for u in units if len(u) <= _SHORT]
+        long = [u for u in units if len(u) > _SHORT]
+        for part, plain in ((short, True), (long, False)):
+            if part:
+                self._learn(part, plain)
+
+    def _learn(self, units: list[str], plain: bool) -> None:
+        """``plain``: the units are so short that scaled probabilities stay in range."""
         sizes = np.array([len(u) for u in units], dtype=np.int64)
         code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"),
                              dtype=np.uint32).astype(np.uint64)
@@ -184,23 +202,34 @@ class Lattice:
         logp = np.where(piece < 0, width * self.byte_logp, self.logp[np.maximum(piece, 0)])
         place = start - begin[owner[start]] + length  # end of the edge within its unit
         target = start + owner[start] + length  # node: a unit of n characters has n + 1
-        order = np.lexsort((target, place))
+        # by place, node and length: the order within a node must not depend on the batch
+        order = np.argsort((place * (len(code) + len(units)) + target) * (self.longest + 1)
+                           + length)
         start, length, piece, logp, place, target = (
             x[order] for x in (start, length, piece, logp, place, target))
         source = target - length
-        alpha = np.zeros(len(code) + len(units))
+        if plain:  # every path of a unit is scaled alike, once a character
+            logp = np.exp(logp + _SCALE * length)
+            alpha = np.ones(len(code) + len(units))
+        else:
+            alpha = np.zeros(len(code) + len(units))
         p = np.empty(len(order))
         cdf = np.empty(len(order))
         bounds = np.flatnonzero(np.diff(place, prepend=-1))
         for lo, hi in zip(bounds, np.append(bounds[1:], len(order))):
-            v = logp[lo:hi] + alpha[source[lo:hi]]
             node = target[lo:hi]
             first = np.flatnonzero(np.diff(node, prepend=-1))
             many = np.diff(np.append(first, hi - lo))
-            top = np.maximum.reduceat(v, first)
-            e = np.exp(v - np.repeat(top, many))
-            total = np.add.reduceat(e, first)
-            alpha[node[first]] = top + np.log(total)
+            if plain:
+                e = logp[lo:hi] * alpha[source[lo:hi]]
+                total = np.add.reduceat(e, first)
+                alpha[node[first]] = total
+            else:
+                v = logp[lo:hi] + alpha[source[lo:hi]]
+                top = np.maximum.reduceat(v, first)
+                e = np.exp(v - np.repeat(top, many))
+                total = np.add.reduceat(e, first)
+                alpha[node[first]] = top + np.log(total)
             p[lo:hi] = e / np.repeat(total, many)
             run = np.cumsum(p[lo:hi])
             cdf[lo:hi] = run - np.repeat(run[first] - p[lo:hi][first], many)
@@ -212,7 +241,7 @@ class Lattice:
         node_count = np.zeros(len(alpha), dtype=np.int32)
         node_edge[target[first]] = edge0 + first
         node_count[target[first]] = many
-        self.edge.extend(back=length, piece=piece, p=p, cdf=cdf)
+        self.edge.extend(back=length, piece=piece, p=p, log=np.log(p), cdf=cdf)
         self.node.extend(edge=node_edge, count=node_count)
         first_node = node0 + begin + np.arange(len(units))
         unit0 = self.unit.n
@@ -260,9 +289,11 @@ class _Paths:
     edge: np.ndarray
     bounds: np.ndarray
     before: np.ndarray
-    phi: np.ndarray
+    own: np.ndarray            # first place of each document whose sets belong to this path
+    rest: dict[int, float]     # mass left at that place, where edges had been taken before
+    near: np.ndarray           # places whose Gumbels are drawn, and their values
     value: np.ndarray
-    far: np.ndarray
+    far: np.ndarray            # documents with places left out, to be drawn if need be
     forced: np.ndarray
     taken: dict[int, list[int]]
 
@@ -296,8 +327,11 @@ def _walk(lattice: Lattice, token: np.ndarray, unit: np.ndarray, node: np.ndarra
 
 def _ids(lattice: Lattice, paths: _Paths) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all documents in text order, and each document's bounds among them."""
-    order = np.argsort(paths.token * _PLACE - paths.step, kind="stable")
-    piece = lattice.edge.at["piece"][paths.edge[order]].astype(np.int64)
+    ends = np.flatnonzero(np.diff(paths.token, append=-1))  # places of each unit's last step
+    many = np.diff(ends, prepend=-1)
+    at = np.arange(len(paths.token))
+    piece = lattice.edge.at["piece"][paths.edge[
+        np.repeat(2 * ends - many + 1, many) - at]].astype(np.int64)
     lost = np.flatnonzero(piece < 0)
     if not len(lost):
         return piece.astype(np.int32), paths.bounds
@@ -316,12 +350,21 @@ def _ids(lattice: Lattice, paths: _Paths) -> tuple[np.ndarray, np.ndarray]:
     return ids.astype(np.int32), ends[paths.bounds]
 
 
-def _gumbels(paths: _Paths, slots: np.ndarray, doc: np.ndarray, top: np.ndarray,
-             key: np.ndarray, place: np.ndarray) -> None:
-    """Gumbel maxima at these slots, each truncated at its document's current one."""
+def _gumbels(lattice: Lattice, paths: _Paths, slots: np.ndarray, doc: np.ndarray,
+             top: np.ndarray, key: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Gumbel maxima of the sets that leave at these places, below their document's current one."""
+    p, node = lattice.edge.at["p"][paths.edge[slots]], paths.node[slots]
+    with np.errstate(divide="ignore"):
+        mass = np.where(lattice.node.at["count"][node] > 1, np.log1p(-np.minimum(p, 1.0)), -np.inf)
+        if paths.rest:
+            for k in np.flatnonzero(slots == paths.forced[doc]).tolist():
+                left = paths.rest.get(int(doc[k]))
+                if left is not None:
+                    mass[k] = np.log(left) if left > 0 else -np.inf
+    mass[slots < paths.own[doc]] = -np.inf
     u = _uniform(key[doc], place[paths.token[slots]] * _PLACE + paths.step[slots])
-    g = paths.phi[slots] - np.log(-np.log(u))
-    paths.value[slots] = -np.logaddexp(-top[doc], -g)
+    g = paths.before[slots] + mass - np.log(-np.log(u))
+    return -np.logaddexp(-top[doc], -g)
 
 
 def sample_texts(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int) -> list[Samples]:
@@ -340,9 +383,10 @@ def sample_texts(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int) -
     doc = np.repeat(np.arange(n_docs), counts)
     place = np.arange(len(unit)) - (np.cumsum(counts) - counts)[doc]
     last = lattice.unit.at["last"][unit]
-    p_of, back, first_edge, n_edges = (lattice.edge.at["p"], lattice.edge.at["back"],
-                                       lattice.node.at["edge"], lattice.node.at["count"])
-    salt = [mix64(keys + np.uint64(3 * j + 1) * _ODD) for j in range(3 * (k + 1))]
+    p_of, logs_of, back = (lattice.edge.at[x] for x in ("p", "log", "back"))
+    first_edge, n_edges = lattice.node.at["edge"], lattice.node.at["count"]
+    starts_of = np.concatenate([[0], np.cumsum(counts)])
+    salt = [mix64(keys + np.uint64((3 * j + 1) * int(_ODD) % 2**64)) for j in range(3 * (k + 1))]
     top = -np.log(-np.log(_uniform(salt[0], np.zeros(n_docs, dtype=np.int64))))
     found: list[Samples] = [[] for _ in range(n_docs)]
     done: list[_Paths] = []
@@ -383,55 +427,56 @@ def sample_texts(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int) -
         walked = _walk(lattice, token, unit[token], node, step, salt[3 * j + 1][doc[token]],
                        place[token])
         token, step, node, edge = (np.concatenate([*x, y]) for x, y in zip(parts, walked))
-        order = np.argsort(token * _PLACE + step, kind="stable")
-        token, step, node, edge = (x[order] for x in (token, step, node, edge))
-        owner = doc[token]
-        bounds = np.searchsorted(owner, np.arange(n_docs + 1))
-        p = p_of[edge]
-        logs = np.log(p)
-        run = np.concatenate([[0.0], np.cumsum(logs)])
-        before = run[:-1] - run[bounds[:-1]][owner]
-        with np.errstate(divide="ignore"):
-            phi = before + np.where(n_edges[node] > 1, np.log1p(-np.minimum(p, 1.0)), -np.inf)
-        here = np.full(n_docs, -1, dtype=np.int64)
+        many = np.bincount(token, minlength=len(unit))
+        at = (np.cumsum(many) - many)[token] + step
+        bounds = np.concatenate([[0], np.cumsum(many)])[starts_of]
+        ordered = []
+        for x in (token, step, node, edge):
+            y = np.empty_like(x)
+            y[at] = x
+            ordered.append(y)
+        token, step, node, edge = ordered
+        run = np.concatenate([[0.0], np.cumsum(logs_of[edge])])
+        before = run[:-1] - np.repeat(run[bounds[:-1]], np.diff(bounds))
+        own, here, rest = bounds[:-1].copy(), np.full(n_docs, -1, dtype=np.int64), {}
         for d in np.flatnonzero(live & (source >= 0)).tolist():
             at = int(bounds[d] + slot[d] - done[source[d]].bounds[d])
-            here[d] = at
-            phi[bounds[d]:at] = -np.inf
-            mass = 1.0 - float(p_of[taken[d]].sum()) - float(p[at])
+            own[d] = here[d] = at
             spare = n_edges[node[at]] > len(taken[d]) + 1
-            phi[at] = before[at] + np.log(mass) if spare and mass > 0 else -np.inf
-        path = _Paths(token, step, node, edge, bounds, before, phi,
-                      np.full(len(token), -np.inf), np.full(n_docs, -np.inf), here, dict(taken))
-        near = phi >= _NEAR
-        slots = np.flatnonzero(near)
-        _gumbels(path, slots, owner[slots], top, salt[3 * j + 2], place)
-        rest = np.flatnonzero(~near & (phi > -np.inf))
-        np.maximum.at(path.far, owner[rest], phi[rest] + _TOP_GUMBEL)
+            rest[d] = (1.0 - float(p_of[taken[d]].sum()) - float(p_of[edge[at]])) if spare else 0.0
+        near = np.flatnonzero(before >= _NEAR)
+        path = _Paths(token, step, node, edge, bounds, before, own, rest, near, near, live.copy(),
+                      here, dict(taken))
+        who = doc[token[near]]
+        path.value = _gumbels(lattice, path, near, who, top, salt[3 * j + 2], place)
+        path.far &= np.diff(bounds) > np.bincount(who, minlength=n_docs)
         done.append(path)
         log_prob = run[bounds[1:]] - run[bounds[:-1]]
         drawn.append((live.copy(), top.copy(), log_prob, *_ids(lattice, path)))
         # the greatest set left on each agenda
         best = np.full(n_docs, -np.inf)
         for b, path in enumerate(done):
-            size = np.diff(path.bounds)
-            some = np.flatnonzero(size)
-            if not len(some):
-                continue
+            who = doc[path.token[path.near]]
             most = np.full(n_docs, -np.inf)
-            most[some] = np.maximum.reduceat(path.value, path.bounds[some])
-            # a set not yet drawn might be greater: draw them all for that document
-            for d in np.flatnonzero(live & (path.far > np.maximum(most, best))).tolist():
-                lo, hi = path.bounds[d], path.bounds[d + 1]
-                more = lo + np.flatnonzero((path.phi[lo:hi] < _NEAR)
-                                           & (path.phi[lo:hi] > -np.inf))
-                _gumbels(path, more, np.full(len(more), d), drawn[b][1], salt[3 * b + 2], place)
-                path.far[d] = -np.inf
-                most[d] = path.value[lo:hi].max()
-            for d in np.flatnonzero(live & (most > best)).tolist():
+            np.maximum.at(most, who, path.value)
+            # what is not drawn is below the bound; above it, draw all for that document
+            late = np.flatnonzero(live & path.far & (np.maximum(most, best) < _NEAR + _TOP_GUMBEL))
+            for d in late.tolist():
                 lo, hi = path.bounds[d], path.bounds[d + 1]
-                best[d], source[d] = most[d], b
-                slot[d] = lo + int(path.value[lo:hi].argmax())
+                more = lo + np.flatnonzero(path.before[lo:hi] < _NEAR)
+                value = _gumbels(lattice, path, more, np.full(len(more), d), drawn[b][1],
+                                 salt[3 * b + 2], place)
+                path.near = np.concatenate([path.near, more])
+                path.value = np.concatenate([path.value, value])
+                path.far[d] = False
+            if len(late):
+                who = doc[path.token[path.near]]
+                np.maximum.at(most, who, path.value)
+            better = live & (most > best)
+            source[better] = b
+            best[better] = most[better]
+            first = np.flatnonzero(better[who] & (path.value == most[who]))
+            slot[who[first]] = path.near[first]
         live &= best > -np.inf
         top = np.where(live, best, -np.inf)  # after the last round: the threshold
         if j + 1 == k:
@@ -439,8 +484,7 @@ def sample_texts(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int) -
         taken = {}
         for d in np.flatnonzero(live).tolist():
             path, at = done[source[d]], int(slot[d])
-            path.value[at] = -np.inf
-            path.phi[at] = -np.inf
+            path.value[path.near == at] = -np.inf
             already = [int(path.edge[at])]
             if path.forced[d] == at:
                 already += path.taken[d]
