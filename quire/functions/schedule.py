@@ -48,9 +48,12 @@ def gpt_param_count(vocab_size, block_size, n_layer, n_embd, bias=False,
 
 
 def mfu(n_params, n_layer, n_head, n_embd, block_size, fwdbwd_per_iter, dt_seconds) -> Column:
-    """``(6N + 12 L H Q T) * T * fwdbwd / dt / 312e12`` with ``Q = n_embd // n_head``."""
+    """``(6N + 12 L H Q T) * T * fwdbwd / dt / 312e12`` with ``Q = n_embd // n_head``.
+
+    Steps that share a timestamp (``dt = 0``) have no utilisation (NULL).
+    """
     n, l, h, c, t, f = (_c(x).cast("double") for x in
                         (n_params, n_layer, n_head, n_embd, block_size, fwdbwd_per_iter))
     q = F.floor(c / h).cast("double")
     per_token = 6 * n + 12 * l * h * q * t
-    return per_token * t * f / _c(dt_seconds).cast("double") / F.lit(PEAK_FLOPS)
+    return F.try_divide(per_token * t * f, _c(dt_seconds).cast("double")) / F.lit(PEAK_FLOPS)

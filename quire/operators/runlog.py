@@ -8,9 +8,7 @@ third of all rows is split over buckets of its iterations.
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,7 +45,8 @@ def mark_improvements(df: DataFrame, run_col: str = "run_id", iter_col: str = "i
                            partition_by=[run_col], inclusive=False, n_buckets=n_buckets,
                            reuse_bucket=True, keep_bucket=True)
     out = out.withColumn("best_before", F.coalesce("best_before", F.lit(INITIAL_BEST)))
-    return out.withColumn("improved", F.col(val_col) < F.col("best_before"))
+    return out.withColumn("improved", F.coalesce(F.col(val_col) < F.col("best_before"),
+                                                 F.lit(False)))
 
 
 def with_patience(marked: DataFrame, run_col: str = "run_id", iter_col: str = "iter",
@@ -71,6 +70,13 @@ def with_patience(marked: DataFrame, run_col: str = "run_id", iter_col: str = "i
     return out.drop("_pos") if pos_col == "_pos" else out
 
 
+def _earliest_minimum(val_col: str, iter_col: str) -> Column:
+    """Struct ``(v, i)`` of the least non-null value, the earliest on ties."""
+    value = F.col(val_col)
+    return F.min(F.when(value.isNotNull() & ~F.isnan(value),
+                        F.struct(value.alias("v"), F.col(iter_col).alias("i"))))
+
+
 def early_stop(marked: DataFrame, limit: int, run_col: str = "run_id", iter_col: str = "iter",
                val_col: str = "val_loss", pos_col: str | None = None) -> DataFrame:
     """Per run the stop iteration (first patience >= limit; none when limit = 0),
@@ -81,9 +87,10 @@ def early_stop(marked: DataFrame, limit: int, run_col: str = "run_id", iter_col:
             F.min(F.when(F.col("patience") >= limit, F.col(iter_col))).alias("stop_iter"))
     else:
         stops = p.select(run_col).distinct().withColumn("stop_iter", F.lit(None).cast("bigint"))
+    # one row per run on the other side: a hot run's rows are split by the skew join
     upto = p.join(stops, run_col).where(
         F.col("stop_iter").isNull() | (F.col(iter_col) <= F.col("stop_iter")))
-    best = F.min(F.struct(F.col(val_col).alias("v"), F.col(iter_col).alias("i")))
+    best = _earliest_minimum(val_col, iter_col)
     return upto.groupBy(run_col).agg(
         F.first("stop_iter").alias("stop_iter"),
         F.count(F.lit(1)).cast("bigint").alias("n_evals"),
@@ -96,7 +103,7 @@ def checkpoints(marked: DataFrame, always_save: bool = False, run_col: str = "ru
     """Saves happen at improvements when ``always_save or iter > 0``; the best is the
     earliest minimum; the final save (last iteration) is reported apart."""
     save = F.col("improved") & (F.lit(always_save) | (F.col(iter_col) > 0))
-    best = F.min(F.struct(F.col(val_col).alias("v"), F.col(iter_col).alias("i")))
+    best = _earliest_minimum(val_col, iter_col)
     return marked.groupBy(run_col).agg(
         F.count(F.lit(1)).cast("bigint").alias("n_evals"),
         F.sum(F.col("improved").cast("int")).cast("bigint").alias("n_improvements"),
@@ -121,28 +128,57 @@ def step_time(df: DataFrame, run_col: str = "run_id", order_cols: list[str] | No
     return out.drop("_idx") if idx_col == "_idx" else out
 
 
+# Rows (or maps) composed in one group of the smoothed-value scan.
+FOLD_GROUP = 64
+
+
+def _through(items, start):
+    """Value after the affine maps ``(a, c)`` of ``items`` in order, from ``start``."""
+    return F.aggregate(items, start, lambda e, m: m["a"] * e + m["c"])
+
+
 def ema(df: DataFrame, value_col: str, run_col: str = "run_id", pos_col: str = "pos",
-        alpha: float = 0.1, out_col: str = "ema", horizon: int | None = None) -> DataFrame:
+        alpha: float = 0.1, out_col: str = "ema", group: int = FOLD_GROUP) -> DataFrame:
     """``e0 = x0; e = (1 - alpha) * e + alpha * x`` in ``pos`` order per run.
 
-    ``pos`` is the dense 0-based position inside the run.  A value older than
-    ``horizon`` rows weighs less than 2^-60, so each row folds only its last
-    ``horizon + 1`` values (exact when the frame reaches position 0).  Rows are
-    bucketed by ``pos div horizon`` and the previous bucket is copied in as a
-    halo, so no group exceeds ``2 * horizon`` rows even for a huge run.
+    ``pos`` is the dense 0-based position inside the run.  Every row is the affine
+    map ``e -> (1 - alpha) e + alpha x``; ``group`` consecutive maps compose to one, and
+    so on upwards until a run has a single map.  Going down again each group gets
+    the exact value that enters it, so a row's value rests on its whole past and no
+    group ever holds more than ``group`` maps, however long the run.
     """
-    keep = 1.0 - alpha
-    k = horizon or int(math.ceil(60 * math.log(2) / -math.log(keep)))
-    b = F.floor(F.col(pos_col) / k).cast("bigint")
-    own = df.withColumn("_b", b).withColumn("_halo", F.lit(False))
-    halo = df.withColumn("_b", b + 1).withColumn("_halo", F.lit(True))
-    both = own.unionByName(halo)
-    w = Window.partitionBy(run_col, "_b").orderBy(pos_col).rowsBetween(-k, 0)
-    vals = F.collect_list(F.col(value_col).cast("double")).over(w)
-    folded = both.withColumn("_vals", vals).where(~F.col("_halo"))
-    fold = F.aggregate(F.slice("_vals", 2, k + 1), F.get(F.col("_vals"), 0),
-                       lambda e, x: F.lit(keep) * e + F.lit(alpha) * x)
-    return folded.withColumn(out_col, fold).drop("_b", "_halo", "_vals")
+    keep, x = F.lit(1.0 - alpha), F.col(value_col).cast("double")
+    longest = df.agg(F.max(pos_col)).first()[0]
+    depth, span = 1, group
+    while longest is not None and longest >= span:
+        depth, span = depth + 1, span * group
+    level = df.select(F.col(run_col).alias("_run"), F.col(pos_col).alias("_at"),
+                      keep.alias("a"), (F.lit(alpha) * x).alias("c"))
+    groups = []
+    for _ in range(depth):
+        maps = F.sort_array(F.collect_list(F.struct("_at", "a", "c")))
+        grouped = level.groupBy("_run", F.floor(F.col("_at") / group).alias("_up")).agg(
+            maps.alias("_maps"))
+        groups.append(grouped)
+        level = grouped.select(
+            "_run", F.col("_up").alias("_at"),
+            F.aggregate("_maps", F.lit(1.0), lambda p, m: p * m["a"]).alias("a"),
+            _through(F.col("_maps"), F.lit(0.0)).alias("c"))
+    # the value entering the first map of a run is its first value
+    entering = df.where(F.col(pos_col) == 0).select(
+        F.col(run_col).alias("_run"), F.lit(0).cast("bigint").alias("_up"), x.alias("_in"))
+    for grouped in reversed(groups):
+        seen = F.transform("_maps", lambda m, i: F.struct(
+            m["_at"].alias("_at"),
+            _through(F.slice("_maps", F.lit(1), i), F.col("_in")).alias("_in"),
+            m["a"].alias("a"), m["c"].alias("c")))
+        entering = (grouped.join(entering, ["_run", "_up"])
+                    .select("_run", F.explode(seen).alias("_m"))
+                    .select("_run", F.col("_m._at").alias("_up"), F.col("_m._in").alias("_in"),
+                            (F.col("_m.a") * F.col("_m._in") + F.col("_m.c")).alias("_e")))
+    found = entering.select(F.col("_run").alias(run_col), F.col("_up").alias(pos_col),
+                            F.col("_e").alias(out_col))
+    return df.join(found, [run_col, pos_col], "left").select(*df.columns, out_col)
 
 
 def step_loss(df: DataFrame, run_cols: list[str], loss_col: str = "loss") -> DataFrame:

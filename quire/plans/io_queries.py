@@ -13,12 +13,15 @@ from quire.session import scratch_path
 from quire.sources.tokenbin import read_token_stream, write_sft_bins, write_token_stream
 
 SPLITS = ("train", "val")
+# Every term of the checksum is taken modulo this prime, so the sums stay far from 2^63.
+PRIME = 1_000_003
 
 
 def _stream_stats(df, split, value_shift=0, prefix=""):
     """Per-split totals of a read-back stream ``(offset, tokens)``."""
     weighted = F.aggregate(
-        F.transform("tokens", lambda x, i: (x.cast("bigint") + value_shift) * (F.col("offset") + i + 1)),
+        F.transform("tokens", lambda x, i: (x.cast("bigint") + value_shift)
+                    * ((F.col("offset") + i + 1) % PRIME) % PRIME),
         F.lit(0).cast("bigint"), lambda a, v: a + v)
     total = F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint"))
     return df.select(F.lit(split).alias("split"), F.size("tokens").alias("n"),
@@ -31,7 +34,7 @@ def _stream_stats(df, split, value_shift=0, prefix=""):
 @query("tokenbin_roundtrip", oracle=f"""
 WITH {TOKENS_CTE.strip()}
 SELECT split, count(*)::BIGINT AS n_tokens, sum(tok)::BIGINT AS token_sum,
-       sum(tok * (pos + 1))::BIGINT AS checksum
+       sum(tok * ((pos + 1) % {PRIME}) % {PRIME})::BIGINT AS checksum
 FROM t GROUP BY split""")
 def q_tokenbin_roundtrip(spark, sf_dir):
     """Write each split as uint16 part files, read back, fingerprint."""
@@ -59,9 +62,9 @@ t AS (
          CASE WHEN i < len(seq) - 1 AND i + 1 >= prompt_len THEN seq[i + 2] ELSE -1 END AS lab
   FROM (SELECT *, unnest(range(len(seq))) AS i FROM o))
 SELECT split, count(*)::BIGINT AS n_tokens, sum(tok)::BIGINT AS token_sum,
-       sum(tok * (pos + 1))::BIGINT AS checksum,
+       sum(tok * ((pos + 1) % {PRIME}) % {PRIME})::BIGINT AS checksum,
        count(*)::BIGINT AS lab_n_tokens, sum(lab)::BIGINT AS lab_token_sum,
-       sum((lab + 1) * (pos + 1))::BIGINT AS lab_checksum
+       sum((lab + 1) * ((pos + 1) % {PRIME}) % {PRIME})::BIGINT AS lab_checksum
 FROM t GROUP BY split""")
 def q_sft_bins_roundtrip(spark, sf_dir):
     """K2 S3: aligned uint16 tokens and int32 labels per split, written and read back."""

@@ -23,7 +23,8 @@ GEN_SEED = 1234
 TEMPERATURE = 0.7
 TOP_K = 200
 MAX_NEW = 200
-EVAL_BATCHES = 8
+# Fixed value: batches per split of one evaluation.
+EVAL_BATCHES = 200
 BATCH = 4
 BLOCK = 512
 
@@ -174,11 +175,11 @@ def q_generate(spark, sf_dir):
 
 @query("generate_greedy", oracle=f"""
 WITH RECURSIVE {PAIRS_SQL.strip()},
-best AS (
+best AS MATERIALIZED (
   SELECT prev, nxt FROM (
     SELECT prev, nxt, row_number() OVER (PARTITION BY prev ORDER BY c DESC, nxt) AS r FROM tr)
   WHERE r = 1),
-pp AS (
+pp AS MATERIALIZED (
   SELECT conv_id, turn FROM (
     SELECT conv_id, turn, role,
            lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt_role FROM conversations)

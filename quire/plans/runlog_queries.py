@@ -136,7 +136,7 @@ WITH s AS (
 n AS (SELECT ({VOCAB} * 768 + 12 * (12 * 768 * 768 + 2 * 768) + 768)::DOUBLE AS n_params)
 SELECT run_id, iter,
        CASE WHEN iter < 5 OR dt IS NULL THEN NULL
-            ELSE round((6 * n_params + 12 * 12 * 12 * 64 * 512) * 512 * {4 * 48} / dt / 312e12, 12)
+            ELSE round((6 * n_params + 12 * 12 * 12 * 64 * 512) * 512 * {4 * 48} / nullif(dt, 0) / 312e12, 12)
        END AS mfu
 FROM s, n""")
 def q_mfu(spark, sf_dir):
@@ -170,6 +170,26 @@ def q_ema(spark, sf_dir):
     return out.select("run_id", "iter", F.round("running_mfu", 9).alias("running_mfu"))
 
 
+EMA_EVERY = 97
+
+
+@query("ema_long", oracle=f"""
+WITH r AS (
+  SELECT value / 100.0 AS x, row_number() OVER (ORDER BY ts, event_id) - 1 AS iter FROM events),
+l AS (SELECT list(x ORDER BY iter) AS xs FROM r)
+SELECT iter, round(list_reduce(xs[1:iter + 1], lambda e, v: 0.9 * e + 0.1 * v), 9) AS smoothed
+FROM r, l WHERE iter % {EMA_EVERY} = 0""")
+def q_ema_long(spark, sf_dir):
+    """R6 over one run that holds every event: the value is carried over its whole length."""
+    ev = table(spark, sf_dir, "events").select(
+        F.lit(0).cast("bigint").alias("run_id"), "ts", "event_id", (F.col("value") / 100.0).alias("x"))
+    run = row_index(ev, ["run_id"], ["ts", "event_id"], "pos", keep_bucket=True).select(
+        "run_id", "pos", "x")
+    out = ema(run, "x", alpha=0.1, out_col="smoothed")
+    return out.where(F.col("pos") % EMA_EVERY == 0).select(
+        F.col("pos").alias("iter"), F.round("smoothed", 9).alias("smoothed"))
+
+
 @query("at_interval", oracle=f"""
 SELECT run_id, iter, val_loss FROM (
   SELECT user_id AS run_id, value AS val_loss,

@@ -8,12 +8,15 @@ from quire.functions.arrays import array_sum
 from quire.operators.report import corpus_report
 from quire.plans.corpus_queries import BUDGET
 from quire.plans.registry import ORACLES, query, table
-from quire.plans.runlog_queries import PATIENCE
+from quire.plans.runlog_queries import PATIENCE, _runs
 from quire.session import scratch_path, ship_package
 from quire.streaming.early_stop import stream_early_stop
-from quire.streaming.ingest import BUDGET_FILES, file_stream, stage_in_order, stream_budget, \
+from quire.streaming.ingest import arrival_files, file_stream, stage_in_order, stream_budget, \
     stream_tokenize
 
+# Fixed value: iterations between two evaluations.
+EVAL_EVERY = 200
+
 
 def _docs_schema(spark, sf_dir):
     return table(spark, sf_dir, "documents").schema
@@ -42,22 +45,17 @@ def q_stream_budget(spark, sf_dir):
     ship_package(spark)
     root = scratch_path(spark, "st2")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    stage_in_order(docs, "doc_id", BUDGET_FILES, f"{root}/arrivals")
+    stage_in_order(docs, "doc_id", arrival_files(docs), f"{root}/arrivals")
     src = file_stream(spark, f"{root}/arrivals", docs.schema, max_files_per_trigger=1)
     stream_budget(src, BUDGET, f"{root}/out", f"{root}/ledger", f"{root}/_checkpoint")
     return spark.read.parquet(f"{root}/out").select("doc_id", "split", "n_tokens", "budget_start")
 
 
-@query("stream_early_stop", oracle=ORACLES["early_stop"])
-def q_stream_early_stop(spark, sf_dir):
-    """ST3: events arriving in time order; per-run early stop held in streaming state."""
-    ship_package(spark)
-    root = scratch_path(spark, "st3")
-    ev = table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("run_id"), "ts", "event_id", F.col("value").alias("val_loss"))
-    stage_in_order(ev, "ts", BUDGET_FILES, f"{root}/arrivals")
-    src = file_stream(spark, f"{root}/arrivals", ev.schema, max_files_per_trigger=1)
-    summary = stream_early_stop(src, PATIENCE, "run_id", ["ts", "event_id"], "val_loss")
+def _stream_stops(spark, log, root):
+    """Arrivals of ``log(run_id, iter, val_loss)`` in iteration order -> latest summary per run."""
+    stage_in_order(log, "iter", arrival_files(log), f"{root}/arrivals")
+    src = file_stream(spark, f"{root}/arrivals", log.schema, max_files_per_trigger=1)
+    summary = stream_early_stop(src, PATIENCE)
 
     def sink(batch, batch_id):
         batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite") \
@@ -67,6 +65,26 @@ def q_stream_early_stop(spark, sf_dir):
          .option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
     out = spark.read.parquet(f"{root}/out")
-    latest = out.groupBy("run_id").agg(F.max_by(F.struct("stop_iter", "n_evals", "best_val",
-                                                         "best_iter"), F.col("n_seen")).alias("s"))
-    return latest.select("run_id", "s.stop_iter", "s.n_evals", "s.best_val", "s.best_iter")
+    latest = out.groupBy("run_id").agg(F.max_by(F.struct(
+        "stop_iter", "n_evals", "best_val", "best_iter", "n_late"), F.col("n_seen")).alias("s"))
+    return latest.select("run_id", "s.stop_iter", "s.n_evals", "s.best_val", "s.best_iter",
+                         "s.n_late")
+
+
+@query("stream_early_stop", oracle=ORACLES["early_stop"])
+def q_stream_early_stop(spark, sf_dir):
+    """ST3: evaluations arriving in iteration order; per-run early stop in streaming state."""
+    ship_package(spark)
+    runs = _runs(spark, sf_dir).select("run_id", "iter", "val_loss")
+    return _stream_stops(spark, runs, scratch_path(spark, "st3")).drop("n_late")
+
+
+@query("stream_early_stop_sparse", oracle=f"""
+SELECT run_id, stop_iter * {EVAL_EVERY} AS stop_iter, n_evals, best_val,
+       best_iter * {EVAL_EVERY} AS best_iter FROM ({ORACLES["early_stop"]})""")
+def q_stream_early_stop_sparse(spark, sf_dir):
+    """ST3 on a log evaluated every 200 iterations; iterations, not positions, are reported."""
+    ship_package(spark)
+    runs = _runs(spark, sf_dir).select(
+        "run_id", (F.col("iter") * EVAL_EVERY).alias("iter"), "val_loss")
+    return _stream_stops(spark, runs, scratch_path(spark, "st3s")).drop("n_late")

@@ -1,23 +1,27 @@
 """``tokenbin`` - flat headerless token files as a Spark data source.
 
-Format: a directory of part files ``part-00000.bin, part-00001.bin, ...``, each a
-headerless little-endian array (``<u2`` tokens or ``<i4`` labels).  Concatenated
-in name order they are exactly the reference's ``train.bin`` / ``*_labels.bin``.
-``_manifest.json`` lists the parts with their token counts, ``token_meta.json`` is
-the token metadata sidecar (vocab size, end-of-text id, dtype, token count).
-A single raw file (as written by the reference) can be read too.
-
-Write: rows carry their stream offset; each task writes one segment file per
-run of contiguous offsets under ``_attempts/`` (names include the attempt), and
-the driver's ``commit`` orders the committed segments by offset, checks that
-they tile the stream, and publishes them with the manifest; ``abort`` removes
-attempts.  Speculative or retried tasks therefore never leave duplicate data,
-and no range-partitioning sample pass is needed.  The path must be shared storage on a
-cluster (any ``pyarrow.fs`` URI).
+Format: a directory of part files ``part-<offset>-<attempt>.bin``, each a headerless
+little-endian array (``<u2`` tokens or ``<i4`` labels) that starts at that offset of
+the stream.  ``_manifest.json`` lists the parts in order with their token counts and
+the dtype; the listed parts concatenated are exactly the flat file.
+``token_meta.json`` is the token metadata sidecar (vocab size, end-of-text id, dtype,
+token count).  A single raw file, or a directory of raw files taken in name order,
+can be read too.
+
+Write: rows carry their stream offset; each task writes one part per run of
+contiguous offsets, under its final name (names include the attempt).  The driver's
+``commit`` orders the parts by offset, checks that they tile the stream from its
+beginning, and publishes them by writing the manifest; what the manifest does not
+list (parts of an overwritten stream, of failed attempts) is deleted after that.
+Nothing is moved, and speculative or retried tasks never leave duplicate data.
+``append`` continues the stream of an existing manifest: its rows' offsets go on
+where that ends.  The path must be shared storage on a cluster (any
+``pyarrow.fs`` URI).
 
 Read: one input partition per byte range of ``chunk_tokens`` tokens, rows of
 ``row_tokens`` tokens: ``(file, part, offset, tokens)`` where ``offset`` is the
-global position in the stream.
+global position in the stream.  The dtype is the manifest's; an option that says
+otherwise is an error, and without a manifest the default is uint16.
 """
 
 from __future__ import annotations
@@ -52,23 +56,33 @@ def _fs(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+def _manifest(filesystem, root: str) -> dict | None:
+    from pyarrow import fs as pafs
+
+    man = f"{root.rstrip('/')}/_manifest.json"
+    if filesystem.get_file_info(man).type != pafs.FileType.File:
+        return None
+    with filesystem.open_input_stream(man) as fh:
+        return json.loads(fh.read().decode())
+
+
 def _list_parts(path: str):
-    """(file, n_tokens_or_None) in stream order, and the dtype recorded in the manifest."""
+    """(file, n_bytes) in stream order, and the dtype recorded in the manifest."""
     from pyarrow import fs as pafs
 
     filesystem, root = _fs(path)
     info = filesystem.get_file_info(root)
     if info.type == pafs.FileType.File:
         return filesystem, [(root, info.size)], None
-    man = f"{root.rstrip('/')}/_manifest.json"
-    if filesystem.get_file_info(man).type == pafs.FileType.File:
-        with filesystem.open_input_stream(man) as fh:
-            m = json.loads(fh.read().decode())
+    m = _manifest(filesystem, root)
+    if m is not None:
         return filesystem, [(f"{root.rstrip('/')}/{p['file']}", p["bytes"]) for p in m["parts"]], \
             m.get("dtype")
     sel = pafs.FileSelector(root, recursive=False)
     files = sorted((i.path, i.size) for i in filesystem.get_file_info(sel)
                    if i.type == pafs.FileType.File and i.base_name.endswith(".bin"))
+    if not files:
+        raise FileNotFoundError(f"no token files in {path}")
     return filesystem, files, None
 
 
@@ -79,33 +93,36 @@ class _Range(InputPartition):
     first: int       # first token inside the file
     count: int       # tokens in this range
     base: int        # global offset of the file's first token
+    dtype: str = "uint16"
 
 
 class TokenBinReader(DataSourceReader):
     def __init__(self, options, schema):
         self.path = options["path"]
-        self.dtype = options.get("dtype", "uint16")
+        self.dtype = options.get("dtype")
         self.chunk = int(options.get("chunk_tokens", str(1 << 24)))
         self.row_tokens = int(options.get("row_tokens", str(1 << 16)))
 
     def partitions(self):
         _fs_, files, man_dtype = _list_parts(self.path)
-        dt = DTYPES[man_dtype or self.dtype][0]
-        width = np.dtype(dt).itemsize
+        if man_dtype and self.dtype and man_dtype != self.dtype:
+            raise ValueError(f"{self.path} holds {man_dtype}, not {self.dtype}")
+        dtype = man_dtype or self.dtype or "uint16"
+        width = np.dtype(DTYPES[dtype][0]).itemsize
         out, base = [], 0
         for part, (f, nbytes) in enumerate(files):
             if nbytes % width:
                 raise ValueError(f"{f}: size {nbytes} is not a multiple of {width}")
             n = nbytes // width
             for first in range(0, n, self.chunk):
-                out.append(_Range(f, part, first, min(self.chunk, n - first), base))
+                out.append(_Range(f, part, first, min(self.chunk, n - first), base, dtype))
             base += n
         return out or [_Range("", -1, 0, 0, 0)]
 
     def read(self, partition: _Range):
         if partition.count == 0:
             return
-        dt = DTYPES[self.dtype][0]
+        dt = DTYPES[partition.dtype][0]
         width = np.dtype(dt).itemsize
         filesystem, _ = _fs(self.path)
         with filesystem.open_input_file(partition.file) as fh:
@@ -125,7 +142,7 @@ class TokenBinReader(DataSourceReader):
 
 @dataclass
 class _Written(WriterCommitMessage):
-    files: list          # [(route, first_offset, attempt_file, n_tokens, n_bytes)]
+    files: list          # [(folder, first_offset, file, n_tokens, n_bytes)]
 
 
 class TokenBinWriter(DataSourceArrowWriter):
@@ -133,18 +150,18 @@ class TokenBinWriter(DataSourceArrowWriter):
 
     Rows carry their stream offset (option ``offset_col``, default ``start``) and
     arrive sorted by ``(route, offset)`` inside each task; any partitioning is
-    fine.  A task writes one segment file per run of contiguous offsets, and the
-    driver's ``commit`` orders all segments by offset, checks that they tile the
-    stream without gap or overlap, and publishes them as ``part-00000.bin, ...``.
-    With option ``route_col`` (e.g. ``split``) every value gets its own stream
-    under ``path/<value>/`` - one job writes train and val, as the reference
-    routes each document to one of two files.
+    fine.  With option ``route_col`` (e.g. ``split``) every value gets its own stream
+    under ``path/<value>/`` - one job writes train and val.  Several aligned columns
+    (``column="tokens,labels"``, ``dtype="uint16,int32"``) are written by the same job,
+    each below ``path/<column>/``.
     """
 
     def __init__(self, options, schema, overwrite):
         self.path = options["path"].rstrip("/")
-        self.dtype = options.get("dtype", "uint16")
-        self.column = options.get("column", "tokens")
+        self.columns = options.get("column", "tokens").split(",")
+        self.dtypes = options.get("dtype", "uint16").split(",")
+        if len(self.dtypes) != len(self.columns):
+            raise ValueError("one dtype per column is needed")
         self.offset_col = options.get("offset_col", "start")
         self.route_col = options.get("route_col")
         self.routes = [r for r in options.get("routes", "").split(",") if r]
@@ -152,8 +169,9 @@ class TokenBinWriter(DataSourceArrowWriter):
         self.eot_id = options.get("eot_id")
         self.overwrite = overwrite
 
-    def _dir(self, root: str, route) -> str:
-        return root if route is None else f"{root}/{route}"
+    def _folder(self, root: str, column: str, route) -> str:
+        several = [column] if len(self.columns) > 1 else []
+        return "/".join([root, *several, *([] if route is None else [str(route)])])
 
     def write(self, iterator):
         from pyspark import TaskContext
@@ -161,94 +179,113 @@ class TokenBinWriter(DataSourceArrowWriter):
         ctx = TaskContext.get()
         tag = f"{ctx.partitionId() if ctx else 0}-{ctx.attemptNumber() if ctx else 0}-" \
               f"{uuid.uuid4().hex[:8]}"
-        dt, lo, hi = DTYPES[self.dtype]
-        width = np.dtype(dt).itemsize
         filesystem, root = _fs(self.path)
-        done, cur = [], None   # cur = [route, first, next_expected, stream, name, n]
+        kinds = [DTYPES[d] for d in self.dtypes]
+        done: list = []
+        open_streams: list = []        # [(folder, file, stream, width)] of the current run
+        route, first, expected = None, 0, -1
 
         def close():
-            if cur is not None:
-                cur[3].close()
-                done.append((cur[0], cur[1], cur[4], cur[5], cur[5] * width))
+            for folder, name, stream, width in open_streams:
+                stream.close()
+                n = expected - first
+                done.append((folder, first, name, n, n * width))
+            open_streams.clear()
 
         try:
             for batch in iterator:
-                col = batch.column(batch.schema.get_field_index(self.column))
-                starts = batch.column(batch.schema.get_field_index(self.offset_col)) \
-                    .to_numpy(zero_copy_only=False)
-                routes = (batch.column(batch.schema.get_field_index(self.route_col)).to_pylist()
-                          if self.route_col else [None] * batch.num_rows)
-                offs = col.offsets.to_numpy()
-                vals = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                if len(vals) and (vals.min() < lo or vals.max() > hi):
-                    raise ValueError(
-                        f"token id outside [{lo}, {hi}] cannot be stored as {self.dtype}")
-                rel = offs - offs[0]
-                for r in range(batch.num_rows):
-                    n = int(rel[r + 1] - rel[r])
-                    if n == 0:
-                        continue
-                    s0 = int(starts[r])
-                    if cur is None or cur[0] != routes[r] or cur[2] != s0:
+                at = {n: batch.schema.get_field_index(n) for n in batch.schema.names}
+                starts = batch.column(at[self.offset_col]).to_numpy(zero_copy_only=False)
+                cols = [batch.column(at[c]) for c in self.columns]
+                offs = [c.offsets.to_numpy() - c.offsets[0].as_py() for c in cols]
+                sizes = np.diff(offs[0])
+                values = []
+                for c, o, (dt, lo, hi), dtype in zip(cols, offs, kinds, self.dtypes):
+                    if (np.diff(o) != sizes).any():
+                        raise ValueError("aligned columns differ in length")
+                    v = c.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                    if len(v) and (v.min() < lo or v.max() > hi):
+                        raise ValueError(
+                            f"token id outside [{lo}, {hi}] cannot be stored as {dtype}")
+                    values.append(v.astype(dt))
+                rows = np.flatnonzero(sizes)
+                if not len(rows):
+                    continue
+                routes = (np.array(batch.column(at[self.route_col]).to_pylist(), dtype=object)[rows]
+                          if self.route_col else np.full(len(rows), None, dtype=object))
+                begin, size, rel = starts[rows], sizes[rows], offs[0][:-1][rows]
+                broken = np.ones(len(rows), dtype=bool)
+                broken[1:] = (begin[1:] != begin[:-1] + size[:-1]) | (routes[1:] != routes[:-1])
+                edges = np.append(np.flatnonzero(broken), len(rows))
+                for a, b in zip(edges[:-1], edges[1:]):   # one write per contiguous run
+                    if not open_streams or routes[a] != route or begin[a] != expected:
                         close()
-                        d = f"{self._dir(root, routes[r])}/_attempts"
-                        filesystem.create_dir(d, recursive=True)
-                        name = f"{d}/seg-{s0:020d}-{tag}.bin"
-                        cur = [routes[r], s0, s0, filesystem.open_output_stream(name), name, 0]
-                    cur[3].write(vals[rel[r]: rel[r + 1]].astype(dt).tobytes())
-                    cur[2] += n
-                    cur[5] += n
+                        route, first = routes[a], int(begin[a])
+                        for column, (dt, _, _) in zip(self.columns, kinds):
+                            folder = self._folder(root, column, route)
+                            filesystem.create_dir(folder, recursive=True)
+                            name = f"{folder}/part-{first:020d}-{tag}.bin"
+                            open_streams.append((folder, name, filesystem.open_output_stream(name),
+                                                 np.dtype(dt).itemsize))
+                    end = int(rel[b - 1] + size[b - 1])
+                    for (_, _, stream, _), v in zip(open_streams, values):
+                        stream.write(v[rel[a]:end].tobytes())
+                    expected = int(begin[b - 1] + size[b - 1])
             close()
-            cur = None
         finally:
-            if cur is not None:
-                cur[3].close()
+            for _, _, stream, _ in open_streams:
+                stream.close()
         return _Written(done)
 
     def commit(self, messages):
+        from pyarrow import fs as pafs
+
         filesystem, root = _fs(self.path)
-        by_route: dict = {}
+        routes: list = list(self.routes) if self.route_col else [None]
+        found: dict = {}
         for m in messages:
-            for route, first, f, n, nb in (m.files if m is not None else []):
-                by_route.setdefault(route, []).append((first, f, n, nb))
-        if self.route_col is None:
-            by_route.setdefault(None, [])
-        for r in self.routes:             # expected streams exist even when empty
-            by_route.setdefault(r, [])
-        for route, segs in by_route.items():
-            segs.sort()
-            expect = segs[0][0] if segs else 0
-            for first, _f, n, _nb in segs:
+            for folder, *part in (m.files if m is not None else []):
+                found.setdefault(folder, []).append(part)
+        streams = {}
+        for column, dtype in zip(self.columns, self.dtypes):
+            for r in routes:              # expected streams exist even when empty
+                streams[self._folder(root, column, r)] = (column, dtype)
+        prefix = {c: self._folder(root, c, None) + "/" for c in self.columns}
+        for folder in found:
+            column = next(c for c in self.columns if (folder + "/").startswith(prefix[c]))
+            streams.setdefault(folder, (column, self.dtypes[self.columns.index(column)]))
+        plans = []
+        for folder, (column, dtype) in streams.items():
+            old = None if self.overwrite else _manifest(filesystem, folder)
+            if old is not None and old["dtype"] != dtype:
+                raise ValueError(f"{folder} holds {old['dtype']}, cannot append {dtype}")
+            parts = list(old["parts"]) if old else []
+            expect = old["n_tokens"] if old else 0
+            for first, f, n, nb in sorted(found.get(folder, [])):
                 if first != expect:
-                    raise ValueError(f"stream {route!r}: segment at {first}, expected {expect}")
+                    raise ValueError(f"{folder}: part at {first}, expected {expect}")
                 expect = first + n
-            d = self._dir(root, route)
-            filesystem.create_dir(d, recursive=True)
-            parts = []
-            for i, (first, f, n, nb) in enumerate(segs):
-                final = f"{d}/part-{i:05d}.bin"
-                filesystem.move(f, final)
-                parts.append({"file": final.rsplit("/", 1)[1], "offset": first, "tokens": n,
+                parts.append({"file": f.rsplit("/", 1)[1], "offset": first, "tokens": n,
                               "bytes": nb})
-            total = sum(p["tokens"] for p in parts)
-            manifest = {"dtype": self.dtype, "column": self.column, "n_tokens": total,
-                        "parts": parts}
-            with filesystem.open_output_stream(f"{d}/_manifest.json") as fh:
-                fh.write(json.dumps(manifest).encode())
-            meta = {"dtype": self.dtype, "n_tokens": total,
+            plans.append((folder, column, dtype, parts, expect))
+        for folder, column, dtype, parts, total in plans:
+            filesystem.create_dir(folder, recursive=True)
+            meta = {"dtype": dtype, "n_tokens": total,
                     "vocab_size": int(self.vocab_size) if self.vocab_size else None,
                     "eot_id": int(self.eot_id) if self.eot_id else None}
-            with filesystem.open_output_stream(f"{d}/token_meta.json") as fh:
-                fh.write(json.dumps(meta).encode())
-            try:
-                filesystem.delete_dir(f"{d}/_attempts")
-            except (FileNotFoundError, OSError):
-                pass
+            for name, value in (("token_meta.json", meta), ("_manifest.json", {
+                    "dtype": dtype, "column": column, "n_tokens": total, "parts": parts})):
+                with filesystem.open_output_stream(f"{folder}/{name}") as fh:
+                    fh.write(json.dumps(value).encode())
+            listed = {p["file"] for p in parts}
+            for i in filesystem.get_file_info(pafs.FileSelector(folder, recursive=False)):
+                if i.base_name.endswith(".bin") and i.base_name not in listed:
+                    filesystem.delete_file(i.path)
 
     def abort(self, messages):
         filesystem, _root = _fs(self.path)
         for m in messages or []:
-            for _route, _first, f, _n, _nb in (m.files if m is not None else []):
+            for _folder, _first, f, _n, _nb in (m.files if m is not None else []):
                 try:
                     filesystem.delete_file(f)
                 except (FileNotFoundError, OSError):
@@ -288,9 +325,11 @@ def write_token_stream(seqs: DataFrame, path: str, column: str = "tokens", dtype
                        n_parts: int | None = None, vocab_size: int | None = None,
                        eot_id: int | None = None,
                        routes: tuple[str, ...] | None = ("train", "val"),
-                       repartition: bool = True) -> None:
+                       repartition: bool = True, mode: str = "overwrite") -> None:
     """K1/K3: write sequences as token streams in ``order_col`` order.
 
+    ``column`` and ``dtype`` may name several aligned columns, separated by commas.
+
     With ``route_col`` (``split``) one job writes every stream, each under
     ``path/<value>``, and every value in ``routes`` gets a stream even when it
     has no rows (like the reference's always-created val file); otherwise
@@ -303,7 +342,7 @@ def write_token_stream(seqs: DataFrame, path: str, column: str = "tokens", dtype
     register(spark)
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
     route = [route_col] if route_col else []
-    cols = seqs.select(*route, order_col, column)
+    cols = seqs.select(*route, order_col, *column.split(","))
     if repartition:
         # hash on (route, offset span): every span lands whole in one task, spans
         # are token-balanced by construction, and no sampling pass is needed
@@ -311,7 +350,7 @@ def write_token_stream(seqs: DataFrame, path: str, column: str = "tokens", dtype
         cols = cols.repartition(n, *route, span)
     # a local sort makes each task's rows one contiguous run per span / bucket
     ordered = cols.sortWithinPartitions(*route, order_col)
-    w = ordered.write.format("tokenbin").mode("overwrite").option("dtype", dtype) \
+    w = ordered.write.format("tokenbin").mode(mode).option("dtype", dtype) \
         .option("column", column).option("offset_col", order_col)
     if route_col:
         w = w.option("route_col", route_col)
@@ -327,22 +366,18 @@ def write_token_stream(seqs: DataFrame, path: str, column: str = "tokens", dtype
 def write_sft_bins(seqs: DataFrame, path: str, order_col: str = "start",
                    route_col: str | None = "split", n_parts: int | None = None,
                    repartition: bool = True) -> None:
-    """K2: aligned ``tokens`` (uint16) and ``labels`` (int32) streams, per split.
-
-    Both writes use the same range partitioning of the same ordered rows, so
-    token ``i`` and label ``i`` of a stream always describe the same position.
-    """
-    write_token_stream(seqs, f"{path.rstrip('/')}/tokens", "tokens", "uint16", order_col,
-                       route_col, n_parts, repartition=repartition)
-    write_token_stream(seqs, f"{path.rstrip('/')}/labels", "labels", "int32", order_col,
-                       route_col, n_parts, repartition=repartition)
+    """K2: aligned ``tokens`` (uint16) and ``labels`` (int32) streams, per split, in one job."""
+    write_token_stream(seqs, path, "tokens,labels", "uint16,int32", order_col, route_col, n_parts,
+                       repartition=repartition)
 
 
-def read_token_stream(spark: SparkSession, path: str, dtype: str = "uint16",
+def read_token_stream(spark: SparkSession, path: str, dtype: str | None = None,
                       chunk_tokens: int | None = None, row_tokens: int | None = None) -> DataFrame:
     """S3: ``(file, part, offset, tokens)``; a missing path raises (no dataset)."""
     register(spark)
-    r = spark.read.format("tokenbin").option("dtype", dtype)
+    r = spark.read.format("tokenbin")
+    if dtype:
+        r = r.option("dtype", dtype)
     if chunk_tokens:
         r = r.option("chunk_tokens", str(chunk_tokens))
     if row_tokens:

@@ -1,11 +1,12 @@
 """ST3: live early stopping per run with ``applyInPandasWithState``.
 
-State per run: best loss, patience, stop iteration, evaluations seen.  Each
-micro-batch's rows of a run are sorted by their order key and folded in NumPy
-(running minimum, last-improvement position), then the state is updated and
-one summary row per touched run is emitted (update mode; the latest row per
-run is the answer).  Rows arriving after the stop are counted in ``n_late``
-and otherwise ignored.
+State per run: best loss and its iteration, patience, stop iteration, the last
+iteration folded and row counts.  Each micro-batch's rows of a run are sorted by
+iteration and folded in NumPy (running minimum, last improvement), then one
+summary row per touched run is emitted (update mode; the latest row per run is
+the answer).  A row whose iteration is not past the last one folded, or past the
+stop, comes too late: it is counted in ``n_late`` and otherwise ignored, so the
+answer equals the batch form's on a log that arrives in order.
 """
 
 from __future__ import annotations
@@ -19,72 +20,73 @@ from quire.operators.runlog import INITIAL_BEST
 
 OUTPUT_SCHEMA = ("run_id long, stop_iter long, n_evals long, best_val double, best_iter long, "
                  "n_seen long, n_late long")
-STATE_SCHEMA = ("best double, best_iter long, patience long, stop_iter long, n_seen long, "
-                "n_evals long, n_late long")
+STATE_SCHEMA = ("best double, best_iter long, patience long, stop_iter long, last_iter long, "
+                "n_seen long, n_evals long, n_late long")
+# No iteration is as small: nothing folded, no best, no stop yet.
+NONE = -(2 ** 62)
 
 
-def _fold(vals: np.ndarray, first_iter: int, best: float, best_iter: int, patience: int,
+def _fold(vals: np.ndarray, iters: np.ndarray, best: float, best_iter: int, patience: int,
           limit: int):
-    """Fold a run's new evaluations; returns updated state and the stop position (or -1)."""
+    """Fold a run's new evaluations; returns updated state, the stop iteration and rows used."""
     n = len(vals)
-    prev_min = np.minimum.accumulate(np.concatenate([[best], vals]))[:-1]
-    improved = vals < prev_min
+    filled = np.where(np.isnan(vals), np.inf, vals)  # a missing loss never improves
+    prev_min = np.minimum.accumulate(np.concatenate([[best], filled]))[:-1]
+    improved = filled < prev_min
     idx = np.arange(n)
     last_imp = np.maximum.accumulate(np.where(improved, idx, -1))
     pat = np.where(last_imp >= 0, idx - last_imp, patience + idx + 1)
-    stop = -1
-    if limit > 0:
-        hits = np.flatnonzero(pat >= limit)
-        if len(hits):
-            stop = int(hits[0])
-    upto = n if stop < 0 else stop + 1
-    v, imp = vals[:upto], improved[:upto]
-    if imp.any():
-        last = int(np.flatnonzero(imp)[-1])
-        best, best_iter = float(v[last]), first_iter + last
+    hits = np.flatnonzero(pat >= limit) if limit > 0 else []
+    upto = int(hits[0]) + 1 if len(hits) else n
+    imp = np.flatnonzero(improved[:upto])
+    if len(imp):
+        best, best_iter = float(vals[imp[-1]]), int(iters[imp[-1]])
+    stop = int(iters[upto - 1]) if len(hits) else NONE
     return best, best_iter, int(pat[upto - 1]), stop, upto
 
 
-def early_stop_state_fn(limit: int, order_cols: list[str], val_col: str):
+def early_stop_state_fn(limit: int, iter_col: str, val_col: str):
     def fn(key, pdfs, state):
-        if state.exists:
-            best, best_iter, patience, stop_iter, n_seen, n_evals, n_late = state.get
-        else:
-            best, best_iter, patience, stop_iter, n_seen, n_evals, n_late = \
-                INITIAL_BEST, -1, 0, -1, 0, 0, 0
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(order_cols, kind="mergesort")
-        vals = pdf[val_col].to_numpy(dtype=np.float64)
-        if stop_iter >= 0:
-            n_late += len(vals)
-        elif len(vals):
-            best, best_iter, patience, stop, used = _fold(vals, n_seen, best, best_iter,
-                                                          patience, limit)
+        best, best_iter, patience, stop_iter, last_iter, n_seen, n_evals, n_late = (
+            state.get if state.exists else (INITIAL_BEST, NONE, 0, NONE, NONE, 0, 0, 0))
+        parts = [(p[iter_col].to_numpy(dtype=np.int64), p[val_col].to_numpy(dtype=np.float64))
+                 for p in pdfs]
+        iters = np.concatenate([i for i, _ in parts])
+        vals = np.concatenate([v for _, v in parts])
+        n_seen += len(iters)
+        order = np.argsort(iters, kind="stable")
+        iters, vals = iters[order], vals[order]
+        fresh = iters > last_iter
+        fresh[1:] &= iters[1:] > iters[:-1]
+        if stop_iter != NONE:
+            fresh[:] = False
+        n_late += int(len(iters) - fresh.sum())
+        iters, vals = iters[fresh], vals[fresh]
+        if len(iters):
+            best, best_iter, patience, stop_iter, used = _fold(vals, iters, best, best_iter,
+                                                               patience, limit)
+            last_iter = int(iters[used - 1])
             n_evals += used
-            if stop >= 0:
-                stop_iter = n_seen + stop
-                n_late += len(vals) - used
-        n_seen += len(vals)
-        state.update((best, best_iter, patience, stop_iter, n_seen, n_evals, n_late))
+            n_late += len(iters) - used
+        state.update((best, best_iter, patience, stop_iter, last_iter, n_seen, n_evals, n_late))
         yield pd.DataFrame({
-            "run_id": [int(key[0])], "stop_iter": [stop_iter if stop_iter >= 0 else None],
-            "n_evals": [n_evals], "best_val": [best if best_iter >= 0 else None],
-            "best_iter": [best_iter if best_iter >= 0 else None],
+            "run_id": [int(key[0])], "stop_iter": [None if stop_iter == NONE else stop_iter],
+            "n_evals": [n_evals], "best_val": [None if best_iter == NONE else best],
+            "best_iter": [None if best_iter == NONE else best_iter],
             "n_seen": [n_seen], "n_late": [n_late]})
 
     return fn
 
 
 def stream_early_stop(stream: DataFrame, limit: int, run_col: str = "run_id",
-                      order_cols: list[str] | None = None, val_col: str = "val_loss") -> DataFrame:
+                      iter_col: str = "iter", val_col: str = "val_loss") -> DataFrame:
     """Streaming DataFrame of per-run summaries ``(run_id, stop_iter, n_evals, best_val, ...)``.
 
-    The iteration of a row is its arrival position in the run (rows of one
-    micro-batch are ordered by ``order_cols``).
+    A micro-batch bounds what is held of one run at a time: its iterations and losses.
     """
     from quire.session import ship_package
 
     ship_package(stream.sparkSession)
-    order = order_cols or ["iter"]
-    fn = early_stop_state_fn(limit, order, val_col)
-    return stream.groupBy(run_col).applyInPandasWithState(
+    fn = early_stop_state_fn(limit, iter_col, val_col)
+    return stream.select(run_col, iter_col, val_col).groupBy(run_col).applyInPandasWithState(
         fn, OUTPUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)

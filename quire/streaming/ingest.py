@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import time
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +24,16 @@ from quire.operators.split import assign_split
 from quire.operators.tokenize import Tokenizer, token_count, tokenize
 from quire.session import ship_package
 
-# Number of arrival files the driver queries stage for multi-batch streams.
-BUDGET_FILES = 4
+# Bytes of input per staged arrival file, and the fewest files, so that small inputs
+# still make several micro-batches.
+ARRIVAL_BYTES = 128 << 20
+LEAST_FILES = 4
+
+
+def arrival_files(df: DataFrame) -> int:
+    """Files to stage ``df`` in, by the optimizer's size of what it reads."""
+    stats = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return max(LEAST_FILES, -(-int(str(stats)) // ARRIVAL_BYTES))
 
 
 def file_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: int | None = None):
@@ -34,7 +43,7 @@ def file_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: i
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
     if path.endswith(".parquet") and not os.path.isdir(path.replace("file:", "")):
         base = os.path.dirname(path)
-        return r.option("basePath", base).parquet(path[:-1] + "*")
+        return r.option("basePath", base).parquet(path[:-1] + "[t]")
     return r.parquet(path)
 
 
@@ -63,14 +72,15 @@ class BudgetLedger:
     def _base(self, spark, batch_id: int) -> int:
         try:
             led = spark.read.parquet(self.ledger_path)
-        except Exception:  # noqa: BLE001 - no ledger yet
-            return 0
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":  # nothing ingested yet
+                return 0
+            raise
         v = led.where(F.col("batch_id") < batch_id).agg(F.sum("n_tokens")).first()[0]
         return int(v or 0)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         base = self._base(spark, batch_id)
         if base >= self.max_tokens and base > 0:
             self.reached = True
@@ -83,10 +93,12 @@ class BudgetLedger:
         kept = local.withColumn("budget_start", F.col("_start") + F.lit(base)).drop("_start")
         kept = kept.where((F.col("budget_start") < self.max_tokens) | (F.col("budget_start") == 0))
         kept = kept.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        kept.write.mode("overwrite").partitionBy("batch_id").parquet(self.out_path)
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+            .partitionBy("batch_id").parquet(self.out_path)
         total = docs.agg(F.sum("n_tokens")).first()[0] or 0
         spark.createDataFrame([(batch_id, int(total))], "batch_id bigint, n_tokens bigint") \
-            .write.mode("overwrite").partitionBy("batch_id").parquet(self.ledger_path)
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+            .partitionBy("batch_id").parquet(self.ledger_path)
         if base + total >= self.max_tokens:
             self.reached = True
 

@@ -20,19 +20,24 @@ from quire.sources.tokenbin import read_token_meta, read_token_stream, write_sft
 
 
 def _labels(full, p):
-    lab = [-1] * len(full)
-    for i in range(len(full) - 1):
-        if i + 1 >= p:
-            lab[i] = full[i + 1]
-    if lab:
-        lab[-1] = -1
-    return lab
+    """Ignored prompt prefix, the response shifted by one, nothing after the last token."""
+    ignored = min(max(p - 1, 0), max(len(full) - 1, 0))
+    return ([-1] * ignored + full[ignored + 1:] + [-1])[:len(full)]
 
 
-@settings(max_examples=1, deadline=None)
+@pytest.mark.parametrize("full,p,want", [
+    ([5, 6, 7, 256], 2, [-1, 7, 256, -1]), ([5, 6, 7, 256], 0, [6, 7, 256, -1]),
+    ([5, 6, 7, 256], 1, [6, 7, 256, -1]), ([5, 6, 7, 256], 4, [-1, -1, -1, -1]),
+    ([5, 6, 7, 256], 9, [-1, -1, -1, -1]), ([5], 0, [-1]), ([], 0, [])])
+def test_mask_labels_examples(spark, full, p, want):
+    df = spark.createDataFrame([(full, p)], "t array<int>, p int")
+    assert df.select(mask_labels("t", "p")).first()[0] == want == _labels(full, p)
+
+
+@settings(max_examples=50, deadline=None)
 @given(st.lists(st.tuples(st.lists(st.integers(0, 300), max_size=12), st.integers(0, 14)),
                 min_size=1, max_size=40))
-def test_mask_labels_equals_loop(spark, cases):
+def test_mask_labels_property(spark, cases):
     df = spark.createDataFrame(cases, "t array<int>, p int")
     got = [r[0] for r in df.select(mask_labels("t", "p")).collect()]
     assert got == [_labels(t, p) for t, p in cases]
@@ -150,3 +155,46 @@ def test_sft_bins_aligned(spark):
                                  key=lambda r: r["offset"]) for x in r["tokens"]]
         assert t == [x for e in exp for x in e[1]]
         assert lab == [x for e in exp for x in e[2]]
+
+
+def _bin_rows(spark, rows):
+    return spark.createDataFrame(rows, "start long, tokens array<int>")
+
+
+def _bin_read(spark, path, **kw):
+    out = sorted((r["offset"], r["tokens"]) for r in read_token_stream(spark, path, **kw).collect())
+    assert [o for o, _ in out] == [sum(len(t) for _, t in out[:k]) for k in range(len(out))]
+    return [x for _, t in out for x in t]
+
+
+def test_tokenbin_dtype_comes_from_the_manifest(spark):
+    root = scratch_path(spark, "t-dtype")
+    write_token_stream(_bin_rows(spark, [(0, [5, -1, 70000])]), root, dtype="int32")
+    assert _bin_read(spark, root) == [5, -1, 70000]
+    with pytest.raises(Exception, match="holds int32"):
+        read_token_stream(spark, root, "uint16").collect()
+
+
+def test_tokenbin_append_continues_and_overwrite_replaces(spark):
+    root = scratch_path(spark, "t-append")
+    write_token_stream(_bin_rows(spark, [(0, [1, 1])]), root)
+    write_token_stream(_bin_rows(spark, [(2, [2, 2])]), root, mode="append")
+    assert _bin_read(spark, root) == [1, 1, 2, 2]
+    with pytest.raises(Exception, match="expected 4"):
+        write_token_stream(_bin_rows(spark, [(2, [3])]), root, mode="append")
+    assert _bin_read(spark, root) == [1, 1, 2, 2]
+    write_token_stream(_bin_rows(spark, [(0, [9])]), root)
+    assert _bin_read(spark, root) == [9]
+    assert len([f for f in os.listdir(root.replace("file:", "")) if f.endswith(".bin")]) == 1
+
+
+def test_tokenbin_refuses_a_missing_head(spark):
+    with pytest.raises(Exception, match="expected 0"):
+        write_token_stream(_bin_rows(spark, [(50, [1])]), scratch_path(spark, "t-head"))
+
+
+def test_tokenbin_empty_folder_is_no_dataset(spark):
+    root = scratch_path(spark, "t-none").replace("file:", "")
+    os.makedirs(root)
+    with pytest.raises(Exception, match="no token files"):
+        read_token_stream(spark, root).collect()
