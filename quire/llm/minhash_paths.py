@@ -34,7 +34,10 @@ N_COORDS = 64
 N_ROOTS = 12
 BRANCHING = 2
 LEAF = 256
-MAX_DEPTH = 40
+BLOCK = 512
+EXHAUST = 4096
+MAX_DEPTH = 8
+CENTRES = 8
 SEED = 1009
 
 _SIGNED = ("doc_id long, n_shingles long, fp1 long, fp2 long, sig binary, "
@@ -73,7 +76,7 @@ def _signatures(column) -> np.ndarray:
 
 
 def _branch(batches):
-    """(node, v, sig) of large nodes -> (child node, v), ``BRANCHING`` children each."""
+    """(node, v, sig, part) of large nodes -> (child node, v, part), ``BRANCHING`` children each."""
     first = N_ROOTS
     width = np.uint64(N_COORDS - first)
     for batch in batches:
@@ -89,8 +92,8 @@ def _branch(batches):
             kids.append(_node_keys(node, c, sig[at, c]))
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate(kids), pa.int64()),
-             pa.concat_arrays([batch.column(1).cast(pa.int64())] * BRANCHING)],
-            names=["node", "v"])
+             *[pa.concat_arrays([batch.column(c)] * BRANCHING) for c in (1, 3)]],
+            names=["node", "v", "part"])
 
 
 def _least_agreement(threshold: float, miss: float = 1e-6) -> int:
@@ -104,9 +107,10 @@ def _least_agreement(threshold: float, miss: float = 1e-6) -> int:
     return N_COORDS
 
 
-def _likely(sig: np.ndarray, mask: np.ndarray, block: np.ndarray, coord: int,
+def _likely(sig: np.ndarray, mask: np.ndarray, block: np.ndarray, part: np.ndarray, coord: int,
             least: int) -> np.ndarray:
-    """Indexes of a node's documents that have a partner in it worth confirming there.
+    """Indexes of a node's documents that have a partner in it worth confirming there,
+    of another component (``part``).
 
     ``mask`` has bit c set where the document's root node c is small.  A root node
     (``coord`` >= 0) takes the pairs whose first common small root it is; a node below a
@@ -126,8 +130,7 @@ def _likely(sig: np.ndarray, mask: np.ndarray, block: np.ndarray, coord: int,
             agree += same
             if c < first:
                 earlier |= same & small[:, c][:, None]
-    ok = (agree >= least) & ~earlier
-    ok[np.arange(n), np.arange(n)] = False
+    ok = (agree >= least) & ~earlier & (part[:, None] != part[None, :])
     if block.min() != block.max():
         ok &= block[:, None] != block[None, :]
     return np.flatnonzero(ok.any(axis=1))
@@ -146,13 +149,14 @@ def _flag(least: int):
             at, v = _lists(batch, "v")
             _, mask = _lists(batch, "mask")
             _, block = _lists(batch, "block")
+            _, part = _lists(batch, "part")
             groups = batch.column("group").to_numpy(zero_copy_only=False)
             coords = batch.column("coord").to_numpy(zero_copy_only=False)
             sig = _signatures(batch.column("sig").values)
             out_group, out_v = [], []
             for r in range(batch.num_rows):
                 lo, hi = at[r], at[r + 1]
-                k = _likely(sig[lo:hi], mask[lo:hi], block[lo:hi],
+                k = _likely(sig[lo:hi], mask[lo:hi], block[lo:hi], part[lo:hi],
                             int(coords[r]), least)
                 if len(k):
                     out_v.append(v[lo:hi][k])
@@ -232,13 +236,31 @@ def _confirm(percent: int):
 
 
 def _sized(members: DataFrame, name: str) -> DataFrame:
-    """Members of nodes with two documents or more, with the node's size."""
+    """Members of nodes that hold two components or more, with the node's size."""
     members = materialize(members, f"{name}-members")
-    sizes = materialize(members.groupBy("node").agg(F.count("*").alias("size"))
-                        .where("size > 1"), f"{name}-sizes")
+    sizes = materialize(members.groupBy("node").agg(
+        F.count("*").alias("size"), F.min("part").alias("lo"), F.max("part").alias("hi"))
+        .where("lo <> hi").select("node", "size"), f"{name}-sizes")
     return materialize(members.join(sizes, "node"), f"{name}-sized")
 
 
+def _compared(dealt: DataFrame, vectors: DataFrame, masks: DataFrame, texts: DataFrame,
+              percent: int) -> DataFrame:
+    """Confirmed links of ``dealt(group, v, part, coord, block)``, a spanning set per group."""
+    least = _least_agreement(percent / 100)
+    gathered = (dealt.join(vectors, "v").join(masks, "v", "left")
+                .withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
+                .groupBy("group").agg(F.first("coord").alias("coord"), *[
+                    F.collect_list(c).alias(c) for c in ("v", "mask", "block", "part", "sig")]))
+    flagged = materialize(gathered.mapInArrow(_flag(least), "group long, v long"), "flagged")
+    wanted = flagged.select(F.col("v").alias("doc_id")).distinct()
+    # one exchange of the texts whatever the share wanted, so that cost follows the input
+    found = texts.hint("merge").join(wanted, "doc_id").select(F.col("doc_id").alias("v"), "text")
+    full = flagged.join(found, "v").groupBy("group").agg(
+        F.collect_list("v").alias("v"), F.collect_list("text").alias("text"))
+    return materialize(full.mapInArrow(_confirm(percent), "a long, b long"), "links")
+
+
 def near_duplicate_links(signed: DataFrame, texts: DataFrame, *, percent: int = 75,
                          leaf: int = LEAF) -> DataFrame:
     """Spanning links ``(a, b)`` between the documents of ``signed`` (distinct sets).
@@ -246,51 +268,70 @@ def near_duplicate_links(signed: DataFrame, texts: DataFrame, *, percent: int =
     ``signed``: ``doc_id, sig, roots``; ``texts``: ``doc_id, text`` of the same ids.
     An id may stand on several rows of either; its links are those of all its texts.
     """
-    least = _least_agreement(percent / 100)
     vectors = signed.select(F.col("doc_id").alias("v"), "sig")
-    rooted = _sized(signed.select(F.col("doc_id").alias("v"),
+    rooted = _sized(signed.select(F.col("doc_id").alias("v"), F.col("doc_id").alias("part"),
                                   F.posexplode("roots").alias("coord", "node")), "root")
     masks = materialize(
         rooted.where(F.col("size") <= leaf).groupBy("v")
-        .agg(F.expr("bit_or(shiftleft(1L, coord))").alias("mask")),
-        "masks")
-    small = [rooted.where(F.col("size") <= leaf)
-             .select("node", "v", F.col("coord").cast("int"), F.lit(1).alias("blocks"))]
-    large = rooted.where(F.col("size") > leaf).select("node", "v")
-    depth = 1
-    while depth < MAX_DEPTH and not large.isEmpty():
-        kids = large.join(vectors, "v").select("node", "v", "sig").mapInArrow(
-            _branch, "node long, v long")
-        sized = _sized(kids, f"level{depth}")
-        small.append(sized.where(F.col("size") <= leaf)
-                     .select("node", "v", F.lit(-1).alias("coord"), F.lit(1).alias("blocks")))
-        large = sized.where(F.col("size") > leaf).select("node", "v", "size")
-        depth += 1
-    if depth == MAX_DEPTH and not large.isEmpty():
-        # signatures alike at every coordinate: compared block against block
-        small.append(large.select("node", "v", F.lit(-1).alias("coord"),
-                                  F.ceil(F.col("size") / (leaf // 2)).cast("int").alias("blocks")))
-    members = small[0]
-    for more in small[1:]:
-        members = members.union(more)
-    block = F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")
-    dealt = (members.join(vectors, "v").join(masks, "v", "left")
-             .withColumn("block", block)
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))
-                     .alias("group"), "v", "coord", "block",
-                     F.coalesce("mask", F.lit(0).cast("long")).alias("mask"), "sig"))
-    gathered = dealt.groupBy("group").agg(
-        F.first("coord").alias("coord"), F.collect_list("v").alias("v"),
-        F.collect_list("mask").alias("mask"), F.collect_list("block").alias("block"),
-        F.collect_list("sig").alias("sig"))
-    flagged = materialize(gathered.mapInArrow(_flag(least), "group long, v long"), "flagged")
-    wanted = flagged.select(F.col("v").alias("doc_id")).distinct()
-    kept = texts.join(wanted, "doc_id")
-    full = (flagged.join(kept.select(F.col("doc_id").alias("v"), "text"), "v")
-            .groupBy("group").agg(F.collect_list("v").alias("v"),
-                                  F.collect_list("text").alias("text")))
-    return materialize(full.mapInArrow(_confirm(percent), "a long, b long"), "links")
+        .agg(F.expr("bit_or(shiftleft(1L, coord))").alias("mask")), "masks")
+    zero = F.lit(0)
+    small = rooted.where(F.col("size") <= leaf).select(
+        F.col("node").alias("group"), "v", "part", F.col("coord").cast("int"),
+        zero.alias("block"))
+    large = rooted.where(F.col("size") > leaf).select("node", "v", "part", "size")
+    if large.isEmpty():
+        return _compared(small, vectors, masks, texts, percent)
+
+    half = leaf // 2
+    blocks = F.ceil(F.col("size") / half).cast("int")
+    centre = F.array_contains("centres", F.col("v"))
+    centres = materialize(
+        large.groupBy("node", F.pmod(F.xxhash64("v"), F.lit(CENTRES)).alias("turn"))
+        .agg(F.min_by("v", F.xxhash64("v", "node")).alias("v"))
+        .groupBy("node").agg(F.collect_list("v").alias("centres")), "centres")
+    at = F.pmod(F.xxhash64("v", "node"), blocks)
+    spread = large.join(centres, "node").select(
+        "node", "v", "part", F.explode(F.when(centre, F.sequence(zero, blocks - 1))
+                                       .otherwise(F.array(at.cast("int")))).alias("at"))
+    bulk = spread.select(F.xxhash64("node", "at").alias("group"), "v", "part",
+                         F.lit(-1).alias("coord"), zero.alias("block"))
+    links = _compared(small.union(bulk), vectors, masks, texts, percent)
+    parts = materialize(connected_components(links).select(
+        F.col("node").alias("v"), F.col("component").alias("part")), "parts")
+    vectors = materialize(vectors.join(parts, "v", "left").select(
+        "v", F.coalesce("part", "v").alias("part"), "sig"), "vectors")
+    handled = materialize(
+        rooted.where(F.col("size") <= EXHAUST).groupBy("v")
+        .agg(F.expr("bit_or(shiftleft(1L, coord))").alias("mask")), "handled")
+
+    level = _sized(rooted.where(F.col("size") > leaf).select("node", "v", "coord").join(
+        vectors.select("v", "part"), "v"), "mixed")
+    leaves = []
+    for depth in range(MAX_DEPTH + 1):
+        last = depth == MAX_DEPTH
+        leaves.append(_block_pairs(level if last else level.where(F.col("size") <= EXHAUST)))
+        large = level.where(F.col("size") > EXHAUST)
+        if last or large.isEmpty():
+            break
+        kids = large.select("node", "v").join(vectors, "v").select(
+            "node", "v", "sig", "part").mapInArrow(_branch, "node long, v long, part long")
+        level = _sized(kids.withColumn("coord", F.lit(-1)), f"level{depth + 1}")
+    rest = leaves[0]
+    for more in leaves[1:]:
+        rest = rest.union(more)
+    return links.union(_compared(rest, vectors.drop("part"), handled, texts, percent))
+
+
+def _block_pairs(members: DataFrame) -> DataFrame:
+    """Nodes as groups of one block, or of two blocks each where they have more than two."""
+    blocks = F.when(F.col("size") <= 2 * BLOCK, 1).otherwise(
+        F.ceil(F.col("size") / BLOCK).cast("int"))
+    dealt = (members.withColumn("blocks", blocks)
+             .withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    return dealt.select(
+        F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))
+        .alias("group"), "v", "part", "coord", "block")
 
 
 def minhash_near_duplicates(docs: DataFrame, *, percent: int = 75, leaf: int = LEAF) -> DataFrame:

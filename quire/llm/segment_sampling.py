@@ -23,6 +23,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -568,8 +569,6 @@ def sample_segmentations(docs: DataFrame, vocabulary: Vocabulary, *, k: int = 2,
 
 def decode_ids(ids, vocabulary: Vocabulary):
     """Text of an ``array<int>`` column of piece ids (null stays null)."""
-    import pandas as pd
-
     def run(column: pd.Series) -> pd.Series:
         lattice = _lattice(vocabulary, 1.0)
         return pd.Series([None if x is None else
