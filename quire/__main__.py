@@ -60,7 +60,7 @@ def cmd_generate(spark, args):
 
     tok = ByteTokenizer()
     counts = fit_ngram(_read(spark, args.train, args.format), text_col=args.text_col)
-    model = bigram_model(counts, tok.vocab_size)
+    model = bigram_model(counts, tok.vocab_size, keep=args.top_k)
     p = _read(spark, args.prompts, args.format)
     p = p.select(F.col(args.id_col).alias("prompt_id"),
                  inference_prompt(F.col(args.instruction_col)).alias("prompt"))

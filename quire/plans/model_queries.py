@@ -165,7 +165,7 @@ def _prompts(spark, sf_dir):
 @query("generate")
 def q_generate(spark, sf_dir):
     """Sample 200 tokens (T=0.7, top-200) from the bigram model per prompt."""
-    model = bigram_model(_train_counts(spark, sf_dir), V)
+    model = bigram_model(_train_counts(spark, sf_dir), V, keep=TOP_K)
     g = generate(_prompts(spark, sf_dir), model, "row_key", max_new_tokens=MAX_NEW,
                  temperature=TEMPERATURE, top_k=TOP_K, stop_id=EOT, seed=GEN_SEED)
     full = detokenize_col(F.concat("prompt_tokens", "generated"))
@@ -195,7 +195,7 @@ SELECT conv_id, turn, count(*) FILTER (WHERE step > 0)::BIGINT AS n_new,
 FROM g GROUP BY conv_id, turn""")
 def q_generate_greedy(spark, sf_dir):
     """G5 G6 (greedy): arg-max continuation (lowest id on ties) until end-of-text or 200."""
-    model = bigram_model(_train_counts(spark, sf_dir), V)
+    model = bigram_model(_train_counts(spark, sf_dir), V, keep=1)
     g = generate(_prompts(spark, sf_dir), model, "row_key", max_new_tokens=MAX_NEW,
                  stop_id=EOT, greedy=True)
     return g.select("conv_id", "turn", F.size("generated").cast("bigint").alias("n_new"),
@@ -237,7 +237,7 @@ SELECT conv_id, turn, count(*) FILTER (WHERE step > 0)::BIGINT AS n_new,
 FROM g GROUP BY conv_id, turn""")
 def q_generate_sampled(spark, sf_dir):
     """Sampled continuation (T=0.7, top-200, hash uniforms) until end-of-text or 200."""
-    model = bigram_model(_train_counts(spark, sf_dir), V)
+    model = bigram_model(_train_counts(spark, sf_dir), V, keep=TOP_K)
     g = generate(_prompts(spark, sf_dir), model, "row_key", max_new_tokens=MAX_NEW,
                  temperature=TEMPERATURE, top_k=TOP_K, stop_id=EOT, seed=GEN_SEED)
     return g.select("conv_id", "turn", F.size("generated").cast("bigint").alias("n_new"),

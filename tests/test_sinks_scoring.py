@@ -36,7 +36,7 @@ def test_run_log_append_and_read(spark):
 def test_user_model_scoring_matches_join_scoring(spark):
     seqs = spark.createDataFrame([(1, [1, 2, 3, 2, 3, 4, 1, 2, 3])], "id long, tokens array<int>")
     counts = fit_ngram(seqs)
-    logp = bigram_model(counts, 5).logp
+    logp = bigram_model(counts, 5).dense()
 
     def factory():
         table = logp
