@@ -33,8 +33,19 @@ def default_buckets(spark) -> int:
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
 
 
-def order_key_double(df: DataFrame, order_col: str) -> Column:
-    """A double that is monotone in ``order_col`` (numbers, dates, timestamps)."""
+def _common_prefix(df: DataFrame, col: str) -> int:
+    """Bytes that all values of a string column start with: those of its two extremes."""
+    lo, hi = df.agg(F.min(col), F.max(col)).first()
+    a, b = (lo or "").encode(), (hi or "").encode()
+    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def order_key_double(df: DataFrame, order_col: str, skip: int = 0) -> Column:
+    """A double that is monotone in ``order_col`` (numbers, dates, timestamps, strings).
+
+    A string counts by its six bytes after the first ``skip`` ones, in byte order, the
+    order Spark sorts strings in.
+    """
     dtype = dict(df.dtypes)[order_col]
     key = F.col(order_col)
     if dtype == "timestamp_ntz":
@@ -44,12 +55,15 @@ def order_key_double(df: DataFrame, order_col: str) -> Column:
         key = F.unix_micros(key)
     elif dtype == "date":
         key = F.unix_date(key)
+    elif dtype == "string":
+        six = F.hex(F.substring(F.encode(key, "utf-8"), skip + 1, 6))
+        key = F.conv(F.rpad(six, 12, "0"), 16, 10)
     return key.cast("double")
 
 
 def add_order_bucket(df: DataFrame, order_col: str, n_buckets: int | None = None,
                      out_col: str = BUCKET, quantile_source: DataFrame | None = None) -> DataFrame:
-    """Add a quantile bucket id of ``order_col`` (numeric or timestamp).
+    """Add a quantile bucket id of ``order_col`` (numeric, date, timestamp or string).
 
     ``quantile_source`` (a cheap DataFrame with the same key column, e.g. the raw
     table ``df`` was derived from) supplies the boundaries instead of ``df``:
@@ -58,11 +72,12 @@ def add_order_bucket(df: DataFrame, order_col: str, n_buckets: int | None = None
     """
     spark = df.sparkSession
     nb = n_buckets or default_buckets(spark)
-    key = order_key_double(df, order_col)
+    whole = df if quantile_source is None else quantile_source
+    skip = _common_prefix(whole, order_col) if dict(df.dtypes)[order_col] == "string" else 0
     tmp = "_order_key_d"
-    keyed = df.withColumn(tmp, key)
+    keyed = df.withColumn(tmp, order_key_double(df, order_col, skip))
     src = keyed if quantile_source is None else quantile_source.select(
-        order_key_double(quantile_source, order_col).alias(tmp))
+        order_key_double(quantile_source, order_col, skip).alias(tmp))
     splits = []
     if nb > 1:
         probs = [i / nb for i in range(1, nb)]

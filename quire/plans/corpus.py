@@ -22,6 +22,17 @@ from quire.operators.tokenize import ByteTokenizer, Tokenizer, token_count, toke
 from quire.session import materialize
 
 
+def _within_budget(rows: DataFrame, lengths: DataFrame, max_tokens: int, id_col: str) -> DataFrame:
+    """``rows`` up to the last id the budget keeps.
+
+    The budget is settled on ``lengths(id, n_tokens)`` alone; what comes of it is one id,
+    a literal that the scan of the texts can push down, so no text beyond it is
+    read into an exchange.  Ids are unique.
+    """
+    last = token_budget(lengths, max_tokens, id_col).agg(F.max(id_col)).first()[0]
+    return rows.limit(0) if last is None else rows.where(F.col(id_col) <= F.lit(last))
+
+
 def tokenized_corpus(docs: DataFrame, tokenizer: Tokenizer | None = None,
                      id_col: str = "doc_id", text_col: str = "text",
                      fraction: float = VAL_FRACTION, seed: int = SPLIT_SEED,
@@ -40,14 +51,14 @@ def tokenized_corpus(docs: DataFrame, tokenizer: Tokenizer | None = None,
         counted = counted.select(id_col, "split", "n_tokens",
                                  *([text_col] if (with_tokens or keep_text) else []))
         if max_tokens is not None:
-            counted = token_budget(counted, max_tokens, id_col).drop("budget_start")
+            counted = _within_budget(counted, counted.select(id_col, "n_tokens"), max_tokens, id_col)
         with_start = stream_offsets(counted, id_col, n_buckets=n_buckets)
         if not with_tokens:
             return with_start
         return tokenize(with_start, text_col, tok, len_col=None).drop(text_col)
     toks = materialize(tokenize(base, text_col, tok).drop(text_col), "tokens")
     if max_tokens is not None:
-        toks = token_budget(toks, max_tokens, id_col).drop("budget_start")
+        toks = _within_budget(toks, toks.select(id_col, "n_tokens"), max_tokens, id_col)
     return stream_offsets(toks, id_col, n_buckets=n_buckets)
 
 

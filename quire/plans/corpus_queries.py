@@ -101,6 +101,21 @@ def q_stream_offsets(spark, sf_dir):
     return stream_offsets(docs, "doc_id")
 
 
+@query("stream_offsets_text_key", oracle=f"""
+WITH {DOCS_CTE.strip()}
+SELECT 'https://example.org/' || doc_id AS url, split,
+       (sum(n_tokens) OVER (PARTITION BY split ORDER BY 'https://example.org/' || doc_id
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n_tokens)::BIGINT
+         AS start
+FROM d""")
+def q_stream_offsets_text_key(spark, sf_dir):
+    """W1 in the order of a string key (ids of web corpora are URLs or hashes)."""
+    docs = assign_split(_docs(spark, sf_dir).select("doc_id", "text"))
+    docs = docs.select(F.concat(F.lit("https://example.org/"), F.col("doc_id").cast("string")).alias("url"),
+                       "split", token_count(F.col("text")).cast("bigint").alias("n_tokens"))
+    return stream_offsets(docs, "url").select("url", "split", "start")
+
+
 @query("pack_blocks", oracle=f"""
 WITH {TOKENS_CTE.strip()},
 c AS (

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from quire.operators.sft import sft_sequences
 from quire.plans.corpus import tokenized_corpus
-from quire.plans.corpus_queries import TOKENS_CTE
+from quire.plans.corpus_queries import BUDGET, DOCS_CTE, TOKENS_CTE
 from quire.plans.registry import query, table
 from quire.plans.sft_queries import EXAMPLES_CTE, KEYS, _examples
 from quire.session import scratch_path
-from quire.sources.tokenbin import read_token_stream, write_sft_bins, write_token_stream
+from quire.plans.prepare import prepare_corpus
+from quire.sources.tokenbin import read_token_meta, read_token_stream, write_sft_bins, \
+    write_token_stream
 
 SPLITS = ("train", "val")
 # Every term of the checksum is taken modulo this prime, so the sums stay far from 2^63.
@@ -80,3 +82,33 @@ def q_sft_bins_roundtrip(spark, sf_dir):
         s = t.join(lab, "split")
         out = s if out is None else out.unionByName(s)
     return out
+
+
+@query("prepare_corpus", oracle=f"""
+WITH {DOCS_CTE.strip()},
+k AS (
+  SELECT * FROM (SELECT *, sum(n_tokens) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING
+                                               AND CURRENT ROW) - n_tokens AS before FROM d)
+  WHERE before < {BUDGET} OR before = 0),
+o AS (
+  SELECT split, list_transform(regexp_extract_all(hex(encode(text)), '..'),
+                               lambda x: ('0x' || x)::INTEGER) || [256] AS toks,
+         sum(n_tokens) OVER (PARTITION BY split ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING
+                             AND CURRENT ROW) - n_tokens AS start FROM k),
+t AS (SELECT split, start + i AS pos, tok
+      FROM (SELECT split, start, unnest(toks) AS tok, unnest(range(len(toks))) AS i FROM o))
+SELECT split, count(*)::BIGINT AS n_tokens, sum(tok)::BIGINT AS token_sum,
+       sum(tok * ((pos + 1) % {PRIME}) % {PRIME})::BIGINT AS checksum,
+       257 AS vocab_size, 256 AS eot_id, count(*)::BIGINT AS meta_tokens
+FROM t GROUP BY split""")
+def q_prepare_corpus(spark, sf_dir):
+    """P7 W1 K1 S3 S4 end to end: budget, offsets and token files, read back with their sidecar."""
+    root = scratch_path(spark, "prepared")
+    prepare_corpus(table(spark, sf_dir, "documents"), root, max_tokens=BUDGET)
+    out = None
+    for split in SPLITS:
+        meta = read_token_meta(spark, f"{root}/{split}").select(
+            F.lit(split).alias("split"), "vocab_size", "eot_id", F.col("n_tokens").alias("meta_tokens"))
+        s = _stream_stats(read_token_stream(spark, f"{root}/{split}"), split).join(meta, "split")
+        out = s if out is None else out.unionByName(s)
+    return out

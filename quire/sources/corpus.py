@@ -18,9 +18,14 @@ INSTRUCTION_SCHEMA = T.StructType([
 
 def read_corpus(spark: SparkSession, path: str, text_col: str = "text", id_col: str = "doc_id",
                 fmt: str = "parquet") -> DataFrame:
-    """``(doc_id, text)``; the scan reads only these two columns."""
-    return spark.read.format(fmt).load(path).select(
-        F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    """``(doc_id, text)``; the scan reads only these two columns.
+
+    Whole-number ids become BIGINT; ids of any other type (strings) stay as they are.
+    """
+    rows = spark.read.format(fmt).load(path)
+    whole = isinstance(rows.schema[id_col].dataType, T.IntegralType)
+    key = F.col(id_col).cast("bigint") if whole else F.col(id_col)
+    return rows.select(key.alias("doc_id"), F.col(text_col).alias("text"))
 
 
 def normalize_instructions(df: DataFrame, id_col: str = "ex_id") -> DataFrame:
