@@ -2,7 +2,9 @@
 
 Each stage is one operator applied to all that the stage before kept; the rows are
 written as Parquet and reread between stages, so a lost executor never costs more
-than its stage.  All but the last return the columns of ``documents``.
+than its stage.  Where a stage drops rows by id, the documents go through one exchange
+at every size (merge joins), so that its cost follows the input.  All but the last
+return the columns of ``documents``.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows that repeat a kept doc_id stay with it.
     """
     dropped = minhash_near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return docs.hint("merge").join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +58,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mix(docs, label_domains(table(spark, sf_dir, "labels")), MIXTURE, keep="clean")
     dropped = mixed.where((F.col("rate") < NEARLY_ONE) & (F.col("copies") == 0)) \
         .select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return docs.hint("merge").join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
 def segmentation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ N_COORDS = 64
 N_ROOTS = 12
 BRANCHING = 2
 LEAF = 256
-BLOCK = 512
+BLOCK = 1024
 EXHAUST = 4096
 MAX_DEPTH = 8
 CENTRES = 8
@@ -190,14 +190,14 @@ def _similar(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarr
     owner, at = owner[use], column[at[use]]
     order = np.argsort(at, kind="stable")
     owner, at = owner[order], at[order]
-    inter = np.zeros((n, n), dtype=np.int64)
+    inter = np.zeros((n, n), dtype=np.int32)
     for lo in range(0, int(shared.sum()), 4096):
         a, b = np.searchsorted(at, [lo, lo + 4096])
         grid = np.zeros((n, 4096), dtype=np.float32)
         grid[owner[a:b], at[a:b] - lo] = 1
-        inter += (grid @ grid.T).astype(np.int64)
+        inter += (grid @ grid.T).astype(np.int32)
     union = sizes[:, None] + sizes[None, :] - inter
-    return np.nonzero(np.triu((100 * inter >= percent * union) & (union > 0), 1))
+    return np.nonzero(np.triu((inter * 100.0 >= percent * union) & (union > 0), 1))
 
 
 def _spanning(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:

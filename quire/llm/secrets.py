@@ -175,7 +175,8 @@ def redact(docs: DataFrame, ledger: str, mask: str = "[SECRET]") -> DataFrame:
                                                          x -> x.end)), 0) AS INT)),
                       '{mask}'))), ''),
             substring(text, CAST(array_max(transform(_found, x -> x.end)) + 1 AS INT)))""")
-    out = docs.withColumn("_blob", blob_id(F.col("text"))).join(found, "_blob", "left")
+    out = docs.withColumn("_blob", blob_id(F.col("text"))).hint("merge").join(
+        found, "_blob", "left")
     changed = F.col("_found").isNotNull()
     out = out.withColumn("text", F.when(changed, cleaned).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
