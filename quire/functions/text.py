@@ -24,7 +24,8 @@ RESPONSE_HEADER = "\n\n### Response:\n"
 # End-of-text marker text.
 EOT_TEXT = "<|endoftext|>"
 
-_STRIP_RE = f"^{PY_WHITESPACE_CLASS}+|{PY_WHITESPACE_CLASS}+$"
+# the look-behind starts the trailing run at its head only, so long inner runs cost nothing
+_STRIP_RE = f"^{PY_WHITESPACE_CLASS}+|(?<!{PY_WHITESPACE_CLASS}){PY_WHITESPACE_CLASS}+$"
 
 
 def _c(col) -> Column:

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from quire.functions.schedule import gpt_param_count, lr_at, mfu
 from quire.operators.neighbors import row_index
-from quire.operators.report import gpt_manifest, param_summary, run_plan
+from quire.operators.report import gpt_manifest, observe_tokens, param_summary, run_plan
 from quire.operators.runlog import (at_interval, cap_iterations, checkpoints, early_stop, ema,
-                                    mark_improvements, step_loss, step_time)
+                                    mark_improvements, read_run_log, step_loss, step_time,
+                                    write_run_log)
 from quire.operators.tokenize import tokenize
 from quire.plans.corpus_queries import DOCS_CTE
 from quire.plans.registry import query, table
+from quire.session import scratch_path
 
 PATIENCE = 5
 EVAL_INTERVAL = 10
@@ -244,6 +246,58 @@ def q_run_plan(spark, sf_dir):
                       "corpus_tokens", "epochs")
 
 
+@query("run_plan_workers", oracle=f"""
+WITH {DOCS_CTE.strip()},
+n AS (SELECT sum(n_tokens)::BIGINT AS corpus_tokens FROM d WHERE split = 'train')
+SELECT w::INTEGER AS world_size, (16 // w * w * 4 * 512)::BIGINT AS tokens_per_iter,
+       ((16 // w * w * 4 * 512) * 7003)::BIGINT AS tokens_sampled, corpus_tokens
+FROM n, (VALUES (1), (4), (8)) v(w)""")
+def q_run_plan_workers(spark, sf_dir):
+    """The accumulation is shared out among 1, 4 and 8 workers."""
+    from quire.operators.split import assign_split
+    from quire.operators.tokenize import token_count
+
+    cfg = spark.createDataFrame(
+        [(4, 512, 16, w, 7002) for w in (1, 4, 8)],
+        "batch_size int, block_size int, grad_accum int, world_size int, max_iters int")
+    docs = assign_split(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    train = docs.where(F.col("split") == "train").agg(
+        F.sum(token_count(F.col("text")).cast("bigint")).alias("n_tokens"))
+    return run_plan(cfg, train).select("world_size", "tokens_per_iter", "tokens_sampled",
+                                       "corpus_tokens")
+
+
+@query("run_log_sink", oracle="""
+SELECT user_id AS run_id, count(*)::BIGINT AS n_evals, round(sum(value), 6) AS loss_sum,
+       min(value) AS best_val
+FROM events GROUP BY user_id""")
+def q_run_log_sink(spark, sf_dir):
+    """K6: evaluations appended to a run-log table in two writes, read back per run."""
+    log = _runs(spark, sf_dir).select(
+        "run_id", "iter", F.lit(None).cast("double").alias("train_loss"), "val_loss",
+        F.lit(None).cast("double").alias("lr"), F.lit(None).cast("double").alias("mfu"))
+    path = scratch_path(spark, "run-log")
+    for half in (0, 1):
+        write_run_log(log.where(F.col("iter") % 2 == half), path)
+    return read_run_log(spark, path).groupBy("run_id").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_evals"),
+        F.round(F.sum("val_loss"), 6).alias("loss_sum"), F.min("val_loss").alias("best_val"))
+
+
+@query("observed_tokens", oracle=f"""
+WITH {DOCS_CTE.strip()}
+SELECT count(*)::BIGINT AS n_rows, sum(n_tokens)::BIGINT AS n_tokens FROM d""")
+def q_observed_tokens(spark, sf_dir):
+    """K5: what the progress counter shows after the corpus has been written once."""
+    from quire.operators.tokenize import token_count
+
+    docs = table(spark, sf_dir, "documents").select(token_count(F.col("text")).alias("n_tokens"))
+    observed, counter = observe_tokens(docs)
+    observed.write.format("noop").mode("overwrite").save()
+    seen = counter.get
+    return spark.createDataFrame([(seen["n_rows"], seen["n_tokens"])], "n_rows long, n_tokens long")
+
+
 @query("param_summary", oracle="""
 WITH v AS (
   SELECT (ceil((max(t) + 1) / 64.0) * 64)::BIGINT AS vocab

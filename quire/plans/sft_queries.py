@@ -72,6 +72,33 @@ def q_format_prompt(spark, sf_dir):
                      py_strip(F.col("output")).alias("response"))
 
 
+@query("format_prompt_input", oracle=f"""
+WITH t AS (
+  SELECT conv_id, turn, text AS instruction,
+         CASE WHEN role_before = 'system' THEN text_before END AS input
+  FROM (SELECT conv_id, turn, role, text,
+               lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS role_before,
+               lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS text_before
+        FROM conversations)
+  WHERE role = 'user'),
+s AS (SELECT conv_id, turn, {_strip_sql('instruction')} AS i, {_strip_sql('input')} AS x FROM t)
+SELECT conv_id, turn,
+       '### Instruction:' || {NL} || i
+       || CASE WHEN x <> '' THEN {NL} || {NL} || '### Input:' || {NL} || x ELSE '' END
+       || {NL} || {NL} || '### Response:' || {NL} AS prompt
+FROM s""")
+def q_format_prompt_input(spark, sf_dir):
+    """User turns as instructions, the system turn right before as their input."""
+    from quire.functions.text import format_prompt
+    from quire.operators.neighbors import row_index, with_previous
+
+    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = with_previous(row_index(conv, ["conv_id"], ["turn"]), ["conv_id"], ["role", "text"])
+    given = F.when(F.col("role_prev") == "system", F.col("text_prev"))
+    return turns.where("role = 'user'").select(
+        "conv_id", "turn", format_prompt(F.col("text"), given).alias("prompt"))
+
+
 @query("build_sft", oracle=f"""
 WITH {EXAMPLES_CTE.strip()}
 SELECT conv_id, turn, split, prompt_len, len(seq)::BIGINT AS n_tokens,
