@@ -23,7 +23,29 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
-@query("op1_embedding_near_dedup")
+_REACHED = """
+reached(a, b) AS (
+  SELECT id, id FROM vertices
+  UNION SELECT reached.a, links.b FROM reached JOIN links ON links.a = reached.b),
+component AS (SELECT a AS id, min(b) AS component_id FROM reached GROUP BY a)"""
+
+_EMBEDDING_ORACLE = f"""
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+u AS (SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS n FROM e),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b
+  FROM u x JOIN u y ON x.label = y.label AND x.vec_id <> y.vec_id
+  WHERE x.n > 0 AND y.n > 0 AND list_dot_product(x.v, y.v) >= 0.93 * x.n * y.n),
+vertices AS (SELECT vec_id AS id FROM embeddings),{_REACHED}
+SELECT id AS vec_id, (SELECT count(*) FROM links WHERE a = id) AS n_links, component_id,
+       id = component_id AS kept
+FROM component
+"""
+
+
+@query("op1_embedding_near_dedup", _EMBEDDING_ORACLE)
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings of equal label."""
     from quire.llm.embedding_dedup import embedding_near_duplicates
@@ -31,7 +53,31 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-@query("op10_minhash_near_dedup")
+_MINHASH_ORACLE = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+  FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM common JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b
+  WHERE 100 * c >= 75 * (p.size + q.size - c)),
+vertices AS (SELECT doc_id AS id FROM documents),{_REACHED},
+classes AS (
+  SELECT doc_id, min(doc_id) OVER (PARTITION BY shingles) AS class_id
+  FROM (SELECT doc_id, string_agg(shingle, '' ORDER BY shingle) AS shingles FROM s GROUP BY doc_id))
+SELECT id AS doc_id, coalesce(size, 0) AS n_shingles, coalesce(class_id, id) AS class_id,
+       component_id, id = component_id AS kept
+FROM component LEFT JOIN n ON n.doc_id = id LEFT JOIN classes ON classes.doc_id = id
+"""
+
+
+@query("op10_minhash_near_dedup", _MINHASH_ORACLE)
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents by chosen-path joins."""
     from quire.llm.minhash_paths import minhash_near_duplicates
@@ -136,7 +182,39 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
-@query("op8_quality_rules")
+_RULES_ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+         list_filter(string_split(t, chr(10)),
+                     lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n
+  FROM (SELECT doc_id, i, array_to_string(ws[i:i + 2], ' ') AS gram
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 2))),
+r AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words
+  FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g WHERE n > 1) GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, len(ws) AS n_words,
+         CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words,
+         length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) AS upper,
+         length(regexp_replace(t, '[^\p{Ll}]', '', 'g')) AS lower,
+         length(t) - length(replace(t, '!', '')) AS marks
+  FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 100 * n_symbols > 20 * n_words OR 100 * n_dup_lines > 40 * n_lines
+            OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+            OR 100 * upper > 60 * (upper + lower) OR 100 * marks > 30 * n_words) AS kept
+FROM b
+"""
+
+
+@query("op8_quality_rules", _RULES_ORACLE)
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and cascade verdict of every document."""
     from quire.llm.quality_rules import apply_rules
