@@ -10,7 +10,7 @@ from quire.plans.corpus_queries import BUDGET, DOCS_CTE, TOKENS_CTE
 from quire.plans.registry import query, table
 from quire.plans.sft_queries import EXAMPLES_CTE, KEYS, _examples
 from quire.session import scratch_path
-from quire.plans.prepare import prepare_corpus
+from quire.plans.prepare import PRETRAIN_MAX_TOKENS, prepare_corpus
 from quire.sources.tokenbin import read_token_meta, read_token_stream, write_sft_bins, \
     write_token_stream
 
@@ -84,12 +84,13 @@ def q_sft_bins_roundtrip(spark, sf_dir):
     return out
 
 
-@query("prepare_corpus", oracle=f"""
+def _prepared_sql(budget):
+    return f"""
 WITH {DOCS_CTE.strip()},
 k AS (
   SELECT * FROM (SELECT *, sum(n_tokens) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING
                                                AND CURRENT ROW) - n_tokens AS before FROM d)
-  WHERE before < {BUDGET} OR before = 0),
+  WHERE before < {budget} OR before = 0),
 o AS (
   SELECT split, list_transform(regexp_extract_all(hex(encode(text)), '..'),
                                lambda x: ('0x' || x)::INTEGER) || [256] AS toks,
@@ -100,11 +101,11 @@ t AS (SELECT split, start + i AS pos, tok
 SELECT split, count(*)::BIGINT AS n_tokens, sum(tok)::BIGINT AS token_sum,
        sum(tok * ((pos + 1) % {PRIME}) % {PRIME})::BIGINT AS checksum,
        257 AS vocab_size, 256 AS eot_id, count(*)::BIGINT AS meta_tokens
-FROM t GROUP BY split""")
-def q_prepare_corpus(spark, sf_dir):
-    """P7 W1 K1 S3 S4 end to end: budget, offsets and token files, read back with their sidecar."""
-    root = scratch_path(spark, "prepared")
-    prepare_corpus(table(spark, sf_dir, "documents"), root, max_tokens=BUDGET)
+FROM t GROUP BY split"""
+
+
+def _prepared_stats(spark, root):
+    """Fingerprint and sidecar of both streams that ``prepare_corpus`` wrote to ``root``."""
     out = None
     for split in SPLITS:
         meta = read_token_meta(spark, f"{root}/{split}").select(
@@ -112,3 +113,19 @@ def q_prepare_corpus(spark, sf_dir):
         s = _stream_stats(read_token_stream(spark, f"{root}/{split}"), split).join(meta, "split")
         out = s if out is None else out.unionByName(s)
     return out
+
+
+@query("prepare_corpus", oracle=_prepared_sql(BUDGET))
+def q_prepare_corpus(spark, sf_dir):
+    """P7 W1 K1 S3 S4 end to end: budget, offsets and token files, read back with their sidecar."""
+    root = scratch_path(spark, "prepared")
+    prepare_corpus(table(spark, sf_dir, "documents"), root, max_tokens=BUDGET)
+    return _prepared_stats(spark, root)
+
+
+@query("prepare_corpus_whole", oracle=_prepared_sql(PRETRAIN_MAX_TOKENS))
+def q_prepare_corpus_whole(spark, sf_dir):
+    """P7 W1 K1 S3 S4 end to end under the operator's own budget, which keeps every document here."""
+    root = scratch_path(spark, "prepared-whole")
+    prepare_corpus(table(spark, sf_dir, "documents"), root)
+    return _prepared_stats(spark, root)

@@ -48,3 +48,18 @@ def test_prepare_sft_streams(spark):
     labs = _flat(spark, f"{out}/labels/train", "int32")
     assert len(toks) == len(labs) == rep["train"]["n_tokens"]
     assert sum(1 for x in labs if x != -1) == rep["train"]["n_labeled"]
+
+
+def test_whole_corpus_query_writes_every_document(spark):
+    from pyspark.sql import functions as F
+
+    from quire.plans import all_queries  # noqa: F401  (registers the queries)
+    from quire.plans.corpus_queries import BUDGET
+    from quire.plans.registry import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    want = spark.read.parquet(f"{sf}/documents.parquet").agg(
+        F.sum(F.octet_length("text") + 1)).first()[0]
+    assert want > BUDGET
+    found = QUERIES["prepare_corpus_whole"](spark, sf).collect()
+    assert sum(r["n_tokens"] for r in found) == sum(r["meta_tokens"] for r in found) == want
