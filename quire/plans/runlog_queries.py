@@ -175,6 +175,16 @@ def q_ema(spark, sf_dir):
 EMA_EVERY = 97
 
 
+def _smoothed_events(spark, sf_dir):
+    """``(iter, smoothed)`` of every event, all taken as one run."""
+    ev = table(spark, sf_dir, "events").select(
+        F.lit(0).cast("bigint").alias("run_id"), "ts", "event_id", (F.col("value") / 100.0).alias("x"))
+    run = row_index(ev, ["run_id"], ["ts", "event_id"], "pos", keep_bucket=True).select(
+        "run_id", "pos", "x")
+    out = ema(run, "x", alpha=0.1, out_col="smoothed")
+    return out.select(F.col("pos").alias("iter"), F.round("smoothed", 9).alias("smoothed"))
+
+
 @query("ema_long", oracle=f"""
 WITH r AS (
   SELECT value / 100.0 AS x, row_number() OVER (ORDER BY ts, event_id) - 1 AS iter FROM events),
@@ -183,13 +193,28 @@ SELECT iter, round(list_reduce(xs[1:iter + 1], lambda e, v: 0.9 * e + 0.1 * v),
 FROM r, l WHERE iter % {EMA_EVERY} = 0""")
 def q_ema_long(spark, sf_dir):
     """R6 over one run that holds every event: the value is carried over its whole length."""
-    ev = table(spark, sf_dir, "events").select(
-        F.lit(0).cast("bigint").alias("run_id"), "ts", "event_id", (F.col("value") / 100.0).alias("x"))
-    run = row_index(ev, ["run_id"], ["ts", "event_id"], "pos", keep_bucket=True).select(
-        "run_id", "pos", "x")
-    out = ema(run, "x", alpha=0.1, out_col="smoothed")
-    return out.where(F.col("pos") % EMA_EVERY == 0).select(
-        F.col("pos").alias("iter"), F.round("smoothed", 9).alias("smoothed"))
+    return _smoothed_events(spark, sf_dir).where(F.col("iter") % EMA_EVERY == 0)
+
+
+# Rows that the oracle below folds in one piece; not a multiple of FOLD_GROUP.
+EMA_PIECE = 250
+
+
+@query("ema_every_row", oracle=f"""
+WITH RECURSIVE r AS (
+  SELECT value / 100.0 AS x, row_number() OVER (ORDER BY ts, event_id) - 1 AS iter FROM events),
+p AS (SELECT iter // {EMA_PIECE} AS piece, list(x ORDER BY iter) AS xs FROM r GROUP BY piece),
+n AS (
+  SELECT piece, xs[1] AS entering FROM p WHERE piece = 0
+  UNION ALL
+  SELECT n.piece + 1, list_reduce([n.entering] || p.xs, lambda e, v: 0.9 * e + 0.1 * v)
+  FROM n JOIN p ON p.piece = n.piece)
+SELECT iter, round(list_reduce([entering] || xs[1:iter % {EMA_PIECE} + 1],
+                               lambda e, v: 0.9 * e + 0.1 * v), 9) AS smoothed
+FROM r JOIN p ON p.piece = iter // {EMA_PIECE} JOIN n ON n.piece = p.piece""")
+def q_ema_every_row(spark, sf_dir):
+    """R6 over one run that holds every event: the smoothed value of each of its rows."""
+    return _smoothed_events(spark, sf_dir)
 
 
 @query("at_interval", oracle=f"""
