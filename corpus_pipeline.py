@@ -14,17 +14,17 @@ from pyspark.sql import functions as F
 
 from quire.llm.langid import UNKNOWN, fit_profiles, fold, predict_language
 from quire.llm.minhash_paths import minhash_near_duplicates
-from quire.llm.mixing import label_domains, mix
+from quire.llm.mixing import label_domains, mix, text_hash
 from quire.llm.queries import VOCABULARY_FILE
 from quire.llm.secrets import redact
 from quire.llm.segment_sampling import load_vocabulary, sample_segmentations
 from quire.plans.registry import table
 from quire.session import scratch_path
 
-#: Token shares aimed at; the clean domain is wanted just as it is, the others thinned.
+#: Token shares aimed at; the clean domain is wanted just as it is, the others thinned or repeated.
 MIXTURE = {"clean": 0.97, "junk": 0.02, "toxic": 0.01}
-#: A rate this near 1 keeps a document whatever its draw.
-NEARLY_ONE = 0.8
+#: From this posterior on a document is clean and stays as it is.
+CLEAN = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,15 +50,21 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Thin out junk and toxic domains to their target shares by each document's rate.
+    """Bring the domains to their target shares: every row as often as its rate says.
 
-    A rate of ``NEARLY_ONE`` or more keeps the document, a lower one by the hash draw that
-    the operator made; nothing is repeated.
+    A row stands in the result as many times as the operator made copies of it, 0 or
+    more.  Rows more likely clean than not stay just as they are, and the rates of the
+    others are fitted around them.
     """
-    mixed = mix(docs, label_domains(table(spark, sf_dir, "labels")), MIXTURE, keep="clean")
-    dropped = mixed.where((F.col("rate") < NEARLY_ONE) & (F.col("copies") == 0)) \
-        .select("doc_id").distinct()
-    return docs.hint("merge").join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    mixed = mix(docs, label_domains(table(spark, sf_dir, "labels")), MIXTURE, keep="clean",
+                hold=CLEAN, by_text=True)
+    # equal texts of one id are judged alike
+    judged = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
+        F.max("copies").alias("_copies")).where("_copies > 0")
+    rows = docs.hint("merge").join(judged, F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+                                   & (text_hash() == F.col("_hash")))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))) \
+        .select(*docs.columns)
 
 
 def segmentation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,34 +68,47 @@ def fit_weights(docs: DataFrame, labelled: DataFrame, domains: list[str], *,
     return weights, priors
 
 
-def predict_domains(docs: DataFrame, weights: DataFrame, priors: list[float]) -> DataFrame:
-    """``doc_id, tokens, q_0, q_1, ...`` for every row; without words the priors."""
+def text_hash() -> Column:
+    """What tells rows of one doc_id apart: a hash of the text."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def predict_domains(docs: DataFrame, weights: DataFrame, priors: list[float], *,
+                    by_text: bool = False) -> DataFrame:
+    """``doc_id, tokens, q_0, q_1, ...`` for every row; without words the priors.
+
+    ``by_text`` adds ``text_hash`` after doc_id.
+    """
     k = range(len(priors))
+    names = ["doc_id", "text_hash"] if by_text else ["doc_id"]
     rows = docs.select(F.monotonically_increasing_id().alias("row"),
                        F.col("doc_id").cast("long").alias("doc_id"),
+                       *([text_hash().alias("text_hash")] if by_text else []),
                        F.col("text").cast("string").alias("text"))
     # explode_outer keeps rows without words; a bin never seen says nothing
     word = F.explode_outer(F.filter(F.split(F.lower("text"), _WORDS), lambda w: w != ""))
-    words = rows.select("row", "doc_id", word.alias("word")).withColumn(
+    words = rows.select("row", *names, word.alias("word")).withColumn(
         "bin", F.pmod(F.xxhash64("word"), F.lit(BINS)).cast("int"))
-    logits = (words.join(F.broadcast(weights), "bin", "left").groupBy("row", "doc_id")
+    logits = (words.join(F.broadcast(weights), "bin", "left").groupBy("row", *names)
               .agg(F.count("word").alias("tokens"),
                    *[F.coalesce(F.sum(F.when(F.col("word").isNotNull(), F.col(f"w_{i}"))),
                                 F.lit(0.0)).alias(f"l_{i}") for i in k]))
-    logits = logits.select("doc_id", "tokens", *[(F.col(f"l_{i}") + priors[i]).alias(f"l_{i}")
-                                                 for i in k])
-    top = F.greatest(*[F.col(f"l_{i}") for i in k]) if len(priors) > 1 else F.col("l_0")
-    odds = logits.select("doc_id", "tokens", *[F.exp(F.col(f"l_{i}") - top).alias(f"o_{i}")
+    logits = logits.select(*names, "tokens", *[(F.col(f"l_{i}") + priors[i]).alias(f"l_{i}")
                                                for i in k])
-    whole = sum((F.col(f"o_{i}") for i in k), F.lit(0.0))
-    return odds.select("doc_id", "tokens", *[(F.col(f"o_{i}") / whole).alias(f"q_{i}")
+    top = F.greatest(*[F.col(f"l_{i}") for i in k]) if len(priors) > 1 else F.col("l_0")
+    odds = logits.select(*names, "tokens", *[F.exp(F.col(f"l_{i}") - top).alias(f"o_{i}")
                                              for i in k])
+    whole = sum((F.col(f"o_{i}") for i in k), F.lit(0.0))
+    return odds.select(*names, "tokens", *[(F.col(f"o_{i}") / whole).alias(f"q_{i}")
+                                           for i in k])
 
 
 def fit_rates(members: DataFrame, targets: list[float], *, steps: int = STEPS,
-              tolerance: float = 1e-6) -> DataFrame:
+              tolerance: float = 1e-6, held: Column | None = None) -> DataFrame:
     """Add ``rate`` to ``members(tokens, q_0, ...)``; ``targets`` are token totals per domain.
 
+    Rows where ``held`` is true stay at rate 1; the others make up for them.
+
     Stops when every total is within ``tolerance`` of its target, as a share of all
     target tokens, or after ``steps``.  Domains nobody belongs to cannot be met.
     """
@@ -114,7 +127,9 @@ def fit_rates(members: DataFrame, targets: list[float], *, steps: int = STEPS,
             break
         gradient = sum((F.col(f"q_{i}") * F.lit((have[i] - targets[i]) / mass[i])
                         for i in k if mass[i] > 0), F.lit(0.0))
-        current = current.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - gradient))
+        moved = F.greatest(F.lit(0.0), F.col("rate") - gradient)
+        current = current.withColumn(
+            "rate", moved if held is None else F.when(held, 1.0).otherwise(moved))
         fused += 1
         if fused == FUSED:  # bounds the expression that later passes evaluate
             current, fused = materialize(current, "rates"), 0
@@ -123,7 +138,8 @@ def fit_rates(members: DataFrame, targets: list[float], *, steps: int = STEPS,
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], *,
-        total: float | None = None, keep: str | None = None) -> DataFrame:
+        total: float | None = None, keep: str | None = None, hold: float | None = None,
+        by_text: bool = False) -> DataFrame:
     """``doc_id, tokens, posteriors, rate, copies`` for every row of ``docs``.
 
     ``weights``: wanted share of each domain.  ``total``: wanted tokens in all; with
@@ -131,11 +147,14 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], *,
     tokens there are.  ``copies`` rounds the rate up or down by a hash of doc_id so that it
     is right on average.  Null or blank texts have no tokens and the prior posteriors;
     null and repeated ids stay, a repeated row counts each time; other columns are
-    ignored; an empty table gives no rows.
+    ignored; an empty table gives no rows.  Rows whose posterior in ``keep`` is at least
+    ``hold`` stay at rate 1.  ``by_text`` adds ``text_hash`` after doc_id, so that rows of
+    one doc_id can be told apart, and draws for rows of null doc_id by it.
     """
     domains = sorted(weights)
+    names = ["doc_id", "text_hash"] if by_text else ["doc_id"]
     model, priors = fit_weights(docs, labelled, domains)
-    members = materialize(predict_domains(docs, model, priors), "members")
+    members = materialize(predict_domains(docs, model, priors, by_text=by_text), "members")
     sums = members.agg(*[F.sum(F.col("tokens") * F.col(f"q_{i}"))
                          for i in range(len(domains))]).first()
     have = [float(x or 0.0) for x in sums]
@@ -143,10 +162,11 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], *,
     if total is None:
         total = sum(have) if keep is None else have[domains.index(keep)] / share[
             domains.index(keep)]
-    rated = fit_rates(members, [total * s for s in share])
-    draw = F.pmod(F.xxhash64(F.lit("copies"), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
+    held = None if hold is None else F.col(f"q_{domains.index(keep)}") >= hold
+    rated = fit_rates(members, [total * s for s in share], held=held)
+    draw = F.pmod(F.xxhash64(F.lit("copies"), F.coalesce(*names)), F.lit(1 << 30)) / float(1 << 30)
     return rated.select(
-        "doc_id", "tokens",
+        *names, "tokens",
         F.create_map(*[x for i, d in enumerate(domains) for x in (F.lit(d), F.col(f"q_{i}"))])
         .alias("posteriors"), "rate",
         (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long"))

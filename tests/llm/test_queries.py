@@ -67,3 +67,42 @@ def test_stages_on_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).collect() == []
+
+
+WORDS = {"clean": "river mountain forest meadow", "junk": "click buy cheap offer",
+         "toxic": "awful hateful nasty vile"}
+
+
+def _text(domain, i):
+    return " ".join(f"{w} {domain}{(i * 7 + k) % 5}" for k, w in enumerate(WORDS[domain].split() * 5))
+
+
+def _mixed(spark, docs, labels):
+    """Texts by (doc_id, domain) after the mixing stage."""
+    sf = corpus_pipeline.scratch_path(spark, "t-mix")
+    spark.createDataFrame(labels, "doc_id long, quality long, toxic long").write.parquet(
+        f"{sf}/labels.parquet")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    return [(r.doc_id, next(d for d, w in WORDS.items() if r.text.startswith(w.split()[0])))
+            for r in corpus_pipeline.mixing(spark, frame, sf).collect()]
+
+
+def _mixture(sizes, first=1000):
+    docs, labels = [], []
+    for domain, n in sizes.items():
+        for _ in range(n):
+            at = first + len(docs)
+            docs.append((at, _text(domain, at)))
+            labels.append((at, 1 if domain == "clean" else 0, 1 if domain == "toxic" else 0))
+    return docs, labels
+
+
+def test_mixing_stage_meets_its_shares(spark):
+    # junk wants about 0.8 of its rows, toxic four times as many
+    docs, labels = _mixture({"clean": 5000, "junk": 125, "toxic": 13})
+    out = _mixed(spark, docs, labels)
+    ids = [i for i, d in out if d == "clean"]
+    assert len(ids) == len(set(ids)) == 5000
+    for domain, share in corpus_pipeline.MIXTURE.items():
+        got = sum(d == domain for _, d in out) / len(out)
+        assert abs(got - share) < 0.003, (domain, got)
