@@ -9,9 +9,9 @@ level by level, until its nodes are small.  Documents that merely share a
 frequent passage part at the next coordinate, so no hot node is ever paired.
 
 Recall: a pair of similarity s meets in one root with probability s and in one
-child with 1 - (1 - s)^branching.  With 12 roots and 2 branches a pair at 0.75 is
-missed with probability 0.25^12 = 6e-8 in small root nodes, and about
-(1 - 0.75 * 0.94^d)^12 (6e-6 at depth d = 3) below hot ones.
+child with 1 - (1 - s)^branching.  With 20 roots and 2 branches a pair at 0.75 is
+missed with probability 0.25^20 = 9e-13 in small root nodes, and with
+(1 - 0.75 * 0.9375^d)^20 below hot ones: 4e-9 at depth d = 3, 7e-6 at ``MAX_DEPTH``.
 
 Links are confirmed on the full sets, 100 * intersection >= 75 * union.  Copies
 (equal shingle sets) are one vertex; inside a node only a spanning set of
@@ -31,7 +31,7 @@ from quire.llm.shingles import (jaccard_counts, mix64, permutation_constants, sh
 from quire.session import materialize
 
 N_COORDS = 64
-N_ROOTS = 12
+N_ROOTS = 20
 BRANCHING = 2
 LEAF = 256
 BLOCK = 1024

@@ -178,3 +178,10 @@ def test_table_plan():
     p = same_cell(np.sqrt(2 - 2 * 0.93)) ** 8
     assert (1 - p) ** tables_needed(0.93, 8) <= 1e-4
     assert same_cell(0.0) == 1.0 and same_cell(0.2) > same_cell(1.4)
+
+
+def test_trees_reach_their_recall_at_full_depth():
+    from quire.llm.minhash_paths import BRANCHING, MAX_DEPTH, N_ROOTS
+
+    child = 1 - (1 - 0.75) ** BRANCHING
+    assert (1 - 0.75 * child ** MAX_DEPTH) ** N_ROOTS < 1e-5
