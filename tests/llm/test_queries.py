@@ -106,3 +106,13 @@ def test_mixing_stage_meets_its_shares(spark):
     for domain, share in corpus_pipeline.MIXTURE.items():
         got = sum(d == domain for _, d in out) / len(out)
         assert abs(got - share) < 0.003, (domain, got)
+
+
+def test_mixing_stage_judges_rows_not_ids(spark):
+    docs, labels = _mixture({"clean": 300, "junk": 300, "toxic": 10})
+    twice = [(i, _text(d, i)) for i in range(200) for d in ("clean", "junk")]
+    unnamed = [(None, _text("junk", i) + f" x{i}") for i in range(100)]
+    out = _mixed(spark, docs + twice + unnamed, labels)
+    assert sorted(i for i, d in out if d == "clean" and i is not None and i < 200) == list(range(200))
+    assert sum(d == "junk" and i is not None and i < 200 for i, d in out) < 40
+    assert sum(i is None for i, _ in out) < 40
