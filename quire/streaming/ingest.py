@@ -6,8 +6,9 @@ stops.  ST2 keeps one global running total in a *ledger* table: for micro-batch
 ``b`` the base is the sum of the ledger rows of batches ``< b``; the batch's own
 prefix sum is added, rows with ``base + start < max`` are kept, and both the
 output and the ledger row are written to the ``batch_id=b`` partition with
-dynamic overwrite, so replaying a batch after a failure is idempotent.  Once the
-ledger total reaches the budget, later batches return without running a job.
+dynamic overwrite, so replaying a batch after a failure is idempotent.  The output
+holds the tokens of every kept document.  Once the ledger total reaches the budget,
+the query is stopped; a batch that had begun by then returns without running a job.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from quire.session import ship_package
 # still make several micro-batches.
 ARRIVAL_BYTES = 128 << 20
 LEAST_FILES = 4
+# Seconds between two looks at the ledger of a running query.
+STOP_POLL = 0.2
 
 
 def arrival_files(df: DataFrame) -> int:
@@ -68,6 +71,7 @@ class BudgetLedger:
         self.max_tokens, self.order_by = max_tokens, order_by
         self.tokenizer, self.text_col = tokenizer, text_col
         self.reached = False
+        self.reached_at = None
 
     def _base(self, spark, batch_id: int) -> int:
         try:
@@ -80,18 +84,21 @@ class BudgetLedger:
         return int(v or 0)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        if self.reached and batch_id > self.reached_at:
+            return
         spark = batch.sparkSession
         base = self._base(spark, batch_id)
         if base >= self.max_tokens and base > 0:
-            self.reached = True
+            self.reached_at, self.reached = batch_id, True
             return
         docs = assign_split(batch.select(self.order_by, self.text_col), self.order_by)
         docs = docs.select(self.order_by, "split",
                            token_count(F.col(self.text_col), self.tokenizer).cast("bigint")
-                           .alias("n_tokens"))
+                           .alias("n_tokens"), self.text_col)
         local = prefix_aggregate(docs, [self.order_by], {"_start": ("sum", F.col("n_tokens"))})
         kept = local.withColumn("budget_start", F.col("_start") + F.lit(base)).drop("_start")
         kept = kept.where((F.col("budget_start") < self.max_tokens) | (F.col("budget_start") == 0))
+        kept = tokenize(kept, self.text_col, self.tokenizer, len_col=None).drop(self.text_col)
         kept = kept.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
         kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
             .partitionBy("batch_id").parquet(self.out_path)
@@ -100,7 +107,7 @@ class BudgetLedger:
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
             .partitionBy("batch_id").parquet(self.ledger_path)
         if base + total >= self.max_tokens:
-            self.reached = True
+            self.reached_at, self.reached = batch_id, True
 
 
 def stream_budget(stream: DataFrame, max_tokens: int, out_path: str, ledger_path: str,
@@ -111,9 +118,10 @@ def stream_budget(stream: DataFrame, max_tokens: int, out_path: str, ledger_path
     ledger = BudgetLedger(out_path, ledger_path, max_tokens, order_by, tokenizer)
     q = (stream.writeStream.foreachBatch(ledger).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
-    # once the ledger reaches the budget every later batch returns at once without
-    # running a job, so the query drains cheaply instead of being interrupted
-    q.awaitTermination()
+    # a batch interrupted by the stop is replayed by the next run over this checkpoint
+    while not q.awaitTermination(STOP_POLL):
+        if ledger.reached:
+            q.stop()
     if q.exception() is not None:
         raise q.exception()
     return ledger

@@ -74,3 +74,22 @@ def test_ledger_replay_same_batch_id(spark):
     assert led.reached
     led(spark.createDataFrame([(5, "e")], "doc_id long, text string"), 2)
     assert spark.read.parquet(f"{root}/out").count() == 3   # nothing after the budget
+
+
+def test_stream_stops_at_the_budget_and_writes_tokens(spark):
+    """ST2: the query ends with the budget, not with its input, and keeps the tokens."""
+    from pathlib import Path
+
+    from quire.session import scratch_path
+    from quire.streaming.ingest import file_stream, stage_in_order, stream_budget
+
+    root = scratch_path(spark, "t-st2-stop")
+    texts = {i: f"text {i}" for i in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    stage_in_order(docs, "doc_id", 60, f"{root}/in")
+    src = file_stream(spark, f"{root}/in", docs.schema, max_files_per_trigger=1)
+    assert stream_budget(src, 10, f"{root}/out", f"{root}/ledger", f"{root}/_ck").reached
+    out = {r["doc_id"]: r["tokens"] for r in spark.read.parquet(f"{root}/out").collect()}
+    assert out == {i: list(texts[i].encode()) + [256] for i in (0, 1)}
+    begun = [p for p in Path(root.removeprefix("file:")).glob("_ck/offsets/*")]
+    assert 0 < len(begun) < 50
