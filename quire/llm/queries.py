@@ -260,3 +260,95 @@ def op4_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), "rank", "perturbed", "log_prob",
                         "log_inclusion", "exact", F.size("ids").cast("long").alias("n_pieces"),
                         F.xxhash64("ids").alias("ids_hash"))
+
+
+#: A ``tokenizers`` definition; any other path can be given.
+TOKENIZER_FILE = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+@query("op11_best_fit_packing")
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    from quire.llm.packing import pack_documents
+
+    with open(TOKENIZER_FILE, encoding="utf-8") as f:
+        placed = pack_documents(table(spark, sf_dir, "documents"), f.read())
+    return placed.drop("tokens")
+
+
+_NEGATIVES_ORACLE = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id,
+         CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+s AS (
+  SELECT a.r AS a, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+         CAST(list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * b.e[i]))
+              AS BIGINT) AS score
+  FROM v a JOIN v b ON a.r <> b.r AND len(a.e) = len(b.e) WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT a, anchor_id, vec_id AS positive_id, score AS positive_score,
+         row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) AS k
+  FROM s WHERE same),
+n AS (
+  SELECT p.anchor_id, p.positive_id, s.vec_id AS negative_id, p.positive_score,
+         s.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.a, p.k ORDER BY s.score DESC, s.vec_id)
+              AS INTEGER) AS rank
+  FROM p JOIN s USING (a)
+  WHERE k <= 5 AND NOT s.same AND 80 * p.positive_score <= 100 * s.score
+    AND 100 * s.score <= 100 * p.positive_score)
+SELECT * FROM n WHERE rank <= 5
+"""
+
+
+@query("op12_hard_negatives", _NEGATIVES_ORACLE)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, against all vectors."""
+    from quire.llm.hard_negatives import mine_hard_negatives
+
+    vectors = table(spark, sf_dir, "embeddings").withColumn(
+        "label", F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END"))
+    return mine_hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+_SEARCH_ORACLE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+i AS (
+  SELECT DISTINCT item_id, unnest(
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark WHERE item_id IS NOT NULL),
+t AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d WHERE len(w) > 0),
+tf AS (
+  SELECT r, doc_id, n, term, count(*) AS tf
+  FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d)
+  WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+wt AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT)
+         AS weight FROM tf, t GROUP BY term, docs),
+x AS (
+  SELECT item_id, r, doc_id, CAST(sum(
+           weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))))
+         AS BIGINT) AS score
+  FROM i JOIN tf USING (term) JOIN wt USING (term), t WHERE doc_id IS NOT NULL GROUP BY ALL),
+o AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)
+         AS INTEGER) AS rank, doc_id, score FROM x WHERE score > 0)
+SELECT * FROM o WHERE rank <= 50
+"""
+
+
+@query("op13_lexical_search", _SEARCH_ORACLE)
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    from quire.llm.lexical_search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

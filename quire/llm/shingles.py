@@ -35,10 +35,10 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """64-bit hash of each word of lower-cased UTF-8 bytes, in text order."""
-    b = np.frombuffer(data, dtype=np.uint8)
-    space = _SPACE[b]
+def byte_runs(b: bytes, inside: np.ndarray) -> np.ndarray:
+    """64-bit hash of each maximal run of bytes that ``inside`` (256 flags) has, in order."""
+    b = np.frombuffer(b, dtype=np.uint8)
+    space = ~inside[b]
     first = ~space
     first[1:] &= space[:-1]
     starts = np.flatnonzero(first)
@@ -57,6 +57,11 @@ def word_hashes(data: bytes) -> np.ndarray:
     return mix64(np.add.reduceat(v, starts))
 
 
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hash of each word of lower-cased UTF-8 bytes, in text order."""
+    return byte_runs(data, ~_SPACE)
+
+
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the ``width``-word shingles of a text.
 
