@@ -82,6 +82,19 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.parquet(path)
 
 
+def bound_batches(spark: SparkSession, rows: int) -> None:
+    """Let at most ``rows`` rows go to a Python worker at a time, in this session from now on.
+
+    Spark bounds an Arrow batch by rows, not bytes.  Operators that send whole texts or
+    groups call this before their first job, so that a batch stays at some megabytes;
+    a smaller setting is left alone.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 _SHIPPED: set[str] = set()
 
 
