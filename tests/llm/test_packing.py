@@ -92,3 +92,30 @@ def test_every_document_reads_back_from_its_slots(spark, definition):
     assert pack_documents(docs.limit(0), definition).collect() == []
     with pytest.raises(ValueError):
         pack_documents(docs, definition, capacity=0)
+
+
+def test_rank_encoding_equals_the_definition_on_every_character(definition):
+    from quire.llm.packing import _Codec
+
+    codec = _Codec(definition)
+    assert codec.fast is not None
+    for lo in range(0, 0x110000, 512):
+        text = "".join(f"a{c}b 1{c}2 .{c}, {c}{c} \n {c}\t" for c in map(chr, range(lo, lo + 512))
+                       if not "\ud800" <= c <= "\udfff")
+        assert codec.ids(text).tolist() == codec.whole.encode(text, add_special_tokens=False).ids
+
+
+def test_added_tokens_white_space_runs_and_other_definitions(definition):
+    import json
+
+    from quire.llm.packing import _Codec
+
+    codec = _Codec(definition)
+    assert codec.ids("a<|endoftext|>b").tolist() == codec.whole.encode("a<|endoftext|>b").ids
+    wide = " " * 1_200_000 + "x"
+    assert codec.ids(wide).tolist() == codec.whole.encode(wide).ids
+    other = json.loads(definition)
+    other["normalizer"] = {"type": "Lowercase"}
+    lower = _Codec(json.dumps(other))
+    assert lower.fast is None
+    assert lower.ids("ABC").tolist() == codec.ids("abc").tolist()
