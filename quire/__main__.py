@@ -78,7 +78,7 @@ def cmd_early_stop(spark, args):
     from quire.operators.runlog import early_stop, mark_improvements, read_run_log
 
     ev = read_run_log(spark, args.evals, "eval")
-    early_stop(mark_improvements(ev), args.patience).write.mode("overwrite").parquet(args.output)
+    early_stop(ev, args.patience).write.mode("overwrite").parquet(args.output)
 
 
 def main(argv=None):

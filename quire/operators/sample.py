@@ -10,6 +10,8 @@ corpus - so it is broadcast when small and the corpus side is never shuffled.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from quire.functions.arrays import window_x, window_y
 from quire.functions.hashing import md5_bigint
 from quire.operators.pack import _pieces
 from quire.operators.tokenize import tokenize
+from quire.session import bound_batches, ship_package
+from quire.sources.tokenbin import TokenFiles, stream_state
 
 MAX_BROADCAST_WINDOW_ROWS = 4_000_000
 
@@ -96,3 +100,48 @@ def sample_windows(seqs: DataFrame, n: int, block_size: int = 512, seed: int = 1
                               lambda s: s["piece"])).alias("window"))
     return out.select("rank", "sample_id", "batch_id", "start", "window",
                       window_x("window").alias("x"), window_y("window").alias("y"))
+
+
+# Windows that a task reads at a time.
+WINDOWS_PER_BATCH = 1000
+
+
+def _read_windows(path: str, width: int):
+    """(rank, sample_id, batch_id, start) -> the same with the ``width`` ids at ``start``."""
+    def run(batches):
+        files = TokenFiles(path)
+        for batch in batches:
+            start = batch.column(3).to_numpy()
+            out = np.empty((len(start), width), dtype=np.int32)
+            for k in np.argsort(start, kind="stable"):      # forwards through the files
+                out[k] = files.read(int(start[k]), width)
+            ends = np.arange(0, (len(start) + 1) * width, width, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))],
+                names=["rank", "sample_id", "batch_id", "start", "window"])
+        files.close()
+    return run
+
+
+def windows_from_files(spark, path: str, n: int, block_size: int = 512, seed: int = 1337,
+                       world_size: int = 1, batch_size: int | None = None) -> DataFrame:
+    """W3/W4/W5 over S3: the windows of ``sample_windows``, read straight from a token stream.
+
+    The manifest says how long the stream is and which part holds which offsets, so the
+    windows are drawn without a look at the tokens, dealt over the tasks by offset, and
+    each task reads the ``block_size + 1`` ids of its own windows and nothing else: the
+    bytes read follow the number of windows, not the corpus.
+    """
+    state = stream_state(path)
+    if state is None:
+        raise FileNotFoundError(f"no data set in {path}")
+    if state["n_tokens"] <= block_size + 1:
+        raise ValueError("stream too short: need more than block_size + 1 tokens")
+    ship_package(spark)
+    bound_batches(spark, WINDOWS_PER_BATCH)
+    wins = window_starts(spark, n, block_size, F.lit(state["n_tokens"]).cast("bigint"), seed,
+                         world_size, batch_size)
+    dealt = wins.select("rank", "sample_id", "batch_id", "start").repartitionByRange("start")
+    out = dealt.mapInArrow(_read_windows(path, block_size + 1),
+                           "rank int, sample_id long, batch_id long, start long, window array<int>")
+    return out.select("*", window_x("window").alias("x"), window_y("window").alias("y"))

@@ -2,95 +2,127 @@
 
 ``Window.orderBy`` with no partition moves every row into one task.  Instead:
 
-1. bucket = quantile bucket of the (first) order key: ``approxQuantile`` gives
-   ``n_buckets - 1`` boundaries (bounded by ``n_buckets``, not by the data) and
-   ``Bucketizer`` assigns buckets by binary search on the JVM.  The bucket is a
-   data-derived column, so every branch of the plan agrees on it.
+1. bucket = number of splitters at or below the row's whole order key.  The
+   splitters are evenly spaced keys of a bounded sample (sample sort), compared
+   column by column as Spark itself orders them: strings as a whole, composite
+   keys by all their columns.  They are settled once and enter every plan as one
+   constant, so each branch of a plan agrees on a row's bucket.
 2. in-bucket running aggregate: window partitioned by ``(partition_by, bucket)``.
 3. bucket totals (one row per ``(partition_by, bucket)``) are cumulated with a
    small window and joined back; with no or a bounded ``partition_by`` the table
    has at most ``n_buckets * n_keys`` rows and is broadcast.
 
-Quantile buckets keep bucket sizes even whatever the key distribution; a hot
-``partition_by`` value is still split over all buckets its keys fall in.  Ties
-in the order key are allowed (they land in one bucket); the in-bucket order must
-be total (give a tiebreak column) for deterministic results.
+Buckets stay even whatever the keys' distribution or common prefix; only rows equal
+in every order column must share one.  A hot ``partition_by`` value is still split
+over all buckets its keys fall in.  The in-bucket order must be total (give a
+tiebreak column) for deterministic results.
 """
 
 from __future__ import annotations
 
+import json
 import math
+from decimal import Decimal
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKET = "_bucket"
 MAX_BROADCAST_BUCKET_ROWS = 2_000_000
+# Keys sampled for each splitter, and the least and greatest size of the sample.
+OVERSAMPLE = 64
+LEAST_SAMPLE, GREATEST_SAMPLE = 20_000, 200_000
 
 
 def default_buckets(spark) -> int:
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
 
 
-def _common_prefix(df: DataFrame, col: str) -> int:
-    """Bytes that all values of a string column start with: those of its two extremes."""
-    lo, hi = df.agg(F.min(col), F.max(col)).first()
-    a, b = (lo or "").encode(), (hi or "").encode()
-    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-
-
-def order_key_double(df: DataFrame, order_col: str, skip: int = 0) -> Column:
-    """A double that is monotone in ``order_col`` (numbers, dates, timestamps, strings).
-
-    A string counts by its six bytes after the first ``skip`` ones, in byte order, the
-    order Spark sorts strings in.
-    """
-    dtype = dict(df.dtypes)[order_col]
-    key = F.col(order_col)
-    if dtype == "timestamp_ntz":
+def _orderable(df: DataFrame, name: str) -> Column:
+    """The column in a type that JSON can carry, in the same order."""
+    kind, key = df.schema[name].dataType, F.col(name)
+    if isinstance(kind, T.TimestampNTZType):
         # wall-clock values: no time-zone conversion (it is not monotone across DST)
         key = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), key)
-    elif dtype == "timestamp":
+    elif isinstance(kind, T.TimestampType):
         key = F.unix_micros(key)
-    elif dtype == "date":
+    elif isinstance(kind, T.DateType):
         key = F.unix_date(key)
-    elif dtype == "string":
-        six = F.hex(F.substring(F.encode(key, "utf-8"), skip + 1, 6))
-        key = F.conv(F.rpad(six, 12, "0"), 16, 10)
-    return key.cast("double")
-
-
-def add_order_bucket(df: DataFrame, order_col: str, n_buckets: int | None = None,
+    elif isinstance(kind, T.BinaryType):
+        key = F.hex(key)
+    return key
+
+
+def _in_spark_order(value):
+    """A Python sort key that orders collected values as Spark does."""
+    if value is None:
+        return (0, 0)
+    if isinstance(value, str):
+        return (1, value.encode("utf-8", "surrogatepass"))
+    if isinstance(value, float) and math.isnan(value):
+        return (2, 0)
+    return (1, value)
+
+
+def _sampled_keys(keys: DataFrame, n_buckets: int) -> list[tuple]:
+    """A sample of the keys, in order: all of a small table, else about evenly drawn rows."""
+    size = min(max(OVERSAMPLE * n_buckets, LEAST_SAMPLE), max(GREATEST_SAMPLE, 8 * n_buckets))
+    rows = keys.take(size + 1)
+    if len(rows) > size:
+        share = size / keys.count()
+        rows = keys.sample(withReplacement=False, fraction=min(1.0, share), seed=size).collect()
+    return sorted((tuple(r) for r in rows), key=lambda r: tuple(map(_in_spark_order, r)))
+
+
+def key_splitters(keys: DataFrame, n_buckets: int) -> list[tuple]:
+    """At most ``n_buckets - 1`` distinct keys that cut a sample of ``keys`` into even runs."""
+    found = _sampled_keys(keys, n_buckets)
+    picked = [found[len(found) * k // n_buckets] for k in range(1, n_buckets)] if found else []
+    return [x for x, before in zip(picked, [None, *picked]) if x != before]
+
+
+def _constant(splitters: list[tuple], kind: T.StructType) -> Column:
+    """The splitters as one constant array of structs."""
+    rows = [{f.name: str(v) if isinstance(v, Decimal) else v for f, v in zip(kind.fields, row)}
+            for row in splitters]
+    return F.from_json(F.lit(json.dumps(rows)), T.ArrayType(kind))
+
+
+def bucket_of(key: Column, splitters: Column, n: int) -> Column:
+    """Number of the ``n`` ascending ``splitters`` at or below ``key``, by binary search."""
+    steps = [1 << k for k in reversed(range(n.bit_length()))]
+    # the key travels in the state: an optimizer rule overlooks columns used inside lambdas
+    start = F.struct(F.lit(0).alias("at"), key.alias("key"))
+    return F.aggregate(
+        F.array(*[F.lit(s) for s in steps]), start,
+        lambda s, step: F.struct(
+            (s["at"] + F.when((s["at"] + step <= n)
+                              & (F.get(splitters, s["at"] + step - 1) <= s["key"]), step)
+             .otherwise(F.lit(0))).alias("at"), s["key"].alias("key")),
+        lambda s: s["at"])
+
+
+def add_order_bucket(df: DataFrame, order_by: list[str] | str, n_buckets: int | None = None,
                      out_col: str = BUCKET, quantile_source: DataFrame | None = None) -> DataFrame:
-    """Add a quantile bucket id of ``order_col`` (numeric, date, timestamp or string).
+    """Add the bucket id of the whole order key (numbers, strings, binaries, dates, timestamps).
 
-    ``quantile_source`` (a cheap DataFrame with the same key column, e.g. the raw
-    table ``df`` was derived from) supplies the boundaries instead of ``df``:
-    any boundaries give correct buckets, only their balance depends on them, and
-    an expensive ``df`` is then not recomputed for the quantile pass.
+    ``quantile_source`` (a cheap DataFrame with the same key columns, e.g. the raw
+    table ``df`` was derived from) is sampled instead of ``df``: any splitters give
+    correct buckets, only their balance depends on them, and an expensive ``df`` is
+    then not recomputed for the sample.
     """
-    spark = df.sparkSession
-    nb = n_buckets or default_buckets(spark)
-    whole = df if quantile_source is None else quantile_source
-    skip = _common_prefix(whole, order_col) if dict(df.dtypes)[order_col] == "string" else 0
-    tmp = "_order_key_d"
-    keyed = df.withColumn(tmp, order_key_double(df, order_col, skip))
-    src = keyed if quantile_source is None else quantile_source.select(
-        order_key_double(quantile_source, order_col, skip).alias(tmp))
-    splits = []
-    if nb > 1:
-        probs = [i / nb for i in range(1, nb)]
-        # sketch size is O(1/eps) per merge step (treeAggregate); eps >= 1e-5 keeps
-        # what reaches the driver small - boundaries only set balance, never results
-        qs = src.select(tmp).approxQuantile(tmp, probs, max(1.0 / (4 * nb), 1e-5))
-        splits = sorted({q for q in qs if q is not None and not math.isnan(q)})
-    bounds = [-math.inf] + splits + [math.inf]
-    if len(bounds) < 3:
-        return keyed.withColumn(out_col, F.lit(0).cast("int")).drop(tmp)
-    bucketed = Bucketizer(splits=bounds, inputCol=tmp, outputCol="_bucket_d",
-                          handleInvalid="keep").transform(keyed)
-    return bucketed.withColumn(out_col, F.col("_bucket_d").cast("int")).drop(tmp, "_bucket_d")
+    order = [order_by] if isinstance(order_by, str) else list(order_by)
+    nb = n_buckets or default_buckets(df.sparkSession)
+    source = df if quantile_source is None else quantile_source
+    keys = source.select(*[_orderable(source, c).alias(f"k{i}") for i, c in enumerate(order)])
+    splitters = key_splitters(keys, nb) if nb > 1 else []
+    if not splitters:
+        return df.withColumn(out_col, F.lit(0))
+    key = F.struct(*[_orderable(df, c).cast(f.dataType).alias(f.name)
+                     for c, f in zip(order, keys.schema.fields)])
+    return df.withColumn(out_col, bucket_of(key, _constant(splitters, keys.schema),
+                                            len(splitters)))
 
 
 def _window_agg(kind: str, col: Column, w) -> Column:
@@ -140,14 +172,14 @@ def prefix_aggregate(df: DataFrame, order_by: list[str], aggs: dict[str, tuple[s
     ``reuse_bucket`` takes the ``_bucket`` column already on ``df`` (from an
     earlier scan with ``keep_bucket``); valid when that bucket is monotone in the
     new order within each partition - chained scans over one ordering then share
-    one quantile pass and one shuffle.
+    one sample pass and one shuffle.
     """
     pb = list(partition_by or [])
     if reuse_bucket and BUCKET in df.columns:
         b = df
     else:
         b = bucketed if bucketed is not None else add_order_bucket(
-            df, order_by[0], n_buckets, quantile_source=quantile_source)
+            df, order_by, n_buckets, quantile_source=quantile_source)
     inputs = {name: (kind, (F.lit(1) if kind == "count" else col))
               for name, (kind, col) in aggs.items()}
     for name, (kind, col) in inputs.items():

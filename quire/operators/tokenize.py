@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions.text import EOT_TEXT
-from quire.session import ship_package
+from quire.session import bound_batches, ship_package
 
+# Texts that go to a Python worker at a time.
+TEXTS_PER_BATCH = 1000
 TOKENS_TYPE = T.ArrayType(T.IntegerType(), containsNull=False)
 
 
@@ -197,6 +199,7 @@ def tokenize(df: DataFrame, text_col: str = "text", tokenizer: Tokenizer | None
     preparation); ``'raise'`` fails on it (inference prompts).
     """
     tok = tokenizer or ByteTokenizer()
+    bound_batches(df.sparkSession, TEXTS_PER_BATCH)
     out = df.withColumn(out_col, token_udf(tok, add_eot, on_special)(F.col(text_col)))
     if len_col:
         out = out.withColumn(len_col, F.size(out_col))

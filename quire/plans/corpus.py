@@ -37,15 +37,24 @@ def tokenized_corpus(docs: DataFrame, tokenizer: Tokenizer | None = None,
                      id_col: str = "doc_id", text_col: str = "text",
                      fraction: float = VAL_FRACTION, seed: int = SPLIT_SEED,
                      max_tokens: int | None = None, n_buckets: int | None = None,
-                     with_tokens: bool = True, keep_text: bool = True) -> DataFrame:
+                     with_tokens: bool = True, keep_text: bool = True,
+                     after: dict | None = None) -> DataFrame:
     """``(doc_id, split, n_tokens, start, tokens)`` for every kept document.
 
     ``with_tokens=False`` (byte codec) returns ``text`` instead of ``tokens`` so a
     consumer that needs only some documents tokenizes just those;
     ``keep_text=False`` returns narrow offsets (no text through the shuffle).
+    ``after`` (split -> last id that its stream holds, or None) leaves out what is there
+    already; the lowest of these ids bounds the scan of the texts.
     """
     tok = tokenizer or ByteTokenizer()
     base = assign_split(docs.select(id_col, text_col), id_col, fraction, seed)
+    lasts = list((after or {}).values())
+    if lasts and None not in lasts:
+        base = base.where(F.col(id_col) > F.lit(min(lasts)))
+    for split, last in (after or {}).items():
+        if last is not None:
+            base = base.where((F.col("split") != split) | (F.col(id_col) > F.lit(last)))
     if tok.length_expr(F.col(text_col), True) is not None:
         counted = base.withColumn("n_tokens", token_count(F.col(text_col), tok))
         counted = counted.select(id_col, "split", "n_tokens",

@@ -116,6 +116,30 @@ def q_stream_offsets_text_key(spark, sf_dir):
     return stream_offsets(docs, "url").select("url", "split", "start")
 
 
+_MIXED_URL = ("CASE CAST(substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) < '8' AS INTEGER) "
+              "WHEN 1 THEN 'http' ELSE 'https' END || '://' || substr(md5('host' || doc_id), 1, 2) "
+              "|| '.example.org/' || doc_id")
+
+
+@query("stream_offsets_mixed_urls", oracle=f"""
+WITH {DOCS_CTE.strip()},
+u AS (SELECT {_MIXED_URL} AS url, split, n_tokens FROM d)
+SELECT url, split, (sum(n_tokens) OVER (PARTITION BY split ORDER BY url
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n_tokens)::BIGINT AS start
+FROM u""")
+def q_stream_offsets_mixed_urls(spark, sf_dir):
+    """W1 in URL order over both schemes and many hosts: buckets follow the whole key."""
+    docs = assign_split(_docs(spark, sf_dir).select("doc_id", "text"))
+    host = F.substring(F.md5(F.concat(F.lit("host"), F.col("doc_id").cast("string"))), 1, 2)
+    scheme = F.when(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1) < "8", "http") \
+        .otherwise("https")
+    url = F.concat(scheme, F.lit("://"), host, F.lit(".example.org/"),
+                   F.col("doc_id").cast("string"))
+    docs = docs.select(url.alias("url"), "split",
+                       token_count(F.col("text")).cast("bigint").alias("n_tokens"))
+    return stream_offsets(docs, "url").select("url", "split", "start")
+
+
 @query("pack_blocks", oracle=f"""
 WITH {TOKENS_CTE.strip()},
 c AS (
@@ -131,7 +155,7 @@ GROUP BY split, block_id""")
 def q_pack_blocks(spark, sf_dir):
     """Every full 513-token block of each split stream, fingerprinted."""
     toks = tokenized_corpus(_docs(spark, sf_dir))
-    blocks = pack_blocks(toks, BLOCK)
+    blocks = pack_blocks(toks, BLOCK, method="local")
     return blocks.select(
         "split", F.col("block_id").cast("bigint").alias("block_id"),
         F.col("start").cast("bigint").alias("start"),

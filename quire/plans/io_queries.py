@@ -10,9 +10,15 @@ from quire.plans.corpus_queries import BUDGET, DOCS_CTE, TOKENS_CTE
 from quire.plans.registry import query, table
 from quire.plans.sft_queries import EXAMPLES_CTE, KEYS, _examples
 from quire.session import scratch_path
-from quire.plans.prepare import PRETRAIN_MAX_TOKENS, prepare_corpus
-from quire.sources.tokenbin import read_token_meta, read_token_stream, write_sft_bins, \
-    write_token_stream
+from quire.operators.ngram import eval_loss, score_windows
+from quire.operators.sample import windows_from_files
+from quire.plans import model_queries as mq
+from quire.plans.corpus_queries import BATCH, BLOCK, N_WINDOWS, SEED, WORLD
+from quire.plans.prepare import PRETRAIN_MAX_TOKENS, continue_corpus, prepare_corpus
+from quire.functions.arrays import positional_checksum
+from quire.plans.registry import ORACLES
+from quire.sources.tokenbin import read_token_meta, read_token_range, read_token_splits, \
+    read_token_stream, write_sft_bins, write_token_stream
 
 SPLITS = ("train", "val")
 # Every term of the checksum is taken modulo this prime, so the sums stay far from 2^63.
@@ -129,3 +135,73 @@ def q_prepare_corpus_whole(spark, sf_dir):
     root = scratch_path(spark, "prepared-whole")
     prepare_corpus(table(spark, sf_dir, "documents"), root)
     return _prepared_stats(spark, root)
+
+
+def _token_files(spark, sf_dir):
+    """The corpus written as train and val token files; their folder."""
+    root = scratch_path(spark, "tokenbin")
+    write_token_stream(tokenized_corpus(table(spark, sf_dir, "documents")), root,
+                       route_col="split", vocab_size=257, eot_id=256, repartition=False)
+    return root
+
+
+@query("sample_windows_files", oracle=ORACLES["sample_windows"])
+def q_sample_windows_files(spark, sf_dir):
+    """W3 W4 W5 over S3: the drawn windows' bytes read straight from the token files."""
+    win = windows_from_files(spark, f"{_token_files(spark, sf_dir)}/train", N_WINDOWS, BLOCK,
+                             seed=SEED, world_size=WORLD, batch_size=BATCH)
+    return win.select(F.col("rank").cast("bigint").alias("rank"), "sample_id", "batch_id", "start",
+                      positional_checksum("x").alias("x_checksum"),
+                      positional_checksum("y").alias("y_checksum"))
+
+
+@query("window_eval_loss_files", oracle=ORACLES["window_eval_loss"])
+def q_window_eval_loss_files(spark, sf_dir):
+    """M1 A4 over S3: both splits' evaluation windows read from the token files."""
+    root = _token_files(spark, sf_dir)
+    counts = mq._train_counts(spark, sf_dir)
+    wins = None
+    for split in SPLITS:
+        w = windows_from_files(spark, f"{root}/{split}", mq.EVAL_BATCHES * mq.BATCH, mq.BLOCK,
+                               seed=1337, batch_size=mq.BATCH).withColumn("split", F.lit(split))
+        wins = w if wins is None else wins.unionByName(w)
+    scored = score_windows(counts, wins, mq.V, ["split", "batch_id", "sample_id"])
+    return eval_loss(scored).select("split", "n_batches", F.round("loss", 9).alias("loss"))
+
+
+# A stretch of the train stream that begins and ends inside rows of the scan.
+RANGE_FIRST, RANGE_END, RANGE_ROW = 100_003, 300_007, 4_096
+
+
+@query("tokenbin_range", oracle=f"""
+WITH {TOKENS_CTE.strip()}
+SELECT count(*)::BIGINT AS n_tokens, sum(tok)::BIGINT AS token_sum,
+       sum(tok * ((pos + 1) % {PRIME}) % {PRIME})::BIGINT AS checksum
+FROM t WHERE split = 'train' AND pos >= {RANGE_FIRST} AND pos < {RANGE_END}""")
+def q_tokenbin_range(spark, sf_dir):
+    """S3: one stretch of the train stream, its bounds pushed into the scan."""
+    root = _token_files(spark, sf_dir)
+    rows = read_token_range(spark, f"{root}/train", RANGE_FIRST, RANGE_END, RANGE_ROW)
+    return _stream_stats(rows, "train").drop("split")
+
+
+@query("tokenbin_splits", oracle=ORACLES["tokenbin_roundtrip"])
+def q_tokenbin_splits(spark, sf_dir):
+    """S3: a prepared folder read as one data set, which needs both its splits."""
+    rows = read_token_splits(spark, _token_files(spark, sf_dir))
+    out = None
+    for split in SPLITS:
+        s = _stream_stats(rows.where(F.col("split") == split), split)
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+@query("prepare_corpus_continued", oracle=_prepared_sql(PRETRAIN_MAX_TOKENS))
+def q_prepare_corpus_continued(spark, sf_dir):
+    """P7 W1 K1 in two runs: half the ids first, then the whole table, of which the rest is new."""
+    root = scratch_path(spark, "continued")
+    docs = table(spark, sf_dir, "documents")
+    middle = docs.agg(F.expr("CAST(avg(doc_id) AS BIGINT)")).first()[0]
+    continue_corpus(docs.where(F.col("doc_id") <= F.lit(middle)), root)
+    continue_corpus(docs, root)
+    return _prepared_stats(spark, root)

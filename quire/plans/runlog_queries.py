@@ -93,8 +93,7 @@ SELECT u.run_id, any_value(u.stop_iter)::BIGINT AS stop_iter, count(*)::BIGINT A
 FROM u JOIN b USING (run_id) GROUP BY u.run_id""")
 def q_early_stop(spark, sf_dir):
     """Stop at the first evaluation with patience >= 5; best up to the stop."""
-    marked = mark_improvements(_runs(spark, sf_dir))
-    return early_stop(marked, PATIENCE, pos_col="iter")
+    return early_stop(_runs(spark, sf_dir), PATIENCE)
 
 
 @query("best_checkpoint", oracle=f"""
@@ -309,6 +308,28 @@ def q_run_log_sink(spark, sf_dir):
         F.round(F.sum("val_loss"), 6).alias("loss_sum"), F.min("val_loss").alias("best_val"))
 
 
+@query("run_log_merged", oracle="""
+WITH r AS (
+  SELECT user_id AS run_id, value AS val_loss,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS iter FROM events)
+SELECT run_id, count(*)::BIGINT AS n_evals,
+       round(sum(CASE WHEN iter % 3 = 0 THEN val_loss + 1 ELSE val_loss END), 6) AS loss_sum,
+       round(min(CASE WHEN iter % 3 = 0 THEN val_loss + 1 ELSE val_loss END), 9) AS best_val
+FROM r GROUP BY run_id""")
+def q_run_log_merged(spark, sf_dir):
+    """K6: a log written twice, then every third evaluation again with another loss."""
+    log = _runs(spark, sf_dir).select(
+        "run_id", "iter", F.lit(None).cast("double").alias("train_loss"), "val_loss",
+        F.lit(None).cast("double").alias("lr"), F.lit(None).cast("double").alias("mfu"))
+    path = scratch_path(spark, "run-log-merged")
+    for part in (log, log, log.where("iter % 3 = 0").withColumn("val_loss", F.col("val_loss") + 1)):
+        write_run_log(part, path)
+    return read_run_log(spark, path).groupBy("run_id").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_evals"),
+        F.round(F.sum("val_loss"), 6).alias("loss_sum"),
+        F.round(F.min("val_loss"), 9).alias("best_val"))
+
+
 @query("observed_tokens", oracle=f"""
 WITH {DOCS_CTE.strip()}
 SELECT count(*)::BIGINT AS n_rows, sum(n_tokens)::BIGINT AS n_tokens FROM d""")

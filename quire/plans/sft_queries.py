@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions.arrays import count_where, positional_checksum
-from quire.functions.text import EOT_TEXT, PY_WHITESPACE_CLASS, extract_response, inference_prompt, \
-    py_strip
+from quire.functions.text import EOT_TEXT, PY_WHITESPACE_CLASS, extract_response, format_prompt, \
+    inference_prompt, py_strip
 from quire.operators.pack import pack_blocks
 from quire.operators.report import GIB, LABEL_BYTES, TOKEN_BYTES
 from quire.operators.sft import build_sft, sft_sequences
@@ -191,9 +191,33 @@ def q_pack_sft_blocks(spark, sf_dir):
     """512-blocks of the SFT stream with aligned (already shifted) labels."""
     seqs = sft_sequences(_examples(spark, sf_dir), key_cols=KEYS,
                          quantile_source=table(spark, sf_dir, "conversations"))
-    blocks = pack_blocks(seqs, BLOCK, labels_col="labels")
+    blocks = pack_blocks(seqs, BLOCK, labels_col="labels", method="local")
     return blocks.select(
         "split", F.col("block_id").cast("bigint").alias("block_id"),
         count_where("labels", lambda x: x != -1).cast("bigint").alias("n_labeled"),
         positional_checksum("tokens").alias("x_checksum"),
         positional_checksum(F.transform("labels", lambda x: x + 1)).alias("y_checksum"))
+
+
+@query("sft_hot_conversation", oracle=f"""
+WITH {EXAMPLES_CTE.strip()},
+h AS (SELECT CASE WHEN conv_id % 3 = 0 THEN 0 ELSE conv_id END AS conv_id,
+             CASE WHEN conv_id % 3 = 0 THEN conv_id * 1000 + turn ELSE turn END AS turn,
+             len(seq)::BIGINT AS n_tokens FROM f)
+SELECT conv_id, turn, n_tokens,
+       (sum(n_tokens) OVER (ORDER BY conv_id, turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+        - n_tokens)::BIGINT AS start
+FROM h""")
+def q_sft_hot_conversation(spark, sf_dir):
+    """W1 P8 over ``(conv_id, turn)`` where one conversation holds a third of the examples."""
+    from quire.operators.offsets import stream_offsets
+    from quire.operators.tokenize import token_count
+
+    ex = _examples(spark, sf_dir)
+    hot = F.col("conv_id") % 3 == 0
+    n = (token_count(format_prompt(F.col("instruction"), F.col("input")), add_eot=False)
+         + token_count(py_strip(F.col("output")))).cast("bigint")
+    rows = ex.select(F.when(hot, 0).otherwise(F.col("conv_id")).cast("bigint").alias("conv_id"),
+                     F.when(hot, F.col("conv_id") * 1000 + F.col("turn"))
+                     .otherwise(F.col("turn")).cast("bigint").alias("turn"), n.alias("n_tokens"))
+    return stream_offsets(rows, ["conv_id", "turn"], split_col=None)

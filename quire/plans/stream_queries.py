@@ -11,8 +11,11 @@ from quire.plans.registry import ORACLES, query, table
 from quire.plans.runlog_queries import PATIENCE, _runs
 from quire.session import scratch_path, ship_package
 from quire.streaming.early_stop import stream_early_stop
-from quire.streaming.ingest import arrival_files, file_stream, stage_in_order, stream_budget, \
-    stream_tokenize
+from quire.plans.io_queries import SPLITS, _stream_stats
+from quire.sources.tokenbin import read_token_stream
+from quire.streaming.ingest import LiveCounter, arrival_files, file_stream, stage_in_order, \
+    stream_budget, stream_tokenize
+from quire.streaming.token_files import stream_token_files
 
 # Fixed value: iterations between two evaluations.
 EVAL_EVERY = 200
@@ -88,3 +91,31 @@ def q_stream_early_stop_sparse(spark, sf_dir):
     runs = _runs(spark, sf_dir).select(
         "run_id", (F.col("iter") * EVAL_EVERY).alias("iter"), "val_loss")
     return _stream_stops(spark, runs, scratch_path(spark, "st3s")).drop("n_late")
+
+
+@query("stream_progress", oracle=ORACLES["observed_tokens"])
+def q_stream_progress(spark, sf_dir):
+    """K5 ST1: what the live counter of a running ingest shows when the stream has ended."""
+    ship_package(spark)
+    root = scratch_path(spark, "k5")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stage_in_order(docs, "doc_id", arrival_files(docs), f"{root}/arrivals")
+    src = file_stream(spark, f"{root}/arrivals", docs.schema, max_files_per_trigger=1)
+    seen = LiveCounter(stream_tokenize(src, f"{root}/out", f"{root}/_checkpoint")).follow()
+    return spark.createDataFrame([seen], "n_rows long, n_tokens long")
+
+
+@query("stream_token_files", oracle=ORACLES["tokenbin_roundtrip"])
+def q_stream_token_files(spark, sf_dir):
+    """ST1 K1 S3: documents arriving in id order, written epoch by epoch into token files."""
+    ship_package(spark)
+    root = scratch_path(spark, "st1k1")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stage_in_order(docs, "doc_id", arrival_files(docs), f"{root}/arrivals")
+    src = file_stream(spark, f"{root}/arrivals", docs.schema, max_files_per_trigger=1)
+    stream_token_files(src, f"{root}/tokens", f"{root}/_checkpoint").awaitTermination()
+    out = None
+    for split in SPLITS:
+        s = _stream_stats(read_token_stream(spark, f"{root}/tokens/{split}"), split)
+        out = s if out is None else out.unionByName(s)
+    return out

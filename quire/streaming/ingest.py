@@ -50,13 +50,53 @@ def file_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: i
     return r.parquet(path)
 
 
+PROGRESS = "tokens"
+
+
+def observe_stream(stream: DataFrame, len_col: str = "n_tokens", name: str = PROGRESS) -> DataFrame:
+    """K5: let every micro-batch of ``stream`` report its rows and tokens."""
+    return stream.observe(name, F.count(F.lit(1)).alias("n_rows"),
+                          F.sum(F.col(len_col).cast("bigint")).alias("n_tokens"))
+
+
+class LiveCounter:
+    """K5: rows and tokens so far of a running query, from its own progress reports.
+
+    A report belongs to a micro-batch, so one that is seen twice or replayed counts once.
+    """
+
+    def __init__(self, query, name: str = PROGRESS):
+        self.query, self.name = query, name
+        self.batches: dict[int, tuple[int, int]] = {}
+
+    def poll(self) -> tuple[int, int]:
+        """``(n_rows, n_tokens)`` of the micro-batches reported up to now."""
+        for p in self.query.recentProgress:
+            seen = p.observedMetrics.get(self.name)
+            if seen is not None:
+                self.batches[p.batchId] = (seen["n_rows"] or 0, seen["n_tokens"] or 0)
+        return tuple(sum(x) for x in zip(*self.batches.values())) or (0, 0)
+
+    def follow(self, report=None, every: float = STOP_POLL) -> tuple[int, int]:
+        """Poll until the query ends; ``report(n_rows, n_tokens)`` whenever they have grown."""
+        last, ended = (0, 0), False
+        while not ended:
+            ended = bool(self.query.awaitTermination(every))
+            now = self.poll()
+            if now != last and report is not None:
+                report(*now)
+            last = now
+        return last
+
+
 def stream_tokenize(stream: DataFrame, out_path: str, checkpoint: str,
                     tokenizer: Tokenizer | None = None, id_col: str = "doc_id",
                     text_col: str = "text"):
     """ST1: tokenize + split every arriving document into a parquet sink; returns the query."""
     ship_package(stream.sparkSession)
     toks = assign_split(tokenize(stream.select(id_col, text_col), text_col, tokenizer), id_col)
-    return (toks.select(id_col, "split", "n_tokens", "tokens").writeStream.format("parquet")
+    counted = observe_stream(toks.select(id_col, "split", "n_tokens", "tokens"))
+    return (counted.writeStream.format("parquet")
             .option("path", out_path).option("checkpointLocation", checkpoint)
             .outputMode("append").trigger(availableNow=True).start())
 
