@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.langid import UNKNOWN, fit_profiles, fold, predict_language
-from quire.llm.minhash_paths import minhash_near_duplicates
+from quire.llm.minhash_paths import deduplicated
 from quire.llm.mixing import label_domains, mix, text_hash
 from quire.llm.queries import VOCABULARY_FILE
 from quire.llm.secrets import redact
@@ -36,12 +36,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest doc_id of each near-duplicate group; all without words.
+    """Keep one document of each near-duplicate group, that of smallest doc_id; all without words.
 
-    Rows that repeat a kept doc_id stay with it.
+    Rows are judged by id and text: an unlike text under a dropped or kept id stays, a
+    row that repeats both goes.
     """
-    dropped = minhash_near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.hint("merge").join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return deduplicated(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -95,6 +95,23 @@ def bound_batches(spark: SparkSession, rows: int) -> None:
         spark.conf.set(key, str(rows))
 
 
+def trim_memory() -> None:
+    """Give what this Python worker has freed back to the system.
+
+    Spark keeps idle workers for later tasks; without this each goes on holding the
+    most that any of its batches took.
+    """
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 _SHIPPED: set[str] = set()
 
 
