@@ -20,6 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from quire.session import bound_batches, trim_memory
+
+#: Texts that go to a Python worker at a time.
+TEXTS_PER_BATCH = 1000
 PROFILE = 300
 SAMPLE = 4000
 UNKNOWN = "und"
@@ -91,6 +95,7 @@ def fit_profiles(labelled: DataFrame, *, sample: int = SAMPLE) -> dict[str, list
     Only per-language counts and at most ``_SALTS * PROFILE`` n-grams a language reach
     the driver.  Languages without a letter in their sample have no profile.
     """
+    bound_batches(labelled.sparkSession, TEXTS_PER_BATCH)
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
         F.col("text").cast("string").alias("text"))
@@ -147,6 +152,7 @@ def predict_language(text: Column, profiles: dict[str, list[int]]) -> Column:
     def predict(texts: pd.Series) -> pd.DataFrame:
         comparer = _Comparer(profiles)
         found = [comparer.best(t) for t in texts]
+        trim_memory()
         return pd.DataFrame({"lang_pred": [x for x, _ in found],
                              "score": [s for _, s in found]})
 

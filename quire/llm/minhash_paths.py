@@ -22,13 +22,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.components import connected_components
 from quire.llm.shingles import (jaccard_counts, mix64, permutation_constants, shingle_set,
                                 signature)
-from quire.session import materialize
+from quire.session import bound_batches, materialize, trim_memory
 
 N_COORDS = 64
 N_ROOTS = 20
@@ -40,7 +40,10 @@ MAX_DEPTH = 8
 CENTRES = 8
 SEED = 1009
 
-_SIGNED = ("doc_id long, n_shingles long, fp1 long, fp2 long, sig binary, "
+#: Arrow batches of groups hold their members' signatures or texts: so many groups at a time.
+GROUPS_PER_BATCH = 200
+
+_SIGNED = ("doc_id long, text_hash long, n_shingles long, fp1 long, fp2 long, sig binary, "
            "roots array<bigint>")
 
 
@@ -56,7 +59,7 @@ def _sign(batches):
     coords = np.arange(N_ROOTS)
     for batch in batches:
         out = {k: [] for k in ("n", "fp1", "fp2", "sig", "roots")}
-        for text in batch.column(1):
+        for text in batch.column(2):
             s = shingle_set(text.as_py())
             sig = signature(s, mul, add)
             out["n"].append(len(s))
@@ -65,10 +68,11 @@ def _sign(batches):
             out["sig"].append(sig.tobytes() if len(s) else None)
             out["roots"].append(_node_keys(zero, coords, sig[:N_ROOTS]) if len(s) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).cast(pa.int64()), pa.array(out["n"], pa.int64()),
+            [batch.column(0), batch.column(1), pa.array(out["n"], pa.int64()),
              pa.array(out["fp1"], pa.int64()), pa.array(out["fp2"], pa.int64()),
              pa.array(out["sig"], pa.binary()), pa.array(out["roots"], pa.list_(pa.int64()))],
-            names=["doc_id", "n_shingles", "fp1", "fp2", "sig", "roots"])
+            names=["doc_id", "text_hash", "n_shingles", "fp1", "fp2", "sig", "roots"])
+    trim_memory()
 
 
 def _signatures(column) -> np.ndarray:
@@ -165,6 +169,7 @@ def _flag(least: int):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(out_group or none), pa.int64()),
                  pa.array(np.concatenate(out_v or none), pa.int64())], names=["group", "v"])
+        trim_memory()
     return run
 
 
@@ -232,6 +237,7 @@ def _confirm(percent: int):
                     b.append(v[lo + y])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        trim_memory()
     return run
 
 
@@ -244,8 +250,8 @@ def _sized(members: DataFrame, name: str) -> DataFrame:
     return materialize(members.join(sizes, "node"), f"{name}-sized")
 
 
-def _compared(dealt: DataFrame, vectors: DataFrame, masks: DataFrame, texts: DataFrame,
-              percent: int) -> DataFrame:
+def _compared(dealt: DataFrame, vectors: DataFrame, masks: DataFrame, leads: DataFrame,
+              texts: DataFrame, percent: int) -> DataFrame:
     """Confirmed links of ``dealt(group, v, part, coord, block)``, a spanning set per group."""
     least = _least_agreement(percent / 100)
     gathered = (dealt.join(vectors, "v").join(masks, "v", "left")
@@ -253,9 +259,9 @@ def _compared(dealt: DataFrame, vectors: DataFrame, masks: DataFrame, texts: Dat
                 .groupBy("group").agg(F.first("coord").alias("coord"), *[
                     F.collect_list(c).alias(c) for c in ("v", "mask", "block", "part", "sig")]))
     flagged = materialize(gathered.mapInArrow(_flag(least), "group long, v long"), "flagged")
-    wanted = flagged.select(F.col("v").alias("doc_id")).distinct()
+    wanted = leads.join(flagged.select("v").distinct(), "v")
     # one exchange of the texts whatever the share wanted, so that cost follows the input
-    found = texts.hint("merge").join(wanted, "doc_id").select(F.col("doc_id").alias("v"), "text")
+    found = texts.hint("merge").join(wanted, ["doc_id", "text_hash"]).select("v", "text")
     full = flagged.join(found, "v").groupBy("group").agg(
         F.collect_list("v").alias("v"), F.collect_list("text").alias("text"))
     return materialize(full.mapInArrow(_confirm(percent), "a long, b long"), "links")
@@ -263,13 +269,14 @@ def _compared(dealt: DataFrame, vectors: DataFrame, masks: DataFrame, texts: Dat
 
 def near_duplicate_links(signed: DataFrame, texts: DataFrame, *, percent: int = 75,
                          leaf: int = LEAF) -> DataFrame:
-    """Spanning links ``(a, b)`` between the documents of ``signed`` (distinct sets).
+    """Spanning links ``(a, b)`` between the sets of ``signed``, one row each.
 
-    ``signed``: ``doc_id, sig, roots``; ``texts``: ``doc_id, text`` of the same ids.
-    An id may stand on several rows of either; its links are those of all its texts.
+    ``signed``: ``v, doc_id, text_hash, sig, roots`` with a ``v`` of its own for every
+    set; ``texts``: ``doc_id, text_hash, text``, where a set's text is found by both.
     """
-    vectors = signed.select(F.col("doc_id").alias("v"), "sig")
-    rooted = _sized(signed.select(F.col("doc_id").alias("v"), F.col("doc_id").alias("part"),
+    leads = signed.select("v", "doc_id", "text_hash")
+    vectors = signed.select("v", "sig")
+    rooted = _sized(signed.select("v", F.col("v").alias("part"),
                                   F.posexplode("roots").alias("coord", "node")), "root")
     masks = materialize(
         rooted.where(F.col("size") <= leaf).groupBy("v")
@@ -280,7 +287,7 @@ def near_duplicate_links(signed: DataFrame, texts: DataFrame, *, percent: int =
         zero.alias("block"))
     large = rooted.where(F.col("size") > leaf).select("node", "v", "part", "size")
     if large.isEmpty():
-        return _compared(small, vectors, masks, texts, percent)
+        return _compared(small, vectors, masks, leads, texts, percent)
 
     half = leaf // 2
     blocks = F.ceil(F.col("size") / half).cast("int")
@@ -295,7 +302,7 @@ def near_duplicate_links(signed: DataFrame, texts: DataFrame, *, percent: int =
                                        .otherwise(F.array(at.cast("int")))).alias("at"))
     bulk = spread.select(F.xxhash64("node", "at").alias("group"), "v", "part",
                          F.lit(-1).alias("coord"), zero.alias("block"))
-    links = _compared(small.union(bulk), vectors, masks, texts, percent)
+    links = _compared(small.union(bulk), vectors, masks, leads, texts, percent)
     parts = materialize(connected_components(links).select(
         F.col("node").alias("v"), F.col("component").alias("part")), "parts")
     vectors = materialize(vectors.join(parts, "v", "left").select(
@@ -319,7 +326,7 @@ def near_duplicate_links(signed: DataFrame, texts: DataFrame, *, percent: int =
     rest = leaves[0]
     for more in leaves[1:]:
         rest = rest.union(more)
-    return links.union(_compared(rest, vectors.drop("part"), handled, texts, percent))
+    return links.union(_compared(rest, vectors.drop("part"), handled, leads, texts, percent))
 
 
 def _block_pairs(members: DataFrame) -> DataFrame:
@@ -334,43 +341,99 @@ def _block_pairs(members: DataFrame) -> DataFrame:
         .alias("group"), "v", "part", "coord", "block")
 
 
+def _sets(docs: DataFrame, percent: int, leaf: int, doc_id: Column):
+    """Signed rows, the rows with words and their set ``v``, the links between sets.
+
+    Every distinct set is a vertex of its own; equal texts of one id are told apart from
+    its other texts by ``text_hash``.
+    """
+    spark = docs.sparkSession
+    bound_batches(spark, GROUPS_PER_BATCH)
+    text = F.col("text").cast("string")
+    texts = docs.select(doc_id.alias("doc_id"), F.xxhash64(text).alias("text_hash"),
+                        text.alias("text"))
+    same_set = ["n_shingles", "fp1", "fp2"]
+    signed = materialize(texts.mapInArrow(_sign, _SIGNED), "signatures")
+    linked = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = materialize(
+        linked.groupBy(*same_set).agg(F.min(F.struct("doc_id", "text_hash")).alias("lead"))
+        .select(*same_set, "lead.*", F.monotonically_increasing_id().alias("v")), "classes")
+    named = materialize(
+        linked.select("doc_id", "text_hash", *same_set)
+        .join(classes.select(*same_set, "v", F.col("doc_id").alias("class_id")), same_set)
+        .select("doc_id", "text_hash", "n_shingles", "class_id", "v"), "named")
+    leaders = materialize(
+        linked.join(classes, ["doc_id", "text_hash", *same_set]).dropDuplicates(["v"])
+        .select("v", "doc_id", "text_hash", "sig", "roots"), "leaders")
+    repeated = linked.groupBy("doc_id", "text_hash").count().where("count > 1")
+    contents = texts if repeated.isEmpty() else texts.dropDuplicates(["doc_id", "text_hash"])
+    links = near_duplicate_links(leaders, contents, percent=percent, leaf=leaf)
+    return signed, classes.select("v", "doc_id", "text_hash"), named, links
+
+
 def minhash_near_duplicates(docs: DataFrame, *, percent: int = 75, leaf: int = LEAF) -> DataFrame:
     """``doc_id, n_shingles, class_id, component_id, kept`` for every row of ``docs``.
 
     ``class_id``: the smallest doc_id with an equal shingle set.  Rows that share a
-    doc_id are one vertex (its links are those of all its texts).  Null, empty and
+    doc_id are one document: its links are those of all its texts.  Null, empty and
     blank texts have no shingles and link with nothing.  A null doc_id cannot be
     linked or named: such a row keeps null ids and ``kept`` true.  Extra columns are
     ignored; an empty table gives no rows.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                        F.col("text").cast("string").alias("text"))
-    same_set = ["n_shingles", "fp1", "fp2"]
-    signed = materialize(texts.mapInArrow(_sign, _SIGNED), "signatures")
-    linkable = F.expr("n_shingles > 0 AND doc_id IS NOT NULL")
-    linked = signed.where(linkable)
-    classes = materialize(linked.groupBy(*same_set).agg(F.min("doc_id").alias("class_id")),
-                          "classes")
-    named = materialize(linked.select("doc_id", *same_set).join(classes, same_set)
-                        .select("doc_id", "n_shingles", "class_id"), "named")
-    # one vertex per distinct set, called by the smallest doc_id that has it
-    leaders = materialize(
-        linked.join(classes.withColumnRenamed("class_id", "doc_id"), ["doc_id", *same_set])
-        .dropDuplicates(["doc_id", *same_set]).select("doc_id", "sig", "roots"), "leaders")
-    repeated = linked.groupBy("doc_id").count().where("count > 1")
-    contents = texts if repeated.isEmpty() else texts.dropDuplicates(["doc_id", "text"])
-    links = near_duplicate_links(leaders, contents, percent=percent, leaf=leaf)
-    several = (named.groupBy("doc_id").agg(F.min("class_id").alias("lo"),
-                                           F.max("class_id").alias("hi"))
-               .where("lo <> hi").select("doc_id"))
-    same_id = named.join(several, "doc_id").select(F.col("doc_id").alias("a"),
-                                                   F.col("class_id").alias("b"))
+    signed, classes, named, links = _sets(docs, percent, leaf, F.col("doc_id").cast("long"))
+    several = (named.groupBy("doc_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+               .where("lo <> hi").select("doc_id", "lo"))
+    same_id = named.join(several, "doc_id").select(F.col("v").alias("a"), F.col("lo").alias("b"))
     found = materialize(connected_components(links.union(same_id)), "components")
-    out = named.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select(
+    least = materialize(
+        found.join(classes.withColumnRenamed("v", "node"), "node").groupBy("component")
+        .agg(F.min("doc_id").alias("component_id")).join(found, "component")
+        .select(F.col("node").alias("v"), "component_id"), "least")
+    out = named.join(least, "v", "left").select(
         "doc_id", "n_shingles", "class_id",
-        F.coalesce("component", "class_id").alias("component_id"))
-    alone = signed.where(~linkable).select("doc_id", "n_shingles",
-                                           F.col("doc_id").alias("class_id"),
-                                           F.col("doc_id").alias("component_id"))
+        F.coalesce("component_id", "class_id").alias("component_id"))
+    alone = signed.where("n_shingles = 0 OR doc_id IS NULL").select(
+        "doc_id", "n_shingles", F.col("doc_id").alias("class_id"),
+        F.col("doc_id").alias("component_id"))
     return out.union(alone).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+#: Stands for a null doc_id where rows are judged: after every other id.
+LAST_ID = 2**63 - 1
+
+
+def duplicate_rows(docs: DataFrame, *, percent: int = 75, leaf: int = LEAF) -> DataFrame:
+    """``doc_id, text_hash`` of the texts that ``deduplicated`` drops, each once.
+
+    Here every text counts for itself, whatever its id: of each group of near-duplicate
+    texts the one of the smallest (doc_id, text_hash) stays.  A null doc_id is
+    ``LAST_ID``; ``text_hash`` is xxhash64 of the text.
+    """
+    _, classes, named, links = _sets(
+        docs, percent, leaf, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)))
+    found = materialize(connected_components(links), "components")
+    placed = materialize(classes.join(found.withColumnRenamed("node", "v"), "v", "left").select(
+        "v", F.coalesce("component", "v").alias("component"),
+        F.struct("doc_id", "text_hash").alias("lead")), "placed")
+    stays = placed.groupBy("component").agg(F.min("lead").alias("stays"))
+    verdict = placed.join(stays, "component").select("v", "stays")
+    return (named.join(verdict, "v").where(F.struct("doc_id", "text_hash") != F.col("stays"))
+            .select("doc_id", "text_hash").distinct())
+
+
+def deduplicated(docs: DataFrame, *, percent: int = 75) -> DataFrame:
+    """``docs`` with one row of every group of near-duplicate texts, its columns unchanged.
+
+    Rows are judged by their own text, so that an unlike text under the same doc_id
+    stays; rows that repeat a doc_id and a text are one.  Rows without a word all stay.
+    """
+    words = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.where(words).withColumns({
+        "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)),
+        "_hash": F.xxhash64(F.col("text").cast("string"))})
+    dropped = duplicate_rows(docs, percent=percent).select(
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    once = keyed.dropDuplicates(["_id", "_hash"])
+    kept = once.hint("merge").join(dropped, ["_id", "_hash"], "left_anti")
+    return kept.select(*docs.columns).union(docs.where(~words))

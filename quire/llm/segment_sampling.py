@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.shingles import mix64
+from quire.session import trim_memory
 
 BLANK = "▁"
 CHUNK = 200_000
@@ -547,6 +548,7 @@ def _sampler(vocabulary: Vocabulary, k: int, seed: int, theta: float):
                     names=["key", "rank", "perturbed", "log_prob", "log_inclusion", "exact",
                            "ids"])
                 lo = hi
+        trim_memory()
     return run
 
 

@@ -106,6 +106,37 @@ def test_hot_nodes_blocks_and_branches(spark, monkeypatch, exhaust, depth):
     check(spark, corpus(random.Random(2)), leaf=6)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_two_texts_of_an_id_below_hot_nodes(spark, monkeypatch, seed):
+    """Ids with two unlike texts lose no link, though one text's nodes are small and the other's hot."""
+    for name, value in (("EXHAUST", 12), ("BLOCK", 8), ("CENTRES", 2)):
+        monkeypatch.setattr(paths, name, value)
+    rnd = random.Random(seed)
+    passage = ["p%d" % k for k in range(60)]
+    rows = [(k, " ".join(passage + ["u%d" % rnd.randrange(10**6) for _ in range(25)]))
+            for k in range(40)]
+    for k in range(12):
+        base = passage + ["b%d_%d" % (k, j) for j in range(40)]
+        rows += [(100 + k, " ".join(base)), (200 + k, edited(rnd, base, 1))]
+        rows.append((200 + k, " ".join("o%d" % rnd.randrange(10**6) for _ in range(60))))
+    check(spark, rows, leaf=6)
+
+
+def test_rows_are_judged_by_id_and_text(spark):
+    rnd = random.Random(7)
+    a = ["a%d" % k for k in range(80)]
+    near, other, repeat = edited(rnd, a, 1), "q " + " ".join(a[::-1]), "r s t u v w"
+    rows = [(5, " ".join(a)), (9, near), (9, other), (7, repeat), (7, repeat), (8, repeat),
+            (None, near), (None, "n o p q r"), (1, None), (1, None), (2, ""), (2, ""), (3, " \t")]
+    docs = spark.createDataFrame([(i, t, "a", "b", 9, "c") for i, t in rows], DOCS).repartition(3)
+    out = paths.deduplicated(docs)
+    assert out.columns == docs.columns
+    kept = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    assert kept == sorted([(5, " ".join(a)), (9, other), (7, repeat), (None, "n o p q r"),
+                           (1, None), (1, None), (2, ""), (2, ""), (3, " \t")], key=repr)
+    assert paths.deduplicated(docs.limit(0)).collect() == []
+
+
 def test_empty_table(spark):
     assert paths.minhash_near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
 
