@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 from quire.functions.arrays import positional_checksum
 from quire.functions.sampling import masked_nll, with_sampled_token
 from quire.functions.text import extract_response, inference_prompt
+from quire.operators.backoff import (DISCOUNT, backoff_eval_loss, continuation_counts, gram_counts,
+                                     suffix_counts)
 from quire.operators.generate import bigram_model, generate
 from quire.operators.ngram import eval_loss, fit_ngram, ngram_eval_loss, score_windows
 from quire.operators.sample import sample_windows
 from quire.operators.split import assign_split
+from quire.operators.stepwise import bigram_draws, generate_by_steps, seen_draws
 from quire.operators.tokenize import ByteTokenizer, detokenize_col, tokenize
 from quire.plans.corpus import tokenized_corpus
 from quire.plans.corpus_queries import DOCS_CTE, TOKENS_CTE
-from quire.plans.registry import query, table
+from quire.plans.registry import ORACLES, query, table
 from quire.sources.corpus import conversations_to_instructions
 
 V = ByteTokenizer.vocab_size
@@ -242,3 +245,114 @@ def q_generate_sampled(spark, sf_dir):
                  temperature=TEMPERATURE, top_k=TOP_K, stop_id=EOT, seed=GEN_SEED)
     return g.select("conv_id", "turn", F.size("generated").cast("bigint").alias("n_new"),
                     positional_checksum("generated").alias("checksum"))
+
+
+# Ids generated per prompt where every step is a distributed join.
+STEPS = 24
+
+
+def _sampled_sql(keep, new):
+    """The oracle of sampled generation with another top-k and length."""
+    sql = ORACLES["generate_sampled"]
+    return sql.replace(f"least({TOP_K}, {V})", f"least({keep}, {V})").replace(
+        f"g.step < {MAX_NEW} ", f"g.step < {new} ")
+
+
+@query("generate_distributed", oracle=_sampled_sql(V, STEPS))
+def q_generate_distributed(spark, sf_dir):
+    """Sampled continuation over the whole vocabulary from a model that stays a table."""
+    draws = bigram_draws(_train_counts(spark, sf_dir), V, TEMPERATURE)
+    g = generate_by_steps(_prompts(spark, sf_dir), "row_key", [(1, draws)], V,
+                          max_new_tokens=STEPS, stop_id=EOT, seed=GEN_SEED)
+    return g.select("conv_id", "turn", F.size("generated").cast("bigint").alias("n_new"),
+                    positional_checksum("generated").alias("checksum"))
+
+
+# Ids of an n-gram.
+ORDER = 3
+
+TRIGRAMS_SQL = DOCS_CTE + f""",
+tk AS (
+  SELECT split, [{V}, {V}] || list_transform(regexp_extract_all(hex(encode(text)), '..'),
+                               lambda x: ('0x' || x)::INTEGER) || [{EOT}] AS toks FROM d),
+tg AS (
+  SELECT split, toks[i] AS a, toks[i + 1] AS b, toks[i + 2] AS w
+  FROM (SELECT split, toks, unnest(range(1, len(toks) - 1)) AS i FROM tk)),
+tc AS (SELECT split, a, b, w, count(*) AS m FROM tg GROUP BY ALL),
+c3 AS (SELECT a, b, w, m AS c FROM tc WHERE split = 'train')"""
+
+
+@query("backoff_eval_loss", oracle=f"""
+WITH {TRIGRAMS_SQL.strip()},
+c2 AS (SELECT b, w, count(*) AS c FROM c3 GROUP BY b, w),
+c1 AS (SELECT w, count(*) AS c FROM c2 GROUP BY w),
+t3 AS (SELECT a, b, sum(c) AS t, count(*) AS k FROM c3 GROUP BY a, b),
+t2 AS (SELECT b, sum(c) AS t, count(*) AS k FROM c2 GROUP BY b),
+t1 AS (SELECT sum(c) AS t, count(*) AS k FROM c1),
+p1 AS (
+  SELECT tc.*, greatest(coalesce(c1.c, 0) - {DISCOUNT}, 0) / t1.t
+               + {DISCOUNT} * t1.k / t1.t / {V} AS p
+  FROM tc LEFT JOIN c1 USING (w), t1),
+p2 AS (
+  SELECT p1.* EXCLUDE p, CASE WHEN t2.t IS NULL THEN p
+           ELSE greatest(coalesce(c2.c, 0) - {DISCOUNT}, 0) / t2.t + {DISCOUNT} * t2.k / t2.t * p
+         END AS p
+  FROM p1 LEFT JOIN c2 USING (b, w) LEFT JOIN t2 USING (b)),
+p3 AS (
+  SELECT p2.* EXCLUDE p, CASE WHEN t3.t IS NULL THEN p
+           ELSE greatest(coalesce(c3.c, 0) - {DISCOUNT}, 0) / t3.t + {DISCOUNT} * t3.k / t3.t * p
+         END AS p
+  FROM p2 LEFT JOIN c3 USING (a, b, w) LEFT JOIN t3 USING (a, b))
+SELECT split, sum(m)::BIGINT AS n_tokens, round(-sum(m * ln(p)) / sum(m), 9) AS loss
+FROM p3 GROUP BY split""")
+def q_backoff_eval_loss(spark, sf_dir):
+    """M1 M2: loss of each split under the train split's discounted trigrams."""
+    docs = assign_split(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    grams = gram_counts(docs, ORDER, V, group_cols=["split"], text_col="text")
+    counts = continuation_counts(grams.where(F.col("split") == "train"), ORDER, V)
+    out = backoff_eval_loss(counts, grams, V, ["split"])
+    return out.select("split", "n_tokens", F.round("loss", 9).alias("loss"))
+
+
+@query("continue_text", oracle=f"""
+WITH RECURSIVE {TRIGRAMS_SQL.strip()},
+r2 AS (SELECT a, b, list(w ORDER BY w) AS ids, list(e ORDER BY w) AS ends, max(e) AS whole FROM (
+  SELECT a, b, w, sum(c::DOUBLE) OVER (PARTITION BY a, b ORDER BY w) AS e FROM c3) GROUP BY a, b),
+r1 AS (SELECT b, list(w ORDER BY w) AS ids, list(e ORDER BY w) AS ends, max(e) AS whole FROM (
+  SELECT b, w, sum(sum(c::DOUBLE)) OVER (PARTITION BY b ORDER BY w) AS e FROM c3 GROUP BY b, w)
+  GROUP BY b),
+r0 AS (SELECT list(w ORDER BY w) AS ids, list(e ORDER BY w) AS ends, max(e) AS whole FROM (
+  SELECT w, sum(sum(c::DOUBLE)) OVER (ORDER BY w) AS e FROM c3 GROUP BY w)),
+pp AS (
+  SELECT conv_id, turn, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+                                       lambda x: ('0x' || x)::INTEGER) AS t
+  FROM conversations WHERE role = 'user'),
+g(conv_id, turn, step, y, x, tok) AS (
+  SELECT conv_id, turn, 0, CASE WHEN len(t) > 1 THEN t[-2] END,
+         CASE WHEN len(t) > 0 THEN t[-1] END, NULL::INTEGER FROM pp
+  UNION ALL
+  SELECT conv_id, turn, step + 1, x, tok, tok FROM (
+    SELECT conv_id, turn, step, x,
+           ids[len(list_filter(ends, lambda e: e <= u * whole)) + 1] AS tok
+    FROM (
+      SELECT g.*, coalesce(r2.ids, r1.ids, r0.ids) AS ids, coalesce(r2.ends, r1.ends, r0.ends) AS ends,
+             coalesce(r2.whole, r1.whole, r0.whole) AS whole,
+             ('0x' || substr(md5('{GEN_SEED}:' || CAST(conv_id AS VARCHAR) || '-'
+                                 || CAST(turn AS VARCHAR) || ':' || CAST(step AS VARCHAR)),
+                             1, 8))::BIGINT / 4294967296.0 AS u
+      FROM g LEFT JOIN r2 ON r2.a = g.y AND r2.b = g.x LEFT JOIN r1 ON r1.b = g.x, r0
+      WHERE g.step < {STEPS} AND (g.step = 0 OR g.tok <> {EOT}))))
+SELECT conv_id, turn, count(*) FILTER (WHERE step > 0)::BIGINT AS n_new,
+       coalesce(sum(tok * step) FILTER (WHERE step > 0), 0)::BIGINT AS checksum
+FROM g GROUP BY conv_id, turn""")
+def q_continue_text(spark, sf_dir):
+    """Every user turn continued from the longest suffix of up to two ids that was seen."""
+    grams = gram_counts(_train_docs(spark, sf_dir), ORDER, V, text_col="text")
+    draws = [(n, seen_draws(c, V)) for n, c in suffix_counts(grams, ORDER, V).items()]
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select(
+        "conv_id", "turn", "text", F.concat_ws("-", "conv_id", "turn").alias("row_key"))
+    prompts = tokenize(turns, "text", add_eot=False, out_col="prompt_tokens", len_col=None)
+    g = generate_by_steps(prompts, "row_key", draws, V, max_new_tokens=STEPS, stop_id=EOT,
+                          seed=GEN_SEED)
+    return g.select("conv_id", "turn", F.size("generated").cast("bigint").alias("n_new"),
+                    positional_checksum("generated").alias("checksum"))
