@@ -22,7 +22,8 @@ class Template:
     """``open`` role ``head`` text ``close`` for every turn.
 
     ``escapes`` maps each character that starts or ends a control string, and the
-    backslash first, to the letter written after a backslash in its place.
+    backslash first, to the letter written after a backslash in its place.  A template
+    from which a text could not be read back is refused.
     """
 
     open: str = "<turn "
@@ -36,6 +37,27 @@ class Template:
         ("start", "system", "system"), ("start", "user", "user"), ("system", "user", "user"),
         ("user", "assistant", "assistant"), ("assistant", "user", "user")))
 
+    def __post_init__(self):
+        chars, letters = [c for c, _ in self.escapes], [x for _, x in self.escapes]
+        if not chars or chars[0] != "\\" or any(len(x) != 1 for x in chars + letters):
+            raise ValueError("escapes are pairs of single characters, the backslash first")
+        if len(set(chars)) < len(chars) or len(set(letters)) < len(letters):
+            raise ValueError("escaped characters and their letters must be distinct")
+        if set(chars) & set(letters):
+            raise ValueError("an escape letter must not be an escaped character")
+        for name in ("head", "close"):
+            marker = getattr(self, name)
+            if not marker or marker[0] not in chars[1:]:
+                raise ValueError(f"{name} must begin with an escaped character: {marker!r}")
+        # a text never holds an escaped character as such, so only the markers before the
+        # text could begin what looks like the end of a turn
+        for name in ("open", "head"):
+            marker = getattr(self, name)
+            for k in range(len(marker)):
+                rest = marker[k:]
+                if rest.startswith(self.close) or self.close.startswith(rest):
+                    raise ValueError(f"{name} {marker!r} can be taken for close {self.close!r}")
+
 
 CHAT = Template()
 
@@ -101,8 +123,8 @@ def read_turns(formatted: Column, template: Template = CHAT) -> Column:
     turns = F.slice(parts, F.lit(1), F.size(parts) - 1)
 
     def parse(part: Column) -> Column:
-        at = F.locate(template.head, part)
         skip = len(template.open)
+        at = F.locate(template.head, part, skip + 1)
         return F.struct(
             unescape(F.substring(part, F.lit(skip + 1), at - 1 - skip), template).alias("role"),
             unescape(F.substring(part, at + len(template.head), F.length(part)), template)

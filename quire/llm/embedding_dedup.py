@@ -10,6 +10,9 @@ less often.
 ``PROJECTIONS`` is the least number; a larger table gets more, so that unrelated
 vectors of the commonest label still share a cell of about ``CELL`` members.
 
+Equal vectors of a label are one row with their number as its weight, so copies cost
+what one vector costs and the links among them are counted, not compared.
+
 Cells are dealt in blocks: the members of a cell are spread over ``ceil(n / BLOCK)``
 blocks by hash and every pair of blocks is one group of at most 2 * ``BLOCK`` rows or
 so, so a hot cell becomes many small tasks.  A pair counts in the first table where
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.components import connected_components
 from quire.llm.shingles import mix64
-from quire.session import materialize
+from quire.session import bound_batches, materialize
 
 PROJECTIONS = 8
 CELL = 128
@@ -36,6 +39,9 @@ WIDTH = 3.0
 RECALL = 0.9999
 BLOCK = 256
 SEED = 2477
+#: Groups that go to a Python worker at a time, and the owner of a row that several ids share.
+GROUPS_PER_BATCH = 500
+NO_OWNER = -2**63
 
 
 def same_cell(distance: float, width: float = WIDTH) -> float:
@@ -66,35 +72,43 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=-1, keepdims=True))
 
 
+def _usable(column, kind: str):
+    """Indexes of the usable vectors of a list column, by length, and their components."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False)
+    size = np.diff(column.offsets.to_numpy())  # a null component becomes nan
+    start = np.cumsum(size) - size
+    bad = np.concatenate([[0], np.cumsum(~np.isfinite(flat))])
+    some = np.concatenate([[0], np.cumsum(flat != 0)])
+    ends = start + size
+    use = (size > 0) & (bad[ends] == bad[start]) & (some[ends] > some[start])
+    for dim in np.unique(size[use]):
+        at = np.flatnonzero(use & (size == dim))
+        yield int(dim), at, flat[start[at][:, None] + np.arange(dim)]
+
+
 def _cells(n_tables: int, projections: int, kind: str):
     """(v, label, embedding) -> raw vectors with a 32-bit name of their cell in every table."""
     def run(batches):
         planes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            ids, labels, rows, codes = [], [], [], []
-            for v, label, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
-                                   batch.column(2)):
-                x = np.array(e.as_py(), dtype=np.float64)  # a null component becomes nan
-                if not len(x) or not np.isfinite(x).all() or not x.any():
-                    continue
-                if len(x) not in planes:
-                    rng = np.random.default_rng([SEED, len(x)])
-                    planes[len(x)] = (rng.standard_normal((len(x), n_tables * projections)),
-                                      rng.uniform(0, WIDTH, n_tables * projections))
-                a, b = planes[len(x)]
+            for dim, at, x in _usable(batch.column(2), kind):
+                if dim not in planes:
+                    rng = np.random.default_rng([SEED, dim])
+                    planes[dim] = (rng.standard_normal((dim, n_tables * projections)),
+                                   rng.uniform(0, WIDTH, n_tables * projections))
+                a, b = planes[dim]
                 q = np.floor((_unit(x) @ a + b) / WIDTH).astype(np.int64)
-                q = q.reshape(n_tables, projections).view(np.uint64)
-                code = np.full(n_tables, len(x), dtype=np.uint64)
+                q = q.reshape(len(at), n_tables, projections).view(np.uint64)
+                code = np.full((len(at), n_tables), dim, dtype=np.uint64)
                 for k in range(projections):
-                    code = mix64(code + q[:, k])
-                ids.append(v)
-                labels.append(label)
-                rows.append(x.astype(kind).tobytes())
-                codes.append((code >> np.uint64(32)).astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(labels, pa.string()),
-                 pa.array(rows, pa.binary()), pa.array(codes, pa.binary())],
-                names=["v", "label", "vector", "codes"])
+                    code = mix64(code + q[:, :, k])
+                code = (code >> np.uint64(32)).astype(np.uint32)
+                rows = pa.array(at)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(rows), batch.column(1).take(rows),
+                     pa.array([r.tobytes() for r in x], pa.binary()),
+                     pa.array([c.tobytes() for c in code], pa.binary())],
+                    names=["v", "label", "vector", "codes"])
     return run
 
 
@@ -134,13 +148,14 @@ def _rows(column, lo: int, hi: int, kind) -> np.ndarray:
 
 
 def _compare(threshold: float, kind: str):
-    """Blocks of a table's cell -> (v, n, other): links counted here, one spanning link."""
+    """Blocks of a table's cell -> (row, n, other): links counted here, one spanning link."""
     def run(batches):
+        names = ("row", "owner", "weight", "block", "label", "vector", "codes")
         for batch in batches:
-            lists = {k: batch.column(k).values for k in ("v", "block", "label", "vector", "codes")}
-            at = batch.column("v").offsets.to_numpy()
-            ids, block, labels = (lists[k].to_numpy(zero_copy_only=False)
-                                  for k in ("v", "block", "label"))
+            lists = {k: batch.column(k).values for k in names}
+            at = batch.column("row").offsets.to_numpy()
+            ids, owners, weights, block, labels = (
+                lists[k].to_numpy(zero_copy_only=False) for k in names[:5])
             tables = batch.column("table").to_numpy(zero_copy_only=False)
             out = [[], [], []]
             for r in range(batch.num_rows):
@@ -150,8 +165,9 @@ def _compare(threshold: float, kind: str):
                     raise ValueError("vectors of one cell differ in length")
                 x = _unit(_rows(lists["vector"], lo, hi, kind))
                 linked = x @ x.T >= threshold
-                v, blocks, label = ids[lo:hi], block[lo:hi], labels[lo:hi]
-                linked &= (v[:, None] != v[None, :]) & (label[:, None] == label[None, :])
+                row, blocks, label, owner = (a[lo:hi] for a in (ids, block, labels, owners))
+                linked &= (row[:, None] != row[None, :]) & (label[:, None] == label[None, :])
+                linked &= (owner[:, None] != owner[None, :]) | (owner[:, None] == NO_OWNER)
                 if blocks.min() != blocks.max():  # equal blocks meet in their own group
                     linked &= blocks[:, None] != blocks[None, :]
                 if not linked.any():
@@ -159,17 +175,16 @@ def _compare(threshold: float, kind: str):
                 code = _rows(lists["codes"], lo, hi, np.uint32)
                 for t in range(int(tables[r])):  # counted in the first table they share
                     linked &= code[:, t][:, None] != code[:, t][None, :]
-                n = linked.sum(axis=1)
-                some = np.flatnonzero(n)
+                some = np.flatnonzero(linked.any(axis=1))
                 if len(some):
                     least = _joined(linked)
-                    out[0].append(v[some])
-                    out[1].append(n[some])
-                    out[2].append(v[least[some]])
+                    out[0].append(row[some])
+                    out[1].append((linked @ weights[lo:hi])[some])
+                    out[2].append(row[least[some]])
             none = [np.empty(0, dtype=np.int64)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(x or none), pa.int64()) for x in out],
-                names=["v", "n", "other"])
+                names=["row", "n", "other"])
     return run
 
 
@@ -192,12 +207,22 @@ def embedding_near_duplicates(vectors: DataFrame, *, threshold: float = 0.93,
     commonest = usable.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     projections = projections_needed(commonest)
     n_tables = tables_needed(threshold, projections, recall)
+    bound_batches(vectors.sparkSession, GROUPS_PER_BATCH)
     filed = materialize(
         usable.mapInArrow(_cells(n_tables, projections, kind),
                           "v long, label string, vector binary, codes binary")
         .select("v", F.xxhash64("label", F.octet_length("vector")).alias("label"), "vector",
-                "codes")
-        .distinct().withColumn("row", F.monotonically_increasing_id()), "filed")
+                "codes", F.md5(F.concat(F.encode(F.concat("label", F.lit("\0")), "utf-8"), "vector"))
+                .alias("same")), "filed")
+    # equal vectors are one row with a weight; an id with several has rows of its own
+    held = materialize(filed.select("v", "same").distinct(), "held")
+    several = held.groupBy("v").count().where("count > 1").select("v", F.col("v").alias("own"))
+    owner = F.coalesce("own", F.lit(NO_OWNER).cast("long")).alias("owner")
+    held = materialize(held.join(several, "v", "left").select("v", "same", owner), "owned")
+    weights = held.groupBy("same", "owner").agg(F.count("*").alias("weight"))
+    rows_of = materialize(weights.withColumn("row", F.monotonically_increasing_id()), "weights")
+    once = filed.groupBy("same").agg(*[F.first(c).alias(c) for c in ("label", "vector", "codes")])
+    filed = materialize(rows_of.join(once, "same").drop("same"), "represented")
     members = materialize(filed.select("row", "label", "codes").mapInArrow(
         _members(n_tables), "row long, table int, cell long"), "members")
     sizes = materialize(members.groupBy("table", "cell").agg(F.count("*").alias("size"))
@@ -210,12 +235,22 @@ def embedding_near_duplicates(vectors: DataFrame, *, threshold: float = 0.93,
                  "table", "cell", F.least("block", "other"), F.greatest("block", "other"))
                  .alias("group")))
     grouped = dealt.join(filed, "row").groupBy("group", "table").agg(
-        *[F.collect_list(c).alias(c) for c in ("v", "block", "label", "vector", "codes")])
+        *[F.collect_list(c).alias(c)
+          for c in ("row", "owner", "weight", "block", "label", "vector", "codes")])
     links = materialize(grouped.mapInArrow(_compare(threshold, kind),
-                                           "v long, n long, other long"), "links")
-    counts = links.groupBy("v").agg(F.sum("n").alias("n"))
-    parts = connected_components(links, "v", "other").withColumnRenamed("node", "v")
-    return (rows.select("v").join(counts, "v", "left").join(parts, "v", "left")
+                                           "row long, n long, other long"), "links")
+    counts = links.groupBy("row").agg(F.sum("n").alias("n"))
+    own = held.join(rows_of, ["same", "owner"]).select("v", "row", "weight")
+    first = own.groupBy("v").agg(F.min("row").alias("lo"), F.max("row").alias("hi"))
+    same_id = own.join(first.where("lo <> hi"), "v").select("row", F.col("lo").alias("other"))
+    parts = connected_components(links.select("row", "other").union(same_id), "row", "other")
+    placed = materialize(
+        own.join(counts, "row", "left").join(parts.withColumnRenamed("node", "row"), "row", "left")
+        .select("v", F.coalesce("component", "row").alias("part"),
+                (F.coalesce("n", F.lit(0).cast("long")) + F.col("weight") - 1).alias("n")), "placed")
+    found = placed.groupBy("v").agg(F.sum("n").alias("n"), F.min("part").alias("part")).join(
+        placed.groupBy("part").agg(F.min("v").alias("component")), "part")
+    return (rows.select("v").join(found, "v", "left")
             .select(F.col("v").alias("vec_id"),
                     F.coalesce("n", F.lit(0).cast("long")).alias("n_links"),
                     F.coalesce("component", "v").alias("component_id"),

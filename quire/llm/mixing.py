@@ -14,6 +14,7 @@ many sums to the driver as there are domains.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,10 @@ FUSED = 6
 _WORDS = r"[ \t\n\x0B\f\r]+"
 
 
+class TargetsNotMet(UserWarning):
+    """The rates returned do not bring every domain to its target."""
+
+
 def _words(rows: DataFrame) -> DataFrame:
     """One row per word with its bin; blank texts have none."""
     word = F.explode(F.filter(F.split(F.lower("text"), _WORDS), lambda w: w != ""))
@@ -110,7 +115,8 @@ def fit_rates(members: DataFrame, targets: list[float], *, steps: int = STEPS,
     Rows where ``held`` is true stay at rate 1; the others make up for them.
 
     Stops when every total is within ``tolerance`` of its target, as a share of all
-    target tokens, or after ``steps``.  Domains nobody belongs to cannot be met.
+    target tokens, or after ``steps``; a ``TargetsNotMet`` warning then says how far the
+    totals are off, as it does where nobody belongs to a domain.
     """
     k = range(len(targets))
 
@@ -134,6 +140,9 @@ def fit_rates(members: DataFrame, targets: list[float], *, steps: int = STEPS,
         if fused == FUSED:  # bounds the expression that later passes evaluate
             current, fused = materialize(current, "rates"), 0
         have = totals(current, F.col("rate"))
+    if max(abs(have[i] - targets[i]) for i in k) > tolerance * goal:
+        warnings.warn(f"after {steps} steps the domains hold {have} tokens, wanted {targets}",
+                      TargetsNotMet, stacklevel=3)
     return current
 
 

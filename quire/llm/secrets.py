@@ -4,7 +4,7 @@ A version of a path is content-addressed by the SHA-256 of its UTF-8 bytes.  The
 ledger is two Parquet tables below one folder: ``scanned(blob, rule)`` names the
 pairs done, ``findings(blob, rule, kind, start, end)`` what they gave.  A run
 scans only pairs of a blob and a rule version that ``scanned`` lacks, each blob
-once however many paths hold it, appends, and joins the findings of all current
+once however many paths hold it (where these are few, no other text is moved), appends, and joins the findings of all current
 blobs back to every path.  Findings are written before the pairs are marked done
 and read back distinct, so a run that dies between the two is simply repeated.
 """
@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -85,11 +86,17 @@ def _scan(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
                     "end"))
 
 
+#: Unseen blobs that are few enough to be sent to every task (64 characters each).
+FEW_BLOBS = 100_000
+
+
 def _ledger(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
-    path = f"{folder.rstrip('/')}/{name}"
-    made = spark.createDataFrame([], schema)
-    made.write.mode("append").parquet(path)  # an empty append makes the table exist
-    return spark.read.schema(schema).parquet(path)
+    try:
+        return spark.read.schema(schema).parquet(f"{folder.rstrip('/')}/{name}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # nothing scanned yet
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def scan_secrets(versions: DataFrame, ledger: str, *, path: str = "doc_id", text: str = "text",
@@ -113,8 +120,12 @@ def scan_secrets(versions: DataFrame, ledger: str, *, path: str = "doc_id", text
                        .alias("rule"))
         .join(done, ["blob", "rule"], "left_anti")
         .groupBy("blob").agg(F.collect_set("rule").alias("todo")), "unseen")
-    if not todo.isEmpty():
-        once = addressed.groupBy("blob").agg(F.any_value("text").alias("text"))
+    unseen = todo.count()
+    if unseen:
+        texts = addressed
+        if unseen <= FEW_BLOBS:  # texts seen before never enter the exchange
+            texts = texts.join(F.broadcast(todo.select("blob")), "blob", "left_semi")
+        once = texts.groupBy("blob").agg(F.any_value("text").alias("text"))
         _scan(once.join(todo, "blob"), rules).write.mode("append").parquet(
             f"{ledger.rstrip('/')}/findings")
         todo.select("blob", F.explode("todo").alias("rule")).write.mode("append").parquet(

@@ -205,6 +205,23 @@ def test_hot_cell_is_dealt_in_blocks(spark, monkeypatch):
     assert {(r.n_links, r.component_id) for r in out} == {(59, 0)}
 
 
+def test_equal_vectors_are_counted_not_compared(spark):
+    rng = np.random.default_rng(3)
+    same = [float(x) for x in rng.standard_normal(6)]
+    near = [x * 1.5 + 0.001 for x in same]
+    rows = [(k, 0, same) for k in range(20_000)] + [(30_000 + k, 0, near) for k in range(3)]
+    rows += [(40_000 + k, 1, same) for k in range(2)] + [(5, 0, near), (6, 1, same)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    out = {}
+    for r in embedding_near_duplicates(df.repartition(4)).collect():
+        out.setdefault(r.vec_id, (r.n_links, r.component_id, r.kept))
+    # the copies of label 0, the near vectors, and 5's second vector
+    assert out[9] == (20_003, 0, False) and out[0] == (20_003, 0, True)
+    assert out[30_001] == (20_003, 0, False)
+    assert out[5] == (20_002 + 20_002, 0, False)
+    assert out[6] == (20_003 + 2, 0, False) and out[40_000] == (2, 0, False)
+
+
 def test_table_plan():
     p = same_cell(np.sqrt(2 - 2 * 0.93)) ** 8
     assert (1 - p) ** tables_needed(0.93, 8) <= 1e-4
