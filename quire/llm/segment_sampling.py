@@ -33,8 +33,8 @@ from quire.llm.shingles import mix64
 from quire.session import trim_memory
 
 BLANK = "▁"
-CHUNK = 200_000
-LEXICON = 250_000
+CHUNK = 100_000
+LEXICON = 60_000
 _SHORT = 48
 _SCALE = 3.0
 #: -log(-log(u)) of a 53-bit uniform is below this.
