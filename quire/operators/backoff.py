@@ -67,17 +67,16 @@ def gram_counts(df: DataFrame, order: int, vocab_size: int, tokens_col: str = "t
             group = np.zeros(len(row), dtype=np.int64)
             for d in of:
                 group = group * len(d.dictionary) + d.indices.to_numpy()[row]
-            keys = np.stack([group, ctx, nxt])
-            order_ = np.lexsort(keys[::-1])
-            keys = keys[:, order_]
-            first = np.flatnonzero(np.concatenate(
-                [[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)])) if len(row) else order_
-            where = row[order_[first]] if len(row) else order_
-            n = np.diff(np.append(first, len(row)))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(k).take(pa.array(where)) for k in range(len(g))]
-                + [pa.array(keys[1, first]), pa.array(keys[2, first].astype(np.int32)),
-                   pa.array(n.astype(np.int64))], names=[*g, "ctx", "next", "cnt"])
+            gram = ctx * (vocab_size + 1) + nxt          # the n-gram as one number
+            for this in np.unique(group):
+                mine = group == this
+                found, n = np.unique(gram[mine], return_counts=True)
+                where = pa.array(np.full(len(found), row[np.argmax(mine)]))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(k).take(where) for k in range(len(g))]
+                    + [pa.array(found // (vocab_size + 1)),
+                       pa.array((found % (vocab_size + 1)).astype(np.int32)),
+                       pa.array(n.astype(np.int64))], names=[*g, "ctx", "next", "cnt"])
 
     return given.mapInArrow(run, schema).groupBy(*g, "ctx", "next").agg(F.sum("cnt").alias("cnt"))
 

@@ -18,6 +18,7 @@ from quire.operators.tokenize import ByteTokenizer, detokenize_col, tokenize
 from quire.plans.corpus import tokenized_corpus
 from quire.plans.corpus_queries import DOCS_CTE, TOKENS_CTE
 from quire.plans.registry import ORACLES, query, table
+from quire.session import materialize
 from quire.sources.corpus import conversations_to_instructions
 
 V = ByteTokenizer.vocab_size
@@ -308,7 +309,7 @@ FROM p3 GROUP BY split""")
 def q_backoff_eval_loss(spark, sf_dir):
     """M1 M2: loss of each split under the train split's discounted trigrams."""
     docs = assign_split(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    grams = gram_counts(docs, ORDER, V, group_cols=["split"], text_col="text")
+    grams = materialize(gram_counts(docs, ORDER, V, group_cols=["split"], text_col="text"), "grams")
     counts = continuation_counts(grams.where(F.col("split") == "train"), ORDER, V)
     out = backoff_eval_loss(counts, grams, V, ["split"])
     return out.select("split", "n_tokens", F.round("loss", 9).alias("loss"))
@@ -347,7 +348,7 @@ SELECT conv_id, turn, count(*) FILTER (WHERE step > 0)::BIGINT AS n_new,
 FROM g GROUP BY conv_id, turn""")
 def q_continue_text(spark, sf_dir):
     """Every user turn continued from the longest suffix of up to two ids that was seen."""
-    grams = gram_counts(_train_docs(spark, sf_dir), ORDER, V, text_col="text")
+    grams = materialize(gram_counts(_train_docs(spark, sf_dir), ORDER, V, text_col="text"), "grams")
     draws = [(n, seen_draws(c, V)) for n, c in suffix_counts(grams, ORDER, V).items()]
     turns = table(spark, sf_dir, "conversations").where("role = 'user'").select(
         "conv_id", "turn", "text", F.concat_ws("-", "conv_id", "turn").alias("row_key"))
