@@ -1,15 +1,16 @@
 """Quality classifier by positive-unlabelled learning.
 
 Trusted positives are labelled documents of good quality; everything else is
-unlabelled web text.  A logistic score over thresholded shape measures minimises the
-non-negative unbiased risk
+unlabelled web text.  A logistic score over thresholded shape measures and hashed words
+and letter triples of the whole text minimises the non-negative unbiased risk
 ``prior * E_P[l(+)] + max(0, E_U[l(-)] - prior * E_P[l(-)])``, so no negative label is
-ever read.  The class prior is estimated from the same two samples: a probe tells
-positives from unlabelled text, and on positives it did not see its density ratio
-averages 1 / prior when the classes are separable.
+ever read.  The class prior is estimated from the same two samples: a probe tells positives
+from unlabelled text, and over rows it did not see the prior is the least ratio, over the
+probe's thresholds, of the unlabelled share above to the positive share above.  Where the
+purest unlabelled rows are nearly all positive, that ratio is the prior.
 
 The model is fitted on at most ``POSITIVES`` + ``UNLABELLED`` rows taken by a hash of
-doc_id (``LIMIT`` times that at the very most reach the driver, as ``len(MEASURES)``
+doc_id (``LIMIT`` times that at the very most reach the driver, as ``WIDTH`` four-byte
 numbers each); every document is scored from its whole text.
 """
 
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.langid import fold
 from quire.llm.quality_rules import Text
+from quire.llm.shingles import mix64, word_hashes
 
 POSITIVES = 8000
 UNLABELLED = 12000
@@ -52,21 +54,54 @@ MEASURES = (
 )
 
 
-def measure(text: str | None) -> list[float]:
+#: Buckets for words and, after them, for triples of bytes.
+BUCKETS = 256
+SHAPES = len(MEASURES)
+WIDTH = SHAPES + 2 * BUCKETS
+SLICE = 1 << 20
+ROWS = 512
+
+
+def _counted(hashes: np.ndarray) -> np.ndarray:
+    sign = 1.0 - 2.0 * (hashes >> np.uint64(63)).astype(np.float64)
+    return np.bincount((hashes % np.uint64(BUCKETS)).astype(np.int64), weights=sign,
+                       minlength=BUCKETS)
+
+
+def _unit(counts: np.ndarray) -> np.ndarray:
+    """Damped counts at length 1, so that the length of a text says nothing."""
+    v = np.sign(counts) * np.log1p(np.abs(counts))
+    n = np.sqrt(v @ v)
+    return v / n if n else v
+
+
+def hashed(data: bytes) -> np.ndarray:
+    """Signed bucket counts of a text's words and byte triples, without regard to case."""
+    data = data.lower()
+    triples = np.zeros(BUCKETS)
+    for at in range(0, max(0, len(data) - 2), SLICE):      # slices share two bytes, no triple is lost
+        b = np.frombuffer(data, np.uint8, min(SLICE + 2, len(data) - at), at).astype(np.uint64)
+        triples += _counted(mix64(b[:-2] << np.uint64(16) | b[1:-1] << np.uint64(8) | b[2:]))
+    return np.concatenate([_unit(_counted(word_hashes(data))), _unit(triples)])
+
+
+def measure(text: str | None) -> np.ndarray:
     t = Text(text)
-    return [f(t) for _, f in MEASURES]
+    return np.concatenate([[f(t) for _, f in MEASURES], hashed(t.data)]).astype(np.float32)
 
 
 def measures(text: Column) -> Column:
+    """The ``WIDTH`` numbers of a text as four-byte floats in a binary."""
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([measure(t) for t in texts])
+        return pd.Series([measure(t).tobytes() for t in texts], dtype=object)
 
-    return F.pandas_udf(run, "array<double>")(text)
+    return F.pandas_udf(run, "binary")(text)
 
 
 @dataclass(frozen=True)
 class Model:
-    """``steps``: (measure, threshold) pairs; a text scores by which of them it passes."""
+    """``steps``: (measure, threshold) pairs; a text scores by which of them it passes and by its
+    hashed words and triples (all columns after the shape measures)."""
 
     steps: tuple[tuple[int, float], ...]
     weights: tuple[float, ...]
@@ -74,13 +109,20 @@ class Model:
     prior: float
 
     def encode(self, x: np.ndarray) -> np.ndarray:
-        if not self.steps:
-            return np.zeros((len(x), 0))
-        at = np.array([k for k, _ in self.steps])
-        return (x[:, at] > np.array([v for _, v in self.steps])).astype(np.float64)
+        return np.hstack([self.passed(x), x[:, SHAPES:]]).astype(np.float32)
+
+    def passed(self, x: np.ndarray) -> np.ndarray:
+        at = np.array([k for k, _ in self.steps], dtype=np.int64)
+        return (x[:, at] > np.array([v for _, v in self.steps])).astype(np.float32)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return _sigmoid(self.encode(x) @ np.array(self.weights) + self.bias)
+        """A row's score rests on that row alone, to the last bit: every row is summed by itself."""
+        if not self.weights:
+            return np.full(len(x), _sigmoid(np.float64(self.bias)))
+        w = np.array(self.weights)
+        return np.concatenate([
+            _sigmoid((self.encode(x[at:at + ROWS]) * w).sum(axis=1) + self.bias)
+            for at in range(0, len(x), ROWS)])
 
 
 #: Without both samples nothing can be told.
@@ -101,19 +143,39 @@ def _descend(gradient, width: int, rounds: int, rate: float = 0.1) -> np.ndarray
     return w
 
 
-def estimate_prior(p: np.ndarray, u: np.ndarray, ridge: float = 1e-3) -> float:
-    """Share of positives in ``u`` by cross-fitted density ratios at positives."""
-    ratios = []
+def estimate_prior(p: np.ndarray, u: np.ndarray, ridge: float = 1e-3,
+                   doubt: float = 0.1, margin: float = 0.01) -> float:
+    """Share of positives in ``u``, cross-fitted over two halves.
+
+    The threshold is where the ratio of shares is least after a term for the chance of
+    ``doubt`` that a share strays from its expectation; thresholds few rows pass lose by it.
+    """
+    found = []
     for side in (0, 1):
         fp, fu = p[side::2], u[side::2]
-        x = np.hstack([np.vstack([fp, fu]), np.ones((len(fp) + len(fu), 1))])
+        x = np.hstack([np.vstack([fp, fu]), np.ones((len(fp) + len(fu), 1))]).astype(np.float32)
         y = np.concatenate([np.ones(len(fp)), np.zeros(len(fu))])
         s = np.where(y == 1, 0.5 / max(1, len(fp)), 0.5 / max(1, len(fu)))
-        w = _descend(lambda w: x.T @ (s * (_sigmoid(x @ w) - y)) + ridge * w, p.shape[1], 200)
-        held = p[1 - side::2]
-        if len(held):
-            ratios.append(np.exp(np.clip(held @ w[:-1] + w[-1], -20, 20)))
-    return float(np.clip(1 / max(1e-9, np.mean(np.concatenate(ratios))), 0.05, 0.95))
+        w = _descend(lambda w: (s * (_sigmoid(x @ w.astype(np.float32)) - y)).astype(np.float32)
+                     @ x + ridge * w, p.shape[1], 200)
+        zp, zu = (np.sort(v[1 - side::2] @ w[:-1] + w[-1]) for v in (p, u))
+        if not len(zp) or not len(zu):
+            continue
+        at = np.unique(zp)
+        above_p = 1 - np.searchsorted(zp, at) / len(zp)
+        above_u = 1 - np.searchsorted(zu, at) / len(zu)
+        stray = np.sqrt(np.log(4 / doubt) / 2) * (len(zp) ** -0.5 + len(zu) ** -0.5)
+        k = np.argmin((above_u + (1 + margin) * stray) / above_p)
+        found.append(above_u[k] / above_p[k])
+    return float(np.clip(np.mean(found), 0.05, 0.95))
+
+
+def risk(w: np.ndarray, p1: np.ndarray, u1: np.ndarray, pi: float) -> tuple[float, float]:
+    """The two parts of the risk of ``w`` over rows that end in 1: on positives, and on
+    negatives as the unlabelled rows less the positives among them."""
+    zp, zu = p1 @ w, u1 @ w
+    return (float(pi * np.logaddexp(0, -zp).mean()),
+            float(np.logaddexp(0, zu).mean() - pi * np.logaddexp(0, zp).mean()))
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, *, prior: float | None = None,
@@ -122,23 +184,23 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, *, prior: float | None = N
     is stepped back, as the estimator prescribes."""
     if len(positive) < 2 or len(unlabelled) < 2:
         return UNFITTED
-    both = np.vstack([positive, unlabelled])
+    both = np.vstack([positive[:, :SHAPES], unlabelled[:, :SHAPES]])
     steps = tuple((k, float(v)) for k in range(both.shape[1])
                   for v in np.unique(np.quantile(both[:, k], QUANTILES)))
     shell = Model(steps, (), 0.0, 0.5)
     p, u = shell.encode(positive), shell.encode(unlabelled)
     pi = estimate_prior(p, u) if prior is None else prior
-    p1, u1 = (np.hstack([x, np.ones((len(x), 1))]) for x in (p, u))
+    p1, u1 = (np.hstack([x, np.ones((len(x), 1), np.float32)]) for x in (p, u))
 
     def gradient(w: np.ndarray) -> np.ndarray:
-        sp, su = _sigmoid(p1 @ w), _sigmoid(u1 @ w)
-        risk = -np.log1p(-su + 1e-12).mean() + pi * np.log1p(-sp + 1e-12).mean()
-        negative = u1.T @ su / len(su) - pi * (p1.T @ sp) / len(sp)
-        if risk < 0:
+        v = w.astype(np.float32)
+        sp, su = _sigmoid(p1 @ v), _sigmoid(u1 @ v)
+        negative = su @ u1 / len(su) - pi * (sp @ p1) / len(sp)
+        if risk(v, p1, u1, pi)[1] < 0:
             return -negative + ridge * w
-        return pi * (p1.T @ (sp - 1)) / len(sp) + negative + ridge * w
+        return pi * ((sp - 1) @ p1) / len(sp) + negative + ridge * w
 
-    w = _descend(gradient, len(steps), rounds, rate=0.05)
+    w = _descend(gradient, p1.shape[1] - 1, rounds, rate=0.05)
     return Model(steps, tuple(w[:-1].tolist()), float(w[-1]), pi)
 
 
@@ -148,7 +210,7 @@ def _draw(salt: str, share: float) -> Column:
 
 def _sample(docs: DataFrame, bound: int) -> np.ndarray:
     rows = docs.select(measures(F.col("text")).alias("x")).limit(LIMIT * bound).collect()
-    return np.array([r["x"] for r in rows], dtype=np.float64).reshape(-1, len(MEASURES))
+    return np.frombuffer(b"".join(r["x"] for r in rows), dtype=np.float32).reshape(-1, WIDTH)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -175,7 +237,7 @@ def quality_score(text: Column, model: Model) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         if not len(texts):
             return pd.Series([], dtype=float)
-        return pd.Series(model.score(np.array([measure(t) for t in texts], dtype=np.float64)))
+        return pd.Series(model.score(np.stack([measure(t) for t in texts])))
 
     return F.pandas_udf(run, "double")(text)
 
@@ -184,7 +246,8 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``.
 
     Learns from folds other than 1 of 3, of labels and of unlabelled text alike; a null
-    doc_id is neither held out nor learned from.  Repeated rows are scored each.
+    doc_id is neither held out nor learned from.  Repeated rows are scored each; other columns,
+    whatever their names, are ignored.
     Without documents or trusted positives every score is 0.5.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
