@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.arrays import positional_checksum
 from quire.functions.sampling import masked_nll, with_sampled_token
-from quire.functions.text import extract_response, inference_prompt
+from quire.functions.text import EOT_TEXT, extract_response, inference_prompt
 from quire.operators.backoff import (DISCOUNT, backoff_eval_loss, continuation_counts, gram_counts,
                                      suffix_counts)
 from quire.operators.generate import bigram_model, generate
@@ -18,6 +18,7 @@ from quire.operators.tokenize import ByteTokenizer, detokenize_col, tokenize
 from quire.plans.corpus import tokenized_corpus
 from quire.plans.corpus_queries import DOCS_CTE, TOKENS_CTE
 from quire.plans.registry import ORACLES, query, table
+from quire.plans.sft_queries import _strip_sql
 from quire.session import materialize
 from quire.sources.corpus import conversations_to_instructions
 
@@ -166,17 +167,6 @@ def _prompts(spark, sf_dir):
                     len_col=None)
 
 
-@query("generate")
-def q_generate(spark, sf_dir):
-    """Sample 200 tokens (T=0.7, top-200) from the bigram model per prompt."""
-    model = bigram_model(_train_counts(spark, sf_dir), V, keep=TOP_K)
-    g = generate(_prompts(spark, sf_dir), model, "row_key", max_new_tokens=MAX_NEW,
-                 temperature=TEMPERATURE, top_k=TOP_K, stop_id=EOT, seed=GEN_SEED)
-    full = detokenize_col(F.concat("prompt_tokens", "generated"))
-    return g.select("conv_id", "turn", F.size("generated").cast("bigint").alias("n_new"),
-                    extract_response(full, F.col("prompt")).alias("response"))
-
-
 @query("generate_greedy", oracle=f"""
 WITH RECURSIVE {PAIRS_SQL.strip()},
 best AS MATERIALIZED (
@@ -248,6 +238,46 @@ def q_generate_sampled(spark, sf_dir):
                     positional_checksum("generated").alias("checksum"))
 
 
+# UTF-8 in upper-case hex: whole characters, and the longest beginnings of characters cut short.
+_NEXT = "[89AB][0-9A-F]"
+_WHOLE = "|".join((
+    "[0-7][0-9A-F]", f"(?:C[2-9A-F]|D[0-9A-F]){_NEXT}", f"E0[AB][0-9A-F]{_NEXT}",
+    f"E[1-9A-CEF]{_NEXT}{_NEXT}", f"ED[89][0-9A-F]{_NEXT}", f"F0[9AB][0-9A-F]{_NEXT}{_NEXT}",
+    f"F[1-3]{_NEXT}{_NEXT}{_NEXT}", f"F48[0-9A-F]{_NEXT}{_NEXT}"))
+_BROKEN = "|".join((
+    "E0[AB][0-9A-F]", f"E[1-9A-CEF]{_NEXT}", "ED[89][0-9A-F]", f"F0[9AB][0-9A-F](?:{_NEXT})?",
+    f"F[1-3]{_NEXT}(?:{_NEXT})?", f"F48[0-9A-F](?:{_NEXT})?", "[0-9A-F]{2}"))
+
+
+def _response_sql():
+    """The replayed ids as text: bytes up to end-of-text, broken UTF-8 as U+FFFD, stripped."""
+    replay = ORACLES["generate_sampled"].rsplit("SELECT conv_id, turn, count(*)", 1)[0]
+    text = _strip_sql(f"split_part(whole, '{EOT_TEXT}', 1)")
+    return f"""{replay},
+h AS (
+  SELECT conv_id, turn, count(*) FILTER (WHERE step > 0)::BIGINT AS n_new,
+         coalesce(string_agg(printf('%02X', tok), '' ORDER BY step)
+                  FILTER (WHERE step > 0 AND tok <> {EOT}), '') AS bytes
+  FROM g GROUP BY conv_id, turn),
+w AS (
+  SELECT conv_id, turn, n_new, decode(unhex(array_to_string(list_transform(
+           regexp_extract_all(bytes, '{_WHOLE}|{_BROKEN}'),
+           lambda x: CASE WHEN regexp_full_match(x, '{_WHOLE}') THEN x ELSE 'EFBFBD' END), '')))
+         AS whole FROM h)
+SELECT conv_id, turn, n_new, {text} AS response FROM w"""
+
+
+@query("generate", oracle=_response_sql())
+def q_generate(spark, sf_dir):
+    """Sample 200 tokens (T=0.7, top-200) from the bigram model per prompt."""
+    model = bigram_model(_train_counts(spark, sf_dir), V, keep=TOP_K)
+    g = generate(_prompts(spark, sf_dir), model, "row_key", max_new_tokens=MAX_NEW,
+                 temperature=TEMPERATURE, top_k=TOP_K, stop_id=EOT, seed=GEN_SEED)
+    full = detokenize_col(F.concat("prompt_tokens", "generated"))
+    return g.select("conv_id", "turn", F.size("generated").cast("bigint").alias("n_new"),
+                    extract_response(full, F.col("prompt")).alias("response"))
+
+
 # Ids generated per prompt where every step is a distributed join.
 STEPS = 24
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import time
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,9 +133,20 @@ class BudgetLedger:
             self.reached_at, self.reached = batch_id, True
             return
         docs = assign_split(batch.select(self.order_by, self.text_col), self.order_by)
+        # the source is read and measured once; splitters, offsets, texts and total use that
         docs = docs.select(self.order_by, "split",
                            token_count(F.col(self.text_col), self.tokenizer).cast("bigint")
-                           .alias("n_tokens"), self.text_col)
+                           .alias("n_tokens"), self.text_col).persist(StorageLevel.DISK_ONLY)
+        try:
+            total = docs.agg(F.sum("n_tokens")).first()[0] or 0
+            self._write(docs, spark, batch_id, base, int(total))
+        finally:
+            docs.unpersist()
+        if base + total >= self.max_tokens:
+            self.reached_at, self.reached = batch_id, True
+
+    def _write(self, docs: DataFrame, spark, batch_id: int, base: int, total: int) -> None:
+        """The batch's kept documents, then its line of the ledger."""
         local = prefix_aggregate(docs, [self.order_by], {"_start": ("sum", F.col("n_tokens"))})
         kept = local.withColumn("budget_start", F.col("_start") + F.lit(base)).drop("_start")
         kept = kept.where((F.col("budget_start") < self.max_tokens) | (F.col("budget_start") == 0))
@@ -142,12 +154,9 @@ class BudgetLedger:
         kept = kept.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
         kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
             .partitionBy("batch_id").parquet(self.out_path)
-        total = docs.agg(F.sum("n_tokens")).first()[0] or 0
-        spark.createDataFrame([(batch_id, int(total))], "batch_id bigint, n_tokens bigint") \
+        spark.createDataFrame([(batch_id, total)], "batch_id bigint, n_tokens bigint") \
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
             .partitionBy("batch_id").parquet(self.ledger_path)
-        if base + total >= self.max_tokens:
-            self.reached_at, self.reached = batch_id, True
 
 
 def stream_budget(stream: DataFrame, max_tokens: int, out_path: str, ledger_path: str,
