@@ -90,13 +90,14 @@ FROM s""")
 def q_format_prompt_input(spark, sf_dir):
     """User turns as instructions, the system turn right before as their input."""
     from quire.functions.text import format_prompt
-    from quire.operators.neighbors import row_index, with_previous
+    from quire.operators.neighbors import row_index, with_neighbours
 
     conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    turns = with_previous(row_index(conv, ["conv_id"], ["turn"]), ["conv_id"], ["role", "text"])
-    given = F.when(F.col("role_prev") == "system", F.col("text_prev"))
-    return turns.where("role = 'user'").select(
-        "conv_id", "turn", format_prompt(F.col("text"), given).alias("prompt"))
+    turns = with_neighbours(row_index(conv, ["conv_id"], ["turn"]), ["conv_id"],
+                            F.col("role") == "user",
+                            {"before": (-1, F.col("role") == "system")}, ["text"])
+    return turns.select(
+        "conv_id", "turn", format_prompt(F.col("text"), F.col("before.text")).alias("prompt"))
 
 
 @query("build_sft", oracle=f"""

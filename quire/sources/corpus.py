@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.operators.neighbors import row_index, with_following
+from quire.operators.neighbors import row_index, with_neighbours
 
 INSTRUCTION_SCHEMA = T.StructType([
     T.StructField("ex_id", T.LongType(), False),
@@ -52,11 +52,14 @@ def conversations_to_instructions(conv: DataFrame, with_following_text: bool = F
     """
     base = conv.select("conv_id", "turn", "role", "text")
     idx = row_index(base, ["conv_id"], ["turn"], n_buckets=n_buckets)
-    offs = (1, 2) if with_following_text else (1,)
-    nb = with_following(idx, ["conv_id"], ["role", "text"], offs)
-    pairs = nb.where((F.col("role") == "user") & (F.col("role_next1") == "assistant"))
+    role = F.col("role")
+    near = {"answer": (1, role == "assistant")}
+    if with_following_text:
+        near["after"] = (2, F.lit(True))
+    pairs = with_neighbours(idx, ["conv_id"], role == "user", near, ["text"]).where(
+        "answer IS NOT NULL")
     cols = [F.col("conv_id"), F.col("turn"), F.col("text").alias("instruction"),
-            F.lit("").alias("input"), F.col("text_next1").alias("output")]
+            F.lit("").alias("input"), F.col("answer.text").alias("output")]
     if with_following_text:
-        cols.append(F.col("text_next2").alias("following"))
+        cols.append(F.col("after.text").alias("following"))
     return pairs.select(*cols)
