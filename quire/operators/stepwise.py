@@ -21,6 +21,9 @@ from quire.session import materialize
 CHUNK, SALTS = 8, 16
 # A context is hot from this share of the live rows on.
 HOT_SHARE = 1 / 64
+# Tables of draw rows up to this size, as measured, go to every executor; larger ones are joined
+# by shuffles.
+SMALL_BYTES = 32 << 20
 
 
 def _cumulated(weighted: DataFrame, vocab_size: int) -> DataFrame:
@@ -108,6 +111,11 @@ def _hot(rows: DataFrame, ctx: Column) -> list[int]:
             .where(F.col("count") >= HOT_SHARE * n).collect()] if n > 10_000 else []
 
 
+def _table_bytes(draws: DataFrame) -> int:
+    """What draw rows take in memory: an id and an end an entry, some words a row."""
+    return draws.agg(F.sum(F.size("ids") * 12 + 64)).first()[0] or 0
+
+
 def generate_by_steps(prompts: DataFrame, key_col: str, tables: list[tuple[int, DataFrame]],
                       vocab_size: int, tokens_col: str = "prompt_tokens",
                       max_new_tokens: int = 200, stop_id: int | None = None, seed: int = 1234,
@@ -117,7 +125,8 @@ def generate_by_steps(prompts: DataFrame, key_col: str, tables: list[tuple[int,
     ``tables``: ``(context length, draw rows)``, longest first; a row draws from the first
     that knows its last ids.  If none does, every id is as likely.  Draws use the uniform
     ``md5(seed:key:step)``, so the result is that of ``generate`` with the same model, for
-    any partitioning.  Rows are written every ``chunk`` steps.
+    any partitioning.  Rows are written every ``chunk`` steps.  A table measured at no more
+    than ``SMALL_BYTES`` is broadcast, any other salted and shuffled.
     """
     longest = max(n for n, _ in tables)
     empty = F.coalesce(F.col(tokens_col), F.array().cast("array<int>"))
@@ -129,8 +138,10 @@ def generate_by_steps(prompts: DataFrame, key_col: str, tables: list[tuple[int,
         F.col(key_col).alias("_key"), last.alias("_last"),
         F.array().cast("array<int>").alias(out_col), F.lit(False).alias("done")), "steps")
     tables = [(n, materialize(t, f"draws-{n}")) for n, t in tables]
+    small = {n for n, t in tables if n == 0 or _table_bytes(t) <= SMALL_BYTES}
     for first in range(0, max_new_tokens, chunk):
-        hot = {n: _hot(rows, context_code(F.col("_last"), n, vocab_size)) for n, _ in tables if n}
+        hot = {n: None if n in small else
+               _hot(rows, context_code(F.col("_last"), n, vocab_size)) for n, _ in tables}
         for step in range(first, min(first + chunk, max_new_tokens)):
             rows = _step(rows, tables, hot, vocab_size, seed, step, stop_id, longest, out_col)
         rows = materialize(rows, "steps")
@@ -146,8 +157,8 @@ def _step(rows, tables, hot, vocab_size, seed, step, stop_id, longest, out_col):
         named = table.select(*[F.col(c).alias(f"{c}{n}")
                                for c in ("ctx", "ids", "ends", "other", "whole")])
         ctx = F.when(~F.col("done"), context_code(F.col("_last"), n, vocab_size))
-        if n == 0:  # one row, of at most the vocabulary's size
-            out = out.join(F.broadcast(named), ctx == F.col("ctx0"), "left")
+        if hot[n] is None:  # measured, or one row of at most the vocabulary's size
+            out = out.join(F.broadcast(named), ctx == F.col(f"ctx{n}"), "left")
         else:
             many = F.lit(False)
             for code in hot[n]:

@@ -32,7 +32,9 @@ def prompts(spark, vocab, n=40):
 @pytest.mark.parametrize("vocab,top_k,temperature", [
     (50_304, None, 1.0), (50_304, None, 0.6), (50_304, 200, 0.7), (30, None, 1.3), (30, 3, 1.0),
     (30, 30, 1.0)])
-def test_steps_equal_the_local_model(spark, vocab, top_k, temperature):
+@pytest.mark.parametrize("small", [0, stepwise.SMALL_BYTES])
+def test_steps_equal_the_local_model(spark, monkeypatch, vocab, top_k, temperature, small):
+    monkeypatch.setattr(stepwise, "SMALL_BYTES", small)
     counts = pairs(spark, vocab, vocab % 97)
     given = prompts(spark, vocab)
     want = generate(given, bigram_model(counts, vocab), "key", max_new_tokens=10,
@@ -50,13 +52,16 @@ def test_hot_contexts_are_salted_without_a_change(spark, monkeypatch):
                                       F.array(F.lit(7)).alias("prompt_tokens"))
     draws = bigram_draws(counts, 40)
     kw = dict(max_new_tokens=3, seed=2, chunk=2)
+    sent = generate_by_steps(rows, "key", [(1, draws)], 40, **kw).collect()     # broadcast whole
+    monkeypatch.setattr(stepwise, "SMALL_BYTES", 0)
     salted = generate_by_steps(rows, "key", [(1, draws)], 40, **kw)
     assert stepwise._hot(rows.select(F.col("prompt_tokens").alias("_last"), F.lit(False).alias("done")),
                          context_code(F.col("_last"), 1, 40)) == [7]
     a = {r["key"]: r["generated"] for r in salted.collect()}
     monkeypatch.setattr(stepwise, "_hot", lambda rows, ctx: [])
     b = {r["key"]: r["generated"] for r in generate_by_steps(rows, "key", [(1, draws)], 40, **kw).collect()}
-    assert a == b and len(a) == 12_000 and all(len(x) == 3 for x in a.values())
+    assert a == b == {r["key"]: r["generated"] for r in sent}
+    assert len(a) == 12_000 and all(len(x) == 3 for x in a.values())
 
 
 SEQS = [[1, 2, 3, 1, 2, 4, 1, 2, 3], [2, 2, 2], [], [5], [1, 2, 3, 4, 5, 0]]
@@ -119,7 +124,9 @@ def test_probabilities_of_a_context_sum_to_one_and_follow_the_definition(spark):
             assert abs(got[a * 7 + b, w] - p(a * 7 + b, w, 3)) < 1e-12
 
 
-def test_continuations_follow_the_longest_seen_suffix(spark):
+@pytest.mark.parametrize("small", [0, stepwise.SMALL_BYTES])
+def test_continuations_follow_the_longest_seen_suffix(spark, monkeypatch, small):
+    monkeypatch.setattr(stepwise, "SMALL_BYTES", small)
     vocab = 6
     df = spark.createDataFrame([(s,) for s in SEQS], "tokens array<int>")
     suffixes = suffix_counts(gram_counts(df, 3, vocab), 3, vocab)
