@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Rows that go to a block cutter at a time, and tokens that it holds before it gives blocks out.
+ROWS_PER_BATCH, CUT_TOKENS = 1000, 1 << 20
+
 
 def _pieces(df: DataFrame, block_size: int, width: int, stride: int, split_col: str,
             start_col: str, cols: list[str], len_col: str | None) -> DataFrame:
@@ -97,7 +100,7 @@ class _RunPacker:
     def __init__(self, width: int, stride: int, n_cols: int):
         self.width, self.stride, self.n_cols = width, stride, n_cols
         self.split = None
-        self.out = []          # (split, block_id, piece_start, complete, [arrays])
+        self.out, self.held = [], 0   # (split, block_id, piece_start, complete, [arrays]); tokens
         self._reset(None, 0)
 
     def _reset(self, split, start):
@@ -127,6 +130,7 @@ class _RunPacker:
             ks = np.arange(self.next_k, last_k + 1, dtype=np.int64)
             idx = (ks * s - self.buf_start)[:, None] + np.arange(w)[None, :]
             self.out.append((self.split, ks, ks * s, True, [b[idx] for b in self.buf]))
+            self.held += idx.size
             self.next_k = int(last_k + 1)
         keep_from = self.next_k * s - self.buf_start
         if keep_from > 0:
@@ -155,7 +159,7 @@ class _RunPacker:
         self.split = None
 
     def drain(self):
-        out, self.out = self.out, []
+        out, self.out, self.held = self.out, [], 0
         return out
 
 
@@ -172,12 +176,13 @@ def pack_blocks_local(df: DataFrame, block_size: int = 512, stride: int | None =
     and its edge pieces to shared storage in columns of their own, so that the second
     read, which groups the edges, never touches the blocks.
     """
-    from quire.session import materialize, ship_package
+    from quire.session import bound_batches, materialize, ship_package, trim_memory
 
     stride = stride or block_size
     width = block_size if labels_col else block_size + 1
     cols = [tokens_col] + ([labels_col] if labels_col else [])
     ship_package(df.sparkSession)
+    bound_batches(df.sparkSession, ROWS_PER_BATCH)
     src = df.select(split_col, start_col, *cols).sortWithinPartitions(split_col, start_col)
     arr = T.ArrayType(T.IntegerType(), False)
     edges = [f"_edge_{c}" for c in cols]
@@ -224,11 +229,16 @@ def pack_blocks_local(df: DataFrame, block_size: int = 512, stride: int | None =
             st = b.column(1).to_numpy(zero_copy_only=False)
             lists = [b.column(2 + j) for j in range(len(cols))]
             offs = [lst.offsets.to_numpy() for lst in lists]
-            vals = [lst.flatten().to_numpy(zero_copy_only=False).astype(np.int32) for lst in lists]
+            vals = [lst.flatten().to_numpy(zero_copy_only=False).astype(np.int32, copy=False)
+                    for lst in lists]
             for r in range(b.num_rows):
-                a0 = [v[o[r] - o[0]: o[r + 1] - o[0]] for v, o in zip(vals, offs)]
-                if len(a0[0]):
-                    packer.extend(sp[r], int(st[r]), a0)
+                lo, hi, at = offs[0][r], offs[0][r + 1], int(st[r])
+                for x in range(lo, hi, CUT_TOKENS):     # a long sequence by stretches
+                    y = min(x + CUT_TOKENS, hi)
+                    packer.extend(sp[r], at + int(x - lo), [
+                        v[o[r] - o[0] + x - lo: o[r] - o[0] + y - lo] for v, o in zip(vals, offs)])
+                    if packer.held >= CUT_TOKENS:
+                        yield to_batch(packer.drain())
             items = packer.drain()
             if items:
                 yield to_batch(items)
@@ -236,6 +246,7 @@ def pack_blocks_local(df: DataFrame, block_size: int = 512, stride: int | None =
         items = packer.drain()
         if items:
             yield to_batch(items)
+        trim_memory()
 
     cut = materialize(src.mapInArrow(run, schema), "blocks")
     complete = cut.where(F.col(cols[0]).isNotNull()).select(split_col, "block_id", *cols)

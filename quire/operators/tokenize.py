@@ -15,7 +15,7 @@ import functools
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -182,6 +182,9 @@ class BpeTokenizer(Tokenizer):
 
 def token_udf(tokenizer: Tokenizer, add_eot: bool = True, on_special: str = "ordinary"):
     ship_package()
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        bound_batches(spark, TEXTS_PER_BATCH)
 
     @F.arrow_udf(TOKENS_TYPE)
     def _encode(text: pa.Array) -> pa.Array:

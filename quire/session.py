@@ -82,17 +82,24 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.parquet(path)
 
 
+# Bytes that go to a Python worker at a time (one row may be longer).
+BATCH_BYTES = 16 << 20
+
+
 def bound_batches(spark: SparkSession, rows: int) -> None:
-    """Let at most ``rows`` rows go to a Python worker at a time, in this session from now on.
+    """Let at most ``rows`` rows or ``BATCH_BYTES`` go to a Python worker at a time, from now on.
 
-    Spark bounds an Arrow batch by rows, not bytes.  Operators that send whole texts or
-    groups call this before their first job, so that a batch stays at some megabytes;
-    a smaller setting is left alone.
+    Operators that send whole texts or groups call this before their first job, so that
+    a batch stays at some megabytes; a smaller number of rows is left alone, and so is a
+    bound on bytes that the session has set.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
 def trim_memory() -> None:
