@@ -3,9 +3,9 @@
 M2 stands in for the reference's GPU training loop so that scoring and
 generation have a distributable model; it is NOT equivalent to the GPT.
 
-* fit: adjacent pairs are counted per Arrow batch with NumPy (``np.unique`` on
-  ``prev * V + next``), then summed with ``groupBy(prev, next)``: the shuffle is
-  bounded by ``batches * distinct pairs`` instead of tokens.  ``token_pairs``
+* fit: adjacent pairs are counted in stretches of ``COUNT_TOKENS`` tokens with NumPy
+  (on ``prev * V + next``), then summed with ``groupBy(prev, next)``: the shuffle is
+  bounded by ``tasks * distinct pairs`` instead of tokens.  ``token_pairs``
   (``explode(arrays_zip(t[:-1], t[1:]))``) is the pure-SQL form.
 * logit / log-probability with add-one smoothing: ``log((c + 1) / (t_prev + V))``.
 * scoring pre-aggregates the scored pairs too, then joins the two count
@@ -16,11 +16,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_BROADCAST_PAIRS = 4_000_000
+# Tokens that a task counts at a time.
+COUNT_TOKENS = 1 << 20
 
 
 def token_pairs(df: DataFrame, tokens_col: str = "tokens", keep: list[str] | None = None) -> DataFrame:
@@ -34,50 +37,69 @@ def token_pairs(df: DataFrame, tokens_col: str = "tokens", keep: list[str] | Non
 
 
 def _batch_pair_counts(tokens: pa.Array, groups: list[pa.Array]):
-    """Distinct (group..., prev, next) with counts inside one Arrow batch (NumPy)."""
+    """Distinct (group..., prev, next) with counts of some sequences (NumPy), a stretch at a time."""
     offs = tokens.offsets.to_numpy()
     rel = (offs - offs[0]).astype(np.int64)
-    vals = tokens.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    n = len(vals)
-    if n < 2:
-        return None
-    valid = np.ones(n - 1, dtype=bool)
-    starts = rel[1:-1]
-    starts = starts[(starts >= 1) & (starts <= n - 1)]
-    valid[starts - 1] = False                 # no pair across two sequences
-    prev, nxt = vals[:-1][valid], vals[1:][valid]
-    v = int(vals.max()) + 1
-    code = prev * v + nxt
-    gidx, gvals = None, []
+    flat = tokens.flatten().to_numpy(zero_copy_only=False)
+    if len(flat) < 2:
+        return
+    row_g, gvals = None, []
     if groups:
         keys = list(zip(*[g.to_pylist() for g in groups]))
-        uniq = sorted(set(keys), key=repr)
-        pos = {k: i for i, k in enumerate(uniq)}
+        gvals = sorted(set(keys), key=repr)
+        pos = {k: i for i, k in enumerate(gvals)}
         row_g = np.array([pos[k] for k in keys], dtype=np.int64)
-        tok_g = np.repeat(row_g, np.diff(rel))[:-1][valid]
-        code = tok_g * (v * v) + code
-        gvals = uniq
-    u, cnt = np.unique(code, return_counts=True)
-    if groups:
-        gidx = u // (v * v)
-        u = u % (v * v)
-    return u // v, u % v, cnt, gidx, gvals
+    for a in range(0, len(flat) - 1, COUNT_TOKENS):
+        b = min(a + COUNT_TOKENS, len(flat) - 1)      # pairs that begin at a .. b
+        vals = flat[a: b + 1].astype(np.int64)
+        valid = np.ones(b - a, dtype=bool)
+        starts = rel[np.searchsorted(rel, a + 1): np.searchsorted(rel, b, side="right")]
+        valid[starts - 1 - a] = False                 # no pair across two sequences
+        v = int(vals.max()) + 1
+        code, wide = vals[:-1] * v + vals[1:], v * v
+        if groups:
+            first = np.searchsorted(rel, a, side="right") - 1
+            last = np.searchsorted(rel, b - 1, side="right")
+            edges = np.clip(rel[first: last + 1], a, b)
+            code += np.repeat(row_g[first:last], np.diff(edges)) * wide
+        code = code[valid]
+        if not len(code):
+            continue
+        if wide * max(1, len(gvals)) <= COUNT_TOKENS:
+            cnt = np.bincount(code)
+            u = np.flatnonzero(cnt)
+            cnt = cnt[u]
+        else:
+            u, cnt = np.unique(code, return_counts=True)
+        yield u % wide // v, u % v, cnt, u // wide if groups else None, gvals
+
+
+def _row_slices(col: pa.Array):
+    """``(first row, rows)`` stretches of ``col`` that hold about ``COUNT_TOKENS`` values."""
+    rel = col.offsets.to_numpy().astype(np.int64) if pa.types.is_list(col.type) \
+        else np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy())])
+    a = 0
+    while a < len(col):
+        b = max(a + 1, int(np.searchsorted(rel, rel[a] + COUNT_TOKENS, side="right")) - 1)
+        yield a, b - a
+        a = b
 
 
 def token_pair_counts(df: DataFrame, tokens_col: str = "tokens", group_cols: list[str] | None = None,
                       text_col: str | None = None, tokenizer=None) -> DataFrame:
     """``(group..., prev, next, cnt)`` pre-aggregated per Arrow batch, then summed.
 
-    The map side reduces each batch to its distinct pairs with NumPy (the
-    map-side combine), so the shuffle carries at most ``batches x distinct
-    pairs`` rows instead of one row per token.  With ``text_col`` the text is
-    tokenized in the same pass and no token array is ever materialised.
+    The map side reduces each stretch of ``COUNT_TOKENS`` tokens to its distinct pairs with
+    NumPy, whatever the batch or the longest text, and Spark sums those of a task before
+    the shuffle.  With ``text_col`` the text is tokenized in the same pass and no token
+    column is ever materialised.
     """
-    from quire.operators.tokenize import ByteTokenizer
-    from quire.session import ship_package
+    from quire.operators.tokenize import TEXTS_PER_BATCH, ByteTokenizer
+    from quire.session import bound_batches, ship_package, trim_memory
 
     g = list(group_cols or [])
     ship_package(df.sparkSession)
+    bound_batches(df.sparkSession, TEXTS_PER_BATCH)
     tok = tokenizer or ByteTokenizer()
     src = text_col or tokens_col
     in_df = df.select(*g, src)
@@ -87,22 +109,23 @@ def token_pair_counts(df: DataFrame, tokens_col: str = "tokens", group_cols: lis
                                         T.StructField("cnt", T.LongType(), False)])
 
     def run(batches):
-        for b in batches:
-            col = b.column(b.schema.get_field_index(src))
-            toks = tok.encode_arrow(col, True, "ordinary") if text_col else col
-            res = _batch_pair_counts(toks, [b.column(b.schema.get_field_index(c)) for c in g])
-            if res is None:
-                continue
-            prev, nxt, cnt, gidx, gvals = res
-            cols = []
-            for j, f in enumerate(fields):
-                cols.append(pa.array([gvals[i][j] for i in gidx], type=b.schema.field(f.name).type))
-            cols += [pa.array(prev.astype(np.int32)), pa.array(nxt.astype(np.int32)),
-                     pa.array(cnt.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(
-                [b.schema.field(f.name) for f in fields] +
-                [pa.field("prev", pa.int32(), False), pa.field("next", pa.int32(), False),
-                 pa.field("cnt", pa.int64(), False)]))
+        for batch in batches:
+            for at, n in _row_slices(batch.column(batch.schema.get_field_index(src))):
+                b = batch.slice(at, n)
+                col = b.column(b.schema.get_field_index(src))
+                toks = tok.encode_arrow(col, True, "ordinary") if text_col else col
+                found = _batch_pair_counts(
+                    toks, [b.column(b.schema.get_field_index(c)) for c in g])
+                for prev, nxt, cnt, gidx, gvals in found:
+                    cols = [pa.array([gvals[i][j] for i in gidx], type=b.schema.field(f.name).type)
+                            for j, f in enumerate(fields)]
+                    cols += [pa.array(prev.astype(np.int32)), pa.array(nxt.astype(np.int32)),
+                             pa.array(cnt.astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(
+                        [b.schema.field(f.name) for f in fields] +
+                        [pa.field("prev", pa.int32(), False), pa.field("next", pa.int32(), False),
+                         pa.field("cnt", pa.int64(), False)]))
+        trim_memory()
 
     partial = in_df.mapInArrow(run, out_schema)
     return partial.groupBy(*g, "prev", "next").agg(F.sum("cnt").cast("bigint").alias("cnt"))
