@@ -11,18 +11,20 @@ from quire.operators.scan import prefix_aggregate
 def stream_offsets(df: DataFrame, order_by: list[str] | str = "doc_id", len_col: str = "n_tokens",
                    split_col: str | None = "split", out_col: str = "start",
                    n_buckets: int | None = None, split_cardinality: int = 2,
-                   quantile_source: DataFrame | None = None) -> DataFrame:
+                   quantile_source: DataFrame | None = None,
+                   n_parts: int | None = None) -> DataFrame:
     """Position of each sequence in its split's flat stream (exclusive prefix sum).
 
     Documents are concatenated end to end in ``order_by`` order; ``start`` is the
     global offset of the first token, so the stream never has to exist as one file.
+    ``n_parts``: see ``prefix_aggregate``.
     """
     order = [order_by] if isinstance(order_by, str) else list(order_by)
     return prefix_aggregate(
         df, order, {out_col: ("sum", F.col(len_col).cast("bigint"))},
         partition_by=[split_col] if split_col else None, inclusive=False,
         n_buckets=n_buckets, partition_cardinality=split_cardinality,
-        quantile_source=quantile_source)
+        quantile_source=quantile_source, n_parts=n_parts)
 
 
 def token_budget(df: DataFrame, max_tokens: int, order_by: list[str] | str = "doc_id",

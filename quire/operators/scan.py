@@ -158,7 +158,8 @@ def prefix_aggregate(df: DataFrame, order_by: list[str], aggs: dict[str, tuple[s
                      n_buckets: int | None = None, partition_cardinality: int | None = None,
                      bucketed: DataFrame | None = None, reuse_bucket: bool = False,
                      keep_bucket: bool = False,
-                     quantile_source: DataFrame | None = None) -> DataFrame:
+                     quantile_source: DataFrame | None = None,
+                     n_parts: int | None = None) -> DataFrame:
     """Add running aggregates in ``order_by`` order (per ``partition_by``).
 
     ``aggs`` maps output name -> (kind, column) with kind in sum/count/min/max.
@@ -173,6 +174,10 @@ def prefix_aggregate(df: DataFrame, order_by: list[str], aggs: dict[str, tuple[s
     earlier scan with ``keep_bucket``); valid when that bucket is monotone in the
     new order within each partition - chained scans over one ordering then share
     one sample pass and one shuffle.
+
+    ``n_parts`` deals the rows to that many tasks, by default to
+    ``spark.sql.shuffle.partitions``: callers whose rows are wide give a number that
+    grows with their bytes (and as many buckets), so that a task's share does not.
     """
     pb = list(partition_by or [])
     if reuse_bucket and BUCKET in df.columns:
@@ -198,7 +203,8 @@ def prefix_aggregate(df: DataFrame, order_by: list[str], aggs: dict[str, tuple[s
 
     w = Window.partitionBy(*grp).orderBy(*order_by).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1)
-    local = b.select("*", *[_window_agg(k, F.col(f"_in_{n}"), w).alias(f"_loc_{n}")
+    dealt = b.repartition(n_parts, *grp) if n_parts else b
+    local = dealt.select("*", *[_window_agg(k, F.col(f"_in_{n}"), w).alias(f"_loc_{n}")
                             for n, (k, _) in inputs.items()])
     joined = local.join(base, on=grp, how="left")
     keep = [c for c in df.columns if c != BUCKET] + ([BUCKET] if keep_bucket else [])
