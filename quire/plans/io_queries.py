@@ -27,14 +27,13 @@ PRIME = 1_000_003
 
 def _stream_stats(df, split, value_shift=0, prefix=""):
     """Per-split totals of a read-back stream ``(offset, tokens)``."""
-    weighted = F.aggregate(
-        F.transform("tokens", lambda x, i: (x.cast("bigint") + value_shift)
-                    * ((F.col("offset") + i + 1) % PRIME) % PRIME),
-        F.lit(0).cast("bigint"), lambda a, v: a + v)
-    total = F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint"))
-    return df.select(F.lit(split).alias("split"), F.size("tokens").alias("n"),
-                     total.alias("s"), weighted.alias("w")).groupBy("split").agg(
-        F.sum("n").cast("bigint").alias(f"{prefix}n_tokens"),
+    # exploded, the arithmetic is compiled; over arrays it would be interpreted, token by token
+    tok = F.col("tok").cast("bigint")
+    return df.select("offset", F.posexplode("tokens").alias("i", "tok")).select(
+        F.lit(split).alias("split"), tok.alias("s"),
+        ((tok + value_shift) * ((F.col("offset") + F.col("i") + 1) % PRIME) % PRIME).alias("w")
+    ).groupBy("split").agg(
+        F.count("s").cast("bigint").alias(f"{prefix}n_tokens"),
         F.sum("s").cast("bigint").alias(f"{prefix}token_sum"),
         F.sum("w").cast("bigint").alias(f"{prefix}checksum"))
 
