@@ -9,12 +9,12 @@ from quire.operators.report import corpus_report
 from quire.plans.corpus_queries import BUDGET
 from quire.plans.registry import ORACLES, query, table
 from quire.plans.runlog_queries import PATIENCE, _runs
-from quire.session import scratch_path, ship_package
+from quire.session import materialize, scratch_path, ship_package
 from quire.streaming.early_stop import stream_early_stop
 from quire.plans.io_queries import SPLITS, _stream_stats
 from quire.sources.tokenbin import read_token_stream
-from quire.streaming.ingest import LiveCounter, arrival_files, file_stream, stage_in_order, \
-    stream_budget, stream_tokenize
+from quire.streaming.ingest import LiveCounter, arrival_files, file_stream, files_per_trigger, \
+    stage_in_order, stream_budget, stream_tokenize
 from quire.streaming.token_files import stream_token_files
 
 # Fixed value: iterations between two evaluations.
@@ -25,6 +25,13 @@ def _docs_schema(spark, sf_dir):
     return table(spark, sf_dir, "documents").schema
 
 
+def _arrivals(df, order_col, root):
+    """``df`` staged as files that arrive in ``order_col`` order, some of them a micro-batch."""
+    spark, n = df.sparkSession, arrival_files(df)
+    stage_in_order(df, order_col, n, f"{root}/arrivals")
+    return file_stream(spark, f"{root}/arrivals", df.schema, files_per_trigger(spark, n))
+
+
 @query("stream_tokenize", oracle=ORACLES["corpus_report"])
 def q_stream_tokenize(spark, sf_dir):
     """S1 ST1: documents as a file stream -> tokens + split in a parquet sink -> report."""
@@ -48,16 +55,14 @@ def q_stream_budget(spark, sf_dir):
     ship_package(spark)
     root = scratch_path(spark, "st2")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    stage_in_order(docs, "doc_id", arrival_files(docs), f"{root}/arrivals")
-    src = file_stream(spark, f"{root}/arrivals", docs.schema, max_files_per_trigger=1)
+    src = _arrivals(docs, "doc_id", root)
     stream_budget(src, BUDGET, f"{root}/out", f"{root}/ledger", f"{root}/_checkpoint")
     return spark.read.parquet(f"{root}/out").select("doc_id", "split", "n_tokens", "budget_start")
 
 
 def _stream_stops(spark, log, root):
     """Arrivals of ``log(run_id, iter, val_loss)`` in iteration order -> latest summary per run."""
-    stage_in_order(log, "iter", arrival_files(log), f"{root}/arrivals")
-    src = file_stream(spark, f"{root}/arrivals", log.schema, max_files_per_trigger=1)
+    src = _arrivals(materialize(log, "log"), "iter", root)
     summary = stream_early_stop(src, PATIENCE)
 
     def sink(batch, batch_id):
@@ -99,8 +104,7 @@ def q_stream_progress(spark, sf_dir):
     ship_package(spark)
     root = scratch_path(spark, "k5")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    stage_in_order(docs, "doc_id", arrival_files(docs), f"{root}/arrivals")
-    src = file_stream(spark, f"{root}/arrivals", docs.schema, max_files_per_trigger=1)
+    src = _arrivals(docs, "doc_id", root)
     seen = LiveCounter(stream_tokenize(src, f"{root}/out", f"{root}/_checkpoint")).follow()
     return spark.createDataFrame([seen], "n_rows long, n_tokens long")
 
@@ -111,8 +115,7 @@ def q_stream_token_files(spark, sf_dir):
     ship_package(spark)
     root = scratch_path(spark, "st1k1")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    stage_in_order(docs, "doc_id", arrival_files(docs), f"{root}/arrivals")
-    src = file_stream(spark, f"{root}/arrivals", docs.schema, max_files_per_trigger=1)
+    src = _arrivals(docs, "doc_id", root)
     stream_token_files(src, f"{root}/tokens", f"{root}/_checkpoint").awaitTermination()
     out = None
     for split in SPLITS:

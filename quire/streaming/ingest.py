@@ -20,24 +20,43 @@ from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.operators.scan import prefix_aggregate
 from quire.operators.split import assign_split
 from quire.operators.tokenize import Tokenizer, token_count, tokenize
 from quire.session import ship_package
 
-# Bytes of input per staged arrival file, and the fewest files, so that small inputs
-# still make several micro-batches.
-ARRIVAL_BYTES = 128 << 20
+# Bytes of the rows (not of their Parquet) per staged arrival file, and the fewest files, so that
+# small inputs still make several micro-batches.
+ARRIVAL_BYTES = 32 << 20
 LEAST_FILES = 4
 # Seconds between two looks at the ledger of a running query.
 STOP_POLL = 0.2
 
 
 def arrival_files(df: DataFrame) -> int:
-    """Files to stage ``df`` in, by the optimizer's size of what it reads."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return max(LEAST_FILES, -(-int(str(stats)) // ARRIVAL_BYTES))
+    """Files to stage ``df`` in, by the measured size of its rows.
+
+    The optimizer's size would not do: it takes every column of a file as equally wide.
+    """
+    width = F.lit(0).cast("bigint")
+    for f in df.schema.fields:
+        c = F.col(f.name)
+        n = F.octet_length(c) if isinstance(f.dataType, (T.StringType, T.BinaryType)) \
+            else F.size(c) * 8 if isinstance(f.dataType, T.ArrayType) else F.lit(8)
+        width = width + F.greatest(F.coalesce(n, F.lit(0)), F.lit(0))
+    total = df.agg(F.sum(width)).first()[0] or 0
+    return max(LEAST_FILES, -(-int(total) // ARRIVAL_BYTES))
+
+
+def files_per_trigger(spark: SparkSession, n_files: int) -> int:
+    """Files of a micro-batch: a file a core, but at least ``LEAST_FILES`` micro-batches in all.
+
+    With a file at a time the micro-batches would be as many as the files and use one
+    core each, and state that all of them touch would be read and written once a file.
+    """
+    return max(1, min(n_files // LEAST_FILES, spark.sparkContext.defaultParallelism))
 
 
 def file_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: int | None = None):
