@@ -20,7 +20,9 @@ text itself goes to byte pieces, so decoding gives every text back exactly.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from dataclasses import dataclass
+from itertools import chain, count, islice
 
 import numpy as np
 import pandas as pd
@@ -34,12 +36,16 @@ from quire.session import trim_memory
 
 BLANK = "▁"
 CHUNK = 100_000
+#: Units whose tables are kept; when there are more, the quarter used most stays.
 LEXICON = 60_000
+#: Characters whose tables are filled at once.
+STRETCH = 1 << 15
+#: UTF-8 bytes up to which a unit's scaled probabilities stay in range.
 _SHORT = 48
 _SCALE = 3.0
 #: -log(-log(u)) of a 53-bit uniform is below this.
 _TOP_GUMBEL = 36.75
-_NEAR = -46.0
+_NEAR = -40.0
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD1342543DE82EF95)
 
@@ -88,6 +94,26 @@ class _Growing:
             self.at[k][self.n:self.n + size] = v
         self.n += size
 
+    def keep(self, rows: np.ndarray) -> None:
+        """Only these rows, in the same arrays unless they are far too long."""
+        for k, v in self.at.items():
+            kept = v[rows]
+            if len(v) > 16 * len(rows):
+                self.at[k] = kept
+            else:
+                v[:len(rows)] = kept
+        self.n = len(rows)
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after another."""
+    end = np.cumsum(size)
+    return np.repeat(start - (end - size), size) + np.arange(end[-1] if len(end) else 0)
+
+
+def _utf8_width(code: np.ndarray) -> np.ndarray:
+    return 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
+
 
 class Lattice:
     """The vocabulary's trie by hash, and the tables of the units met so far."""
@@ -134,11 +160,38 @@ class Lattice:
         return [u for u in marked.split("\0") if u]
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.unit = _Growing(first=np.int64, last=np.int64)
+        self.known: dict[str, int] = defaultdict(count().__next__)  # numbered by first sight
+        self.unit = _Growing(first=np.int64, last=np.int64, uses=np.int64)
         self.node = _Growing(edge=np.int64, count=np.int32)
-        self.edge = _Growing(back=np.int32, piece=np.int32, p=np.float64, log=np.float64,
-                             cdf=np.float64)
+        self.edge = _Growing(back=np.int32, piece=np.int32, p=np.float64, cdf=np.float64)
+
+    def shed(self) -> None:
+        """Keep the quarter of the lexicon that was used most; older uses count half."""
+        uses = self.unit.at["uses"][:self.unit.n]
+        kept = np.sort(np.argsort(-uses, kind="stable")[:LEXICON // 4])
+        names = list(self.known)
+        self.known = defaultdict(count(len(kept)).__next__, zip(
+            map(names.__getitem__, kept.tolist()), range(len(kept))))
+        self.unit.keep(kept)
+        unit, n = self.unit.at, self.unit.n
+        sizes = unit["last"][:n] - unit["first"][:n] + 1
+        self.node.keep(_ranges(unit["first"][:n], sizes))
+        unit["last"][:n] = np.cumsum(sizes) - 1
+        unit["first"][:n] = unit["last"][:n] - sizes + 1
+        unit["uses"][:n] >>= 1
+        node, n = self.node.at, self.node.n
+        many = node["count"][:n].astype(np.int64)
+        self.edge.keep(_ranges(node["edge"][:n], many))
+        node["edge"][:n] = np.cumsum(many) - many
+
+    def number(self, units, size: int) -> np.ndarray:
+        """Numbers of these units; the tables of new ones are added."""
+        found = np.fromiter(map(self.known.__getitem__, units), dtype=np.int64, count=size)
+        fresh = len(self.known) - self.unit.n
+        if fresh:
+            self.learn(list(islice(reversed(self.known), fresh))[::-1])
+        self.unit.at["uses"][:self.unit.n] += np.bincount(found, minlength=self.unit.n)
+        return found
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Index in ``keys`` or -1."""
@@ -154,67 +207,120 @@ class Lattice:
         return at
 
     def learn(self, units: list[str]) -> None:
-        """Add the tables of new distinct units."""
-        short = [u for u in units if len(u) <= _SHORT]
-        long = [u for u in units if len(u) > _SHORT]
-        for part, plain in ((short, True), (long, False)):
-            if part:
-                self._learn(part, plain)
-
-    def _learn(self, units: list[str], plain: bool) -> None:
-        """``plain``: the units are so short that scaled probabilities stay in range."""
-        sizes = np.array([len(u) for u in units], dtype=np.int64)
-        code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"),
-                             dtype=np.uint32).astype(np.uint64)
-        own_blank = code == np.uint64(ord(BLANK))
-        text_code = code
-        code = np.where(code == 32, np.uint64(ord(BLANK)), code)
+        """Add the tables of new distinct units, longest first within a stretch."""
+        sizes = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+        code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        begin = np.cumsum(sizes) - sizes
+        limit = min(_SHORT, int(600 / -self.byte_logp))
+        plain = np.add.reduceat(_utf8_width(code), begin) <= limit
+        first = np.empty(len(units), dtype=np.int64)
+        for short in (True, False):
+            part = np.flatnonzero(plain == short)
+            part = part[np.argsort(-sizes[part], kind="stable")]
+            stretch = np.cumsum(sizes[part]) // STRETCH
+            for some in np.split(part, np.flatnonzero(np.diff(stretch)) + 1):
+                if len(some):
+                    first[some] = self._learn(code[_ranges(begin[some], sizes[some])],
+                                              sizes[some], short)
+        self.unit.extend(first=first, last=first + sizes, uses=np.zeros(len(units), dtype=np.int64))
+
+    def _learn(self, text_code: np.ndarray, sizes: np.ndarray, plain: bool) -> np.ndarray:
+        """First nodes of units of falling size; ``plain``: scaled probabilities stay in range."""
+        code = text_code.astype(np.uint64)
+        own_blank = text_code == ord(BLANK)
+        code[text_code == 32] = ord(BLANK)
         code[own_blank] = 0x110000
         begin = np.cumsum(sizes) - sizes
-        owner = np.repeat(np.arange(len(units)), sizes)
-        stop = (begin + sizes)[owner]
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        left = (begin + sizes)[owner] - np.arange(len(code))  # characters from here to the unit's end
         at = np.arange(len(code))
         h = np.zeros(len(code), dtype=np.uint64)
         start, length, piece = [], [], []
         single = np.zeros(len(code), dtype=bool)
         for n in range(1, self.longest + 1):
-            inside = at + n <= stop[at]
-            at, h = at[inside], h[inside]
+            if n > 1:
+                inside = np.flatnonzero(left[at] >= n)
+                at, h = at[inside], h[inside]
             if not len(at):
                 break
-            h = h * _ODD + code[at + n - 1] + np.uint64(1)
+            h = h * _ODD + code[at + (n - 1)] + np.uint64(1)
             found = self._find(h)
-            ids = self.ids[found]
-            whole = (found >= 0) & (ids >= 0)
+            alive = np.flatnonzero(found >= 0)
+            at, h = at[alive], h[alive]
+            ids = self.ids[found[alive]]
+            whole = np.flatnonzero(ids >= 0)
             start.append(at[whole])
-            length.append(np.full(int(whole.sum()), n))
+            length.append(np.full(len(whole), n))
             piece.append(ids[whole])
             if n == 1:
-                single[at[whole]] = True
-            alive = found >= 0
-            at, h = at[alive], h[alive]
+                single[start[0]] = True
         lost = np.flatnonzero(~single)  # byte pieces: the edge keeps the character itself
+        c = text_code[lost].astype(np.int32)
+        logp = np.concatenate([self.logp[x] for x in piece] + [_utf8_width(c) * self.byte_logp])
         start.append(lost)
         length.append(np.ones(len(lost), dtype=np.int64))
-        piece.append(-1 - text_code[lost].astype(np.int64))
+        piece.append(-1 - c)
         start, length, piece = map(np.concatenate, (start, length, piece))
-        width = np.ones(len(piece), dtype=np.int64)
-        c = -1 - piece[piece < 0]
-        width[piece < 0] = 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
-        logp = np.where(piece < 0, width * self.byte_logp, self.logp[np.maximum(piece, 0)])
-        place = start - begin[owner[start]] + length  # end of the edge within its unit
-        target = start + owner[start] + length  # node: a unit of n characters has n + 1
-        # by place, node and length: the order within a node must not depend on the batch
-        order = np.argsort((place * (len(code) + len(units)) + target) * (self.longest + 1)
-                           + length)
-        start, length, piece, logp, place, target = (
-            x[order] for x in (start, length, piece, logp, place, target))
+        fill = self._fill_plain if plain else self._fill_long
+        target, length, piece, p, cdf = fill(sizes, begin, owner, start, length, piece, logp)
+        first = np.flatnonzero(np.diff(target, prepend=-1))
+        many = np.diff(np.append(first, len(target)))
+        cdf[first + many - 1] = 2.0  # the last edge takes what rounding leaves
+        node0, edge0 = self.node.n, self.edge.n
+        node_edge = np.zeros(len(code) + len(sizes), dtype=np.int64)
+        node_count = np.zeros(len(node_edge), dtype=np.int32)
+        node_edge[target[first]] = edge0 + first
+        node_count[target[first]] = many
+        self.edge.extend(back=length, piece=piece, p=p, cdf=cdf)
+        self.node.extend(edge=node_edge, count=node_count)
+        return node0 + begin + np.arange(len(sizes))
+
+    @staticmethod
+    def _fill_plain(sizes, begin, owner, start, length, piece, logp):
+        """Edges by place, node and length: (node, length, piece, p, cdf).
+
+        A node is a row of cells, one for each length; the nodes at one place of all units
+        that reach it stand together.  A unit of n characters has n + 1 nodes.
+        """
+        longest, width = int(sizes[0]), int(length.max())
+        reach = np.searchsorted(-sizes, -np.arange(1, longest + 1), side="right")
+        row0 = np.cumsum(reach) - reach
+        who = owner[start]
+        cell = (row0[start - begin[who] + length - 1] + who) * width + (length - 1)
+        # every path of a unit is scaled alike, once a character
+        mass = np.zeros(int(reach.sum()) * width)
+        mass[cell] = np.exp(logp + _SCALE * length)
+        cells = np.flatnonzero(mass)
+        named = np.empty(len(mass), dtype=np.int32)
+        named[cell] = piece
+        mass = mass.reshape(-1, width)
+        alpha = np.zeros((len(sizes), longest + width))  # by falling place
+        alpha[:, longest] = 1.0
+        for place, lo, many in zip(range(1, longest + 1), row0.tolist(), reach.tolist()):
+            here = mass[lo:lo + many]
+            column = longest - place
+            here *= alpha[:many, column + 1:column + 1 + width]
+            total = here.sum(axis=1)
+            alpha[:many, column] = total
+            here /= total[:, None]
+        p = mass.ravel()[cells]
+        cdf = np.cumsum(mass, axis=1).ravel()[cells]
+        row, length = np.divmod(cells, width)
+        who = np.arange(len(mass)) - np.repeat(row0, reach)
+        node = (begin + np.arange(len(sizes)))[who] + np.repeat(np.arange(1, longest + 1), reach)
+        return node[row], length + 1, named[cells], p, cdf
+
+    @staticmethod
+    def _fill_long(sizes, begin, owner, start, length, piece, logp):
+        """As ``_fill_plain``, in logarithms and without empty cells."""
+        n_nodes = len(owner) + len(sizes)
+        place = start - begin[owner[start]] + length
+        target = start + owner[start] + length
+        order = np.lexsort((length, target, place))
+        length, piece, logp, place, target = (
+            x[order] for x in (length, piece, logp, place, target))
         source = target - length
-        if plain:  # every path of a unit is scaled alike, once a character
-            logp = np.exp(logp + _SCALE * length)
-            alpha = np.ones(len(code) + len(units))
-        else:
-            alpha = np.zeros(len(code) + len(units))
+        alpha = np.zeros(n_nodes)
         p = np.empty(len(order))
         cdf = np.empty(len(order))
         bounds = np.flatnonzero(np.diff(place, prepend=-1))
@@ -222,41 +328,28 @@ class Lattice:
             node = target[lo:hi]
             first = np.flatnonzero(np.diff(node, prepend=-1))
             many = np.diff(np.append(first, hi - lo))
-            if plain:
-                e = logp[lo:hi] * alpha[source[lo:hi]]
-                total = np.add.reduceat(e, first)
-                alpha[node[first]] = total
-            else:
-                v = logp[lo:hi] + alpha[source[lo:hi]]
-                top = np.maximum.reduceat(v, first)
-                e = np.exp(v - np.repeat(top, many))
-                total = np.add.reduceat(e, first)
-                alpha[node[first]] = top + np.log(total)
+            v = logp[lo:hi] + alpha[source[lo:hi]]
+            top = np.maximum.reduceat(v, first)
+            e = np.exp(v - np.repeat(top, many))
+            total = np.add.reduceat(e, first)
+            alpha[node[first]] = top + np.log(total)
             p[lo:hi] = e / np.repeat(total, many)
             run = np.cumsum(p[lo:hi])
             cdf[lo:hi] = run - np.repeat(run[first] - p[lo:hi][first], many)
-        first = np.flatnonzero(np.diff(target, prepend=-1))
-        many = np.diff(np.append(first, len(order)))
-        cdf[first + many - 1] = 2.0  # the last edge takes what rounding leaves
-        node0, edge0 = self.node.n, self.edge.n
-        node_edge = np.zeros(len(alpha), dtype=np.int64)
-        node_count = np.zeros(len(alpha), dtype=np.int32)
-        node_edge[target[first]] = edge0 + first
-        node_count[target[first]] = many
-        self.edge.extend(back=length, piece=piece, p=p, log=np.log(p), cdf=cdf)
-        self.node.extend(edge=node_edge, count=node_count)
-        first_node = node0 + begin + np.arange(len(units))
-        unit0 = self.unit.n
-        self.unit.extend(first=first_node, last=first_node + sizes)
-        self.known.update(zip(units, range(unit0, unit0 + len(units))))
+        return target, length, piece, p, cdf
 
     def decode(self, ids: np.ndarray) -> bytes:
         size = self.raw_size[ids]
         end = np.cumsum(size)
         if not len(end) or not end[-1]:
             return b""
-        at = np.repeat(self.raw_at[ids] - (end - size), size) + np.arange(end[-1])
-        return self.raw[at].tobytes()
+        return self.raw[_ranges(self.raw_at[ids], size)].tobytes()
+
+    def decode_rows(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """Bytes of each row of ids; ``sizes``: 0, then their lengths."""
+        back = self.decode(ids)
+        ends = np.concatenate([[0], np.cumsum(self.raw_size[ids])])[np.cumsum(sizes)].tolist()
+        return [back[lo:hi] for lo, hi in zip(ends, ends[1:])]
 
 
 _LATTICES: dict[tuple[Vocabulary, float], Lattice] = {}
@@ -338,7 +431,7 @@ def _ids(lattice: Lattice, paths: _Paths) -> tuple[np.ndarray, np.ndarray]:
     if not len(lost):
         return piece.astype(np.int32), paths.bounds
     c = -1 - piece[lost]
-    width = 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
+    width = _utf8_width(c)
     many = np.ones(len(piece), dtype=np.int64)
     many[lost] = width
     ends = np.concatenate([[0], np.cumsum(many)])
@@ -373,19 +466,14 @@ def sample_texts(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int) -
     """Up to ``k`` distinct segmentations per text, by falling perturbed log-probability."""
     n_docs = len(texts)
     if len(lattice.known) > LEXICON:
-        lattice.forget()
+        lattice.shed()
     split = [lattice.units(t) for t in texts]
-    flat = [u for x in split for u in x]
-    known = lattice.known
-    fresh = [u for u in dict.fromkeys(flat) if u not in known]
-    if fresh:
-        lattice.learn(fresh)
-    unit = np.fromiter(map(known.__getitem__, flat), dtype=np.int64, count=len(flat))
-    counts = np.array([len(x) for x in split], dtype=np.int64)
+    counts = np.fromiter(map(len, split), dtype=np.int64, count=n_docs)
+    unit = lattice.number(chain.from_iterable(split), int(counts.sum()))
     doc = np.repeat(np.arange(n_docs), counts)
     place = np.arange(len(unit)) - (np.cumsum(counts) - counts)[doc]
     last = lattice.unit.at["last"][unit]
-    p_of, logs_of, back = (lattice.edge.at[x] for x in ("p", "log", "back"))
+    p_of, back = lattice.edge.at["p"], lattice.edge.at["back"]
     first_edge, n_edges = lattice.node.at["edge"], lattice.node.at["count"]
     starts_of = np.concatenate([[0], np.cumsum(counts)])
     salt = [mix64(keys + np.uint64((3 * j + 1) * int(_ODD) % 2**64)) for j in range(3 * (k + 1))]
@@ -396,6 +484,7 @@ def sample_texts(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int) -
     live = np.ones(n_docs, dtype=bool)
     source = np.full(n_docs, -1)           # the path whose set was popped, and where
     slot = np.zeros(n_docs, dtype=np.int64)
+    pick = np.zeros(n_docs, dtype=np.int64)  # the popped set among the path's drawn ones
     forced = np.full(n_docs, -1)
     taken: dict[int, list[int]] = {}
     for j in range(k):
@@ -438,7 +527,7 @@ def sample_texts(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int) -
             y[at] = x
             ordered.append(y)
         token, step, node, edge = ordered
-        run = np.concatenate([[0.0], np.cumsum(logs_of[edge])])
+        run = np.concatenate([[0.0], np.cumsum(np.log(p_of[edge]))])
         before = run[:-1] - np.repeat(run[bounds[:-1]], np.diff(bounds))
         own, here, rest = bounds[:-1].copy(), np.full(n_docs, -1, dtype=np.int64), {}
         for d in np.flatnonzero(live & (source >= 0)).tolist():
@@ -478,22 +567,27 @@ def sample_texts(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int) -
             source[better] = b
             best[better] = most[better]
             first = np.flatnonzero(better[who] & (path.value == most[who]))
-            slot[who[first]] = path.near[first]
+            slot[who[first]], pick[who[first]] = path.near[first], first
         live &= best > -np.inf
         top = np.where(live, best, -np.inf)  # after the last round: the threshold
         if j + 1 == k:
             break
         taken = {}
-        for d in np.flatnonzero(live).tolist():
+        who = np.flatnonzero(live)
+        start = np.zeros(n_docs, dtype=np.int64)
+        for b, path in enumerate(done):
+            mine = who[source[who] == b]
+            path.value[pick[mine]] = -np.inf
+            start[mine] = path.bounds[mine]
+        draws = _uniform(salt[3 * j + 3][who], slot[who] - start[who])
+        for d, u in zip(who.tolist(), draws.tolist()):
             path, at = done[source[d]], int(slot[d])
-            path.value[path.near == at] = -np.inf
             already = [int(path.edge[at])]
             if path.forced[d] == at:
                 already += path.taken[d]
-            e = first_edge[path.node[at]] + np.arange(n_edges[path.node[at]])
-            e = e[~np.isin(e, already)]
+            lo = int(first_edge[path.node[at]])
+            e = [x for x in range(lo, lo + int(n_edges[path.node[at]])) if x not in already]
             share = np.cumsum(p_of[e])
-            u = _uniform(salt[3 * j + 3][d:d + 1], np.array([at - path.bounds[d]]))[0]
             forced[d] = e[min(int(np.searchsorted(share, u * share[-1])), len(e) - 1)]
             taken[d] = already
     for rank, (has, perturbed, log_prob, ids, bounds) in enumerate(drawn, 1):
@@ -535,10 +629,11 @@ def _sampler(vocabulary: Vocabulary, k: int, seed: int, theta: float):
                     data = part[i].encode("utf-8", "surrogatepass")
                     for rank, perturbed, log_prob, inclusion, ids in samples:
                         for x, y in zip(out, (keys[lo + i], rank, perturbed, log_prob, inclusion,
-                                              lattice.decode(ids) == data, ids)):
+                                              data, ids)):
                             x.append(y)
                 sizes = np.array([0] + [len(x) for x in out[6]], dtype=np.int64)
                 flat = np.concatenate(out[6]) if out[6] else np.empty(0, dtype=np.int32)
+                out[5] = [x == y for x, y in zip(out[5], lattice.decode_rows(flat, sizes))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()),
                      *[pa.array(x, pa.float64()) for x in out[2:5]],

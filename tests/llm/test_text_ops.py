@@ -322,3 +322,56 @@ def test_samples_follow_the_lattice_without_replacement(vocabulary, theta):
         assert all(abs(x[2] - math.log(p[tuple(x[4].tolist())])) < 1e-9 for x in r)
     # weighing by inclusion makes every sum over paths right on average
     assert abs(np.mean([sum(math.exp(x[2] - x[3]) for x in r) for r in found]) - 1) < 0.02
+
+
+def test_units_in_use_outlive_a_full_lexicon(vocabulary, monkeypatch):
+    texts = [f"the cat sat on the mat w{n}x{n * n} q{n}z and it was" for n in range(60)]
+    keys = np.arange(len(texts)).astype(np.uint64)
+    whole, learned = seg.Lattice(vocabulary), collections.Counter()
+    want = [seg.sample_texts(whole, [t], keys[n:n + 1], 2)[0] for n, t in enumerate(texts)]
+    monkeypatch.setattr(seg, "LEXICON", 60)
+    small = seg.Lattice(vocabulary)
+    learn = small.learn
+    monkeypatch.setattr(small, "learn", lambda units: (learned.update(units), learn(units)))
+    got = [seg.sample_texts(small, [t], keys[n:n + 1], 2)[0] for n, t in enumerate(texts)]
+    for a, b in zip(want, got):
+        assert [(x[0], x[4].tolist()) for x in a] == [(x[0], x[4].tolist()) for x in b]
+        assert [x[1:4] for x in a] == [pytest.approx(x[1:4], rel=1e-9) for x in b]
+    assert len(small.known) < len(whole.known)  # some were dropped, none of those in every text
+    assert {learned[u] for u in (" cat", " sat", " on", " the", " mat", " and", " it", " was")} == {1}
+
+
+def test_tables_do_not_depend_on_the_units_beside_them(vocabulary, monkeypatch):
+    units = ["the", " cat", " understanding", " x" + "ab" * 40, " 日本語", " é" * 1, "\n", " ▁"]
+
+    def tables(lattice):
+        out = {}
+        for u, k in lattice.known.items():
+            nodes = slice(lattice.unit.at["first"][k], lattice.unit.at["last"][k] + 1)
+            out[u] = [[lattice.edge.at[x][e:e + n].tolist() for x in ("back", "piece", "p", "cdf")]
+                      for e, n in zip(lattice.node.at["edge"][nodes], lattice.node.at["count"][nodes])]
+        return out
+
+    one, each = seg.Lattice(vocabulary), seg.Lattice(vocabulary)
+    one.number(units, len(units))
+    monkeypatch.setattr(seg, "STRETCH", 4)
+    for u in reversed(units):
+        each.number([u], 1)
+    got, want = tables(one), tables(each)
+    assert set(got) == set(want) == set(units)
+    for u in units:
+        assert len(got[u]) == len(u) + 1
+        for a, b in zip(got[u], want[u]):
+            assert a[:2] == b[:2] and a[0] == sorted(a[0])
+            assert a[2] == pytest.approx(b[2], rel=1e-12) and a[3] == pytest.approx(b[3], rel=1e-12)
+            assert not a[2] or sum(a[2]) == pytest.approx(1.0)
+
+
+def test_units_of_byte_pieces_keep_their_probabilities(vocabulary):
+    lattice = seg.Lattice(vocabulary)
+    rare = next(c for c in map(chr, range(0x1F600, 0x1F700)) if c not in vocabulary.pieces)
+    text = "a " + rare * 40 + " b"
+    for rank, perturbed, log_prob, inclusion, ids in seg.sample_texts(
+            lattice, [text], np.array([5], dtype=np.uint64), 2)[0]:
+        assert math.isfinite(perturbed) and math.isfinite(log_prob) and math.isfinite(inclusion)
+        assert lattice.decode(ids.astype(np.int64)).decode() == text
